@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opinara.llm import byte_bpe, compression
+from opinara.llm import byte_bpe, compression, language, pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": language.op2_language_id,
     "op5_compression_bands": compression.op5_compression_bands,
+    "op6_weak_pii": pii.op6_weak_pii,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
 }
 

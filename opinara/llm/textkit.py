@@ -20,6 +20,8 @@ BLOCK_BYTES = 1 << 19
 
 _IS_SEP = np.zeros(256, bool)
 _IS_SEP[list(SEPARATORS)] = True
+#: For terms: all of ASCII but letters, digits and the apostrophe separates.
+TERM_SEP = np.array([b < 128 and not chr(b).isalnum() and b != 39 for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Odd multiplier of the rolling hash, and its inverse modulo 2**64.
@@ -79,21 +81,21 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
         first = last
 
 
-def words(data: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash (64 bits), row, start and end of each word; words do not cross rows."""
+def words(data: np.ndarray, at: np.ndarray, lower: bool = True, sep: np.ndarray = _IS_SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash (64 bits), row, start and end of each word; words do not cross rows. sep: which bytes separate."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     begin, n = 0, len(data)
     codes = _CODES_LOWER if lower else _CODES
     while begin < n:
         end = min(n, begin + BLOCK_BYTES)
         while end < n:  # a block ends behind a separator
-            gap = np.flatnonzero(_IS_SEP[data[end - 4096 if end - 4096 > begin else begin : end]])
+            gap = np.flatnonzero(sep[data[end - 4096 if end - 4096 > begin else begin : end]])
             if len(gap):
                 end = max(end - 4096, begin) + int(gap[-1]) + 1
                 break
             end = min(n, end + BLOCK_BYTES)
         block = data[begin:end]
-        inside = ~_IS_SEP[block]
+        inside = ~sep[block]
         fresh = np.zeros(len(block) + 1, bool)
         lo, hi = np.searchsorted(at, begin, "left"), np.searchsorted(at, end, "right")
         fresh[at[lo:hi] - begin] = True
