@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opinara.llm import byte_bpe, compression, language, pii
+from opinara.llm import byte_bpe, compression, language, pii, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_attention_quality": quality.op1_attention_quality,
     "op2_language_id": language.op2_language_id,
     "op5_compression_bands": compression.op5_compression_bands,
     "op6_weak_pii": pii.op6_weak_pii,
+    "op7_nearest_toxicity": toxicity.op7_nearest_toxicity,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
 }
 

@@ -157,3 +157,24 @@ def remainder(doc_id: Column, m: int) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def labelled(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
+    """doc_id and label of the rows to learn from: remainder modulo 5 not 0, one row an id, 1 wins over 0."""
+    rows = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col(column).alias("label"))
+    rows = rows.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (remainder(F.col("doc_id"), 5) != 0))
+    return rows.groupBy("doc_id").agg(F.max("label").alias("label"))
+
+
+def sample_by_class(labels: DataFrame, each: int) -> tuple[list[tuple], list[int]]:
+    """(doc_id, label) of at most `each` rows of each class, those with the least hash of their id, and the classes' counts."""
+    counts = dict(labels.groupBy("label").count().collect())
+    key = F.xxhash64(F.col("doc_id").cast("string"), F.lit(7))
+    rows = [tuple(r) for c in (0, 1) if c in counts for r in labels.where(F.col("label") == c).orderBy(key, "doc_id").limit(each).collect()]
+    return rows, [int(counts.get(c, 0)) for c in (0, 1)]
+
+
+def sampled_texts(docs: DataFrame, labels: DataFrame, rows: list[tuple]) -> DataFrame:
+    """doc_id, text, label of the sampled rows; the sample is bounded, so its side is broadcast."""
+    chosen = docs.sparkSession.createDataFrame(rows, labels.schema)
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
