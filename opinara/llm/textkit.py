@@ -45,6 +45,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z in lower case."""
+    return _LOWER[data]
+
+
 def _pow(kind: str, base: int, n: int) -> np.ndarray:
     have = _powers.get(kind)
     if have is None or len(have) < n:

@@ -1,8 +1,9 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are hashed. The vocabulary holds the `TERMS` terms that tell the classes apart best (chi-square with support) in a
-bounded sample of labelled rows, `EACH` of each class; document frequencies of these terms are counted over all
-documents. Up to `INDEXED` examples of each class form an inverted index in blocks of 64; for each term a block keeps
+Terms are words and, as stems, the first four and five bytes of longer words, all hashed to 64 bits. The vocabulary holds the
+`TERMS` terms that tell the classes apart best (chi-square, support, at least `LIFT` times as frequent in one class) in a
+bounded sample of labelled rows, `EACH` of each class, in which a text counts once; document frequencies of these terms
+are counted over all documents. Up to `INDEXED` examples of each class form an inverted index in blocks of 64; for each term a block keeps
 the greatest weight. A query adds these maxima to an upper bound for each block, opens blocks from the highest bound
 down and stops once the k-th neighbour found beats the next bound, so the neighbours are exact. Votes are weighted by
 similarity and by the classes' shares among all learning rows, with a small vote for the overall share, which makes
@@ -24,30 +25,43 @@ from pyspark.sql import functions as F
 
 from opinara.llm import textkit as tk
 
-BITS, TERMS, EACH, INDEXED, BLOCK, NEIGHBOURS = 18, 96, 3000, 1024, 64, 40
-SUPPORT, EVIDENCE, PRIOR_VOTE, ACCEPT = 8, 3, 0.5, 0.5
+TERMS, EACH, INDEXED, BLOCK, NEIGHBOURS = 128, 3000, 1024, 64, 40
+STEMS, LIFT, LEAST_CHI, SUPPORT, EVIDENCE, PRIOR_VOTE, ACCEPT = (4, 5), 4, 25.0, 6, 3, 0.5, 0.5
 
 
-def term_counts(data: np.ndarray, at: np.ndarray, place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, term and count, sorted. place: the number of each hashed term in the vocabulary, or -1."""
-    h, rows, _, _ = tk.words(data, at, sep=tk.TERM_SEP)
-    term = (h >> np.uint64(64 - BITS)).astype(np.int64)
-    if place is not None:
-        term = place[term]
-        rows, term = rows[term >= 0], term[term >= 0]
-    key, count = np.unique((rows << BITS) | term, return_counts=True)
-    return key >> BITS, key & ((1 << BITS) - 1), count
+def terms_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of each term."""
+    h, rows, starts, ends = tk.words(data, at, sep=tk.TERM_SEP)
+    lower, hashes, of = tk.lowered(data), [h], [rows]
+    for k in STEMS:
+        longer = np.flatnonzero(ends - starts > k)
+        stem = np.full(len(longer), k, np.uint64)
+        for i in range(k):
+            stem = (stem ^ lower[starts[longer] + i].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        hashes.append(tk.mix(stem))
+        of.append(rows[longer])
+    return np.concatenate(of), np.concatenate(hashes).view(np.int64)
 
 
-def choose_terms(with_term: np.ndarray, rows: np.ndarray, terms: int = TERMS) -> np.ndarray:
-    """with_term: (2, buckets) rows of each class that have a term; rows: rows of each class."""
+def term_counts(data: np.ndarray, at: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place in the sorted vocabulary and count of each term that is in it, sorted."""
+    rows, term = terms_of(data, at)
+    place = np.minimum(np.searchsorted(vocabulary, term), max(len(vocabulary) - 1, 0))
+    known = vocabulary[place] == term if len(vocabulary) else np.zeros(len(term), bool)
+    key, count = np.unique((rows[known] << 16) | place[known], return_counts=True)
+    return key >> 16, key & 0xFFFF, count
+
+
+def choose_terms(names: np.ndarray, with_term: np.ndarray, rows: np.ndarray, terms: int = TERMS) -> np.ndarray:
+    """names: the terms; with_term: (2, terms) rows of each class that have a term; rows: rows of each class."""
     a, b = with_term[1], with_term[0]
     c, d = rows[1] - a, rows[0] - b
     n = rows.sum()
     chi = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * float(rows[0] * rows[1]), 1e-9)
-    chi[a + b < max(SUPPORT, n // 500)] = 0
-    best = np.lexsort((np.arange(len(chi)), -chi))[:terms]
-    return np.sort(best[chi[best] > 15])
+    p, q = a / rows[1], b / rows[0]
+    chi[(np.maximum(p, q) < LIFT * np.minimum(p, q))] = 0
+    best = np.lexsort((names, -chi))[:terms]
+    return np.sort(names[best][chi[best] > max(LEAST_CHI, chi.max(initial=0) / 20)])
 
 
 class BlockMax:
@@ -91,37 +105,30 @@ def learn(docs: DataFrame, labels: DataFrame, each: int = EACH, indexed: int = I
         return {"share": counts[1] / sum(counts) if sum(counts) else 0.0}
 
     def count_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        has, seen = np.zeros((2, 1 << BITS), np.int64), [0, 0]
         for batch in batches:
             for part in tk.slices(batch, "text"):
                 y = part.column("label").to_numpy(zero_copy_only=False).astype(np.int64)
-                row, term, _ = term_counts(*tk.text_buffer(part.column("text")))
-                np.add.at(has, (y[row], term), 1)
-                seen = [seen[c] + int((y == c).sum()) for c in (0, 1)]
-        for c in (0, 1):
-            some = np.flatnonzero(has[c])
-            yield pa.RecordBatch.from_arrays([pa.array([c] * (len(some) + 1), pa.int32()), pa.array([-1, *some], pa.int64()), pa.array([seen[c], *has[c][some]], pa.int64())], ["label", "term", "n"])
+                row, term = terms_of(*tk.text_buffer(part.column("text")))
+                own = np.unique(np.stack([row, term]), axis=1) if len(row) else np.zeros((2, 0), np.int64)
+                key, n = np.unique(np.stack([y[own[0]], own[1]]), axis=1, return_counts=True) if own.size else (own, np.zeros(0, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(key[0], pa.int32()), pa.array(key[1], pa.int64()), pa.array(n, pa.int64())], ["label", "term", "n"])
 
     sampled = tk.sampled_texts(docs, labels, rows)
-    got = sampled.mapInArrow(count_sample, "label int, term long, n long").groupBy("label", "term").agg(F.sum("n").alias("n")).toPandas()  # at most two rows a bucket
-    with_term, total = np.zeros((2, 1 << BITS)), np.zeros(2)
-    for c in (0, 1):
-        own = got[got["label"] == c]
-        total[c] = own.loc[own["term"] < 0, "n"].sum()
-        own = own[own["term"] >= 0]
-        with_term[c, own["term"].to_numpy()] = own["n"]
+    distinct = tk.checkpointed(sampled.groupBy("text", "label").count().select("text", "label"))
+    seen = dict(distinct.groupBy("label").count().collect())
+    total = np.array([seen.get(c, 0) for c in (0, 1)], float)
     if not total.all():
         return {"share": counts[1] / sum(counts)}
-    chosen = choose_terms(with_term, total, terms)
-    place = np.full(1 << BITS, -1, np.int64)
-    place[chosen] = np.arange(len(chosen))
+    with_term = distinct.mapInArrow(count_sample, "label int, term long, n long").groupBy("term").agg(*(F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)))
+    got = with_term.where(F.col("n0") + F.col("n1") >= max(SUPPORT, int(total.sum()) // 1000)).toPandas().sort_values("term")  # from the bounded sample
+    chosen = choose_terms(got["term"].to_numpy(np.int64), np.stack([got["n0"], got["n1"]]).astype(float), total, terms)
     ranks = {r[0]: i for i, r in enumerate(rows)}
 
     def count_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(len(chosen), np.int64), 0
         for batch in batches:
             for part in tk.slices(batch, "text"):
-                _, term, _ = term_counts(*tk.text_buffer(part.column("text")), place)
+                _, term, _ = term_counts(*tk.text_buffer(part.column("text")), chosen)
                 df += np.bincount(term, minlength=len(df))
                 n += part.num_rows
         yield pa.RecordBatch.from_arrays([pa.array([-1, *range(len(df))], pa.int64()), pa.array([n, *df], pa.int64())], ["term", "n"])
@@ -129,7 +136,7 @@ def learn(docs: DataFrame, labels: DataFrame, each: int = EACH, indexed: int = I
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tk.slices(batch, "text"):
-                row, term, n = term_counts(*tk.text_buffer(part.column("text")), place)
+                row, term, n = term_counts(*tk.text_buffer(part.column("text")), chosen)
                 at = tk.per_row(row, part.num_rows)
                 cut = lambda v: pa.array([v[a:b] for a, b in zip(at, at[1:], strict=False)], pa.list_(pa.int64()))  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label").cast(pa.int32()), cut(term), cut(n)], ["doc_id", "label", "term", "n"])
@@ -150,7 +157,7 @@ def learn(docs: DataFrame, labels: DataFrame, each: int = EACH, indexed: int = I
             t = np.array(r["term"])
             x[i, t] = weigh(t, np.array(r["n"]), idf)
     y = np.array([r["label"] for r in own])
-    return {"place": place.astype(np.int16), "idf": idf, "index": BlockMax(x, y, [r["doc_id"] for r in own]), "share": share, "none": none, "vote": ((1 - share) / max((y == 0).sum(), 1), share / max((y == 1).sum(), 1))}
+    return {"terms": chosen, "idf": idf, "index": BlockMax(x, y, [r["doc_id"] for r in own]), "share": share, "none": none, "vote": ((1 - share) / max((y == 0).sum(), 1), share / max((y == 1).sum(), 1))}
 
 
 def score_row(terms: np.ndarray, counts: np.ndarray, model: dict, k: int = NEIGHBOURS) -> tuple[float, list[tuple]]:
@@ -171,14 +178,14 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        place = m["place"].astype(np.int64) if "place" in m else None
+        vocabulary = m.get("terms")
         for batch in batches:
             for part in tk.slices(batch, "text"):
                 scores, evidence = [], []
-                if place is None:
+                if vocabulary is None:
                     scores, evidence = [m["share"]] * part.num_rows, [[]] * part.num_rows
                 else:
-                    row, term, n = term_counts(*tk.text_buffer(part.column("text")), place)
+                    row, term, n = term_counts(*tk.text_buffer(part.column("text")), vocabulary)
                     at = tk.per_row(row, part.num_rows)
                     for a, b in zip(at, at[1:], strict=False):
                         p, near = score_row(term[a:b], n[a:b], m, k) if a < b else (m["none"], [])
