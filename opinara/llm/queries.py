@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opinara.llm import byte_bpe, compression, language, pii, quality, toxicity
+from opinara.llm import byte_bpe, compression, jaccard, language, pii, preference, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_attention_quality": quality.op1_attention_quality,
     "op2_language_id": language.op2_language_id,
+    "op4_ngram_jaccard": jaccard.op4_ngram_jaccard,
     "op5_compression_bands": compression.op5_compression_bands,
     "op6_weak_pii": pii.op6_weak_pii,
     "op7_nearest_toxicity": toxicity.op7_nearest_toxicity,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
+    "op10_preference_pairs": preference.op10_preference_pairs,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_preference_pairs": preference.OP10_SQL}

@@ -6,6 +6,7 @@ depend on how many rows a batch holds.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -183,3 +184,13 @@ def sampled_texts(docs: DataFrame, labels: DataFrame, rows: list[tuple]) -> Data
     """doc_id, text, label of the sampled rows; the sample is bounded, so its side is broadcast."""
     chosen = docs.sparkSession.createDataFrame(rows, labels.schema)
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Writes df as a table in the session's checkpoint folder and reads it back; smaller than a checkpoint of wide rows."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
