@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from opinara.llm import textkit as tk
 from opinara.llm.components import components
+from opinara.llm.lists import crossing, shared_lists, with_roots
 
 K, PERCENT, LONG, MOST_LONG, MOST_WANTED, ROUNDS = 5, 80, 64, 1 << 20, 1 << 20, 3
 
@@ -121,73 +122,6 @@ def _prepare(docs: DataFrame, k: int, percent: int, long: np.ndarray | None = No
     return docs.mapInArrow(run, f"doc_id {kind}, n long, sig long, prefix array<long>, sketch binary")
 
 
-def _by_token(frame: DataFrame, *then: str) -> DataFrame:
-    return frame.repartition("token").sortWithinPartitions("token", *then)
-
-
-def _shared_lists(tokens: DataFrame) -> DataFrame:
-    """token, sig, n of the lists with at least two members, and the least member of the list."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the last row of a batch waits, as the next batch may go on with its list
-        token, lead, lead_n = None, 0, 0
-        held: tuple | None = None
-        names = ["token", "sig", "n", "lead", "lead_n"]
-        for batch in batches:
-            t, s, n = (batch.column(c).to_numpy() for c in ("token", "sig", "n"))
-            if not len(t):
-                continue
-            if held is not None:
-                t, s, n = np.r_[held[0], t], np.r_[held[1], s], np.r_[held[2], n]
-            fresh = np.r_[t[0] != token if held is None or held[3] else False, t[1:] != t[:-1]]
-            if held is not None and not held[3]:
-                fresh[0] = False
-            elif held is not None:
-                fresh[0] = True
-            start = np.maximum.accumulate(np.where(fresh, np.arange(len(t)), -1))
-            a = np.where(start >= 0, s[np.maximum(start, 0)], lead)
-            an = np.where(start >= 0, n[np.maximum(start, 0)], lead_n)
-            shared = ~fresh
-            shared[:-1] |= ~fresh[1:]
-            token, lead, lead_n = t[-1], a[-1], an[-1]
-            held = (t[-1:], s[-1:], n[-1:], bool(fresh[-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][shared[:-1]]) for x in (t, s, n, a, an)], names)
-        if held is not None and not held[3]:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (held[0], held[1], held[2], np.array([lead]), np.array([lead_n]))], names)
-
-    return _by_token(tokens, "sig").mapInArrow(run, "token long, sig long, n long, lead long, lead_n long")
-
-
-def _crossing(members: DataFrame, percent: int) -> DataFrame:
-    """members: token, sig, n, root. All pairs of a list that are in different components and of fitting sizes."""
-
-    def pairs(s: np.ndarray, n: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if root[0] == root[-1]:  # sorted by root
-            return
-        for i in range(len(s) - 1):
-            later = np.searchsorted(root, root[i], "right")
-            ok = later + np.flatnonzero((100 * np.minimum(n[later:], n[i]) >= percent * np.maximum(n[later:], n[i])))
-            if len(ok):
-                a, b = np.minimum(s[ok], s[i]), np.maximum(s[ok], s[i])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 4
-        for batch in batches:
-            new = [np.r_[h, batch.column(c).to_numpy()] for h, c in zip(held, ("token", "sig", "n", "root"), strict=True)]
-            cuts = np.r_[0, 1 + np.flatnonzero(new[0][1:] != new[0][:-1])] if len(new[0]) else np.zeros(1, np.int64)
-            out = [p for x, y in zip(cuts, cuts[1:], strict=False) for p in pairs(*(c[x:y] for c in new[1:]))]
-            held = [c[cuts[-1] :] for c in new]
-            if out:
-                yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
-        if len(held[0]):
-            yield from pairs(*held[1:])
-
-    # only lists that are shared by two components come here
-    mixed = members.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token")
-    return _by_token(members.join(mixed, "token", "left_semi"), "root", "sig").mapInArrow(run, "a long, b long").distinct()
-
-
 def _pass_sketches(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sketches allow a link."""
     for c in ("a", "b"):
@@ -254,7 +188,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     sketches = rows.where("n > 0").select("sig", "n", "sketch").dropDuplicates(["sig"])
     classes = rows.where("n > 0").select("sig", "doc_id")
     tokens = rows.where("n > 0").select("sig", "n", "prefix").dropDuplicates(["sig"]).select("sig", "n", F.explode("prefix").alias("token"))
-    lists = tk.stored(_shared_lists(tokens))
+    lists = tk.stored(shared_lists(tokens))
     links: DataFrame | None = None
     roots: DataFrame | None = None
     skipped = np.zeros(0, np.uint64)
@@ -265,7 +199,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
         met = _verify(tk.checkpointed(_pass_sketches(pairs, sketches, percent)), docs, classes, k, percent)
         links = tk.checkpointed(met if links is None else links.unionByName(met).distinct())
         roots = tk.checkpointed(components(links))
-        members = _with_roots(lists, roots)
+        members = with_roots(lists, roots)
         # how many components share a list, by two aggregations that combine before they shuffle
         wide = members.select("token", "root").distinct().groupBy("token").count().where(F.col("count") > long)
         found = wide.orderBy(F.desc("count"), "token").limit(MOST_LONG).select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64)
@@ -276,9 +210,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
         renewed = _prepare(docs, k, percent, skipped, only_long=True).where("n > 0")
         renewed = tk.stored(renewed.select("sig", "n", "prefix").dropDuplicates(["sig"]))
         kept = rows.where("n > 0").select("sig", "n", "prefix").dropDuplicates(["sig"]).join(renewed.select("sig"), "sig", "left_anti")
-        lists = tk.stored(_shared_lists(kept.unionByName(renewed).select("sig", "n", F.explode("prefix").alias("token"))))
-    members = _with_roots(lists, roots)
-    crossing = _crossing(members, percent).join(links, ["a", "b"], "left_anti")
+        lists = tk.stored(shared_lists(kept.unionByName(renewed).select("sig", "n", F.explode("prefix").alias("token"))))
+    members = with_roots(lists, roots)
+    crossing = crossing(members, lambda n, others: 100 * np.minimum(n, others) >= percent * np.maximum(n, others)).join(links, ["a", "b"], "left_anti")
     met = _verify(tk.checkpointed(_pass_sketches(crossing, sketches, percent)), docs, classes, k, percent)
     links = tk.checkpointed(links.unionByName(met).distinct())
     roots = tk.checkpointed(components(links))
@@ -292,10 +226,6 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links_met", F.lit(0)).alias("n_links_met"))
 
 
-def _with_roots(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    return lists.select("token", "sig", "n").join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("token", "sig", "n", F.coalesce("root", "sig").alias("root"))
-
-
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 5-word shingle sets have a Jaccard similarity of 0.8 or more."""
     return join(tk.documents(spark, sf_dir))
