@@ -212,8 +212,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
         kept = rows.where("n > 0").select("sig", "n", "prefix").dropDuplicates(["sig"]).join(renewed.select("sig"), "sig", "left_anti")
         lists = tk.stored(shared_lists(kept.unionByName(renewed).select("sig", "n", F.explode("prefix").alias("token"))))
     members = with_roots(lists, roots)
-    crossing = crossing(members, lambda n, others: 100 * np.minimum(n, others) >= percent * np.maximum(n, others)).join(links, ["a", "b"], "left_anti")
-    met = _verify(tk.checkpointed(_pass_sketches(crossing, sketches, percent)), docs, classes, k, percent)
+    across = crossing(members, lambda n, others: 100 * np.minimum(n, others) >= percent * np.maximum(n, others)).join(links, ["a", "b"], "left_anti")
+    met = _verify(tk.checkpointed(_pass_sketches(across, sketches, percent)), docs, classes, k, percent)
     links = tk.checkpointed(links.unionByName(met).distinct())
     roots = tk.checkpointed(components(links))
     degree = links.select(F.explode(F.array("a", "b")).alias("sig")).groupBy("sig").agg(F.count("*").alias("n_links_met"))

@@ -37,6 +37,10 @@ def _byte_codes(seed: int) -> np.ndarray:
 
 _CODES = _byte_codes(11)
 _CODES_LOWER = _CODES[_LOWER]
+#: For lines: letters in lower case, all digits alike.
+_FOLD = _LOWER.copy()
+_FOLD[48:58] = 48
+FOLDED = _CODES[_FOLD]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -51,6 +55,11 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
+def folded(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z in lower case and all digits as 0."""
+    return _FOLD[data]
+
+
 def _pow(kind: str, base: int, n: int) -> np.ndarray:
     have = _powers.get(kind)
     if have is None or len(have) < n:
@@ -87,11 +96,12 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
         first = last
 
 
-def words(data: np.ndarray, at: np.ndarray, lower: bool = True, sep: np.ndarray = _IS_SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash (64 bits), row, start and end of each word; words do not cross rows. sep: which bytes separate."""
+def words(data: np.ndarray, at: np.ndarray, lower: bool = True, sep: np.ndarray = _IS_SEP, codes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash (64 bits), row, start and end of each word; words do not cross rows. sep: which bytes separate;
+    codes: numbers of the bytes, where some are to count as the same."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     begin, n = 0, len(data)
-    codes = _CODES_LOWER if lower else _CODES
+    codes = codes if codes is not None else _CODES_LOWER if lower else _CODES
     while begin < n:
         end = min(n, begin + BLOCK_BYTES)
         while end < n:  # a block ends behind a separator
