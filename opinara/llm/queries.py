@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opinara.llm import byte_bpe, compression, jaccard, language, pii, preference, quality, toxicity
+from opinara.llm import byte_bpe, compression, jaccard, language, line_dedup, pii, preference, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_attention_quality": quality.op1_attention_quality,
     "op2_language_id": language.op2_language_id,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_ngram_jaccard": jaccard.op4_ngram_jaccard,
     "op5_compression_bands": compression.op5_compression_bands,
     "op6_weak_pii": pii.op6_weak_pii,
