@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opinara.llm import byte_bpe, compression, jaccard, language, line_dedup, pii, preference, quality, toxicity
+from opinara.llm import byte_bpe, compression, decontaminate, jaccard, language, line_dedup, pii, preference, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_attention_quality": quality.op1_attention_quality,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_compression_bands": compression.op5_compression_bands,
     "op6_weak_pii": pii.op6_weak_pii,
     "op7_nearest_toxicity": toxicity.op7_nearest_toxicity,
+    "op8_latent_decontamination": decontaminate.op8_latent_decontamination,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_preference_pairs": preference.op10_preference_pairs,
 }
