@@ -232,6 +232,7 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the least id, with all its columns."""
-    found = join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """Pipeline stage: of each component the document with the least id, with all its columns. Repeated rows become one;
+    documents with a null id stay unless they are linked with one that has an id."""
+    found = join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]), "left_semi").dropDuplicates(["doc_id", "text"])
