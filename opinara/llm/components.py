@@ -11,19 +11,18 @@ from pyspark.sql import functions as F
 from opinara.llm import textkit as tk
 
 
-def _state(edges: DataFrame) -> tuple:
-    # sums of parts of a hash, as a sum of whole hashes would overflow
-    h = F.xxhash64("u", "v")
-    return tuple(edges.agg(F.count("*"), F.sum(F.shiftrightunsigned(h, 24)), F.sum(h.bitwiseAND(F.lit(0xFFFFFF)))).first())
+def _is_star(edges: DataFrame) -> bool:
+    """Whether every node has one edge down at most and none that leads on."""
+    roles = edges.select("u", F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    return roles.groupBy("u").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 OR (down > 0 AND up > 0)").isEmpty()
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """node and root (the least node it can reach) of every node that has a link to another."""
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     edges = tk.checkpointed(edges)
-    before = _state(edges)
     for _ in range(most_rounds):
-        if not before[0]:
+        if _is_star(edges):
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -31,9 +30,5 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = tk.checkpointed(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        after = _state(edges)
-        if after == before:
-            break
-        before = after
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

@@ -9,8 +9,8 @@ merged in shuffle order, by shingle:
 
 1. every member of a list meets the list's least member; pairs that pass a parity sketch (an exact lower bound of the
    difference of two sets) are verified, and verified links give components;
-2. lists that then are shared by too many components are long, the prefixes of sets that have them are renewed, and
-   step 1 is repeated for the new lists;
+2. lists that are shared by more than `LONG` of these components are long; sets that have some in their prefix renew it
+   with the long ones last, `RENEWALS` times, as some of the new lists may be long too;
 3. members of a list that still are in different components all meet, through the same sketch and verification.
 
 No pair within a component needs to be met again, so a group of copies costs links in proportion to its size and no link
@@ -33,7 +33,7 @@ from opinara.llm import textkit as tk
 from opinara.llm.components import components
 from opinara.llm.lists import crossing, shared_lists, with_roots
 
-K, PERCENT, LONG, MOST_LONG, MOST_WANTED, ROUNDS = 5, 80, 64, 1 << 20, 1 << 20, 3
+K, PERCENT, LONG, RENEWALS, MOST_LONG, MOST_WANTED = 5, 80, 64, 2, 1 << 20, 1 << 16
 
 
 def sets(data: np.ndarray, at: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -47,11 +47,10 @@ def sets(data: np.ndarray, at: np.ndarray, k: int = K) -> tuple[np.ndarray, np.n
     if len(short):  # the whole sequence is one shingle; its length is part of the hash
         own = [tk.shingles(h[first[i] : first[i + 1]] ^ np.uint64(counts[i]), rows[first[i] : first[i + 1]], counts[i])[0] for i in short]
         s, of = np.concatenate([s, *own]), np.concatenate([of, short])
-    order = np.lexsort((s, of))
-    s, of = s[order], of[order]
-    fresh = np.r_[True, (s[1:] != s[:-1]) | (of[1:] != of[:-1])] if len(s) else np.zeros(0, bool)
-    s, of = s[fresh], of[fresh]
-    return s, tk.per_row(of, n)
+    # row and hash in one number, so that one sort does for all rows; 52 bits of the hash remain
+    both = np.sort((of.astype(np.uint64) << np.uint64(52)) | (s >> np.uint64(12)))
+    both = both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
+    return both & np.uint64((1 << 52) - 1), tk.per_row((both >> np.uint64(52)).astype(np.int64), n)
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -66,7 +65,7 @@ def sketch(s: np.ndarray) -> bytes:
 
 def least_difference(a: bytes, b: bytes) -> int:
     """A lower bound of the size of the symmetric difference; the larger sketch is folded to the smaller one's size."""
-    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
     while len(y) > len(x):
         y = y[: len(y) // 2] ^ y[len(y) // 2 :]
     return int(np.bitwise_count(x ^ y).sum())
@@ -85,9 +84,9 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def _prepare(docs: DataFrame, k: int, percent: int, long: np.ndarray | None = None, only_long: bool = False) -> DataFrame:
-    """For each row: n, sig (of the set), prefix and sketch. long: sorted shingles that come last in the order; with
-    only_long, rows that have none of them in the plain prefix are left out."""
+def _prepare(docs: DataFrame, k: int, percent: int, long: np.ndarray | None = None) -> DataFrame:
+    """For each row: n, sig (of the set), prefix and sketch. With long, sorted shingles that come last in the order, only
+    rows that have some in the plain prefix are given: the prefix of all others is the same in both orders."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = None if long is None else docs.sparkSession.sparkContext.broadcast(long)  # at most MOST_LONG numbers
 
@@ -103,14 +102,11 @@ def _prepare(docs: DataFrame, k: int, percent: int, long: np.ndarray | None = No
                     own = s[at[i] : at[i + 1]]
                     n, p = len(own), prefix_length(len(own), percent) if len(own) else 0
                     prefix = own[:p]
-                    if shared is not None and n:
+                    if shared is not None:
                         late = is_long[at[i] : at[i + 1]]
-                        if late[:p].any():
-                            prefix = np.concatenate([own[~late], own[late]])[:p]
-                        elif only_long:
+                        if not late[:p].any():
                             continue
-                    elif only_long:
-                        continue
+                        prefix = np.concatenate([own[~late], own[late]])[:p]
                     keep.append(i)
                     sizes.append(n)
                     sigs.append(int(tk.mix(np.array([np.bitwise_xor.reduce(tk.mix(own + np.uint64(n)))]))[0].view(np.int64)) if n else None)
@@ -143,8 +139,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, perce
     count = wanted.count()
     if not count:
         return pairs
-    few = np.sort(wanted.toPandas()["sig"].to_numpy(np.int64)) if count <= MOST_WANTED // 16 else None
-    shared = None if few is None else spark.sparkContext.broadcast(few)  # at most MOST_WANTED / 16 numbers
+    few = np.sort(wanted.toPandas()["sig"].to_numpy(np.int64)) if count <= MOST_WANTED else None
+    shared = None if few is None else spark.sparkContext.broadcast(few)  # at most MOST_WANTED numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,32 +185,23 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     classes = rows.where("n > 0").select("sig", "doc_id")
     tokens = rows.where("n > 0").select("sig", "n", "prefix").dropDuplicates(["sig"]).select("sig", "n", F.explode("prefix").alias("token"))
     lists = tk.stored(shared_lists(tokens))
-    links: DataFrame | None = None
-    roots: DataFrame | None = None
+    fitting = lambda n, others: 100 * np.minimum(n, others) >= percent * np.maximum(n, others)
+    pairs = lists.where(f"sig <> lead AND 100 * least(n, lead_n) >= {percent} * greatest(n, lead_n)").select(F.least("sig", "lead").alias("a"), F.greatest("sig", "lead").alias("b")).distinct()
+    links = tk.checkpointed(_verify(tk.checkpointed(_pass_sketches(pairs, sketches, percent)), docs, classes, k, percent))
+    roots = tk.checkpointed(components(links))
+    members = with_roots(lists, roots)
     skipped = np.zeros(0, np.uint64)
-    for _ in range(ROUNDS):
-        pairs = lists.where(f"sig <> lead AND 100 * least(n, lead_n) >= {percent} * greatest(n, lead_n)").select(F.least("sig", "lead").alias("a"), F.greatest("sig", "lead").alias("b")).distinct()
-        if links is not None:
-            pairs = pairs.join(links, ["a", "b"], "left_anti")
-        met = _verify(tk.checkpointed(_pass_sketches(pairs, sketches, percent)), docs, classes, k, percent)
-        links = tk.checkpointed(met if links is None else links.unionByName(met).distinct())
-        roots = tk.checkpointed(components(links))
-        members = with_roots(lists, roots)
-        # how many components share a list, by two aggregations that combine before they shuffle
-        wide = members.select("token", "root").distinct().groupBy("token").count().where(F.col("count") > long)
-        found = wide.orderBy(F.desc("count"), "token").limit(MOST_LONG).select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64)
-        fresh = np.setdiff1d(found, skipped)
+    for _ in range(RENEWALS):
+        fresh = np.setdiff1d(_long_lists(members, long), skipped)
         if not len(fresh) or len(skipped) + len(fresh) > MOST_LONG:
             break
-        skipped = np.sort(np.concatenate([skipped, fresh]))
-        renewed = _prepare(docs, k, percent, skipped, only_long=True).where("n > 0")
-        renewed = tk.stored(renewed.select("sig", "n", "prefix").dropDuplicates(["sig"]))
+        skipped = np.union1d(skipped, fresh)
+        renewed = tk.stored(_prepare(docs, k, percent, skipped).where("n > 0").select("sig", "n", "prefix").dropDuplicates(["sig"]))
         kept = rows.where("n > 0").select("sig", "n", "prefix").dropDuplicates(["sig"]).join(renewed.select("sig"), "sig", "left_anti")
         lists = tk.stored(shared_lists(kept.unionByName(renewed).select("sig", "n", F.explode("prefix").alias("token"))))
-    members = with_roots(lists, roots)
-    across = crossing(members, lambda n, others: 100 * np.minimum(n, others) >= percent * np.maximum(n, others)).join(links, ["a", "b"], "left_anti")
-    met = _verify(tk.checkpointed(_pass_sketches(across, sketches, percent)), docs, classes, k, percent)
-    links = tk.checkpointed(links.unionByName(met).distinct())
+        members = with_roots(lists, roots)
+    across = crossing(members, fitting).join(pairs, ["a", "b"], "left_anti")
+    links = tk.checkpointed(links.unionByName(_verify(tk.checkpointed(_pass_sketches(across, sketches, percent)), docs, classes, k, percent)))
     roots = tk.checkpointed(components(links))
     degree = links.select(F.explode(F.array("a", "b")).alias("sig")).groupBy("sig").agg(F.count("*").alias("n_links_met"))
     # the least document of each class, then of each component; both combine before they shuffle
@@ -226,6 +213,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links_met", F.lit(0)).alias("n_links_met"))
 
 
+def _long_lists(members: DataFrame, long: int) -> np.ndarray:
+    """Sorted shingles whose lists are shared by more than `long` components; at most MOST_LONG, the longest ones. Lists
+    that are not skipped cost time, never links."""
+    wide = members.select("token", "root").distinct().groupBy("token").count().where(F.col("count") > long)
+    found = wide.orderBy(F.desc("count"), "token").limit(MOST_LONG).select("token").toPandas()["token"]
+    return np.sort(found.to_numpy(np.int64).view(np.uint64))
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 5-word shingle sets have a Jaccard similarity of 0.8 or more."""
     return join(tk.documents(spark, sf_dir))

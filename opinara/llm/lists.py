@@ -47,30 +47,27 @@ def shared_lists(tokens: DataFrame) -> DataFrame:
     return by_token(tokens, "sig").mapInArrow(run, "token long, sig long, n long, lead long, lead_n long")
 
 
-def crossing(members: DataFrame, fits: Callable[[int, np.ndarray], np.ndarray]) -> DataFrame:
+def crossing(members: DataFrame, fits: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """members: token, sig, n, root. All pairs of a list that are in different components and whose n fit."""
 
-    def pairs(s: np.ndarray, n: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if root[0] == root[-1]:  # sorted by root
-            return
-        for i in range(len(s) - 1):
-            later = np.searchsorted(root, root[i], "right")
-            ok = later + np.flatnonzero(fits(n[i], n[later:]))
+    def pairs(t: np.ndarray, s: np.ndarray, n: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+        # the members of all whole lists are compared with those d places on, for every d up to the longest list
+        end = np.searchsorted(t, t, "right") if len(t) else t
+        at, d = np.arange(len(t)), 1
+        while len(at := at[at + d < end[at]]):
+            ok = at[(root[at] != root[at + d]) & fits(n[at], n[at + d])]
             if len(ok):
-                a, b = np.minimum(s[ok], s[i]), np.maximum(s[ok], s[i])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(s[ok], s[ok + d])), pa.array(np.maximum(s[ok], s[ok + d]))], ["a", "b"])
+            d += 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * 4
         for batch in batches:
             new = [np.r_[h, batch.column(c).to_numpy()] for h, c in zip(held, ("token", "sig", "n", "root"), strict=True)]
-            cuts = np.r_[0, 1 + np.flatnonzero(new[0][1:] != new[0][:-1])] if len(new[0]) else np.zeros(1, np.int64)
-            out = [p for x, y in zip(cuts, cuts[1:], strict=False) for p in pairs(*(c[x:y] for c in new[1:]))]
-            held = [c[cuts[-1] :] for c in new]
-            if out:
-                yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
-        if len(held[0]):
-            yield from pairs(*held[1:])
+            cut = int(np.searchsorted(new[0], new[0][-1])) if len(new[0]) else 0
+            yield from pairs(*(c[:cut] for c in new))
+            held = [c[cut:] for c in new]
+        yield from pairs(*held)
 
     # only lists that are shared by two components come here
     mixed = members.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token")

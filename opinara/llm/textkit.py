@@ -85,13 +85,14 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts a batch so that each part has `most` bytes of text or one row."""
+    """Cuts a batch so that each part has `most` bytes of text or one row, and fewer than 4096 rows."""
     if not batch.num_rows:
         return
     _, at = text_buffer(batch.column(text))
     first = 0
     while first < batch.num_rows:
         last = max(first + 1, int(np.searchsorted(at, at[first] + most, "right")) - 1)
+        last = min(last, first + 4095)
         yield batch.slice(first, last - first)
         first = last
 
