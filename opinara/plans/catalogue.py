@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from opinara.plans import analytics, basics
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**basics.QUERIES, **analytics.QUERIES}
+ORACLES: dict[str, str] = {**basics.ORACLES, **analytics.ORACLES}
