@@ -1,7 +1,7 @@
 """Fuzzy line deduplication.
 
 A line is normalised to its terms: letters in lower case, digits all alike, other ASCII left out. Equal normalised lines
-are one node. Nodes carry a 64-bit SimHash of their terms. With five blocks of the SimHash, two that differ in at most
+are one node. Nodes carry a 64-bit SimHash of their distinct terms. With five blocks of the SimHash, two that differ in at most
 three bits agree in two blocks at least, so nodes meet in the ten lists that two blocks address (26 bits each). As in the
 n-gram join, first every member of a list meets the least one, verified links give components, and then only members of
 different components meet. A pair is a link if the SimHashes differ in at most `BITS` bits and the edit similarity of
@@ -24,7 +24,7 @@ from opinara.llm import textkit as tk
 from opinara.llm.components import components
 from opinara.llm.lists import crossing, shared_lists, with_roots
 
-LEAST, BITS, SIMILARITY, MOST_WANTED = 5, 3, 0.8, 1 << 17
+LEAST, BITS, SIMILARITY, MOST_WANTED = 5, 3, 0.8, 1 << 16
 #: First bit and width of each block.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 
@@ -42,13 +42,19 @@ def lines_of(data: np.ndarray, at: np.ndarray, least: int = LEAST) -> dict[str,
     place = np.arange(len(h)) - np.repeat(fresh, size)
     key = tk.mix(np.add.reduceat(tk.mix(h ^ (place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))), fresh) + size.astype(np.uint64))
     enough = np.flatnonzero(size >= least)
+    # each term of a line counts once, or its most common terms alone would decide the bits
+    line = np.repeat(np.arange(len(fresh)), size).astype(np.uint64)
+    both = np.sort((line << np.uint64(40)) | (h >> np.uint64(24)))
+    both = both[np.r_[True, both[1:] != both[:-1]]]
+    line, term = (both >> np.uint64(40)).astype(np.int64), tk.mix(both & np.uint64((1 << 40) - 1))
+    first = tk.per_row(line, len(fresh))
     sim = np.zeros(len(fresh), np.uint64)
-    step = 1 << 12  # lines at a time
+    step = 1 << 10  # lines at a time
     for i in range(0, len(fresh), step):
-        a, b = fresh[i], fresh[i + step] if i + step < len(fresh) else len(h)
-        bits = np.unpackbits(h[a:b].view(np.uint8).reshape(-1, 8), axis=1)
-        sums = np.add.reduceat(bits, fresh[i : i + step] - a, axis=0, dtype=np.int32)
-        sim[i : i + step] = np.packbits(2 * sums > size[i : i + step, None], axis=1).view(np.uint64)[:, 0]
+        a, b = first[i], first[min(i + step, len(fresh))]
+        bits = np.unpackbits(term[a:b].view(np.uint8).reshape(-1, 8), axis=1)
+        sums = np.add.reduceat(bits, first[i : min(i + step, len(fresh))] - a, axis=0, dtype=np.uint32)
+        sim[i : i + step] = np.packbits(2 * sums > np.diff(first[i : i + step + 1])[:, None], axis=1).view(np.uint64)[:, 0]
     last = np.r_[fresh[1:], len(h)] - 1
     out = {"row": rows[fresh], "number": number[fresh], "key": key.view(np.int64), "sim": sim.view(np.int64), "begin": starts[fresh], "end": ends[last]}
     return {k: v[enough] for k, v in out.items()}
@@ -103,31 +109,26 @@ def occurrences(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, number long, key long, sim long")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float, least: int) -> DataFrame:
+def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose normalised lines are similar. The text of a line comes from its first occurrence."""
-    wanted = tk.checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
-    count = wanted.count()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    places = tk.checkpointed(nodes.join(wanted, "key", "left_semi").select(F.col("doc_id").alias("__id"), "number", "key"))
+    count = places.count()
     if not count:
         return pairs
-    few = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toPandas()["key"].to_numpy(np.int64))) if count <= MOST_WANTED else None  # at most MOST_WANTED numbers
-    texts = docs
-    if few is None:  # too many to broadcast: only documents that hold a wanted first occurrence, by a join
-        texts = docs.join(nodes.join(wanted, "key", "left_semi").select("doc_id").distinct(), "doc_id", "left_semi")
+    # beyond that many rows a shuffle finds the texts
+    some = docs.join(F.broadcast(places) if count <= MOST_WANTED else places, F.col("doc_id").eqNullSafe(F.col("__id")))
+    raw = some.select("key", F.get(F.split("text", "\n"), F.col("number").cast("int")).alias("line")).where("line IS NOT NULL")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: set[int] = set()
-            for part in tk.slices(batch, "text"):
-                data, at = tk.text_buffer(part.column("text"))
-                f = lines_of(data, at, least)
-                some = range(len(f["key"])) if few is None else np.flatnonzero(np.isin(f["key"], few.value))
-                some = [i for i in some if not (f["key"][i] in seen or seen.add(int(f["key"][i])))]
-                yield pa.RecordBatch.from_arrays([pa.array(f["key"][some], pa.int64()), pa.array([normal(data[f["begin"][i] : f["end"][i]].tobytes()) for i in some], pa.string())], ["key", "line"])
+            # rows that share an id may hold another line at this place
+            f = lines_of(*tk.text_buffer(batch.column("line")), 1)
+            own = batch.column("key").to_numpy()[f["row"]] == f["key"]
+            at = pa.array(f["row"][own])
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(at), pa.array([normal(x.encode()) for x in batch.column("line").take(at).to_pylist()], pa.string())], ["key", "line"])
 
-    lines = texts.select("text").mapInArrow(run, "key long, line string")
-    if few is None:
-        lines = lines.join(wanted, "key", "left_semi")
-    lines = tk.stored(lines.groupBy("key").agg(F.min("line").alias("line")))
+    lines = tk.stored(raw.mapInArrow(extract, "key long, line string").groupBy("key").agg(F.min("line").alias("line")))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,11 +150,11 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     lists = tk.stored(shared_lists(nodes.select(F.explode(F.array(*both)).alias("token"), F.col("key").alias("sig"), F.col("sim").alias("n"))))
     close = F.bit_count(F.col("n").bitwiseXOR(F.col("lead_n"))) <= bits
     pairs = lists.where((F.col("sig") != F.col("lead")) & close).select(F.least("sig", "lead").alias("a"), F.greatest("sig", "lead").alias("b")).distinct()
-    links = tk.checkpointed(_verify(tk.checkpointed(pairs), docs, nodes, similarity, least))
+    links = tk.checkpointed(_verify(tk.checkpointed(pairs), docs, nodes, similarity))
     members = with_roots(lists, tk.checkpointed(components(links)))
     # viewed as unsigned, as bitwise_count takes the absolute value of signed numbers
     across = crossing(members, lambda n, others: np.bitwise_count((n ^ others).view(np.uint64)) <= bits).join(pairs, ["a", "b"], "left_anti")
-    links = tk.checkpointed(links.unionByName(_verify(tk.checkpointed(across), docs, nodes, similarity, least)))
+    links = tk.checkpointed(links.unionByName(_verify(tk.checkpointed(across), docs, nodes, similarity)))
     roots = tk.checkpointed(components(links)).withColumnRenamed("node", "key")
     # the occurrence that stays, for nodes that have another occurrence or a link
     linked = nodes.join(roots, "key")
