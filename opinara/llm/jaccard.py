@@ -53,6 +53,11 @@ def sets(data: np.ndarray, at: np.ndarray, k: int = K) -> tuple[np.ndarray, np.n
     return both & np.uint64((1 << 52) - 1), tk.per_row((both >> np.uint64(52)).astype(np.int64), n)
 
 
+def signature(s: np.ndarray) -> int:
+    """A number for a whole set."""
+    return int(tk.mix(np.array([np.bitwise_xor.reduce(tk.mix(s + np.uint64(len(s))))]))[0].view(np.int64))
+
+
 def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-n * percent // 100) + 1
 
@@ -109,7 +114,7 @@ def _prepare(docs: DataFrame, k: int, percent: int, long: np.ndarray | None = No
                         prefix = np.concatenate([own[~late], own[late]])[:p]
                     keep.append(i)
                     sizes.append(n)
-                    sigs.append(int(tk.mix(np.array([np.bitwise_xor.reduce(tk.mix(own + np.uint64(n)))]))[0].view(np.int64)) if n else None)
+                    sigs.append(signature(own) if n else None)
                     prefixes.append(prefix.view(np.int64))
                     sketches.append(sketch(own) if n else None)
                 ids = part.column("doc_id").take(pa.array(keep, pa.int64()))
@@ -134,36 +139,22 @@ def _pass_sketches(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataF
 
 def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs that are links, by the full sets of one text of each class."""
-    spark = docs.sparkSession
-    wanted = tk.checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct())
-    count = wanted.count()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    ids = tk.checkpointed(classes.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("__id")))
+    count = ids.count()
     if not count:
         return pairs
-    few = np.sort(wanted.toPandas()["sig"].to_numpy(np.int64)) if count <= MOST_WANTED else None
-    shared = None if few is None else spark.sparkContext.broadcast(few)  # at most MOST_WANTED numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tk.slices(batch, "text"):
                 s, at = sets(*tk.text_buffer(part.column("text")), k)
-                sigs, whole = [], []
-                for i in range(part.num_rows):
-                    own = s[at[i] : at[i + 1]]
-                    if not len(own):
-                        continue
-                    sig = int(tk.mix(np.array([np.bitwise_xor.reduce(tk.mix(own + np.uint64(len(own))))]))[0].view(np.int64))
-                    if shared is not None and (j := np.searchsorted(shared.value, sig)) < len(shared.value) and shared.value[j] == sig or shared is None:
-                        sigs.append(sig)
-                        whole.append(own.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(whole, pa.binary())], ["sig", "whole"])
-
-    texts = docs
-    if shared is None:  # too many to broadcast: rows of the wanted classes, by a join
-        ids = classes.join(wanted, "sig", "left_semi").select("doc_id").distinct()
-        texts = docs.join(ids, "doc_id", "left_semi")
+                own = [s[a:b] for a, b in zip(at, at[1:], strict=False) if a < b]
+                yield pa.RecordBatch.from_arrays([pa.array([signature(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["sig", "whole"])
+
+    # beyond that many rows a shuffle finds the texts
+    texts = docs.join(F.broadcast(ids) if count <= MOST_WANTED else ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     whole = texts.select("text").mapInArrow(run, "sig long, whole binary")
-    if shared is None:
-        whole = whole.join(wanted, "sig", "left_semi")
     whole = whole.dropDuplicates(["sig"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
