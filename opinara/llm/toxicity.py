@@ -10,8 +10,8 @@ similarity and by the classes' shares among all learning rows, with a small vote
 scores probabilities; the nearest examples are the evidence.
 
 A text without any term of the vocabulary, empty and null ones too, gets the overall share of label 1 among the sampled
-rows without such terms. Ties go to the example that comes first in the index. Without learning rows of both classes
-every score is the share of label 1, or 0.
+rows without such terms. Ties go to the example that comes first in the index. Without learning rows of both classes,
+or a term that tells them apart, every score is the share of label 1, or 0.
 """
 
 from __future__ import annotations
@@ -122,6 +122,8 @@ def learn(docs: DataFrame, labels: DataFrame, each: int = EACH, indexed: int = I
     with_term = distinct.mapInArrow(count_sample, "label int, term long, n long").groupBy("term").agg(*(F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)))
     got = with_term.where(F.col("n0") + F.col("n1") >= max(SUPPORT, int(total.sum()) // 1000)).toPandas().sort_values("term")  # from the bounded sample
     chosen = choose_terms(got["term"].to_numpy(np.int64), np.stack([got["n0"], got["n1"]]).astype(float), total, terms)
+    if not len(chosen):
+        return {"share": counts[1] / sum(counts)}
     ranks = {r[0]: i for i, r in enumerate(rows)}
 
     def count_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
