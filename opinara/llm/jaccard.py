@@ -2,7 +2,8 @@
 
 Equal sets are one class and only classes are compared. Two classes of n and m shingles are linked if they share at
 least T = ceil(0.8 / 1.8 (n + m)). In any order of all shingles, two such sets share one of the first n - ceil(0.8 n) + 1
-shingles of each, so only these enter the inverted lists. As in DivideSkip, long lists come last in the order: lists
+shingles of each, so only these enter the inverted lists. Entries carry their place in the order: two sets meet in a list
+only if the shingle can be the first that they share, that is if T shingles are left of each from there on. As in DivideSkip, long lists come last in the order: lists
 shared by more than `LONG` components are not merged but skipped, each set that skipped some takes further short lists in
 their place, and skipped lists are probed by binary search when a candidate is verified. What remains of the lists is
 merged in shuffle order, by shingle:
@@ -76,6 +77,19 @@ def least_difference(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def may_meet(n: np.ndarray, m: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Whether a link's first common shingle can stand at these places. n and m are entries: size, and place << 32."""
+    size_n, size_m = n & ((1 << 32) - 1), m & ((1 << 32) - 1)
+    least = -(-(size_n + size_m) * percent // (100 + percent))
+    return (size_n - (n >> 32) >= least) & (size_m - (m >> 32) >= least)
+
+
+def _entries(rows: DataFrame) -> DataFrame:
+    """token, sig and n (an entry of may_meet) of each shingle of the prefixes of distinct sets."""
+    entry = F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.col("n")).alias("n")
+    return rows.select("sig", "n", F.posexplode("prefix").alias("place", "token")).select("sig", entry, "token")
+
+
 def may_link(n: int, m: int, difference: int, percent: int = PERCENT) -> bool:
     # J >= p means difference / (n + m) <= (1 - p) / (1 + p)
     return difference * (100 + percent) <= (100 - percent) * (n + m)
@@ -174,10 +188,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     rows = tk.stored(_prepare(docs, k, percent))
     sketches = rows.where("n > 0").select("sig", "n", "sketch").dropDuplicates(["sig"])
     classes = rows.where("n > 0").select("sig", "doc_id")
-    tokens = rows.where("n > 0").select("sig", "n", "prefix").dropDuplicates(["sig"]).select("sig", "n", F.explode("prefix").alias("token"))
-    lists = tk.stored(shared_lists(tokens))
-    fitting = lambda n, others: 100 * np.minimum(n, others) >= percent * np.maximum(n, others)
-    pairs = lists.where(f"sig <> lead AND 100 * least(n, lead_n) >= {percent} * greatest(n, lead_n)").select(F.least("sig", "lead").alias("a"), F.greatest("sig", "lead").alias("b")).distinct()
+    prefixes = rows.where("n > 0").select("sig", "n", "prefix").dropDuplicates(["sig"])
+    lists = tk.stored(shared_lists(_entries(prefixes)))
+    fitting = lambda n, others: may_meet(n, others, percent)
+    size = [F.col(c).bitwiseAND((1 << 32) - 1) for c in ("n", "lead_n")]
+    least = F.ceil((size[0] + size[1]) * percent / (100 + percent))
+    first = [z - F.shiftright(c, 32) >= least for z, c in zip(size, ("n", "lead_n"), strict=True)]
+    pairs = lists.where((F.col("sig") != F.col("lead")) & first[0] & first[1]).select(F.least("sig", "lead").alias("a"), F.greatest("sig", "lead").alias("b")).distinct()
     links = tk.checkpointed(_verify(tk.checkpointed(_pass_sketches(pairs, sketches, percent)), docs, classes, k, percent))
     roots = tk.checkpointed(components(links))
     members = with_roots(lists, roots)
@@ -188,8 +205,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
             break
         skipped = np.union1d(skipped, fresh)
         renewed = tk.stored(_prepare(docs, k, percent, skipped).where("n > 0").select("sig", "n", "prefix").dropDuplicates(["sig"]))
-        kept = rows.where("n > 0").select("sig", "n", "prefix").dropDuplicates(["sig"]).join(renewed.select("sig"), "sig", "left_anti")
-        lists = tk.stored(shared_lists(kept.unionByName(renewed).select("sig", "n", F.explode("prefix").alias("token"))))
+        kept = prefixes.join(renewed.select("sig"), "sig", "left_anti")
+        lists = tk.stored(shared_lists(_entries(kept.unionByName(renewed))))
         members = with_roots(lists, roots)
     across = crossing(members, fitting).join(pairs, ["a", "b"], "left_anti")
     links = tk.checkpointed(links.unionByName(_verify(tk.checkpointed(_pass_sketches(across, sketches, percent)), docs, classes, k, percent)))

@@ -51,14 +51,17 @@ def crossing(members: DataFrame, fits: Callable[[np.ndarray, np.ndarray], np.nda
     """members: token, sig, n, root. All pairs of a list that are in different components and whose n fit."""
 
     def pairs(t: np.ndarray, s: np.ndarray, n: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
-        # the members of all whole lists are compared with those d places on, for every d up to the longest list
+        # the members of a list stand by root: each is compared with the members d places behind the end of its own root
         end = np.searchsorted(t, t, "right") if len(t) else t
-        at, d = np.arange(len(t)), 1
-        while len(at := at[at + d < end[at]]):
-            ok = at[(root[at] != root[at + d]) & fits(n[at], n[at + d])]
+        change = np.flatnonzero(np.r_[(t[1:] != t[:-1]) | (root[1:] != root[:-1]), True]) + 1 if len(t) else t
+        other = change[np.searchsorted(change, np.arange(len(t)), "right")] if len(t) else t
+        at = np.arange(len(t))
+        while len(at := at[other[at] < end[at]]):
+            ok = at[fits(n[at], n[other[at]])]
             if len(ok):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(s[ok], s[ok + d])), pa.array(np.maximum(s[ok], s[ok + d]))], ["a", "b"])
-            d += 1
+                x, y = s[ok], s[other[ok]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+            other[at] += 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * 4
