@@ -12,7 +12,8 @@ merged in shuffle order, by shingle:
    difference of two sets) are verified, and verified links give components;
 2. lists that are shared by more than `LONG` of these components are long; sets that have some in their prefix renew it
    with the long ones last, `RENEWALS` times, as some of the new lists may be long too;
-3. members of a list that still are in different components all meet, through the same sketch and verification.
+3. members of a list that still are in different components all meet, through the same sketch and verification; in lists
+   of more than a few members a folded sketch travels with them, so that a dense group makes pairs of near sets only.
 
 No pair within a component needs to be met again, so a group of copies costs links in proportion to its size and no link
 between different components is lost.
@@ -34,7 +35,7 @@ from opinara.llm import textkit as tk
 from opinara.llm.components import components
 from opinara.llm.lists import crossing, shared_lists, with_roots
 
-K, PERCENT, LONG, RENEWALS, MOST_LONG, MOST_WANTED = 5, 80, 64, 2, 1 << 20, 1 << 16
+K, PERCENT, LONG, RENEWALS, MOST_LONG, MOST_WANTED, FOLD = 5, 80, 64, 2, 1 << 20, 1 << 16, 512
 
 
 def sets(data: np.ndarray, at: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -64,8 +65,8 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Parity of the number of shingles in each of as many bits as there are shingles (a power of two, 64 at least)."""
-    bits = max(64, 1 << int(len(s) - 1).bit_length())
+    """Parity of the number of shingles in each of as many bits as there are shingles (a power of two, FOLD at least)."""
+    bits = max(FOLD, 1 << int(len(s) - 1).bit_length())
     return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1 > 0, bitorder="little").tobytes()
 
 
@@ -90,7 +91,19 @@ def _entries(rows: DataFrame) -> DataFrame:
     return rows.select("sig", "n", F.posexplode("prefix").alias("place", "token")).select("sig", entry, "token")
 
 
-def may_link(n: int, m: int, difference: int, percent: int = PERCENT) -> bool:
+def folded(sketches: DataFrame) -> DataFrame:
+    """sig and its sketch folded to FOLD bits, which travel with the members of wide lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            short = [np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, FOLD // 64), axis=0).tobytes() for x in batch.column("sketch").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("sig"), pa.array(short, pa.binary())], ["sig", "sketch"])
+
+    return sketches.select("sig", "sketch").mapInArrow(run, "sig long, sketch binary")
+
+
+def may_link(n, m, difference, percent: int = PERCENT):
+    """For numbers or arrays of them: sizes, and a lower bound of the difference."""
     # J >= p means difference / (n + m) <= (1 - p) / (1 + p)
     return difference * (100 + percent) <= (100 - percent) * (n + m)
 
@@ -190,7 +203,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     classes = rows.where("n > 0").select("sig", "doc_id")
     prefixes = rows.where("n > 0").select("sig", "n", "prefix").dropDuplicates(["sig"])
     lists = tk.stored(shared_lists(_entries(prefixes)))
-    fitting = lambda n, others: may_meet(n, others, percent)
+    sizes = lambda n: n & ((1 << 32) - 1)
+    fitting = lambda n, m, difference: may_meet(n, m, percent) & may_link(sizes(n), sizes(m), difference, percent)
     size = [F.col(c).bitwiseAND((1 << 32) - 1) for c in ("n", "lead_n")]
     least = F.ceil((size[0] + size[1]) * percent / (100 + percent))
     first = [z - F.shiftright(c, 32) >= least for z, c in zip(size, ("n", "lead_n"), strict=True)]
@@ -208,7 +222,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
         kept = prefixes.join(renewed.select("sig"), "sig", "left_anti")
         lists = tk.stored(shared_lists(_entries(kept.unionByName(renewed))))
         members = with_roots(lists, roots)
-    across = crossing(members, fitting).join(pairs, ["a", "b"], "left_anti")
+    across = crossing(members, fitting, folded(sketches)).join(pairs, ["a", "b"], "left_anti")
     links = tk.checkpointed(links.unionByName(_verify(tk.checkpointed(_pass_sketches(across, sketches, percent)), docs, classes, k, percent)))
     roots = tk.checkpointed(components(links))
     degree = links.select(F.explode(F.array("a", "b")).alias("sig")).groupBy("sig").agg(F.count("*").alias("n_links_met"))

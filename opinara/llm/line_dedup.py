@@ -153,7 +153,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     links = tk.checkpointed(_verify(tk.checkpointed(pairs), docs, nodes, similarity))
     members = with_roots(lists, tk.checkpointed(components(links)))
     # viewed as unsigned, as bitwise_count takes the absolute value of signed numbers
-    across = crossing(members, lambda n, others: np.bitwise_count((n ^ others).view(np.uint64)) <= bits).join(pairs, ["a", "b"], "left_anti")
+    across = crossing(members, lambda n, others, _: np.bitwise_count((n ^ others).view(np.uint64)) <= bits).join(pairs, ["a", "b"], "left_anti")
     links = tk.checkpointed(links.unionByName(_verify(tk.checkpointed(across), docs, nodes, similarity)))
     roots = tk.checkpointed(components(links)).withColumnRenamed("node", "key")
     # the occurrence that stays, for nodes that have another occurrence or a link

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+WIDE, SKETCH_WORDS = 16, 8
+
 
 def by_token(frame: DataFrame, *then: str) -> DataFrame:
     return frame.repartition("token").sortWithinPartitions("token", *then)
@@ -47,34 +49,50 @@ def shared_lists(tokens: DataFrame) -> DataFrame:
     return by_token(tokens, "sig").mapInArrow(run, "token long, sig long, n long, lead long, lead_n long")
 
 
-def crossing(members: DataFrame, fits: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """members: token, sig, n, root. All pairs of a list that are in different components and whose n fit."""
+def crossing(members: DataFrame, fits: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], sketches: DataFrame | None = None) -> DataFrame:
+    """members: token, sig, n, root. All pairs of a list that are in different components and fit. fits: of the n of both
+    and of the number of bits in which their sketches differ. sketches: sig and sketch (all of one size); only lists of
+    more than WIDE members carry them, in others the difference is 0."""
+    size = 0 if sketches is None else SKETCH_WORDS
 
-    def pairs(t: np.ndarray, s: np.ndarray, n: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(t: np.ndarray, s: np.ndarray, n: np.ndarray, root: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
         # the members of a list stand by root: each is compared with the members d places behind the end of its own root
         end = np.searchsorted(t, t, "right") if len(t) else t
         change = np.flatnonzero(np.r_[(t[1:] != t[:-1]) | (root[1:] != root[:-1]), True]) + 1 if len(t) else t
         other = change[np.searchsorted(change, np.arange(len(t)), "right")] if len(t) else t
         at = np.arange(len(t))
         while len(at := at[other[at] < end[at]]):
-            ok = at[fits(n[at], n[other[at]])]
-            if len(ok):
-                x, y = s[ok], s[other[ok]]
+            to = other[at]
+            difference = np.bitwise_count(bits[at] ^ bits[to]).sum(axis=1, dtype=np.int64)
+            ok = fits(n[at], n[to], difference)
+            if ok.any():
+                x, y = s[at[ok]], s[to[ok]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
             other[at] += 1
 
+    def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+        none = bytes(8 * size)
+        raw = b"".join(none if x is None else x for x in batch.column("sketch").to_pylist()) if size else b""
+        return [*(batch.column(c).to_numpy() for c in ("token", "sig", "n", "root")), np.frombuffer(raw, np.uint64).reshape(batch.num_rows, size)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 4
+        held = [np.zeros(0, np.int64)] * 4 + [np.zeros((0, size), np.uint64)]
         for batch in batches:
-            new = [np.r_[h, batch.column(c).to_numpy()] for h, c in zip(held, ("token", "sig", "n", "root"), strict=True)]
+            new = [np.concatenate([h, c]) for h, c in zip(held, columns(batch), strict=True)]
             cut = int(np.searchsorted(new[0], new[0][-1])) if len(new[0]) else 0
             yield from pairs(*(c[:cut] for c in new))
             held = [c[cut:] for c in new]
         yield from pairs(*held)
 
     # only lists that are shared by two components come here
-    mixed = members.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token")
-    return by_token(members.join(mixed, "token", "left_semi"), "root", "sig").mapInArrow(run, "a long, b long").distinct()
+    mixed = members.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")).where("r0 <> r1").select("token", "size")
+    if sketches is None:
+        found = members.join(mixed, "token", "left_semi").withColumn("sketch", F.lit(None).cast("binary"))
+    else:
+        sized = members.join(mixed, "token")
+        narrow = sized.where(F.col("size") <= WIDE).select(*members.columns, F.lit(None).cast("binary").alias("sketch"))
+        found = narrow.unionByName(sized.where(F.col("size") > WIDE).select(*members.columns).join(sketches, "sig").select(*members.columns, "sketch"))
+    return by_token(found, "root", "sig").mapInArrow(run, "a long, b long").distinct()
 
 
 def with_roots(lists: DataFrame, roots: DataFrame) -> DataFrame:
