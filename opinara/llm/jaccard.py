@@ -202,7 +202,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     sketches = rows.where("n > 0").select("sig", "n", "sketch").dropDuplicates(["sig"])
     classes = rows.where("n > 0").select("sig", "doc_id")
     prefixes = rows.where("n > 0").select("sig", "n", "prefix").dropDuplicates(["sig"])
-    lists = tk.stored(shared_lists(_entries(prefixes)))
+    meets = lambda n, m: may_meet(n, m, percent)
+    lists = tk.stored(shared_lists(_entries(prefixes), meets))
     sizes = lambda n: n & ((1 << 32) - 1)
     fitting = lambda n, m, difference: may_meet(n, m, percent) & may_link(sizes(n), sizes(m), difference, percent)
     size = [F.col(c).bitwiseAND((1 << 32) - 1) for c in ("n", "lead_n")]
@@ -220,7 +221,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
         skipped = np.union1d(skipped, fresh)
         renewed = tk.stored(_prepare(docs, k, percent, skipped).where("n > 0").select("sig", "n", "prefix").dropDuplicates(["sig"]))
         kept = prefixes.join(renewed.select("sig"), "sig", "left_anti")
-        lists = tk.stored(shared_lists(_entries(kept.unionByName(renewed))))
+        lists = tk.stored(shared_lists(_entries(kept.unionByName(renewed)), meets))
         members = with_roots(lists, roots)
     across = crossing(members, fitting, folded(sketches)).join(pairs, ["a", "b"], "left_anti")
     links = tk.checkpointed(links.unionByName(_verify(tk.checkpointed(_pass_sketches(across, sketches, percent)), docs, classes, k, percent)))

@@ -1,8 +1,10 @@
 """Fuzzy line deduplication.
 
 A line is normalised to its terms: letters in lower case, digits all alike, other ASCII left out. Equal normalised lines
-are one node. Nodes carry a 64-bit SimHash of their distinct terms. With five blocks of the SimHash, two that differ in at most
-three bits agree in two blocks at least, so nodes meet in the ten lists that two blocks address (26 bits each). As in the
+are one node. Nodes carry a 64-bit SimHash of their distinct terms. With b blocks of the SimHash, two that differ in at most
+three bits agree in b - 3 blocks at least, so nodes meet in the lists that b - 3 blocks address: ten lists of 26 bits for
+five blocks. As lists shared by chance grow with the square of the nodes, b is chosen so that the address has at least as
+many bits as the number of nodes; what is found does not depend on it. As in the
 n-gram join, first every member of a list meets the least one, verified links give components, and then only members of
 different components meet. A pair is a link if the SimHashes differ in at most `BITS` bits and the edit similarity of
 the normalised lines is `SIMILARITY` or more. Of each connected group one occurrence stays: the least by (doc_id, line).
@@ -14,10 +16,11 @@ document, and lines are kept or removed in all of them alike; a null id sorts be
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinara.llm import textkit as tk
@@ -25,8 +28,20 @@ from opinara.llm.components import components
 from opinara.llm.lists import crossing, shared_lists, with_roots
 
 LEAST, BITS, SIMILARITY, MOST_WANTED = 5, 3, 0.8, 1 << 16
-#: First bit and width of each block.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+
+
+def addresses(sim: Column, nodes: int, bits: int = BITS) -> Column:
+    """Tokens of the lists of a SimHash, for so many nodes."""
+    b = next(b for b in range(bits + 2, 16) if b >= bits + 6 or 64 * (b - bits) // b >= max(1, nodes).bit_length())
+    ends = [64 * i // b for i in range(b + 1)]
+    block = [(F.shiftrightunsigned(sim, a).bitwiseAND(F.lit((1 << (z - a)) - 1)), z - a) for a, z in zip(ends, ends[1:], strict=False)]
+    tokens = []
+    for i, chosen in enumerate(combinations(block, b - bits)):
+        token = F.lit(i).cast("long")
+        for value, width in chosen:
+            token = F.shiftleft(token, width).bitwiseOR(value)
+        tokens.append(token)
+    return F.array(*tokens)
 
 
 def lines_of(data: np.ndarray, at: np.ndarray, least: int = LEAST) -> dict[str, np.ndarray]:
@@ -145,15 +160,15 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = tk.stored(occurrences(docs, least))
     nodes = tk.stored(found.groupBy("key").agg(F.min(F.struct("doc_id", "number")).alias("first"), F.min("sim").alias("sim"), F.count("*").alias("copies")).select("key", "sim", "copies", F.col("first.doc_id").alias("doc_id"), F.col("first.number").alias("number")))
-    block = [F.shiftrightunsigned("sim", a).bitwiseAND(F.lit((1 << w) - 1)) for a, w in BLOCKS]
-    both = [F.lit((i * 8 + j) << 32).bitwiseOR(F.shiftleft(block[i], 13)).bitwiseOR(block[j]) for i in range(len(BLOCKS)) for j in range(i)]
-    lists = tk.stored(shared_lists(nodes.select(F.explode(F.array(*both)).alias("token"), F.col("key").alias("sig"), F.col("sim").alias("n"))))
+    # viewed as unsigned, as bitwise_count takes the absolute value of signed numbers
+    meets = lambda n, m: np.bitwise_count((n ^ m).view(np.uint64)) <= bits
+    tokens = nodes.select(F.explode(addresses(F.col("sim"), nodes.count(), bits)).alias("token"), F.col("key").alias("sig"), F.col("sim").alias("n"))
+    lists = tk.stored(shared_lists(tokens, meets))
     close = F.bit_count(F.col("n").bitwiseXOR(F.col("lead_n"))) <= bits
     pairs = lists.where((F.col("sig") != F.col("lead")) & close).select(F.least("sig", "lead").alias("a"), F.greatest("sig", "lead").alias("b")).distinct()
     links = tk.checkpointed(_verify(tk.checkpointed(pairs), docs, nodes, similarity))
     members = with_roots(lists, tk.checkpointed(components(links)))
-    # viewed as unsigned, as bitwise_count takes the absolute value of signed numbers
-    across = crossing(members, lambda n, others, _: np.bitwise_count((n ^ others).view(np.uint64)) <= bits).join(pairs, ["a", "b"], "left_anti")
+    across = crossing(members, lambda n, m, _: meets(n, m)).join(pairs, ["a", "b"], "left_anti")
     links = tk.checkpointed(links.unionByName(_verify(tk.checkpointed(across), docs, nodes, similarity)))
     roots = tk.checkpointed(components(links)).withColumnRenamed("node", "key")
     # the occurrence that stays, for nodes that have another occurrence or a link

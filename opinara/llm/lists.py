@@ -16,8 +16,10 @@ def by_token(frame: DataFrame, *then: str) -> DataFrame:
     return frame.repartition("token").sortWithinPartitions("token", *then)
 
 
-def shared_lists(tokens: DataFrame) -> DataFrame:
-    """token, sig, n of the lists with at least two members, and the least member of the list."""
+def shared_lists(tokens: DataFrame, meets: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """token, sig, n of the lists with at least two members, and the least member of the list. Of lists of up to WIDE
+    members only those that meet another (a function of the n of both) are given, so that lists shared by chance, whose
+    number grows with the square of the input, end here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # the last row of a batch waits, as the next batch may go on with its list
@@ -46,7 +48,41 @@ def shared_lists(tokens: DataFrame) -> DataFrame:
         if held is not None and not held[3]:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (held[0], held[1], held[2], np.array([lead]), np.array([lead_n]))], names)
 
-    return by_token(tokens, "sig").mapInArrow(run, "token long, sig long, n long, lead long, lead_n long")
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["token", "sig", "n", "lead", "lead_n"]
+        held, open_list = [np.zeros(0, np.int64)] * 5, None
+
+        def keep(c: list[np.ndarray], more: bool) -> pa.RecordBatch:
+            t, n = c[0], c[2]
+            first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+            size = np.diff(np.r_[first, len(t)])
+            wide = (size > WIDE) | (t[first] == open_list if open_list is not None else False)
+            wide[-1] |= more
+            ok = np.repeat(wide, size)
+            at = np.flatnonzero(~ok)
+            end = np.repeat(first + size, size)
+            for d in range(1, WIDE):
+                at = at[at + d < end[at]]
+                both = at[meets(n[at], n[at + d])]
+                ok[both] = ok[both + d] = True
+            return pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in c], names)
+
+        for batch in batches:
+            c = [np.r_[h, batch.column(x).to_numpy()] for h, x in zip(held, names, strict=True)]
+            if not len(c[0]):
+                continue
+            # the last list may go on; once it is known to be wide, it is passed on as it comes
+            cut = int(np.searchsorted(c[0], c[0][-1]))
+            more = len(c[0]) - cut > WIDE or c[0][-1] == open_list
+            cut = len(c[0]) if more else cut
+            if cut:
+                yield keep([x[:cut] for x in c], more)
+                open_list = c[0][-1] if more else None
+            held = [x[cut:] for x in c]
+        if len(held[0]):
+            yield keep(held, False)
+
+    return by_token(tokens, "sig").mapInArrow(lambda batches: met(run(batches)), "token long, sig long, n long, lead long, lead_n long")
 
 
 def crossing(members: DataFrame, fits: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], sketches: DataFrame | None = None) -> DataFrame:

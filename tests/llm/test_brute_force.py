@@ -8,7 +8,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from opinara.llm import byte_bpe, components, compression, decontaminate, jaccard, language, line_dedup, pii, preference, quality, textkit, toxicity
+from pyspark.sql import functions as F
+
+from opinara.llm import byte_bpe, components, compression, decontaminate, jaccard, language, line_dedup, lists, pii, preference, quality, textkit, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -151,6 +153,28 @@ def test_line_dedup(spark, sf_dir, texts):
     assert got == want
 
 
+def test_close_lines_meet_at_every_size(spark):
+    rng = np.random.default_rng(3)
+    pairs = [(int(x), int(x) ^ sum(1 << int(i) for i in rng.choice(63, 3, replace=False))) for x in rng.integers(0, 1 << 62, 50)]
+    df = spark.createDataFrame(pairs, "a bigint, b bigint")
+    for nodes in (0, 1 << 20, 1 << 28, 1 << 34):
+        met = df.select(F.arrays_overlap(*(line_dedup.addresses(F.col(c), nodes) for c in "ab")).alias("met"))
+        assert all(r["met"] for r in met.collect())
+
+
+def test_shared_lists_keep_what_meets(spark):
+    """Lists of any length over batches of few rows: members that meet another stay, and so do all of wide lists."""
+    rows = [(t, s, (t * 7 + s * s) % 11) for t, size in enumerate((1, 2, 3, 16, 17, 40, 5, 90, 2)) for s in range(size)]
+    meets = lambda n, m: n == m
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = sorted((r["token"], r["sig"], r["lead"]) for r in lists.shared_lists(spark.createDataFrame(rows, "token bigint, sig bigint, n bigint"), meets).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    of = {t: [r for r in rows if r[0] == t] for t, *_ in rows}
+    assert got == sorted((t, s, 0) for t, s, n in rows if len(of[t]) > lists.WIDE or sum(x[2] == n for x in of[t]) > 1)
+
+
 def test_edit_distance():
     def plain(a, b):
         row = list(range(len(b) + 1))
