@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 SEPARATORS = b" \t\n\x0b\x0c\r"
 SLICE_BYTES = 2 << 20
 BLOCK_BYTES = 1 << 19
+ROWS_SETTING, ROWS_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1024"
 
 _IS_SEP = np.zeros(256, bool)
 _IS_SEP[list(SEPARATORS)] = True
@@ -173,6 +174,10 @@ def remainder(doc_id: Column, m: int) -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of documents. Texts go to Python workers BATCH_ROWS at a time, unless the session asks for another size
+    than Spark's own default: ten thousand texts in one Arrow batch take memory on both sides for nothing."""
+    if spark.conf.get(ROWS_SETTING) == ROWS_DEFAULT:
+        spark.conf.set(ROWS_SETTING, BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
