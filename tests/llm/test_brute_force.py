@@ -199,6 +199,36 @@ def test_decontamination_recall(spark, sf_dir, duck, texts):
     assert len(got & holds) >= 0.9 * len(holds) and got <= holds
 
 
+def test_vocabulary_knows_all_terms():
+    h = textkit.mix(np.arange(60_000, dtype=np.uint64))
+    v = decontaminate.Vocabulary(h)
+    assert len(v) == len(h) and np.array_equal(v.hashes[v.find(h)], h)
+    assert (v.find(textkit.mix(np.arange(60_000, 90_000, dtype=np.uint64))) == -1).all()
+    assert (decontaminate.Vocabulary(h[:0]).find(h[:5]) == -1).all()
+
+
+def test_windows_are_sums_of_their_terms():
+    rng = np.random.default_rng(5)
+    rows = np.repeat(np.arange(9), [0, 1, 3, 8, 9, 31, 64, 65, 200])
+    place, weights = rng.integers(-1, 20, len(rows)), rng.random((20, 3)).astype(np.float32)
+    for size, of, start, end, got in decontaminate.windows(place, rows, 9, weights, [8, 16, 32, 64]):
+        assert all(np.array_equal(x, y) for x, y in zip((of, start, end), decontaminate.passages(rows, 9, size), strict=True))
+        assert np.allclose(got, [weights[[p for p in place[a:b] if p >= 0]].sum(axis=0) for a, b in zip(start, end, strict=True)], atol=1e-4)
+
+
+def test_decontamination_finds_every_verbatim_copy(spark, texts):
+    """Items of any length, in texts that hold the benchmark's own words all around."""
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(3000)]
+    items = {i: [*rng.choice(words, size)] for i, size in enumerate([1, 2, 3, 5, 7, 8, 9, 12, 16, 17, 20, 33, 50, 64, 65, 100])}
+    docs = [(1000 + 10 * i + k, " ".join([*rng.choice(words, before), *x, *rng.choice(words, 150)])) for i, x in items.items() for k, before in enumerate((0, 37, 90))]
+    docs += [(d, t) for d, t in list(texts.items())[:40]]
+    holds = {(d, i) for d, t in docs for i, x in items.items() if f" {' '.join(x)} " in f" {t} "}
+    bench = spark.createDataFrame([*((i, " ".join(x)) for i, x in items.items()), *((100 + i, " ".join(words[40 * i : 40 * i + 40])) for i in range(75))], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), bench).collect()}
+    assert got == holds and len(holds) >= 3 * len(items)
+
+
 def test_decontamination_finds_paraphrases(spark, texts, duck):
     item = max((t for t, in duck.sql("SELECT text FROM benchmark").fetchall()), key=len)
     w = item.split()
