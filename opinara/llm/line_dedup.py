@@ -9,12 +9,15 @@ n-gram join, first every member of a list meets the least one, verified links gi
 different components meet. A pair is a link if the SimHashes differ in at most `BITS` bits and the edit similarity of
 the normalised lines is `SIMILARITY` or more. Of each connected group one occurrence stays: the least by (doc_id, line).
 
-Lines of fewer than `LEAST` terms are never removed. A null text has no lines. Rows that share an id count as one
+Characters of three or four bytes are terms of their own, so scripts without spaces have terms too. Lines of any length
+take part, but with fewer than `FEW` distinct terms the bits of a SimHash on which they are undecided come from all of them
+together. A line that has no term is its bytes without outer spaces, one of spaces only is never removed. A null text has no lines. Rows that share an id count as one
 document, and lines are kept or removed in all of them alike; a null id sorts before all others.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -27,7 +30,7 @@ from opinara.llm import textkit as tk
 from opinara.llm.components import components
 from opinara.llm.lists import crossing, shared_lists, with_roots
 
-LEAST, BITS, SIMILARITY, MOST_WANTED = 5, 3, 0.8, 1 << 16
+LEAST, FEW, BITS, SIMILARITY, MOST_WANTED = 1, 5, 3, 0.8, 1 << 16
 
 
 def addresses(sim: Column, nodes: int, bits: int = BITS) -> Column:
@@ -44,16 +47,35 @@ def addresses(sim: Column, nodes: int, bits: int = BITS) -> Column:
     return F.array(*tokens)
 
 
+def bare_lines(data: np.ndarray, at: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
+    """Row, number, key, SimHash, first and last byte of lines without terms that are not only spaces."""
+    breaks = np.flatnonzero(data == 10)
+    begin = np.unique(np.r_[at[:-1], breaks + 1])
+    begin = begin[begin < len(data)]
+    held = np.searchsorted(starts, np.r_[begin, len(data)])
+    out = []
+    for i in np.flatnonzero((held[1:] == held[:-1]) & (np.add.reduceat(~tk.IS_SEP[data], begin, dtype=np.int64) > 0)).tolist() if len(begin) else []:
+        a = int(begin[i])
+        line = data[a : int(begin[i + 1]) if i + 1 < len(begin) else len(data)].tobytes()
+        inner = line.strip(tk.SEPARATORS)
+        a += line.index(inner)
+        row = int(np.searchsorted(at, a, "right")) - 1
+        key = int.from_bytes(hashlib.blake2b(inner, digest_size=8).digest(), "little", signed=True)
+        out.append((row, int(np.searchsorted(breaks, a) - np.searchsorted(breaks, at[row])), key, key, a, a + len(inner)))
+    return out
+
+
 def lines_of(data: np.ndarray, at: np.ndarray, least: int = LEAST) -> dict[str, np.ndarray]:
-    """Row, number, key, SimHash, first and last byte of each line that has enough terms."""
-    h, rows, starts, ends = tk.words(data, at, sep=tk.TERM_SEP, codes=tk.FOLDED)
+    """Row, number, key, SimHash, first and last byte of each line that has enough terms; for least = 1 also of lines of
+    other signs."""
+    h, rows, starts, ends = tk.words(data, at, sep=tk.TERM_SEP, codes=tk.FOLDED, unspaced=True)
+    bare = np.array(bare_lines(data, at, starts) if least <= 1 else [], np.int64).reshape(-1, 6).T
     breaks = np.flatnonzero(data == 10)
     number = np.searchsorted(breaks, starts) - np.searchsorted(breaks, at[rows])
     fresh = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (number[1:] != number[:-1])]) if len(h) else np.zeros(0, np.int64)
     size = np.diff(np.r_[fresh, len(h)])
     if not len(fresh):
-        none = np.zeros(0, np.int64)
-        return dict.fromkeys(("row", "number", "key", "sim", "begin", "end"), none)
+        return dict(zip(("row", "number", "key", "sim", "begin", "end"), bare, strict=True))
     place = np.arange(len(h)) - np.repeat(fresh, size)
     key = tk.mix(np.add.reduceat(tk.mix(h ^ (place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))), fresh) + size.astype(np.uint64))
     enough = np.flatnonzero(size >= least)
@@ -69,17 +91,23 @@ def lines_of(data: np.ndarray, at: np.ndarray, least: int = LEAST) -> dict[str,
         a, b = first[i], first[min(i + step, len(fresh))]
         bits = np.unpackbits(term[a:b].view(np.uint8).reshape(-1, 8), axis=1)
         sums = np.add.reduceat(bits, first[i : min(i + step, len(fresh))] - a, axis=0, dtype=np.uint32)
-        sim[i : i + step] = np.packbits(2 * sums > np.diff(first[i : i + step + 1])[:, None], axis=1).view(np.uint64)[:, 0]
+        count = np.diff(first[i : i + step + 1])[:, None]
+        ones = 2 * sums > count
+        few = np.flatnonzero(count[:, 0] < FEW)
+        if len(few):  # ties as zeros would make short lines alike
+            together = tk.mix(np.add.reduceat(term[a:b], first[i : min(i + step, len(fresh))] - a))[few]
+            ones[few] |= (2 * sums[few] == count[few]) & (np.unpackbits(together.view(np.uint8).reshape(-1, 8), axis=1) > 0)
+        sim[i : i + step] = np.packbits(ones, axis=1).view(np.uint64)[:, 0]
     last = np.r_[fresh[1:], len(h)] - 1
     out = {"row": rows[fresh], "number": number[fresh], "key": key.view(np.int64), "sim": sim.view(np.int64), "begin": starts[fresh], "end": ends[last]}
-    return {k: v[enough] for k, v in out.items()}
+    return {k: np.r_[v[enough], o] for (k, v), o in zip(out.items(), bare, strict=True)}
 
 
 def normal(line: bytes) -> str:
-    """The terms of a line as one text."""
+    """The terms of a line as one text, or the line itself if it has none."""
     folded = tk.folded(np.frombuffer(line, np.uint8))
     folded[tk.TERM_SEP[folded]] = 32
-    return b" ".join(folded.tobytes().split()).decode("utf-8", "replace")
+    return (b" ".join(folded.tobytes().split()) or line.strip(tk.SEPARATORS)).decode("utf-8", "replace")
 
 
 def distance(a: str, b: str, most: int) -> int:

@@ -20,8 +20,8 @@ SLICE_BYTES = 2 << 20
 BLOCK_BYTES = 1 << 19
 ROWS_SETTING, ROWS_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1024"
 
-_IS_SEP = np.zeros(256, bool)
-_IS_SEP[list(SEPARATORS)] = True
+IS_SEP = np.zeros(256, bool)
+IS_SEP[list(SEPARATORS)] = True
 #: For terms: all of ASCII but letters, digits and the apostrophe separates.
 TERM_SEP = np.array([b < 128 and not chr(b).isalnum() and b != 39 for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -98,9 +98,10 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
         first = last
 
 
-def words(data: np.ndarray, at: np.ndarray, lower: bool = True, sep: np.ndarray = _IS_SEP, codes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, at: np.ndarray, lower: bool = True, sep: np.ndarray = IS_SEP, codes: np.ndarray | None = None, unspaced: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash (64 bits), row, start and end of each word; words do not cross rows. sep: which bytes separate;
-    codes: numbers of the bytes, where some are to count as the same."""
+    codes: numbers of the bytes, where some are to count as the same. unspaced: characters of three or four bytes, as in
+    scripts without spaces, are words of their own."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     begin, n = 0, len(data)
     codes = codes if codes is not None else _CODES_LOWER if lower else _CODES
@@ -118,6 +119,10 @@ def words(data: np.ndarray, at: np.ndarray, lower: bool = True, sep: np.ndarray
         lo, hi = np.searchsorted(at, begin, "left"), np.searchsorted(at, end, "right")
         fresh[at[lo:hi] - begin] = True
         fresh[0] = fresh[-1] = True
+        if unspaced:
+            lead = np.flatnonzero(block >= 0xE0)
+            fresh[lead] = True
+            fresh[np.minimum(lead + 3 + (block[lead] >= 0xF0), len(block))] = True
         first = inside.copy()
         first[1:] &= ~inside[:-1] | fresh[1:-1]
         last = inside.copy()

@@ -153,6 +153,23 @@ def test_line_dedup(spark, sf_dir, texts):
     assert got == want
 
 
+def test_short_lines_and_lines_without_spaces_go(spark):
+    repeated = ["Share this article", "next", "-----", "東京都は日本の首都であり人口が最も多い", "วันนี้อากาศดีมาก"]
+    docs = [(d, "\n".join([f"own{d} line", *repeated, "", "   ", f"東京{'甲乙丙'[d]}"])) for d in range(3)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {(r["doc_id"], r["number"]) for r in line_dedup.removed(df).collect()}
+    want = {(d, n) for d in (1, 2) for n in range(1, 1 + len(repeated))}
+    # digits are alike, so the first line is the same in all
+    assert got == want | {(1, 0), (2, 0)}
+
+
+def test_short_lines_differ_in_many_bits():
+    words = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    data, at = textkit.text_buffer(pa.array(["\n".join(f"{x} {y}" for x, y in zip(words, words[1:], strict=False))]))
+    sims = line_dedup.lines_of(data, at)["sim"].view(np.uint64)
+    assert len(sims) == 99 and 0.4 < np.bitwise_count(sims).mean() / 64 < 0.6 and len(np.unique(sims)) == 99
+
+
 def test_close_lines_meet_at_every_size(spark):
     rng = np.random.default_rng(3)
     pairs = [(int(x), int(x) ^ sum(1 << int(i) for i in rng.choice(63, 3, replace=False))) for x in rng.integers(0, 1 << 62, 50)]
