@@ -2,28 +2,34 @@
 
 Equal sets are one class and only classes are compared. Two classes of n and m shingles are linked if they share at
 least T = ceil(0.8 / 1.8 (n + m)). In any order of all shingles, two such sets share one of the first n - ceil(0.8 n) + 1
-shingles of each, so only these enter the inverted lists. Entries carry their place in the order: two sets meet in a list
-only if the shingle can be the first that they share, that is if T shingles are left of each from there on. As in DivideSkip, long lists come last in the order: lists
-shared by more than `LONG` components are not merged but skipped, each set that skipped some takes further short lists in
-their place, and skipped lists are probed by binary search when a candidate is verified. What remains of the lists is
-merged in shuffle order, by shingle:
-
-1. every member of a list meets the list's least member; pairs that pass a parity sketch (an exact lower bound of the
-   difference of two sets) are verified, and verified links give components;
-2. lists that are shared by more than `LONG` of these components are long; sets that have some in their prefix renew it
-   with the long ones last, `RENEWALS` times, as some of the new lists may be long too;
-3. members of a list that still are in different components all meet, through the same sketch and verification; in lists
-   of more than a few members a folded sketch travels with them, so that a dense group makes pairs of near sets only.
+shingles of each, so only these enter the inverted lists, which a shuffle by shingle merges:
+
+1. every member of a list meets the list's least member;
+2. lists that are shared by more than `LONG` components are long: they come last in the order, and sets that had some in
+   their prefix take further short lists in their place (`RENEWALS` times, as some of the new lists may be long too);
+3. in lists of more than a few members each member meets its nearest one in another component, for as long as that links
+   components; then all members meet that still are in different components. Members of such lists carry a parity sketch
+   of eight bits or more a shingle, an exact lower bound of the difference of two sets, so a dense group of sets that are
+   just not alike makes few candidates. Lists of any length are cut into blocks, and pairs of blocks are separate tasks.
+
+Entries carry their place in the order: two sets meet only if the shingle can be the first that they share. What meets is
+searched by T-occurrence: for each probe and block of candidates, `search` makes the inverted lists of the probe's
+shingles, divides off as many long lists as DivideSkip says, merges the short ones by a heap that skips what cannot reach
+T, probes the long ones by binary search, and retains candidates with T occurrences.
 
 No pair within a component needs to be met again, so a group of copies costs links in proportion to its size and no link
-between different components is lost.
+between different components is lost. The number of links of a document is not given: in a dense group it takes all pairs.
 
+Shingles are 52 bits of a hash, and sets are told apart by 64 bits; results are exact as long as none of them collide.
 Texts without words have an empty set, are linked with nothing and are their own component. A component's id is the least
-doc_id in it; a null doc_id never is one unless its component has no other. Repeated rows repeat.
+doc_id in it; a null doc_id never is one unless its component has no other. Repeated rows repeat, an empty table gives
+an empty one, other columns are not read. A very long text is one set of its own size.
 """
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +39,11 @@ from pyspark.sql import functions as F
 
 from opinara.llm import textkit as tk
 from opinara.llm.components import components
-from opinara.llm.lists import crossing, shared_lists, with_roots
+from opinara.llm.lists import CELL, WIDE, crossing, shared_lists, with_roots
 
-K, PERCENT, LONG, RENEWALS, MOST_LONG, MOST_WANTED, FOLD = 5, 80, 64, 2, 1 << 20, 1 << 16, 512
+K, PERCENT, LONG, RENEWALS, MOST_LONG, MOST_WANTED, LEAST_BITS, SKETCH_BITS = 5, 80, 64, 2, 1 << 20, 1 << 16, 512, 8
+#: Candidates of one probe that are searched together, and the cost of a probe against a merge step.
+BLOCK, MU = 256, 0.01
 
 
 def sets(data: np.ndarray, at: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -65,19 +73,11 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Parity of the number of shingles in each of as many bits as there are shingles (a power of two, FOLD at least)."""
-    bits = max(FOLD, 1 << int(len(s) - 1).bit_length())
+    """Parity of the number of shingles in each of at least SKETCH_BITS times as many bits (a power of two)."""
+    bits = max(LEAST_BITS, 1 << int(SKETCH_BITS * len(s) - 1).bit_length())
     return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1 > 0, bitorder="little").tobytes()
 
 
-def least_difference(a: bytes, b: bytes) -> int:
-    """A lower bound of the size of the symmetric difference; the larger sketch is folded to the smaller one's size."""
-    x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
-
-
 def may_meet(n: np.ndarray, m: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Whether a link's first common shingle can stand at these places. n and m are entries: size, and place << 32."""
     size_n, size_m = n & ((1 << 32) - 1), m & ((1 << 32) - 1)
@@ -91,29 +91,61 @@ def _entries(rows: DataFrame) -> DataFrame:
     return rows.select("sig", "n", F.posexplode("prefix").alias("place", "token")).select("sig", entry, "token")
 
 
-def folded(sketches: DataFrame) -> DataFrame:
-    """sig and its sketch folded to FOLD bits, which travel with the members of wide lists."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            short = [np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, FOLD // 64), axis=0).tobytes() for x in batch.column("sketch").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("sig"), pa.array(short, pa.binary())], ["sig", "sketch"])
-
-    return sketches.select("sig", "sketch").mapInArrow(run, "sig long, sketch binary")
-
-
 def may_link(n, m, difference, percent: int = PERCENT):
     """For numbers or arrays of them: sizes, and a lower bound of the difference."""
     # J >= p means difference / (n + m) <= (1 - p) / (1 + p)
     return difference * (100 + percent) <= (100 - percent) * (n + m)
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
-    """Probes the larger sorted set for each shingle of the smaller one."""
-    a, b = (a, b) if len(a) <= len(b) else (b, a)
-    place = np.minimum(np.searchsorted(b, a), len(b) - 1)
-    common = int((b[place] == a).sum())
-    return 100 * common >= percent * (len(a) + len(b) - common)
+def search(probe: np.ndarray, candidates: list[np.ndarray], percent: int = PERCENT) -> list[int]:
+    """Places of the candidates (sorted sets) that share as many shingles with the probe as a link needs, by DivideSkip."""
+    n, m = len(probe), len(candidates)
+    size = np.array([len(c) for c in candidates], np.int64)
+    need = -(-(n + size) * percent // (100 + percent))
+    held = np.concatenate(candidates)
+    place = np.minimum(np.searchsorted(probe, held), n - 1)
+    hit = probe[place] == held
+    # the list of each shingle of the probe, one behind the other: place of the shingle * m + candidate
+    entries = np.sort(place[hit] * m + np.repeat(np.arange(m), size)[hit])
+    first = np.searchsorted(entries, np.arange(n + 1) * m)
+    length = np.diff(first)
+    least, longest = int(need.min()), int(length.max(initial=0))
+    divided = min(least - 1, int(least / (MU * np.log2(max(longest, 1)) + 1)))
+    order = np.argsort(-length, kind="stable")
+    long, short = np.sort(order[:divided]), order[divided:]
+    found = merge([(entries[first[p] : first[p + 1]] - p * m).tolist() for p in short.tolist() if length[p]], least - divided)
+    out = []
+    for c, count in found:
+        probes = long * m + c
+        at = np.minimum(np.searchsorted(entries, probes), len(entries) - 1)
+        if count + int((entries[at] == probes).sum()) >= need[c]:
+            out.append(c)
+    return out
+
+
+def merge(lists: list[list[int]], least: int) -> list[tuple[int, int]]:
+    """(number, lists that hold it) of each number in at least `least` of the sorted lists, by a heap of their heads.
+    Lists whose heads cannot reach `least` skip to the next head that can."""
+    heap = [(x[0], i) for i, x in enumerate(lists)]
+    at = [0] * len(lists)
+    heapq.heapify(heap)
+    out = []
+    while len(heap) >= least:
+        head, popped = heap[0][0], []
+        while heap and heap[0][0] == head:
+            popped.append(heapq.heappop(heap)[1])
+        if len(popped) >= least:
+            out.append((head, len(popped)))
+            after = head + 1
+        else:
+            while len(popped) < least - 1:
+                popped.append(heapq.heappop(heap)[1])
+            after = max(head + 1, heap[0][0]) if heap else None
+        for i in popped:
+            at[i] = len(lists[i]) if after is None else bisect_left(lists[i], after, at[i])
+            if at[i] < len(lists[i]):
+                heapq.heappush(heap, (lists[i][at[i]], i))
+    return out
 
 
 def _prepare(docs: DataFrame, k: int, percent: int, long: np.ndarray | None = None) -> DataFrame:
@@ -150,20 +182,6 @@ def _prepare(docs: DataFrame, k: int, percent: int, long: np.ndarray | None = No
     return docs.mapInArrow(run, f"doc_id {kind}, n long, sig long, prefix array<long>, sketch binary")
 
 
-def _pass_sketches(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sketches allow a link."""
-    for c in ("a", "b"):
-        pairs = pairs.join(sketches.select(F.col("sig").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")), c)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "s_a", "s_b")), strict=True)
-            ok = pa.array([may_link(n, m, least_difference(x, y), percent) for n, m, x, y in rows], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
-
-    return pairs.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long")
-
-
 def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs that are links, by the full sets of one text of each class."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
@@ -185,55 +203,84 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, perce
     whole = whole.dropDuplicates(["sig"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, probe, names, block = None, None, [], []
+
+        def links() -> pa.RecordBatch:
+            good = search(probe, block, percent) if block else []
+            return pa.RecordBatch.from_arrays([pa.array([now[0]] * len(good), pa.int64()), pa.array([names[i] for i in good], pa.int64())], ["a", "b"])
+
         for batch in batches:
-            ok = pa.array([linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(batch.column("w_a"), batch.column("w_b"), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
+            for a, of, b, whole in zip(*(batch.column(c).to_pylist() for c in ("a", "block", "b", "whole")), strict=True):
+                if (a, of) != now or len(block) == BLOCK:
+                    if block:
+                        yield links()
+                    names, block = [], []
+                now = (a, of)
+                if b is None:  # the probe comes first
+                    probe = np.frombuffer(whole, np.uint64)
+                else:
+                    names.append(b)
+                    block.append(np.frombuffer(whole, np.uint64))
+        if block:
+            yield links()
 
     whole = tk.stored(whole)
-    for c in ("a", "b"):
-        pairs = pairs.join(whole.select(F.col("sig").alias(c), F.col("whole").alias(f"w_{c}")), c)
-    return pairs.select("a", "b", "w_a", "w_b").mapInArrow(check, "a long, b long")
+    # the candidates of a probe in blocks, each with the probe's set
+    wide = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = pairs.join(wide, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"), "b")
+    of_b = whole.select(F.col("sig").alias("b"), "whole")
+    probes = dealt.select("a", "block").distinct().join(whole.withColumnRenamed("sig", "a"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "whole")
+    both = probes.unionByName(dealt.join(of_b, "b").select("a", "block", "b", "whole"))
+    return both.repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first()).mapInArrow(check, "a long, b long")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT, long: int = LONG) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links_met (verified links of the class that the search met) of each row."""
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT, long: int = LONG, wide: int = WIDE, cell: int = CELL) -> DataFrame:
+    """doc_id, n_shingles and component_id of each row."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = tk.stored(_prepare(docs, k, percent))
-    sketches = rows.where("n > 0").select("sig", "n", "sketch").dropDuplicates(["sig"])
+    sketches = rows.where("n > 0").select("sig", "sketch").dropDuplicates(["sig"])
     classes = rows.where("n > 0").select("sig", "doc_id")
     prefixes = rows.where("n > 0").select("sig", "n", "prefix").dropDuplicates(["sig"])
     meets = lambda n, m: may_meet(n, m, percent)
+    size = lambda n: n & ((1 << 32) - 1)
+    may = lambda n, m, difference: may_link(size(n), size(m), difference, percent)
     lists = tk.stored(shared_lists(_entries(prefixes), meets))
-    sizes = lambda n: n & ((1 << 32) - 1)
-    fitting = lambda n, m, difference: may_meet(n, m, percent) & may_link(sizes(n), sizes(m), difference, percent)
-    size = [F.col(c).bitwiseAND((1 << 32) - 1) for c in ("n", "lead_n")]
-    least = F.ceil((size[0] + size[1]) * percent / (100 + percent))
-    first = [z - F.shiftright(c, 32) >= least for z, c in zip(size, ("n", "lead_n"), strict=True)]
-    pairs = lists.where((F.col("sig") != F.col("lead")) & first[0] & first[1]).select(F.least("sig", "lead").alias("a"), F.greatest("sig", "lead").alias("b")).distinct()
-    links = tk.checkpointed(_verify(tk.checkpointed(_pass_sketches(pairs, sketches, percent)), docs, classes, k, percent))
+    sizes = [F.col(c).bitwiseAND((1 << 32) - 1) for c in ("n", "lead_n")]
+    least = F.ceil((sizes[0] + sizes[1]) * percent / (100 + percent))
+    first = [z - F.shiftright(c, 32) >= least for z, c in zip(sizes, ("n", "lead_n"), strict=True)]
+    pairs = tk.checkpointed(lists.where((F.col("sig") != F.col("lead")) & first[0] & first[1]).select(F.least("sig", "lead").alias("a"), F.greatest("sig", "lead").alias("b")).distinct())
+    links = tk.checkpointed(_verify(pairs, docs, classes, k, percent))
     roots = tk.checkpointed(components(links))
     members = with_roots(lists, roots)
     skipped = np.zeros(0, np.uint64)
     for _ in range(RENEWALS):
         fresh = np.setdiff1d(_long_lists(members, long), skipped)
-        if not len(fresh) or len(skipped) + len(fresh) > MOST_LONG:
+        if not len(fresh):
             break
-        skipped = np.union1d(skipped, fresh)
+        skipped = np.union1d(skipped, fresh[: max(0, MOST_LONG - len(skipped))])
         renewed = tk.stored(_prepare(docs, k, percent, skipped).where("n > 0").select("sig", "n", "prefix").dropDuplicates(["sig"]))
         kept = prefixes.join(renewed.select("sig"), "sig", "left_anti")
         lists = tk.stored(shared_lists(_entries(kept.unionByName(renewed)), meets))
         members = with_roots(lists, roots)
-    across = crossing(members, fitting, folded(sketches)).join(pairs, ["a", "b"], "left_anti")
-    links = tk.checkpointed(links.unionByName(_verify(tk.checkpointed(_pass_sketches(across, sketches, percent)), docs, classes, k, percent)))
-    roots = tk.checkpointed(components(links))
-    degree = links.select(F.explode(F.array("a", "b")).alias("sig")).groupBy("sig").agg(F.count("*").alias("n_links_met"))
+    met = pairs
+    for nearest in (True, False):
+        while True:
+            across = tk.checkpointed(crossing(members, meets, may, sketches, nearest, wide, cell).join(met, ["a", "b"], "left_anti"))
+            more = tk.checkpointed(_verify(across, docs, classes, k, percent))
+            links, met = links.unionByName(more), met.unionByName(across)
+            if more.isEmpty():
+                break
+            roots = tk.checkpointed(components(links))
+            members = with_roots(lists, roots)
+            if not nearest:  # all pairs have met
+                break
     # the least document of each class, then of each component; both combine before they shuffle
     of_class = classes.groupBy("sig").agg(F.min("doc_id").alias("least_id"))
-    of_class = of_class.join(roots.withColumnRenamed("node", "sig"), "sig", "left").join(degree, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    of_class = of_class.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     of_root = of_class.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = of_class.join(of_root, "root").select("sig", "component_id", F.coalesce("n_links_met", F.lit(0)).alias("n_links_met"))
+    named = of_class.join(of_root, "root").select("sig", "component_id")
     out = rows.select("doc_id", "n", "sig").join(named, "sig", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links_met", F.lit(0)).alias("n_links_met"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _long_lists(members: DataFrame, long: int) -> np.ndarray:
@@ -252,5 +299,6 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component the document with the least id, with all its columns. Repeated rows become one;
     documents with a null id stay unless they are linked with one that has an id."""
-    found = join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    found = join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("doc_id")).distinct().alias("found")
+    own = docs.alias("own")
+    return own.join(found, F.col("own.doc_id").eqNullSafe(F.col("found.doc_id")), "left_semi").dropDuplicates(["doc_id", "text"])

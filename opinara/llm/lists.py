@@ -9,15 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WIDE, SKETCH_WORDS = 16, 8
+WIDE, CELL = 16, 2048
 
 
 def by_token(frame: DataFrame, *then: str) -> DataFrame:
     return frame.repartition("token").sortWithinPartitions("token", *then)
 
 
-def shared_lists(tokens: DataFrame, meets: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """token, sig, n of the lists with at least two members, and the least member of the list. Of lists of up to WIDE
+def shared_lists(tokens: DataFrame, meets: Callable[[np.ndarray, np.ndarray], np.ndarray], wide: int = WIDE) -> DataFrame:
+    """token, sig, n of the lists with at least two members, and the least member of the list. Of lists of up to `wide`
     members only those that meet another (a function of the n of both) are given, so that lists shared by chance, whose
     number grows with the square of the input, end here."""
 
@@ -56,13 +56,15 @@ def shared_lists(tokens: DataFrame, meets: Callable[[np.ndarray, np.ndarray], np
             t, n = c[0], c[2]
             first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
             size = np.diff(np.r_[first, len(t)])
-            wide = (size > WIDE) | (t[first] == open_list if open_list is not None else False)
-            wide[-1] |= more
-            ok = np.repeat(wide, size)
+            long = (size > wide) | (t[first] == open_list if open_list is not None else False)
+            long[-1] |= more
+            ok = np.repeat(long, size)
             at = np.flatnonzero(~ok)
             end = np.repeat(first + size, size)
-            for d in range(1, WIDE):
+            for d in range(1, wide):
                 at = at[at + d < end[at]]
+                if not len(at):
+                    break
                 both = at[meets(n[at], n[at + d])]
                 ok[both] = ok[both + d] = True
             return pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in c], names)
@@ -73,7 +75,7 @@ def shared_lists(tokens: DataFrame, meets: Callable[[np.ndarray, np.ndarray], np
                 continue
             # the last list may go on; once it is known to be wide, it is passed on as it comes
             cut = int(np.searchsorted(c[0], c[0][-1]))
-            more = len(c[0]) - cut > WIDE or c[0][-1] == open_list
+            more = len(c[0]) - cut > wide or c[0][-1] == open_list
             cut = len(c[0]) if more else cut
             if cut:
                 yield keep([x[:cut] for x in c], more)
@@ -85,13 +87,14 @@ def shared_lists(tokens: DataFrame, meets: Callable[[np.ndarray, np.ndarray], np
     return by_token(tokens, "sig").mapInArrow(lambda batches: met(run(batches)), "token long, sig long, n long, lead long, lead_n long")
 
 
-def crossing(members: DataFrame, fits: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], sketches: DataFrame | None = None) -> DataFrame:
-    """members: token, sig, n, root. All pairs of a list that are in different components and fit. fits: of the n of both
-    and of the number of bits in which their sketches differ. sketches: sig and sketch (all of one size); only lists of
-    more than WIDE members carry them, in others the difference is 0."""
-    size = 0 if sketches is None else SKETCH_WORDS
+def crossing(members: DataFrame, fits: Callable[[np.ndarray, np.ndarray], np.ndarray], may_link: Callable | None = None, sketches: DataFrame | None = None, nearest: bool = False, wide: int = WIDE, cell: int = CELL) -> DataFrame:
+    """members: token, sig, n, root. Pairs of a list that are in different components and fit, a function of the n of both.
+    may_link: of the n of both and of the number of bits in which their sketches differ; asked in lists of more than
+    `wide` members, which carry them. sketches: sig and sketch, whose sizes are powers of two and at most double within
+    a link. nearest: wide lists only, and of each member only the pair with the least difference. A list of more than
+    `cell` members is cut into blocks, and pairs of blocks are compared in separate tasks."""
 
-    def pairs(t: np.ndarray, s: np.ndarray, n: np.ndarray, root: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def narrow(t: np.ndarray, s: np.ndarray, n: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
         # the members of a list stand by root: each is compared with the members d places behind the end of its own root
         end = np.searchsorted(t, t, "right") if len(t) else t
         change = np.flatnonzero(np.r_[(t[1:] != t[:-1]) | (root[1:] != root[:-1]), True]) + 1 if len(t) else t
@@ -99,36 +102,88 @@ def crossing(members: DataFrame, fits: Callable[[np.ndarray, np.ndarray, np.ndar
         at = np.arange(len(t))
         while len(at := at[other[at] < end[at]]):
             to = other[at]
-            difference = np.bitwise_count(bits[at] ^ bits[to]).sum(axis=1, dtype=np.int64)
-            ok = fits(n[at], n[to], difference)
+            ok = fits(n[at], n[to])
             if ok.any():
-                x, y = s[at[ok]], s[to[ok]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+                yield _pairs(s[at[ok]], s[to[ok]])
             other[at] += 1
 
-    def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
-        none = bytes(8 * size)
-        raw = b"".join(none if x is None else x for x in batch.column("sketch").to_pylist()) if size else b""
-        return [*(batch.column(c).to_numpy() for c in ("token", "sig", "n", "root")), np.frombuffer(raw, np.uint64).reshape(batch.num_rows, size)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 4 + [np.zeros((0, size), np.uint64)]
+    def run_narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 4
         for batch in batches:
-            new = [np.concatenate([h, c]) for h, c in zip(held, columns(batch), strict=True)]
+            new = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("token", "sig", "n", "root"), strict=True)]
             cut = int(np.searchsorted(new[0], new[0][-1])) if len(new[0]) else 0
-            yield from pairs(*(c[:cut] for c in new))
+            yield from narrow(*(c[:cut] for c in new))
             held = [c[cut:] for c in new]
-        yield from pairs(*held)
+        yield from narrow(*held)
+
+    def wide_cell(rows: list[tuple], diagonal: bool) -> Iterator[pa.RecordBatch]:
+        side, sig, n, root = (np.array([r[i] for r in rows], np.int64) for i in range(4))
+        sizes = np.array([len(r[4] or b"") for r in rows])
+        bits = [np.frombuffer(r[4] or b"", np.uint64) for r in rows]
+        for size in np.unique(sizes):
+            # a sketch is compared with those of its own size, and twice as long ones folded to it
+            small = np.flatnonzero(sizes == size)
+            for double in (False, True):
+                large = np.flatnonzero(sizes == size * 2) if double else small
+                if double and size == 0 or not len(large):
+                    continue
+                x = np.stack([bits[i] for i in small])
+                y = np.stack([bits[i] for i in large])
+                y = y[:, : x.shape[1]] ^ y[:, x.shape[1] :] if double else y
+                for i in range(0, len(small), 64):
+                    own = small[i : i + 64]
+                    ok = (root[own][:, None] != root[large]) & fits(n[own][:, None], n[large])
+                    if not diagonal:
+                        ok &= side[own][:, None] != side[large]
+                    if not double:
+                        ok &= own[:, None] < large
+                    p, q = np.nonzero(ok)
+                    if not len(p):
+                        continue
+                    difference = np.concatenate([np.bitwise_count(x[i + p[k : k + 8192]] ^ y[q[k : k + 8192]]).sum(axis=1, dtype=np.int64) for k in range(0, len(p), 8192)])
+                    good = may_link(n[own[p]], n[large[q]], difference) if may_link else np.ones(len(p), bool)
+                    p, q, difference = p[good], q[good], difference[good]
+                    if nearest and len(p):
+                        order = np.lexsort((difference, p))
+                        first = order[np.r_[True, p[order][1:] != p[order][:-1]]]
+                        p, q = p[first], q[first]
+                    if len(p):
+                        yield _pairs(sig[own[p]], sig[large[q]])
+
+    def run_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("token", "i", "j", "side", "sig", "n", "root", "sketch")]
+            for token, i, j, *row in zip(*columns, strict=True):
+                if (token, i, j) != now:
+                    if held:
+                        yield from wide_cell(held, now[1] == now[2])
+                    now, held = (token, i, j), []
+                held.append(row)
+        if held:
+            yield from wide_cell(held, now[1] == now[2])
 
     # only lists that are shared by two components come here
     mixed = members.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")).where("r0 <> r1").select("token", "size")
-    if sketches is None:
-        found = members.join(mixed, "token", "left_semi").withColumn("sketch", F.lit(None).cast("binary"))
+    sized = members.join(mixed, "token").select("token", "sig", "n", "root", "size")
+    large = sized.where(F.col("size") > wide)
+    if sketches is not None:
+        large = large.join(sketches.select("sig", "sketch"), "sig")
     else:
-        sized = members.join(mixed, "token")
-        narrow = sized.where(F.col("size") <= WIDE).select(*members.columns, F.lit(None).cast("binary").alias("sketch"))
-        found = narrow.unionByName(sized.where(F.col("size") > WIDE).select(*members.columns).join(sketches, "sig").select(*members.columns, "sketch"))
-    return by_token(found, "root", "sig").mapInArrow(run, "a long, b long").distinct()
+        large = large.withColumn("sketch", F.lit(None).cast("binary"))
+    # a member stands in the cells of its block with each other block
+    blocks = F.ceil(F.col("size") / cell)
+    large = large.withColumn("block", F.pmod(F.xxhash64("sig"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    large = large.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("long").alias("side"), "sig", "n", "root", "sketch")
+    large = large.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run_wide, "a long, b long")
+    if nearest:
+        return large.distinct()
+    small = by_token(sized.where(F.col("size") <= wide).drop("size"), "root", "sig").mapInArrow(run_narrow, "a long, b long")
+    return small.unionByName(large).distinct()
+
+
+def _pairs(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
 
 def with_roots(lists: DataFrame, roots: DataFrame) -> DataFrame:

@@ -126,6 +126,40 @@ def test_jaccard_with_long_lists_and_chains(spark):
     same_components(spark, texts, long=3)
 
 
+def test_jaccard_in_dense_groups_around_the_limit(spark):
+    """Near copies of one text with similarities on both sides of the limit, in lists that are cut into cells."""
+    rng = np.random.default_rng(9)
+    base = [f"b{i}" for i in range(160)]
+    texts = {}
+    for i in range(150):
+        own = list(base[: 160 - int(rng.integers(0, 12))])
+        for at in rng.choice(len(own), int(rng.integers(1, 9)), replace=False):
+            own[at] = f"x{rng.integers(4000)}"
+        texts[i] = " ".join(own)
+    same_components(spark, texts, long=3, wide=4, cell=32)
+    same_components(spark, texts)
+
+
+def test_t_occurrence_search_is_exact():
+    rng = np.random.default_rng(12)
+    for trial in range(200):
+        base = rng.integers(0, 1 << 40, 60).astype(np.uint64)
+        draw = lambda: np.unique(np.r_[rng.choice(base, rng.integers(1, 60)), rng.integers(0, 1 << 40, rng.integers(0, 8)).astype(np.uint64)])  # noqa: E731, B023
+        probe, candidates = np.unique(base), [draw() for _ in range(rng.integers(1, 30))]
+        percent = int(rng.choice([30, 50, 80, 100]))
+        want = [i for i, c in enumerate(candidates) if 100 * len(np.intersect1d(probe, c)) >= percent * len(np.union1d(probe, c))]
+        assert jaccard.search(probe, candidates, percent) == want
+
+
+def test_heap_merge_counts_occurrences():
+    rng = np.random.default_rng(13)
+    for _ in range(200):
+        lists_ = [sorted(set(rng.integers(0, 20, rng.integers(0, 12)).tolist())) for _ in range(rng.integers(0, 9))]
+        for least in (1, 2, 3, 5):
+            want = [(v, n) for v in range(20) if (n := sum(v in x for x in lists_)) >= least]
+            assert jaccard.merge([x for x in lists_ if x], least) == want
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 150), (7, 7)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
