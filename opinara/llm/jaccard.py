@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from opinara.llm import textkit as tk
 from opinara.llm.components import components
-from opinara.llm.lists import CELL, WIDE, crossing, shared_lists, with_roots
+from opinara.llm.lists import CELL, WIDE, crossing, mixed, shared_lists
 
 K, PERCENT, LONG, RENEWALS, MOST_LONG, MOST_WANTED, LEAST_BITS, SKETCH_BITS = 5, 80, 64, 2, 1 << 20, 1 << 16, 512, 8
 #: Candidates of one probe that are searched together, and the cost of a probe against a merge step.
@@ -149,7 +149,7 @@ def merge(lists: list[list[int]], least: int) -> list[tuple[int, int]]:
 
 
 def _prepare(docs: DataFrame, k: int, percent: int, long: np.ndarray | None = None) -> DataFrame:
-    """For each row: n, sig (of the set), prefix and sketch. With long, sorted shingles that come last in the order, only
+    """For each row: n, sig (of the set) and prefix. With long, sorted shingles that come last in the order, only
     rows that have some in the plain prefix are given: the prefix of all others is the same in both orders."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = None if long is None else docs.sparkSession.sparkContext.broadcast(long)  # at most MOST_LONG numbers
@@ -158,7 +158,7 @@ def _prepare(docs: DataFrame, k: int, percent: int, long: np.ndarray | None = No
         for batch in batches:
             for part in tk.slices(batch, "text"):
                 s, at = sets(*tk.text_buffer(part.column("text")), k)
-                keep, sigs, sizes, prefixes, sketches = [], [], [], [], []
+                keep, sigs, sizes, prefixes = [], [], [], []
                 if shared is not None:
                     place = np.minimum(np.searchsorted(shared.value, s), len(shared.value) - 1)
                     is_long = shared.value[place] == s
@@ -175,32 +175,36 @@ def _prepare(docs: DataFrame, k: int, percent: int, long: np.ndarray | None = No
                     sizes.append(n)
                     sigs.append(signature(own) if n else None)
                     prefixes.append(prefix.view(np.int64))
-                    sketches.append(sketch(own) if n else None)
                 ids = part.column("doc_id").take(pa.array(keep, pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "n", "sig", "prefix", "sketch"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "n", "sig", "prefix"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, sig long, prefix array<long>, sketch binary")
+    return docs.mapInArrow(run, f"doc_id {kind}, n long, sig long, prefix array<long>")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs that are links, by the full sets of one text of each class."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    ids = tk.checkpointed(classes.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("__id")))
+def _whole(wanted: DataFrame, docs: DataFrame, classes: DataFrame, k: int, sketches: bool = False) -> DataFrame | None:
+    """sig and whole set of the classes with these sig, from one text of each; with sketches, their sketch instead."""
+    ids = tk.checkpointed(classes.join(wanted.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("__id")))
     count = ids.count()
     if not count:
-        return pairs
+        return None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tk.slices(batch, "text"):
                 s, at = sets(*tk.text_buffer(part.column("text")), k)
                 own = [s[a:b] for a, b in zip(at, at[1:], strict=False) if a < b]
-                yield pa.RecordBatch.from_arrays([pa.array([signature(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["sig", "whole"])
+                yield pa.RecordBatch.from_arrays([pa.array([signature(x) for x in own], pa.int64()), pa.array([sketch(x) if sketches else x.tobytes() for x in own], pa.binary())], ["sig", "whole"])
 
     # beyond that many rows a shuffle finds the texts
     texts = docs.join(F.broadcast(ids) if count <= MOST_WANTED else ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    whole = texts.select("text").mapInArrow(run, "sig long, whole binary")
-    whole = whole.dropDuplicates(["sig"])
+    return tk.stored(texts.select("text").mapInArrow(run, "sig long, whole binary").dropDuplicates(["sig"]))
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs that are links, by the full sets of one text of each class."""
+    whole = _whole(pairs.select(F.explode(F.array("a", "b")).alias("sig")), docs, classes, k)
+    if whole is None:
+        return pairs
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, probe, names, block = None, None, [], []
@@ -224,7 +228,6 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, perce
         if block:
             yield links()
 
-    whole = tk.stored(whole)
     # the candidates of a probe in blocks, each with the probe's set
     wide = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     dealt = pairs.join(wide, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"), "b")
@@ -238,9 +241,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     """doc_id, n_shingles and component_id of each row."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = tk.stored(_prepare(docs, k, percent))
-    sketches = rows.where("n > 0").select("sig", "sketch").dropDuplicates(["sig"])
     classes = rows.where("n > 0").select("sig", "doc_id")
-    prefixes = rows.where("n > 0").select("sig", "n", "prefix").dropDuplicates(["sig"])
+    prefixes = tk.stored(rows.where("n > 0").select("sig", "n", "prefix").dropDuplicates(["sig"]))
     meets = lambda n, m: may_meet(n, m, percent)
     size = lambda n: n & ((1 << 32) - 1)
     may = lambda n, m, difference: may_link(size(n), size(m), difference, percent)
@@ -248,10 +250,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     sizes = [F.col(c).bitwiseAND((1 << 32) - 1) for c in ("n", "lead_n")]
     least = F.ceil((sizes[0] + sizes[1]) * percent / (100 + percent))
     first = [z - F.shiftright(c, 32) >= least for z, c in zip(sizes, ("n", "lead_n"), strict=True)]
-    pairs = tk.checkpointed(lists.where((F.col("sig") != F.col("lead")) & first[0] & first[1]).select(F.least("sig", "lead").alias("a"), F.greatest("sig", "lead").alias("b")).distinct())
+    # of the leads of its lists, a set first meets the one that leads most of them
+    leads = lists.where((F.col("sig") != F.col("lead")) & first[0] & first[1]).groupBy("sig", "lead").count()
+    pairs = tk.checkpointed(leads.groupBy("sig").agg(F.max_by("lead", F.struct("count", "lead")).alias("lead")).select(F.least("sig", "lead").alias("a"), F.greatest("sig", "lead").alias("b")).distinct())
     links = tk.checkpointed(_verify(pairs, docs, classes, k, percent))
     roots = tk.checkpointed(components(links))
-    members = with_roots(lists, roots)
+    members = mixed(lists, roots)
     skipped = np.zeros(0, np.uint64)
     for _ in range(RENEWALS):
         fresh = np.setdiff1d(_long_lists(members, long), skipped)
@@ -260,20 +264,22 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
         skipped = np.union1d(skipped, fresh[: max(0, MOST_LONG - len(skipped))])
         renewed = tk.stored(_prepare(docs, k, percent, skipped).where("n > 0").select("sig", "n", "prefix").dropDuplicates(["sig"]))
         kept = prefixes.join(renewed.select("sig"), "sig", "left_anti")
-        lists = tk.stored(shared_lists(_entries(kept.unionByName(renewed)), meets))
-        members = with_roots(lists, roots)
+        members = mixed(shared_lists(_entries(kept.unionByName(renewed)), meets), roots)
     met = pairs
-    for nearest in (True, False):
+    dense = members.where(F.col("size") > wide)
+    sketches = _whole(dense, docs, classes, k, sketches=True)
+    sketches = sketches.withColumnRenamed("whole", "sketch") if sketches is not None else None
+    for nearest in (True, False) if sketches is not None else (False,):
         while True:
             across = tk.checkpointed(crossing(members, meets, may, sketches, nearest, wide, cell).join(met, ["a", "b"], "left_anti"))
             more = tk.checkpointed(_verify(across, docs, classes, k, percent))
-            links, met = links.unionByName(more), met.unionByName(across)
             if more.isEmpty():
                 break
+            links, met = links.unionByName(more), met.unionByName(across)
             roots = tk.checkpointed(components(links))
-            members = with_roots(lists, roots)
             if not nearest:  # all pairs have met
                 break
+            members = mixed(members, roots)
     # the least document of each class, then of each component; both combine before they shuffle
     of_class = classes.groupBy("sig").agg(F.min("doc_id").alias("least_id"))
     of_class = of_class.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opinara.llm import textkit as tk
+
 WIDE, CELL = 16, 2048
 
 
@@ -88,7 +90,7 @@ def shared_lists(tokens: DataFrame, meets: Callable[[np.ndarray, np.ndarray], np
 
 
 def crossing(members: DataFrame, fits: Callable[[np.ndarray, np.ndarray], np.ndarray], may_link: Callable | None = None, sketches: DataFrame | None = None, nearest: bool = False, wide: int = WIDE, cell: int = CELL) -> DataFrame:
-    """members: token, sig, n, root. Pairs of a list that are in different components and fit, a function of the n of both.
+    """members: what `mixed` gives. Pairs of a list that are in different components and fit, a function of the n of both.
     may_link: of the n of both and of the number of bits in which their sketches differ; asked in lists of more than
     `wide` members, which carry them. sketches: sig and sketch, whose sizes are powers of two and at most double within
     a link. nearest: wide lists only, and of each member only the pair with the least difference. A list of more than
@@ -163,14 +165,8 @@ def crossing(members: DataFrame, fits: Callable[[np.ndarray, np.ndarray], np.nda
         if held:
             yield from wide_cell(held, now[1] == now[2])
 
-    # only lists that are shared by two components come here
-    mixed = members.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")).where("r0 <> r1").select("token", "size")
-    sized = members.join(mixed, "token").select("token", "sig", "n", "root", "size")
-    large = sized.where(F.col("size") > wide)
-    if sketches is not None:
-        large = large.join(sketches.select("sig", "sketch"), "sig")
-    else:
-        large = large.withColumn("sketch", F.lit(None).cast("binary"))
+    large = members.where(F.col("size") > wide)
+    large = large.join(sketches.select("sig", "sketch"), "sig") if sketches is not None else large.withColumn("sketch", F.lit(None).cast("binary"))
     # a member stands in the cells of its block with each other block
     blocks = F.ceil(F.col("size") / cell)
     large = large.withColumn("block", F.pmod(F.xxhash64("sig"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
@@ -178,7 +174,7 @@ def crossing(members: DataFrame, fits: Callable[[np.ndarray, np.ndarray], np.nda
     large = large.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run_wide, "a long, b long")
     if nearest:
         return large.distinct()
-    small = by_token(sized.where(F.col("size") <= wide).drop("size"), "root", "sig").mapInArrow(run_narrow, "a long, b long")
+    small = by_token(members.where(F.col("size") <= wide).drop("size"), "root", "sig").mapInArrow(run_narrow, "a long, b long")
     return small.unionByName(large).distinct()
 
 
@@ -189,3 +185,10 @@ def _pairs(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
 def with_roots(lists: DataFrame, roots: DataFrame) -> DataFrame:
     """The lists' members with their components; what has no link is its own."""
     return lists.select("token", "sig", "n").join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("token", "sig", "n", F.coalesce("root", "sig").alias("root"))
+
+
+def mixed(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """token, sig, n, root and size (members) of the lists that are shared by two components or more, as a table."""
+    members = with_roots(lists, roots)
+    shared = members.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")).where("r0 <> r1").select("token", "size")
+    return tk.stored(members.join(shared, "token").select("token", "sig", "n", "root", "size"))
