@@ -1,54 +1,72 @@
 """Fuzzy line deduplication.
 
 A line is normalised to its terms: letters in lower case, digits all alike, other ASCII left out. Equal normalised lines
-are one node. Nodes carry a 64-bit SimHash of their distinct terms. With b blocks of the SimHash, two that differ in at most
-three bits agree in b - 3 blocks at least, so nodes meet in the lists that b - 3 blocks address: ten lists of 26 bits for
-five blocks. As lists shared by chance grow with the square of the nodes, b is chosen so that the address has at least as
-many bits as the number of nodes; what is found does not depend on it. As in the
-n-gram join, first every member of a list meets the least one, verified links give components, and then only members of
-different components meet. A pair is a link if the SimHashes differ in at most `BITS` bits and the edit similarity of
-the normalised lines is `SIMILARITY` or more. Of each connected group one occurrence stays: the least by (doc_id, line).
+are one node. Nodes carry a SimHash of their distinct terms in `TABLES` blocks of `WIDTH` bits. By the pigeonhole
+principle nodes that differ in fewer bits than there are blocks agree in a block; to find more, a node also stands in the
+lists of a block with one of its `FLIPS` least decided bits turned, as these are the bits in which near lines differ. Of
+nodes that share a list, those meet that differ in at most `CLOSE` of 64 bits outside the block. Beyond 2**28 nodes there
+are more blocks, of more bits, as lists shared by chance grow with the square of the nodes.
+
+First every member of a list meets the least one, verified links give components, and then only members of different
+components meet. A pair is a link if the edit similarity of the normalised lines is `SIMILARITY` or more. Of each
+connected group one occurrence stays: the least by (doc_id, line).
 
 Characters of three or four bytes are terms of their own, so scripts without spaces have terms too. Lines of any length
 take part, but with fewer than `FEW` distinct terms the bits of a SimHash on which they are undecided come from all of them
-together. A line that has no term is its bytes without outer spaces, one of spaces only is never removed. A null text has no lines. Rows that share an id count as one
-document, and lines are kept or removed in all of them alike; a null id sorts before all others.
+together. A line that has no term is its bytes without outer spaces, one of spaces only is never removed. A null text has
+no lines, an empty table gives an empty one. Rows that share an id count as one document, and lines are kept or removed in
+all of them alike; a null id sorts before all others. All other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinara.llm import textkit as tk
 from opinara.llm.components import components
-from opinara.llm.lists import crossing, shared_lists, with_roots
+from opinara.llm.lists import crossing, mixed, shared_lists
+
+LEAST, FEW, TABLES, WIDTH, FLIPS, CLOSE, SIMILARITY, MOST_WANTED, WIDE = 1, 5, 4, 24, 3, 14, 0.8, 1 << 16, 256
+BITS = TABLES * WIDTH
+
+
+def blocks_for(lines: int) -> tuple[int, int]:
+    """Blocks, and the bits of each: wider beyond 2**28 lines, so that lists shared by chance stay short, and then more
+    of them, as wider blocks agree less often."""
+    wider = max(0, max(1, lines).bit_length() - 28)
+    return TABLES + wider, WIDTH + wider
 
-LEAST, FEW, BITS, SIMILARITY, MOST_WANTED = 1, 5, 3, 0.8, 1 << 16
 
+def packed(sums: np.ndarray, count: np.ndarray, ties: np.ndarray, blocks: tuple[int, int]) -> np.ndarray:
+    """Bytes of each line: its SimHash, and which bits of each block are the least decided. sums: how many of its count
+    terms have each bit."""
+    margin = np.abs(2 * sums.astype(np.int32) - count[:, None].astype(np.int32)).reshape(len(sums), *blocks)
+    weakest = np.argsort(margin, axis=2, kind="stable")[:, :, :FLIPS].astype(np.uint8)
+    return np.concatenate([np.packbits((2 * sums > count[:, None]) | ties, axis=1), weakest.reshape(len(sums), -1)], axis=1)
 
-def addresses(sim: Column, nodes: int, bits: int = BITS) -> Column:
-    """Tokens of the lists of a SimHash, for so many nodes."""
-    b = next(b for b in range(bits + 2, 16) if b >= bits + 6 or 64 * (b - bits) // b >= max(1, nodes).bit_length())
-    ends = [64 * i // b for i in range(b + 1)]
-    block = [(F.shiftrightunsigned(sim, a).bitwiseAND(F.lit((1 << (z - a)) - 1)), z - a) for a, z in zip(ends, ends[1:], strict=False)]
-    tokens = []
-    for i, chosen in enumerate(combinations(block, b - bits)):
-        token = F.lit(i).cast("long")
-        for value, width in chosen:
-            token = F.shiftleft(token, width).bitwiseOR(value)
-        tokens.append(token)
-    return F.array(*tokens)
 
+def addresses(code: np.ndarray, blocks: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and checks of packed lines (lines x tables * (1 + FLIPS)). The check is the 64 bits that follow a block,
+    round about."""
+    tables, width = blocks
+    n, size = len(code), tables * width
+    bits, weakest = np.unpackbits(code[:, : -(-size // 8)], axis=1)[:, :size], code[:, -(-size // 8) :].reshape(n, tables, FLIPS)
+    place = np.int64(1) << np.arange(width, dtype=np.int64)
+    own = bits.reshape(n, tables, width) @ place
+    tokens = np.concatenate([own[:, :, None], own[:, :, None] ^ place[weakest]], axis=2) | (np.arange(tables, dtype=np.int64) << width)[None, :, None]
+    at = (width * (1 + np.arange(tables))[:, None] + np.arange(64)) % size
+    checks = np.packbits(bits[:, at], axis=2).view(np.int64)
+    return tokens.reshape(n, -1), np.repeat(checks, 1 + FLIPS, axis=2).reshape(n, -1)
 
-def bare_lines(data: np.ndarray, at: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
-    """Row, number, key, SimHash, first and last byte of lines without terms that are not only spaces."""
+
+def bare_lines(data: np.ndarray, at: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """Row, number, key, first and last byte of lines without terms that are not only spaces."""
     breaks = np.flatnonzero(data == 10)
     begin = np.unique(np.r_[at[:-1], breaks + 1])
     begin = begin[begin < len(data)]
@@ -61,46 +79,53 @@ def bare_lines(data: np.ndarray, at: np.ndarray, starts: np.ndarray) -> list[tup
         a += line.index(inner)
         row = int(np.searchsorted(at, a, "right")) - 1
         key = int.from_bytes(hashlib.blake2b(inner, digest_size=8).digest(), "little", signed=True)
-        out.append((row, int(np.searchsorted(breaks, a) - np.searchsorted(breaks, at[row])), key, key, a, a + len(inner)))
+        out.append((row, int(np.searchsorted(breaks, a) - np.searchsorted(breaks, at[row])), key, a, a + len(inner)))
     return out
 
 
-def lines_of(data: np.ndarray, at: np.ndarray, least: int = LEAST) -> dict[str, np.ndarray]:
-    """Row, number, key, SimHash, first and last byte of each line that has enough terms; for least = 1 also of lines of
-    other signs."""
+def lines_of(data: np.ndarray, at: np.ndarray, least: int = LEAST, blocks: tuple[int, int] | None = None) -> dict[str, np.ndarray]:
+    """Row, number, key, first and last byte of each line that has enough terms; for least = 1 also of lines of other
+    signs. With blocks also the packed code of lines that have terms, which come first."""
     h, rows, starts, ends = tk.words(data, at, sep=tk.TERM_SEP, codes=tk.FOLDED, unspaced=True)
-    bare = np.array(bare_lines(data, at, starts) if least <= 1 else [], np.int64).reshape(-1, 6).T
+    bare = np.array(bare_lines(data, at, starts) if least <= 1 else [], np.int64).reshape(-1, 5).T
     breaks = np.flatnonzero(data == 10)
     number = np.searchsorted(breaks, starts) - np.searchsorted(breaks, at[rows])
     fresh = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (number[1:] != number[:-1])]) if len(h) else np.zeros(0, np.int64)
     size = np.diff(np.r_[fresh, len(h)])
+    names = ("row", "number", "key", "begin", "end")
     if not len(fresh):
-        return dict(zip(("row", "number", "key", "sim", "begin", "end"), bare, strict=True))
+        return dict(zip(names, bare, strict=True)) | {"code": np.zeros((0, 1), np.uint8)}
     place = np.arange(len(h)) - np.repeat(fresh, size)
     key = tk.mix(np.add.reduceat(tk.mix(h ^ (place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))), fresh) + size.astype(np.uint64))
     enough = np.flatnonzero(size >= least)
+    last = np.r_[fresh[1:], len(h)] - 1
+    own = dict(zip(names, (rows[fresh], number[fresh], key.view(np.int64), starts[fresh], ends[last]), strict=True))
+    out = {k: np.r_[own[k][enough], o] for k, o in zip(names, bare, strict=True)}
+    if blocks is None:
+        return out
+    width = blocks[0] * blocks[1]
     # each term of a line counts once, or its most common terms alone would decide the bits
     line = np.repeat(np.arange(len(fresh)), size).astype(np.uint64)
     both = np.sort((line << np.uint64(40)) | (h >> np.uint64(24)))
     both = both[np.r_[True, both[1:] != both[:-1]]]
-    line, term = (both >> np.uint64(40)).astype(np.int64), tk.mix(both & np.uint64((1 << 40) - 1))
+    line, term = (both >> np.uint64(40)).astype(np.int64), both & np.uint64((1 << 40) - 1)
     first = tk.per_row(line, len(fresh))
-    sim = np.zeros(len(fresh), np.uint64)
+    spread = lambda x: np.unpackbits(np.stack([tk.mix(x + np.uint64(i << 41)) for i in range(-(-width // 64))], axis=1).view(np.uint8), axis=1)[:, :width]
+    code = []
     step = 1 << 10  # lines at a time
     for i in range(0, len(fresh), step):
-        a, b = first[i], first[min(i + step, len(fresh))]
-        bits = np.unpackbits(term[a:b].view(np.uint8).reshape(-1, 8), axis=1)
-        sums = np.add.reduceat(bits, first[i : min(i + step, len(fresh))] - a, axis=0, dtype=np.uint32)
-        count = np.diff(first[i : i + step + 1])[:, None]
-        ones = 2 * sums > count
-        few = np.flatnonzero(count[:, 0] < FEW)
+        edges = first[i : i + step + 1]
+        a, b = edges[0], edges[-1]
+        starts_at = edges[:-1] - a
+        sums = np.add.reduceat(spread(term[a:b]), starts_at, axis=0, dtype=np.uint32)
+        count = np.diff(edges)
+        ties = np.zeros(sums.shape, bool)
+        few = np.flatnonzero(count < FEW)
         if len(few):  # ties as zeros would make short lines alike
-            together = tk.mix(np.add.reduceat(term[a:b], first[i : min(i + step, len(fresh))] - a))[few]
-            ones[few] |= (2 * sums[few] == count[few]) & (np.unpackbits(together.view(np.uint8).reshape(-1, 8), axis=1) > 0)
-        sim[i : i + step] = np.packbits(ones, axis=1).view(np.uint64)[:, 0]
-    last = np.r_[fresh[1:], len(h)] - 1
-    out = {"row": rows[fresh], "number": number[fresh], "key": key.view(np.int64), "sim": sim.view(np.int64), "begin": starts[fresh], "end": ends[last]}
-    return {k: np.r_[v[enough], o] for (k, v), o in zip(out.items(), bare, strict=True)}
+            together = np.add.reduceat(tk.mix(term[a:b]), starts_at)[few] & np.uint64((1 << 40) - 1)
+            ties[few] = (2 * sums[few] == count[few, None]) & (spread(together) > 0)
+        code.append(packed(sums, count, ties, blocks))
+    return out | {"code": np.concatenate(code)[enough]}
 
 
 def normal(line: bytes) -> str:
@@ -114,6 +139,12 @@ def distance(a: str, b: str, most: int) -> int:
     """Edit distance, bit-parallel over one column at a time; most + 1 where it is greater."""
     if len(a) > len(b):
         a, b = b, a
+    if len(b) - len(a) > most:
+        return most + 1
+    same = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
+    a, b = a[same:], b[same:]
+    same = next((i for i, (x, y) in enumerate(zip(reversed(a), reversed(b), strict=False)) if x != y), len(a))
+    a, b = a[: len(a) - same], b[: len(b) - same]
     if not a or len(b) - len(a) > most:
         return min(len(b), most + 1)
     where: dict[str, int] = {}
@@ -139,39 +170,61 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     return distance(a, b, most) <= most
 
 
-def occurrences(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """doc_id, number, key, sim of every line with enough terms."""
+def occurrences(docs: DataFrame, least: int = LEAST, blocks: tuple[int, int] = (TABLES, WIDTH)) -> DataFrame:
+    """doc_id, number, key, code of every line with enough terms."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tk.slices(batch, "text"):
-                f = lines_of(*tk.text_buffer(part.column("text")), least)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(f["row"])), *(pa.array(f[c], pa.int64()) for c in ("number", "key", "sim"))], ["doc_id", "number", "key", "sim"])
+                f = lines_of(*tk.text_buffer(part.column("text")), least, blocks)
+                raw, size = f["code"].tobytes(), f["code"].shape[1]
+                code = [raw[i : i + size] for i in range(0, len(raw), size)]
+                code += [None] * (len(f["row"]) - len(code))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(f["row"])), *(pa.array(f[c], pa.int64()) for c in ("number", "key")), pa.array(code, pa.binary())], ["doc_id", "number", "key", "code"])
+
+    return docs.mapInArrow(run, f"doc_id {kind}, number long, key long, code binary")
 
-    return docs.mapInArrow(run, f"doc_id {kind}, number long, key long, sim long")
+
+def entries(nodes: DataFrame, blocks: tuple[int, int]) -> DataFrame:
+    """token, sig (the key) and n (the check) of each node that has terms."""
+    n = blocks[0] * (1 + FLIPS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code = batch.column("code").to_pylist()
+            if code:
+                tokens, checks = addresses(np.frombuffer(b"".join(code), np.uint8).reshape(len(code), -1), blocks)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens.ravel()), pa.array(np.repeat(batch.column("key").to_numpy(), n)), pa.array(checks.ravel())], ["token", "sig", "n"])
+
+    return nodes.where("code IS NOT NULL").select("key", "code").mapInArrow(run, "token long, sig long, n long")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose normalised lines are similar. The text of a line comes from its first occurrence."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    places = tk.checkpointed(nodes.join(wanted, "key", "left_semi").select(F.col("doc_id").alias("__id"), "number", "key"))
+    # at most the lines of one text
+    places = tk.checkpointed(nodes.join(wanted, "key", "left_semi").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("key").alias("keys")))
     count = places.count()
     if not count:
         return pairs
     # beyond that many rows a shuffle finds the texts
-    some = docs.join(F.broadcast(places) if count <= MOST_WANTED else places, F.col("doc_id").eqNullSafe(F.col("__id")))
-    raw = some.select("key", F.get(F.split("text", "\n"), F.col("number").cast("int")).alias("line")).where("line IS NOT NULL")
+    some = docs.join(F.broadcast(places) if count <= MOST_WANTED else places, F.col("doc_id").eqNullSafe(F.col("__id"))).select("keys", "text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # rows that share an id may hold another line at this place
-            f = lines_of(*tk.text_buffer(batch.column("line")), 1)
-            own = batch.column("key").to_numpy()[f["row"]] == f["key"]
-            at = pa.array(f["row"][own])
-            yield pa.RecordBatch.from_arrays([batch.column("key").take(at), pa.array([normal(x.encode()) for x in batch.column("line").take(at).to_pylist()], pa.string())], ["key", "line"])
-
-    lines = tk.stored(raw.mapInArrow(extract, "key long, line string").groupBy("key").agg(F.min("line").alias("line")))
+            for part in tk.slices(batch, "text"):
+                data, at = tk.text_buffer(part.column("text"))
+                f = lines_of(data, at, 1)
+                asked = part.column("keys")
+                first = np.asarray(asked.offsets)
+                both = np.stack([np.repeat(np.arange(part.num_rows), np.diff(first)), np.asarray(asked.values)[first[0] : first[-1]]])
+                pairs = set(map(tuple, both.T.tolist()))
+                own = [i for i, x in enumerate(zip(f["row"].tolist(), f["key"].tolist(), strict=True)) if x in pairs]
+                lines = [normal(data[f["begin"][i] : f["end"][i]].tobytes()) for i in own]
+                yield pa.RecordBatch.from_arrays([pa.array(f["key"][own] if own else [], pa.int64()), pa.array(lines, pa.string())], ["key", "line"])
+
+    lines = tk.stored(some.mapInArrow(extract, "key long, line string").groupBy("key").agg(F.min("line").alias("line")))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,23 +236,39 @@ def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: flo
     return pairs.select("a", "b", "l_a", "l_b").mapInArrow(check, "a long, b long")
 
 
-def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bits: int = BITS, least: int = LEAST) -> DataFrame:
-    """doc_id and number of each line that goes."""
+def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, least: int = LEAST, blocks: tuple[int, int] | None = None) -> DataFrame:
+    """doc_id and number of each line that goes. blocks: of the SimHash and their bits, or such as fit sixteen lines a row."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = tk.stored(occurrences(docs, least))
-    nodes = tk.stored(found.groupBy("key").agg(F.min(F.struct("doc_id", "number")).alias("first"), F.min("sim").alias("sim"), F.count("*").alias("copies")).select("key", "sim", "copies", F.col("first.doc_id").alias("doc_id"), F.col("first.number").alias("number")))
+    blocks = blocks or blocks_for(16 * docs.count())
+    found = tk.stored(occurrences(docs, least, blocks))
+    nodes = found.groupBy("key").agg(F.min(F.struct("doc_id", "number")).alias("first"), F.min("code").alias("code"), F.count("*").alias("copies"))
+    nodes = tk.stored(nodes.select("key", "code", "copies", F.col("first.doc_id").alias("doc_id"), F.col("first.number").alias("number")))
     # viewed as unsigned, as bitwise_count takes the absolute value of signed numbers
-    meets = lambda n, m: np.bitwise_count((n ^ m).view(np.uint64)) <= bits
-    tokens = nodes.select(F.explode(addresses(F.col("sim"), nodes.count(), bits)).alias("token"), F.col("key").alias("sig"), F.col("sim").alias("n"))
-    lists = tk.stored(shared_lists(tokens, meets))
-    close = F.bit_count(F.col("n").bitwiseXOR(F.col("lead_n"))) <= bits
-    pairs = lists.where((F.col("sig") != F.col("lead")) & close).select(F.least("sig", "lead").alias("a"), F.greatest("sig", "lead").alias("b")).distinct()
-    links = tk.checkpointed(_verify(tk.checkpointed(pairs), docs, nodes, similarity))
-    members = with_roots(lists, tk.checkpointed(components(links)))
-    across = crossing(members, lambda n, m, _: meets(n, m)).join(pairs, ["a", "b"], "left_anti")
-    links = tk.checkpointed(links.unionByName(_verify(tk.checkpointed(across), docs, nodes, similarity)))
-    roots = tk.checkpointed(components(links)).withColumnRenamed("node", "key")
+    gap = lambda n, m: np.bitwise_count((n ^ m).view(np.uint64)).astype(np.int64)
+    meets = lambda n, m: gap(n, m) <= CLOSE
+    lists = tk.stored(shared_lists(entries(nodes, blocks), meets, WIDE))
+    far = F.bit_count(F.col("n").bitwiseXOR(F.col("lead_n")))
+    leads = lists.where((F.col("sig") != F.col("lead")) & (far <= CLOSE)).groupBy("sig", "lead").agg(F.count("*").alias("n"), F.min(far).alias("far"))
+    # of the leads of its lists, a node first meets the one that leads most of them
+    pairs = leads.groupBy("sig").agg(F.max_by("lead", F.struct("n", -F.col("far"), "lead")).alias("lead")).select(F.least("sig", "lead").alias("a"), F.greatest("sig", "lead").alias("b"))
+    met = tk.checkpointed(pairs.distinct())
+    links = tk.checkpointed(_verify(met, docs, nodes, similarity))
+    roots = tk.checkpointed(components(links))
+    members = mixed(lists, roots)
+    for nearest in (False,) if members.where(F.col("size") > WIDE).isEmpty() else (True, False):
+        while True:
+            across = tk.checkpointed(crossing(members, meets, nearest=nearest, wide=WIDE, gap=gap).join(met, ["a", "b"], "left_anti"))
+            more = tk.checkpointed(_verify(across, docs, nodes, similarity))
+            if more.isEmpty():
+                break
+            links, met = links.unionByName(more), met.unionByName(across)
+            roots = tk.checkpointed(components(links))
+            if not nearest:  # all pairs have met
+                break
+            members = mixed(members, roots)
+    roots = roots.withColumnRenamed("node", "key")
     # the occurrence that stays, for nodes that have another occurrence or a link
+    nodes = nodes.drop("code")
     linked = nodes.join(roots, "key")
     stays = linked.groupBy("root").agg(F.min(F.struct("doc_id", "number")).alias("stay"))
     of_node = linked.select("key", "root").join(stays, "root").select("key", "stay")
@@ -212,13 +281,15 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with the repeated lines taken out of the text; all columns stay, and n_chars follows the text if there is one.
     Rows of which no word is left go, unless they had none before."""
-    gone = removed(docs, id_col, text_col, **options).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("number").alias("__gone"))  # at most the lines of one text
-    joined = docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]), "left")
-    kept = F.expr(f"filter(split(`{text_col}`, '\\n'), (line, i) -> NOT array_contains(__gone, cast(i AS bigint)))")
-    joined = joined.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
-    joined = joined.where(F.col("__gone").isNull() | F.col(text_col).rlike("[^ \\t\\n\\x0B\\f\\r]"))
+    of, lines = tk.unused(docs, "of_doc", "gone_lines")
+    gone = removed(docs, id_col, text_col, **options).groupBy(F.col("doc_id").alias(of)).agg(F.collect_set("number").alias(lines))  # at most the lines of one text
+    joined = docs.join(gone, docs[id_col].eqNullSafe(gone[of]), "left")
+    kept = F.expr(f"filter(split(`{text_col}`, '\\n'), (line, i) -> NOT array_contains(`{lines}`, cast(i AS bigint)))")
+    untouched = F.col(lines).isNull()
+    joined = joined.withColumn(text_col, F.when(untouched, F.col(text_col)).otherwise(F.array_join(kept, "\n")))
+    joined = joined.where(untouched | F.col(text_col).rlike("[^ \\t\\n\\x0B\\f\\r]"))
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.char_length(text_col).cast(docs.schema["n_chars"].dataType)))
+        joined = joined.withColumn("n_chars", F.when(untouched, F.col("n_chars")).otherwise(F.char_length(text_col).cast(docs.schema["n_chars"].dataType)))
     return joined.select(*docs.columns)
 
 

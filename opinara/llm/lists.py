@@ -89,11 +89,12 @@ def shared_lists(tokens: DataFrame, meets: Callable[[np.ndarray, np.ndarray], np
     return by_token(tokens, "sig").mapInArrow(lambda batches: met(run(batches)), "token long, sig long, n long, lead long, lead_n long")
 
 
-def crossing(members: DataFrame, fits: Callable[[np.ndarray, np.ndarray], np.ndarray], may_link: Callable | None = None, sketches: DataFrame | None = None, nearest: bool = False, wide: int = WIDE, cell: int = CELL) -> DataFrame:
+def crossing(members: DataFrame, fits: Callable[[np.ndarray, np.ndarray], np.ndarray], may_link: Callable | None = None, sketches: DataFrame | None = None, nearest: bool = False, wide: int = WIDE, cell: int = CELL, gap: Callable | None = None) -> DataFrame:
     """members: what `mixed` gives. Pairs of a list that are in different components and fit, a function of the n of both.
     may_link: of the n of both and of the number of bits in which their sketches differ; asked in lists of more than
     `wide` members, which carry them. sketches: sig and sketch, whose sizes are powers of two and at most double within
-    a link. nearest: wide lists only, and of each member only the pair with the least difference. A list of more than
+    a link. gap: a difference of the n of both, in place of sketches. nearest: wide lists only, and of each member only the
+    pair with the least difference. A list of more than
     `cell` members is cut into blocks, and pairs of blocks are compared in separate tasks."""
 
     def narrow(t: np.ndarray, s: np.ndarray, n: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -142,7 +143,10 @@ def crossing(members: DataFrame, fits: Callable[[np.ndarray, np.ndarray], np.nda
                     p, q = np.nonzero(ok)
                     if not len(p):
                         continue
-                    difference = np.concatenate([np.bitwise_count(x[i + p[k : k + 8192]] ^ y[q[k : k + 8192]]).sum(axis=1, dtype=np.int64) for k in range(0, len(p), 8192)])
+                    if gap:
+                        difference = gap(n[own[p]], n[large[q]])
+                    else:
+                        difference = np.concatenate([np.bitwise_count(x[i + p[k : k + 8192]] ^ y[q[k : k + 8192]]).sum(axis=1, dtype=np.int64) for k in range(0, len(p), 8192)])
                     good = may_link(n[own[p]], n[large[q]], difference) if may_link else np.ones(len(p), bool)
                     p, q, difference = p[good], q[good], difference[good]
                     if nearest and len(p):

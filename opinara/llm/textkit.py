@@ -209,6 +209,18 @@ def sampled_texts(docs: DataFrame, labels: DataFrame, rows: list[tuple]) -> Data
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that df has no column of."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name)
+    return out
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Writes df as a table in the session's checkpoint folder and reads it back; smaller than a checkpoint of wide rows."""
     spark = df.sparkSession

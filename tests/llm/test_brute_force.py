@@ -166,25 +166,68 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 150: 100, 200: 100}
 
 
-def test_line_dedup(spark, sf_dir, texts):
-    where, node = [], {}
+def near_lines(texts, blocks=(line_dedup.TABLES, line_dedup.WIDTH)):
+    """Occurrences (doc, number, key), the text of each key, and its packed SimHash."""
+    where, line, code = [], {}, {}
     for d in sorted(texts):
         data, at = textkit.text_buffer(pa.array([texts[d]]))
-        f = line_dedup.lines_of(data, at)
-        for n, k, s, b, e in zip(*(f[c] for c in ("number", "key", "sim", "begin", "end")), strict=True):
-            where.append((d, int(n), int(k)))
-            node.setdefault(int(k), (int(s), line_dedup.normal(data[b:e].tobytes())))
-    keys = list(node)
-    sims = np.array([node[k][0] for k in keys], np.int64).view(np.uint64)
-    links = [(keys[i], keys[j]) for i in range(len(keys)) for j in np.flatnonzero(np.bitwise_count(sims[i + 1 :] ^ sims[i]) <= 3) + i + 1 if line_dedup.similar(node[keys[i]][1], node[keys[j]][1])]
-    assert links
-    root = roots_of(keys, links)
-    stay = {}
+        f = line_dedup.lines_of(data, at, blocks=blocks)
+        for i, (n, k, b, e) in enumerate(zip(*(f[c].tolist() for c in ("number", "key", "begin", "end")), strict=True)):
+            where.append((d, n, k))
+            line.setdefault(k, line_dedup.normal(data[b:e].tobytes()))
+            if i < len(f["code"]):
+                code.setdefault(k, f["code"][i])
+    return where, line, code
+
+
+def removed_lines(where, links):
+    root, stay = roots_of({k for *_, k in where}, links), {}
     for d, n, k in where:
         stay[root[k]] = min(stay.get(root[k], (1 << 60, 0)), (d, n))
-    want = {(d, n) for d, n, k in where if stay[root[k]] != (d, n)}
+    return {(d, n) for d, n, k in where if stay[root[k]] != (d, n)}
+
+
+def test_line_dedup(spark, sf_dir, texts):
+    tables, width = line_dedup.TABLES, line_dedup.WIDTH
+    where, line, code = near_lines(texts)
+    met: dict = {}
+    for k, c in code.items():
+        bits = [int(x) for x in np.unpackbits(c[: tables * width // 8])]
+        for t in range(tables):
+            own, check = bits[t * width : t * width + width], [bits[((t + 1) * width + i) % (tables * width)] for i in range(64)]
+            for flip in (None, *c[tables * width // 8 + 3 * t :][:3].tolist()):
+                met.setdefault((t, *(b ^ (i == flip) for i, b in enumerate(own))), []).append((k, np.array(check)))
+    pairs = {(a, b) for x in met.values() for i, (a, p) in enumerate(x) for b, q in x[:i] if (p != q).sum() <= line_dedup.CLOSE}
+    links = [(a, b) for a, b in pairs if line_dedup.similar(line[a], line[b])]
+    assert links
     got = {(r["doc_id"], int(n)) for r in line_dedup.op3_line_dedup(spark, sf_dir).collect() for n in r["removed_lines"].split(",") if n}
-    assert got == want
+    assert got == removed_lines(where, links)
+    # all pairs that share three words in a row or, if short, a word
+    shared: dict = {}
+    for k, x in line.items():
+        w = x.split()
+        for g in {tuple(w[i : i + 3]) for i in range(len(w) - 2)} | ({(y,) for y in w} if len(w) < 6 else set()):
+            shared.setdefault(g, []).append(k)
+    every = {(a, b) for x in shared.values() for i, a in enumerate(x) for b in x[:i] if line_dedup.similar(line[a], line[b])}
+    want = removed_lines(where, every)
+    assert len(got & want) >= 0.8 * len(want) and got <= want
+
+
+def test_near_lines_meet_at_every_size():
+    """One or two words of a line of 20 to 60 are replaced: the share that meets, by the width of the blocks."""
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(5000)]
+    base = [[*rng.choice(words, rng.integers(20, 60))] for _ in range(400)]
+    other = [[*x] for x in base]
+    for x in other:
+        for at in rng.choice(len(x), rng.integers(1, 3), replace=False):
+            x[at] = str(rng.choice(words))
+    for lines_, least in ((1 << 20, 0.65), (1 << 32, 0.65), (1 << 38, 0.6)):
+        blocks = line_dedup.blocks_for(lines_)
+        code = [line_dedup.lines_of(*textkit.text_buffer(pa.array(["\n".join(map(" ".join, x))])), blocks=blocks)["code"] for x in (base, other)]
+        (s, p), (t, q) = (line_dedup.addresses(c, blocks) for c in code)
+        near = [any(t[i, k] == s[i, j] and int(np.bitwise_count((p[i, j] ^ q[i, k]).view(np.uint64))) <= line_dedup.CLOSE for j in range(s.shape[1]) for k in range(s.shape[1]) if s[i, j] == t[i, k]) for i in range(len(base))]
+        assert np.mean(near) >= least, (lines_, np.mean(near))
 
 
 def test_short_lines_and_lines_without_spaces_go(spark):
@@ -200,17 +243,8 @@ def test_short_lines_and_lines_without_spaces_go(spark):
 def test_short_lines_differ_in_many_bits():
     words = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
     data, at = textkit.text_buffer(pa.array(["\n".join(f"{x} {y}" for x, y in zip(words, words[1:], strict=False))]))
-    sims = line_dedup.lines_of(data, at)["sim"].view(np.uint64)
-    assert len(sims) == 99 and 0.4 < np.bitwise_count(sims).mean() / 64 < 0.6 and len(np.unique(sims)) == 99
-
-
-def test_close_lines_meet_at_every_size(spark):
-    rng = np.random.default_rng(3)
-    pairs = [(int(x), int(x) ^ sum(1 << int(i) for i in rng.choice(63, 3, replace=False))) for x in rng.integers(0, 1 << 62, 50)]
-    df = spark.createDataFrame(pairs, "a bigint, b bigint")
-    for nodes in (0, 1 << 20, 1 << 28, 1 << 34):
-        met = df.select(F.arrays_overlap(*(line_dedup.addresses(F.col(c), nodes) for c in "ab")).alias("met"))
-        assert all(r["met"] for r in met.collect())
+    code = line_dedup.lines_of(data, at, blocks=(4, 24))["code"][:, :12]
+    assert len(code) == 99 and 0.4 < np.unpackbits(code).mean() < 0.6 and len(np.unique(code, axis=0)) == 99
 
 
 def test_shared_lists_keep_what_meets(spark):
