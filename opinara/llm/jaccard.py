@@ -183,7 +183,9 @@ def _prepare(docs: DataFrame, k: int, percent: int, long: np.ndarray | None = No
 
 def _whole(wanted: DataFrame, docs: DataFrame, classes: DataFrame, k: int, sketches: bool = False) -> DataFrame | None:
     """sig and whole set of the classes with these sig, from one text of each; with sketches, their sketch instead."""
-    ids = tk.checkpointed(classes.join(wanted.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("__id")))
+    wanted = tk.checkpointed(wanted.select("sig").distinct())
+    few = tk.parts(wanted.count())
+    ids = tk.checkpointed(classes.join(wanted.coalesce(few), "sig", "left_semi").coalesce(few).groupBy("sig").agg(F.min("doc_id").alias("__id")).coalesce(few))
     count = ids.count()
     if not count:
         return None
@@ -202,6 +204,8 @@ def _whole(wanted: DataFrame, docs: DataFrame, classes: DataFrame, k: int, sketc
 
 def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs that are links, by the full sets of one text of each class."""
+    few = tk.parts(pairs.count(), 20_000)
+    pairs = pairs.coalesce(few)
     whole = _whole(pairs.select(F.explode(F.array("a", "b")).alias("sig")), docs, classes, k)
     if whole is None:
         return pairs
@@ -230,11 +234,11 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, perce
 
     # the candidates of a probe in blocks, each with the probe's set
     wide = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = pairs.join(wide, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"), "b")
+    dealt = pairs.join(wide, "a").coalesce(few).select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"), "b")
     of_b = whole.select(F.col("sig").alias("b"), "whole")
     probes = dealt.select("a", "block").distinct().join(whole.withColumnRenamed("sig", "a"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "whole")
-    both = probes.unionByName(dealt.join(of_b, "b").select("a", "block", "b", "whole"))
-    return both.repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first()).mapInArrow(check, "a long, b long")
+    both = probes.coalesce(few).unionByName(dealt.join(of_b, "b").select("a", "block", "b", "whole").coalesce(few))
+    return both.repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first()).mapInArrow(check, "a long, b long").coalesce(few)
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT, long: int = LONG, wide: int = WIDE, cell: int = CELL) -> DataFrame:
@@ -264,14 +268,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
         skipped = np.union1d(skipped, fresh[: max(0, MOST_LONG - len(skipped))])
         renewed = tk.stored(_prepare(docs, k, percent, skipped).where("n > 0").select("sig", "n", "prefix").dropDuplicates(["sig"]))
         kept = prefixes.join(renewed.select("sig"), "sig", "left_anti")
-        members = mixed(shared_lists(_entries(kept.unionByName(renewed)), meets), roots)
+        members = mixed(tk.stored(shared_lists(_entries(kept.unionByName(renewed)), meets)), roots)
     met = pairs
     dense = members.where(F.col("size") > wide)
     sketches = _whole(dense, docs, classes, k, sketches=True)
     sketches = sketches.withColumnRenamed("whole", "sketch") if sketches is not None else None
     for nearest in (True, False) if sketches is not None else (False,):
         while True:
-            across = tk.checkpointed(crossing(members, meets, may, sketches, nearest, wide, cell).join(met, ["a", "b"], "left_anti"))
+            across = crossing(members, meets, may, sketches, nearest, wide, cell)
+            across = tk.checkpointed(across.join(met, ["a", "b"], "left_anti"))
             more = tk.checkpointed(_verify(across, docs, classes, k, percent))
             if more.isEmpty():
                 break

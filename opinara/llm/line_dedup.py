@@ -47,7 +47,8 @@ def packed(sums: np.ndarray, count: np.ndarray, ties: np.ndarray, blocks: tuple[
     """Bytes of each line: its SimHash, and which bits of each block are the least decided. sums: how many of its count
     terms have each bit."""
     margin = np.abs(2 * sums.astype(np.int32) - count[:, None].astype(np.int32)).reshape(len(sums), *blocks)
-    weakest = np.argsort(margin, axis=2, kind="stable")[:, :, :FLIPS].astype(np.uint8)
+    place = (np.minimum(margin, 500) * 64 + np.arange(blocks[1])).astype(np.int16)
+    weakest = (np.partition(place, FLIPS - 1, axis=2)[:, :, :FLIPS] & 63).astype(np.uint8)
     return np.concatenate([np.packbits((2 * sums > count[:, None]) | ties, axis=1), weakest.reshape(len(sums), -1)], axis=1)
 
 
@@ -65,6 +66,20 @@ def addresses(code: np.ndarray, blocks: tuple[int, int]) -> tuple[np.ndarray, np
     return tokens.reshape(n, -1), np.repeat(checks, 1 + FLIPS, axis=2).reshape(n, -1)
 
 
+#: For each byte a number whose bytes are the byte's bits, so that adding numbers counts bits.
+_APART = np.array([sum((v >> (7 - i) & 1) << 8 * i for i in range(8)) for v in range(256)], np.uint64)
+
+
+def bit_sums(term: np.ndarray, first: np.ndarray, count: np.ndarray, width: int) -> np.ndarray:
+    """How many terms of each line have each bit of `width` hashed ones. Terms are added 255 at a time, so that a byte holds
+    the count."""
+    size = -(-width // 8)
+    raw = np.concatenate([tk.mix(term + np.uint64(i << 41)).view(np.uint8).reshape(-1, 8) for i in range(-(-width // 64))], axis=1)[:, :size]
+    starts = first if count.max(initial=0) <= 255 else np.concatenate([np.arange(a, a + n, 255) for a, n in zip(first.tolist(), count.tolist(), strict=True)])
+    some = np.add.reduceat(_APART[raw], starts, axis=0).view(np.uint8).reshape(len(starts), -1)[:, :width]
+    return some.astype(np.int32) if starts is first else np.add.reduceat(some, np.searchsorted(starts, first), axis=0, dtype=np.int32)
+
+
 def bare_lines(data: np.ndarray, at: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """Row, number, key, first and last byte of lines without terms that are not only spaces."""
     breaks = np.flatnonzero(data == 10)
@@ -110,20 +125,18 @@ def lines_of(data: np.ndarray, at: np.ndarray, least: int = LEAST, blocks: tuple
     both = both[np.r_[True, both[1:] != both[:-1]]]
     line, term = (both >> np.uint64(40)).astype(np.int64), both & np.uint64((1 << 40) - 1)
     first = tk.per_row(line, len(fresh))
-    spread = lambda x: np.unpackbits(np.stack([tk.mix(x + np.uint64(i << 41)) for i in range(-(-width // 64))], axis=1).view(np.uint8), axis=1)[:, :width]
     code = []
     step = 1 << 10  # lines at a time
     for i in range(0, len(fresh), step):
         edges = first[i : i + step + 1]
-        a, b = edges[0], edges[-1]
-        starts_at = edges[:-1] - a
-        sums = np.add.reduceat(spread(term[a:b]), starts_at, axis=0, dtype=np.uint32)
+        starts_at, own = edges[:-1] - edges[0], term[edges[0] : edges[-1]]
         count = np.diff(edges)
+        sums = bit_sums(own, starts_at, count, width)
         ties = np.zeros(sums.shape, bool)
         few = np.flatnonzero(count < FEW)
         if len(few):  # ties as zeros would make short lines alike
-            together = np.add.reduceat(tk.mix(term[a:b]), starts_at)[few] & np.uint64((1 << 40) - 1)
-            ties[few] = (2 * sums[few] == count[few, None]) & (spread(together) > 0)
+            together = np.add.reduceat(tk.mix(own), starts_at)[few] & np.uint64((1 << 40) - 1)
+            ties[few] = (2 * sums[few] == count[few, None]) & (bit_sums(together, np.arange(len(few)), np.ones(len(few), np.int64), width) > 0)
         code.append(packed(sums, count, ties, blocks))
     return out | {"code": np.concatenate(code)[enough]}
 
@@ -135,15 +148,24 @@ def normal(line: bytes) -> str:
     return (b" ".join(folded.tobytes().split()) or line.strip(tk.SEPARATORS)).decode("utf-8", "replace")
 
 
-def distance(a: str, b: str, most: int) -> int:
-    """Edit distance, bit-parallel over one column at a time; most + 1 where it is greater."""
+def alike(a, b) -> int:
+    """How many first places of a and b, of which a is the shorter one, are the same."""
+    low, high = 0, len(a)
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if a[low:mid] == b[low:mid] else (low, mid - 1)
+    return low
+
+
+def distance(a, b, most: int) -> int:
+    """Edit distance of two texts or lists of words, bit-parallel over one column at a time; most + 1 where it is greater."""
     if len(a) > len(b):
         a, b = b, a
     if len(b) - len(a) > most:
         return most + 1
-    same = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
+    same = alike(a, b)
     a, b = a[same:], b[same:]
-    same = next((i for i, (x, y) in enumerate(zip(reversed(a), reversed(b), strict=False)) if x != y), len(a))
+    same = alike(a[::-1], b[::-1])
     a, b = a[: len(a) - same], b[: len(b) - same]
     if not a or len(b) - len(a) > most:
         return min(len(b), most + 1)
@@ -167,6 +189,12 @@ def distance(a: str, b: str, most: int) -> int:
 
 def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     most = int((1 - least) * max(len(a), len(b)) + 1e-9)
+    v, w = a.split(), b.split()
+    if len(v) > 8:
+        # changing d words changes no more characters than the d longest have, with a space each
+        d = distance(v, w, len(v) // 4)
+        if d <= len(v) // 4 and sum(sorted(map(len, v + w))[-d:] if d else ()) + d <= most:
+            return True
     return distance(a, b, most) <= most
 
 
@@ -202,9 +230,11 @@ def entries(nodes: DataFrame, blocks: tuple[int, int]) -> DataFrame:
 
 def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose normalised lines are similar. The text of a line comes from its first occurrence."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    few = tk.parts(pairs.count(), 20_000)
+    pairs = pairs.coalesce(few)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().coalesce(few)
     # at most the lines of one text
-    places = tk.checkpointed(nodes.join(wanted, "key", "left_semi").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("key").alias("keys")))
+    places = tk.checkpointed(nodes.join(wanted, "key", "left_semi").coalesce(few).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("key").alias("keys")).coalesce(few))
     count = places.count()
     if not count:
         return pairs
@@ -224,7 +254,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: flo
                 lines = [normal(data[f["begin"][i] : f["end"][i]].tobytes()) for i in own]
                 yield pa.RecordBatch.from_arrays([pa.array(f["key"][own] if own else [], pa.int64()), pa.array(lines, pa.string())], ["key", "line"])
 
-    lines = tk.stored(some.mapInArrow(extract, "key long, line string").groupBy("key").agg(F.min("line").alias("line")))
+    lines = tk.stored(some.mapInArrow(extract, "key long, line string").groupBy("key").agg(F.min("line").alias("line")).coalesce(few))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,7 +262,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: flo
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
 
     for c in ("a", "b"):
-        pairs = pairs.join(lines.select(F.col("key").alias(c), F.col("line").alias(f"l_{c}")), c)
+        pairs = pairs.join(lines.select(F.col("key").alias(c), F.col("line").alias(f"l_{c}")), c).coalesce(few)
     return pairs.select("a", "b", "l_a", "l_b").mapInArrow(check, "a long, b long")
 
 

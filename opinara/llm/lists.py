@@ -193,6 +193,7 @@ def with_roots(lists: DataFrame, roots: DataFrame) -> DataFrame:
 
 def mixed(lists: DataFrame, roots: DataFrame) -> DataFrame:
     """token, sig, n, root and size (members) of the lists that are shared by two components or more, as a table."""
-    members = with_roots(lists, roots)
+    few = tk.parts(lists.count())
+    members = with_roots(lists, roots).coalesce(few)
     shared = members.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")).where("r0 <> r1").select("token", "size")
-    return tk.stored(members.join(shared, "token").select("token", "sig", "n", "root", "size"))
+    return tk.stored(members.join(shared, "token").select("token", "sig", "n", "root", "size").coalesce(few))

@@ -221,6 +221,11 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def parts(rows: int, each: int = 200_000) -> int:
+    """Tasks for so many rows of a few numbers; fewer than the session's partitions where rows are few."""
+    return max(1, -(-rows // each))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Writes df as a table in the session's checkpoint folder and reads it back; smaller than a checkpoint of wide rows."""
     spark = df.sparkSession
