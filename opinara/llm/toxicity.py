@@ -1,17 +1,21 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and, as stems, the first four and five bytes of longer words, all hashed to 64 bits. The vocabulary holds the
-`TERMS` terms that tell the classes apart best (chi-square, support, at least `LIFT` times as frequent in one class) in a
-bounded sample of labelled rows, `EACH` of each class, in which a text counts once; document frequencies of these terms
-are counted over all documents. Up to `INDEXED` examples of each class form an inverted index in blocks of 64; for each term a block keeps
-the greatest weight. A query adds these maxima to an upper bound for each block, opens blocks from the highest bound
-down and stops once the k-th neighbour found beats the next bound, so the neighbours are exact. Votes are weighted by
-similarity and by the classes' shares among all learning rows, with a small vote for the overall share, which makes
-scores probabilities; the nearest examples are the evidence.
-
-A text without any term of the vocabulary, empty and null ones too, gets the overall share of label 1 among the sampled
-rows without such terms. Ties go to the example that comes first in the index. Without learning rows of both classes,
-or a term that tells them apart, every score is the share of label 1, or 0.
+Terms are words in lower case, hashed to 64 bits. `INDEXED` labelled rows of each class are the examples; all their terms
+are the vocabulary, with document frequencies counted over all documents. A term's weight is (1 + log tf) * idf times its
+relevance, the square of log2(2 + ratio of its frequencies in the two classes), which is 1 for terms that are not more
+frequent in label 1 or stand in fewer than `SUPPORT` texts; it comes from a bounded sample of labelled rows, `EACH` of each
+class, in which a text counts once.
+
+The examples form an inverted index: the postings of a term are cut into blocks of `BLOCK` examples, and each block keeps
+the term's greatest weight. For a query these maxima add up to an upper bound for each block; blocks are opened from the
+highest bound down until the k-th neighbour found beats the next bound, so the neighbours are exact. All queries of a
+slice of texts are searched together, one block each at a time. Votes are weighted by similarity. Their share becomes a
+probability by logistic calibration on the examples' own votes without themselves, weighted by the classes' shares among
+all learning rows. The nearest examples are the evidence.
+
+A text without any term of the vocabulary, empty and null ones too, gets the share of label 1. Ties go to the example that
+comes first in the index. Without learning rows of both classes every score is the share of label 1, or 0. An empty table
+gives an empty one; long texts are one query of their size; repeated rows repeat; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,175 +28,207 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinara.llm import textkit as tk
+from opinara.llm.decontaminate import Vocabulary
 
-TERMS, EACH, INDEXED, BLOCK, NEIGHBOURS = 128, 3000, 1024, 64, 40
-STEMS, LIFT, LEAST_CHI, SUPPORT, EVIDENCE, PRIOR_VOTE, ACCEPT = (4, 5), 4, 25.0, 6, 3, 0.5, 0.5
-
-
-def terms_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and hash of each term."""
-    h, rows, starts, ends = tk.words(data, at, sep=tk.TERM_SEP)
-    lower, hashes, of = tk.lowered(data), [h], [rows]
-    for k in STEMS:
-        longer = np.flatnonzero(ends - starts > k)
-        stem = np.full(len(longer), k, np.uint64)
-        for i in range(k):
-            stem = (stem ^ lower[starts[longer] + i].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        hashes.append(tk.mix(stem))
-        of.append(rows[longer])
-    return np.concatenate(of), np.concatenate(hashes).view(np.int64)
-
-
-def term_counts(data: np.ndarray, at: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, place in the sorted vocabulary and count of each term that is in it, sorted."""
-    rows, term = terms_of(data, at)
-    place = np.minimum(np.searchsorted(vocabulary, term), max(len(vocabulary) - 1, 0))
-    known = vocabulary[place] == term if len(vocabulary) else np.zeros(len(term), bool)
-    key, count = np.unique((rows[known] << 16) | place[known], return_counts=True)
-    return key >> 16, key & 0xFFFF, count
-
-
-def choose_terms(names: np.ndarray, with_term: np.ndarray, rows: np.ndarray, terms: int = TERMS) -> np.ndarray:
-    """names: the terms; with_term: (2, terms) rows of each class that have a term; rows: rows of each class."""
-    a, b = with_term[1], with_term[0]
-    c, d = rows[1] - a, rows[0] - b
-    n = rows.sum()
-    chi = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * float(rows[0] * rows[1]), 1e-9)
-    p, q = a / rows[1], b / rows[0]
-    chi[(np.maximum(p, q) < LIFT * np.minimum(p, q))] = 0
-    best = np.lexsort((names, -chi))[:terms]
-    return np.sort(names[best][chi[best] > max(LEAST_CHI, chi.max(initial=0) / 20)])
+EACH, INDEXED, BLOCK, NEIGHBOURS, EVIDENCE = 3000, 512, 64, 20, 3
+SUPPORT, RELEVANCE, ACCEPT, SMALL = 6, 2.0, 0.5, 1 << 18
+
+
+def term_counts(data: np.ndarray, at: np.ndarray, vocabulary: Vocabulary | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, term (its hash, or its place in the vocabulary if it is there) and count, sorted."""
+    h, rows, _, _ = tk.words(data, at, sep=tk.TERM_SEP)
+    if vocabulary is None:
+        term = h.view(np.int64)
+    else:
+        term = vocabulary.find(h)
+        rows, term = rows[term >= 0], term[term >= 0]
+    order = np.lexsort((term, rows))
+    rows, term = rows[order], term[order]
+    first = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (term[1:] != term[:-1])]) if len(rows) else np.zeros(0, np.int64)
+    return rows[first], term[first], np.diff(np.r_[first, len(rows)])
+
+
+def spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers from start to end of each pair, and the pair of each."""
+    size = end - start
+    of = np.repeat(np.arange(len(size)), size)
+    return start[of] + np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size), of
 
 
 class BlockMax:
-    """Examples in blocks, their weights by term and block, and the greatest weight of each."""
-
-    def __init__(self, x: np.ndarray, labels: np.ndarray, ids: list, block: int = BLOCK) -> None:
-        order = np.lexsort((np.arange(len(x)), -x.max(1, initial=0), x.argmax(1) if x.size else np.zeros(len(x))))
-        pad = -len(x) % block
-        x = np.concatenate([x[order], np.zeros((pad, x.shape[1]))])
-        self.ids, self.labels, self.n = [ids[i] for i in order], np.concatenate([labels[order], np.zeros(pad, labels.dtype)]), len(order)
-        self.postings = np.ascontiguousarray(x.reshape(-1, block, x.shape[1]).transpose(0, 2, 1))  # block, term, example
-        self.most = np.ascontiguousarray(self.postings.max(2).T)  # term, block
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and similarities of the k nearest examples with a positive similarity."""
-        bound = weights @ self.most[terms]
-        size = self.postings.shape[2]
-        at, sim, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(at) == k and bound[b] < least - 1e-12):
+    """Inverted lists of unit vectors in blocks of examples."""
+
+    def __init__(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, terms: int, block: int = BLOCK) -> None:
+        self.block, self.blocks = block, -(-n // block)
+        order = np.lexsort((row, term))
+        self.row, self.weight, term = row[order], weight[order], term[order]
+        cell = term * self.blocks + self.row // block
+        first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
+        #: For each pair of term and block that has postings: where they begin, the block, and the greatest weight.
+        self.begin, self.of = np.r_[first, len(cell)], cell[first] % self.blocks
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.first = np.searchsorted(cell[first] // self.blocks, np.arange(terms + 1))
+
+    def search(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and similarities (n x k) of the nearest examples of n queries with positive similarity; -1 and 0 where
+        there are fewer."""
+        entry, of = spans(self.first[term], self.first[term + 1])
+        key = row[of] * self.blocks + self.of[entry]
+        order = np.argsort(key, kind="stable")
+        key, entry, own = key[order], entry[order], weight[of][order]
+        bound = np.bincount(key, own * self.most[entry], n * self.blocks).reshape(n, self.blocks)
+        cut = np.searchsorted(key, np.arange(n * self.blocks + 1))
+        ranked = np.argsort(-bound, axis=1, kind="stable")
+        near, sims = np.full((n, k), -1), np.zeros((n, k))
+        alive = np.arange(n)
+        for i in range(self.blocks):
+            b = ranked[alive, i]
+            go = (bound[alive, b] > 0) & (bound[alive, b] >= sims[alive, -1] - 1e-12)
+            alive, b = alive[go], b[go]
+            if not len(alive):
                 break
-            s = weights @ self.postings[b][terms]
-            good = np.flatnonzero(s > 0)
-            at, sim = np.concatenate([at, b * size + good]), np.concatenate([sim, s[good]])
-            if len(at) > k:
-                best = np.lexsort((at, -np.round(sim, 12)))[:k]
-                at, sim = at[best], sim[best]
-            least = sim.min(initial=1.0) if len(at) == k else 0.0
-        best = np.lexsort((at, -np.round(sim, 12)))[:k]
-        return at[best], sim[best]
+            cell = alive * self.blocks + b
+            j, query = spans(cut[cell], cut[cell + 1])
+            p, of = spans(self.begin[entry[j]], self.begin[entry[j] + 1])
+            s = np.bincount(query[of] * self.block + self.row[p] % self.block, own[j][of] * self.weight[p], len(alive) * self.block).reshape(len(alive), self.block)
+            at = np.concatenate([near[alive], np.where(s > 0, b[:, None] * self.block + np.arange(self.block), -1)], axis=1)
+            s = np.concatenate([sims[alive], s], axis=1)
+            best = np.lexsort((at, -np.round(s, 12)), axis=1)[:, :k]
+            near[alive], sims[alive] = np.take_along_axis(at, best, 1), np.take_along_axis(s, best, 1)
+        return near, sims
 
 
-def weigh(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    w = (1 + np.log(counts)) * idf[terms]
-    return w / (np.sqrt(w @ w) or 1.0)
+def weigh(row: np.ndarray, term: np.ndarray, count: np.ndarray, worth: np.ndarray, n: int) -> np.ndarray:
+    """Weights of unit length for each row."""
+    w = (1 + np.log(count)) * worth[term]
+    return w / np.maximum(np.sqrt(np.bincount(row, w * w, n)), 1e-12)[row]
 
 
-def learn(docs: DataFrame, labels: DataFrame, each: int = EACH, indexed: int = INDEXED, terms: int = TERMS) -> dict:
-    rows, counts = tk.sample_by_class(labels, each)
-    if not all(counts):
-        return {"share": counts[1] / sum(counts) if sum(counts) else 0.0}
+def shares(near: np.ndarray, sims: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Share of label 1 among the votes."""
+    return (sims * labels[near]).sum(1) / np.maximum(sims.sum(1), 1e-12)
+
 
-    def count_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """Intercept and slope of a logistic regression, with a little shrinkage."""
+    a, w = np.stack([np.ones(len(x)), x], axis=1), np.zeros(2)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+        w -= np.linalg.solve((a * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ a + 1e-3 * np.eye(2), a.T @ (weight * (p - y)) + 1e-3 * w)
+    return float(w[0]), float(w[1])
+
+
+def _terms(texts: DataFrame, count: bool) -> DataFrame:
+    """doc_id, label and terms of each row as binary numbers; with count, rows of each label that have a term instead."""
+    kind = texts.schema["doc_id"].dataType.simpleString() if not count else ""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tk.slices(batch, "text"):
+                row, term, n = term_counts(*tk.text_buffer(part.column("text")))
                 y = part.column("label").to_numpy(zero_copy_only=False).astype(np.int64)
-                row, term = terms_of(*tk.text_buffer(part.column("text")))
-                own = np.unique(np.stack([row, term]), axis=1) if len(row) else np.zeros((2, 0), np.int64)
-                key, n = np.unique(np.stack([y[own[0]], own[1]]), axis=1, return_counts=True) if own.size else (own, np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(key[0], pa.int32()), pa.array(key[1], pa.int64()), pa.array(n, pa.int64())], ["label", "term", "n"])
+                if count:
+                    for label in (0, 1):
+                        names, times = np.unique(term[y[row] == label], return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), label), pa.int32()), pa.array(names, pa.int64()), pa.array(times, pa.int64())], ["label", "term", "n"])
+                else:
+                    at = tk.per_row(row, part.num_rows)
+                    cut = lambda v: pa.array([v[a:b].astype("<i8").tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label").cast(pa.int32()), cut(term), cut(n)], ["doc_id", "label", "term", "n"])
 
-    sampled = tk.sampled_texts(docs, labels, rows)
-    distinct = tk.checkpointed(sampled.groupBy("text", "label").count().select("text", "label"))
-    seen = dict(distinct.groupBy("label").count().collect())
-    total = np.array([seen.get(c, 0) for c in (0, 1)], float)
-    if not total.all():
-        return {"share": counts[1] / sum(counts)}
-    with_term = distinct.mapInArrow(count_sample, "label int, term long, n long").groupBy("term").agg(*(F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)))
-    got = with_term.where(F.col("n0") + F.col("n1") >= max(SUPPORT, int(total.sum()) // 1000)).toPandas().sort_values("term")  # from the bounded sample
-    chosen = choose_terms(got["term"].to_numpy(np.int64), np.stack([got["n0"], got["n1"]]).astype(float), total, terms)
-    if not len(chosen):
-        return {"share": counts[1] / sum(counts)}
-    ranks = {r[0]: i for i, r in enumerate(rows)}
-
-    def count_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(len(chosen), np.int64), 0
+    return texts.mapInArrow(run, "label int, term long, n long" if count else f"doc_id {kind}, label int, term binary, n binary")
+
+
+def frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[int, np.ndarray]:
+    """Rows, and rows that have each term, over all documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # the terms of 2 * INDEXED rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n = np.zeros(len(shared.value), np.int64), 0
         for batch in batches:
             for part in tk.slices(batch, "text"):
-                _, term, _ = term_counts(*tk.text_buffer(part.column("text")), chosen)
-                df += np.bincount(term, minlength=len(df))
+                df += np.bincount(term_counts(*tk.text_buffer(part.column("text")), shared.value)[1], minlength=len(df))
                 n += part.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *range(len(df))], pa.int64()), pa.array([n, *df], pa.int64())], ["term", "n"])
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some], pa.int64()), pa.array(np.r_[n, df[some]], pa.int64())], ["term", "n"])
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in tk.slices(batch, "text"):
-                row, term, n = term_counts(*tk.text_buffer(part.column("text")), chosen)
-                at = tk.per_row(row, part.num_rows)
-                cut = lambda v: pa.array([v[a:b] for a, b in zip(at, at[1:], strict=False)], pa.list_(pa.int64()))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label").cast(pa.int32()), cut(term), cut(n)], ["doc_id", "label", "term", "n"])
-
-    df = {r["term"]: r["n"] for r in docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(count_all, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    idf = np.log((1 + df[-1]) / (1 + np.array([df[i] for i in range(len(chosen))], float)))
-    idf = np.maximum(idf, 1e-3)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    examples = sampled.mapInArrow(vectors, f"doc_id {kind}, label int, term array<long>, n array<long>").collect()
-    examples.sort(key=lambda r: (ranks[r["doc_id"]], r["term"], r["n"]))
-    bare = [sum(not r["term"] for r in examples if r["label"] == c) / max(1, sum(r["label"] == c for r in examples)) for c in (0, 1)]
+    got = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()  # one row a term
+    df = np.zeros(len(vocabulary) + 1, np.int64)
+    df[got["term"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    return int(df[-1]), df[:-1]
+
+
+def relevance(with_term: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """with_term: (2, terms) rows of each class that have a term; rows: rows of each class."""
+    ratio = (with_term[1] / rows[1]) / np.maximum(with_term[0], 1) * rows[0]
+    return np.where(ratio > 1, np.log2(2 + ratio), 1.0) ** RELEVANCE
+
+
+def learn(docs: DataFrame, labels: DataFrame, each: int = EACH, indexed: int = INDEXED, neighbours: int = NEIGHBOURS) -> dict:
+    rows, counts = tk.sample_by_class(labels, each)
+    if not all(counts):
+        return {"share": counts[1] / sum(counts) if sum(counts) else 0.0}
     share = counts[1] / sum(counts)
-    none = share * bare[1] / max(share * bare[1] + (1 - share) * bare[0], 1e-9)
-    own = [r for c in (0, 1) for r in [r for r in examples if r["label"] == c][:indexed]]
-    x = np.zeros((len(own), len(chosen)))
-    for i, r in enumerate(own):
-        if r["term"]:
-            t = np.array(r["term"])
-            x[i, t] = weigh(t, np.array(r["n"]), idf)
-    y = np.array([r["label"] for r in own])
-    return {"terms": chosen, "idf": idf, "index": BlockMax(x, y, [r["doc_id"] for r in own]), "share": share, "none": none, "vote": ((1 - share) / max((y == 0).sum(), 1), share / max((y == 1).sum(), 1))}
-
-
-def score_row(terms: np.ndarray, counts: np.ndarray, model: dict, k: int = NEIGHBOURS) -> tuple[float, list[tuple]]:
-    """Score and evidence of one text."""
-    index: BlockMax = model["index"]
-    at, sim = index.search(terms, weigh(terms, counts, model["idf"]), k)
-    y = index.labels[at]
-    # a class's votes count by its share over its part of the index
-    vote = sim * np.where(y == 1, model["vote"][1], model["vote"][0]) * index.n
-    p = (vote @ y + PRIOR_VOTE * model["share"]) / (vote.sum() + PRIOR_VOTE)
-    return float(p), [(index.ids[a], float(s), int(v)) for a, s, v in zip(at[:EVIDENCE], sim, y, strict=False)]
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    chosen = [r for c in (0, 1) for r in [r for r in rows if r[1] == c][:indexed]]
+    distinct = tk.sampled_texts(docs, labels, rows).groupBy("text", "label").count().select("text", "label")
+    distinct = tk.checkpointed(distinct)
+    seen = dict(distinct.groupBy("label").count().collect())
+    got = _terms(distinct, True).groupBy("term").agg(*(F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)))
+    got = got.where(F.col("n0") + F.col("n1") >= SUPPORT).toPandas()  # from the bounded sample
+    ranks = {r[0]: i for i, r in enumerate(chosen)}
+    examples = _terms(tk.sampled_texts(docs, labels, chosen), False).collect()  # 2 * INDEXED rows
+    examples.sort(key=lambda r: (ranks[r["doc_id"]], bytes(r["term"]), bytes(r["n"])))
+    y = np.array([r["label"] for r in examples])
+    if not 0 < y.sum() < len(y) or not all(seen.get(c) for c in (0, 1)):
+        return {"share": share}
+    hashes = [np.frombuffer(r["term"], "<i8").view(np.uint64) for r in examples]
+    vocabulary = Vocabulary(np.concatenate(hashes))
+    total, df = frequencies(docs, vocabulary)
+    worth = np.maximum(np.log((1 + total) / (1 + df)), 1e-3)
+    place = vocabulary.find(got["term"].to_numpy(np.int64).view(np.uint64))
+    more = relevance(np.stack([got["n0"], got["n1"]]).astype(float), np.array([seen[0], seen[1]], float))
+    worth[place[place >= 0]] *= more[place >= 0]
+    of = np.repeat(np.arange(len(y)), [len(h) for h in hashes])
+    term, n = vocabulary.find(np.concatenate(hashes)), np.concatenate([np.frombuffer(r["n"], "<i8") for r in examples])
+    weight = weigh(of, term, n, worth, len(y))
+    # neighbours in the index share their heaviest term, so that blocks differ in their bounds
+    heaviest = np.full(len(y), -1)
+    order = np.lexsort((term, weight))
+    heaviest[of[order]] = term[order]
+    rank = np.argsort(np.lexsort((np.arange(len(y)), heaviest, y)))
+    order = np.argsort(rank)
+    index = BlockMax(rank[of], term, weight, len(y), len(vocabulary))
+    y = y[order]
+    by_rank = np.lexsort((term, rank[of]))
+    near, sims = index.search(rank[of][by_rank], term[by_rank], weight[by_rank], len(y), neighbours + 1)
+    # an example does not vote on itself or on its copies
+    sims = np.where((near == np.arange(len(y))[:, None]) | (sims > 1 - 1e-9), 0.0, sims)
+    each_weight = np.where(y == 1, share / y.sum(), (1 - share) / (len(y) - y.sum())) * len(y)
+    return {"vocabulary": vocabulary, "worth": worth, "index": index, "labels": y, "ids": [examples[i]["doc_id"] for i in order], "share": share, "line": calibrate(shares(near, sims, y), y, each_weight)}
+
+
+def score_texts(data: np.ndarray, at: np.ndarray, model: dict, k: int = NEIGHBOURS) -> tuple[np.ndarray, list[list[tuple]]]:
+    """Scores and evidence."""
+    n = len(at) - 1
+    if "index" not in model:
+        return np.full(n, model["share"]), [[]] * n
+    row, term, count = term_counts(data, at, model["vocabulary"])
+    near, sims = model["index"].search(row, term, weigh(row, term, count, model["worth"], n), n, k)
+    a, b = model["line"]
+    p = np.where(sims[:, 0] > 0, 1 / (1 + np.exp(-np.clip(a + b * shares(near, sims, model["labels"]), -30, 30))), model["share"])
+    return p, [[(model["ids"][i], float(s), int(model["labels"][i])) for i, s in zip(x[:EVIDENCE].tolist(), y[:EVIDENCE].tolist(), strict=True) if s > 0] for x, y in zip(near, sims, strict=True)]
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", k: int = NEIGHBOURS) -> DataFrame:
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     field = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 * INDEXED examples x TERMS numbers
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 * INDEXED examples and their terms
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        vocabulary = m.get("terms")
         for batch in batches:
-            for part in tk.slices(batch, "text"):
-                scores, evidence = [], []
-                if vocabulary is None:
-                    scores, evidence = [m["share"]] * part.num_rows, [[]] * part.num_rows
-                else:
-                    row, term, n = term_counts(*tk.text_buffer(part.column("text")), vocabulary)
-                    at = tk.per_row(row, part.num_rows)
-                    for a, b in zip(at, at[1:], strict=False):
-                        p, near = score_row(term[a:b], n[a:b], m, k) if a < b else (m["none"], [])
-                        scores.append(p)
-                        evidence.append(near)
+            for part in tk.slices(batch, "text", SMALL):
+                scores, evidence = score_texts(*tk.text_buffer(part.column("text")), shared.value, k)
                 kind = pa.list_(pa.struct([("doc_id", part.column("doc_id").type), ("similarity", pa.float64()), ("label", pa.int32())]))
                 found = pa.array([[{"doc_id": d, "similarity": s, "label": v} for d, s, v in e] for e in evidence], kind)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores, pa.float64()), found], ["doc_id", "score", "evidence"])

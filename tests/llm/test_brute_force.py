@@ -341,14 +341,59 @@ def test_block_max_is_exact():
     rng = np.random.default_rng(6)
     x = rng.random((300, 40)) * (rng.random((300, 40)) < 0.2)
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    index = toxicity.BlockMax(x, rng.integers(0, 2, 300), list(range(300)), 16)
-    for _ in range(50):
-        terms = np.sort(rng.choice(40, 5, replace=False))
-        w = rng.random(5)
-        at, sim = index.search(terms, w, 10)
-        want = np.sort(x[:, terms] @ w)[::-1][:10]
-        assert np.allclose(sim, want[want > 0])
-        assert np.allclose([x[index.ids[a]][terms] @ w for a in at], sim)
+    row, term = np.nonzero(x)
+    index = toxicity.BlockMax(row, term, x[row, term], 300, 40, 16)
+    q = rng.random((50, 40)) * (rng.random((50, 40)) < 0.1)
+    row, term = np.nonzero(q)
+    near, sims = index.search(row, term, q[row, term], 50, 10)
+    want = q @ x.T
+    for i in range(50):
+        best = np.sort(want[i])[::-1][:10]
+        assert np.allclose(sims[i], best)
+        assert all(np.isclose(want[i, a], s) for a, s in zip(near[i], sims[i], strict=True) if s > 0)
+
+
+def test_toxicity_neighbours_and_scores(spark, sf_dir, texts, duck):
+    """The whole query against dense cosines in plain Python."""
+    import collections
+    import math
+
+    docs = textkit.documents(spark, sf_dir)
+    labels = textkit.labelled(spark, sf_dir, "toxic")
+    model = toxicity.learn(docs, labels, indexed=24)
+    words = {d: collections.Counter(re.findall(r"[^\x00-\x26\x28-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m.group().lower(), t))) for d, t in texts.items()}
+    df = collections.Counter(w for c in words.values() for w in c)
+    known = {r["doc_id"]: r["label"] for r in labels.collect()}
+    rows, _ = textkit.sample_by_class(labels, toxicity.EACH)
+    chosen = [r[0] for c in (0, 1) for r in [r for r in rows if r[1] == c][:24]]
+    seen = {(texts[d], known[d]) for d, _ in rows}
+    n = [sum(y == c for _, y in seen) for c in (0, 1)]
+    of = {t: d for d, t in texts.items()}
+    have = [collections.Counter(w for t, y in seen if y == c for w in words[of[t]]) for c in (0, 1)]
+    vocabulary = {w for d in chosen for w in words[d]}
+
+    def worth(w):
+        ratio = have[1][w] / n[1] / max(have[0][w], 1) * n[0]
+        more = math.log2(2 + ratio) ** 2 if have[0][w] + have[1][w] >= toxicity.SUPPORT and ratio > 1 else 1.0
+        return max(math.log((1 + len(texts)) / (1 + df[w])), 1e-3) * more
+
+    def vector(d):
+        v = {w: (1 + math.log(k)) * worth(w) for w, k in words[d].items() if w in vocabulary}
+        size = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        return {w: x / size for w, x in v.items()}
+
+    examples = {d: vector(d) for d in chosen}
+    a, b = model["line"]
+    got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    for d in list(texts)[:60]:
+        own = vector(d)
+        sims = sorted(((sum(x * v.get(w, 0) for w, x in own.items()), known[e]) for e, v in examples.items()), reverse=True)[: toxicity.NEIGHBOURS]
+        near = sorted((e["similarity"] for e in got[d]["evidence"]), reverse=True)
+        assert np.allclose(near, [s for s, _ in sims[: len(near)] if s > 0], atol=1e-9)
+        votes = sum(s for s, _ in sims)
+        p = 1 / (1 + math.exp(-(a + b * sum(s * y for s, y in sims) / votes))) if votes else model["share"]
+        assert abs(p - got[d]["score"]) < 1e-6
+    assert np.mean([bool(got[d]["evidence"]) for d, t in texts.items() if t.split()]) > 0.9
 
 
 def test_held_out_accuracy(spark, duck):
