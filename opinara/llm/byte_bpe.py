@@ -5,7 +5,8 @@ pre-tokenised by different tasks. Where the pre-token boundaries of two neighbou
 resynchronised: the text is cut there and the pieces are encoded in parallel. Where an overlap has no common boundary
 the pre-tokens of the joined chunks are found again before the next cut. Decoding concatenates the bytes of the ids.
 
-A null text is the empty text, which has no ids; repeated rows give repeated results; other columns are not read.
+A null text is the empty text, which has no ids; repeated rows give repeated results; an empty table
+gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations

@@ -4,7 +4,8 @@ Text that repeats itself compresses far below prose, text without structure far
 raw bytes; as it falls with length, each band holds for a range of lengths. A text is kept if it passes the base rules,
 its own ratio lies in the band of its length, and no more than `bad_share` of its chunks lie outside the band of theirs.
 
-A null or empty text has no words and fails the base rules. Rows are judged one by one, so repeated rows repeat.
+A null or empty text has no words and fails the base rules. Rows are judged one by one, so repeated rows repeat, an empty
+table gives an empty one, and a long text has as many chunks as it takes. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -51,6 +52,14 @@ def outside(length: int, ratio: float, bands: tuple = BANDS) -> bool:
     return not low <= ratio <= high
 
 
+def chunks(raw: bytes, size: int) -> list[bytes]:
+    """Consecutive chunks; a rest of half a chunk or less belongs to the last one. None where one would be the whole text."""
+    if len(raw) <= size:
+        return []
+    starts = list(range(0, len(raw) - size // 2, size))
+    return [raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)], strict=True)]
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: tuple = BANDS, chunk: int = CHUNK, bad_share: float = BAD_SHARE, level: int = 3) -> DataFrame:
     """Base counts, ratios and the verdict for each row."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -68,7 +77,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands
                     failed = counts[0] < 50 or 100 * counts[4] > 50 * counts[0]
                     raw = text.encode()
                     ratio = len(squeeze(raw)) / len(raw) if raw else 0.0
-                    cut = [raw[i : i + chunk] for i in range(0, len(raw) - chunk // 2, chunk)] if len(raw) > chunk else []
+                    cut = chunks(raw, chunk)
                     ratios = [len(squeeze(c)) / len(c) for c in cut]
                     bad = sum(outside(len(c), r, bands) for c, r in zip(cut, ratios, strict=True))
                     kept = not failed and not outside(len(raw), ratio, bands) and bad <= bad_share * len(cut)

@@ -1,12 +1,13 @@
 """Language of whole texts: sparse multinomial logistic regression on TF-IDF of hashed character n-grams.
 
-Document frequencies are counted over all learning rows. The weights are fitted on a bounded sample of them, the
-`sample` rows with the least hash of their id, by follow-the-regularised-leader with L1 and L2 penalties, one text at a
+Document frequencies are counted over all learning rows. The weights are fitted on a bounded sample of them, equally many
+rows of each language (`LEAST_EACH` at least) with the least hash of their id, so rare languages are learned too, by follow-the-regularised-leader with L1 and L2 penalties, one text at a
 time; L1 leaves most n-grams without weight. A part of the sample is held back to calibrate the temperature of the
 softmax. Then every row is scored by its whole text.
 
 Null text, or text without a letter: `und` with score 0. A tie goes to the first language by name. Rows with a null
-language teach nothing; without any learning row every prediction is `und`. Repeated rows repeat.
+language teach nothing; without any learning row every prediction is `und`. Repeated rows repeat, an empty table gives
+an empty one, a long text is one vector, other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,27 +23,33 @@ from pyspark.sql import functions as F
 from opinara.llm import textkit as tk
 
 BUCKETS = 1 << 14
-SAMPLE, HELD_BACK, EPOCHS = 2400, 5, 2
+SAMPLE, LEAST_EACH, HELD_BACK, EPOCHS = 2400, 40, 5, 2
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.002, 0.0001
 MIN_GRAM, MAX_GRAM = 1, 3
 
-_SPACE = np.full(256, 32, np.uint8)  # what is no letter counts as a space
-_SPACE[65:91] = np.arange(97, 123)
-_SPACE[97:123] = np.arange(97, 123)
-_SPACE[128:] = np.arange(128, 256)
+_FOLD = np.arange(256, dtype=np.uint32)  # of ASCII what is no letter counts as a space; Latin-1 in lower case
+_FOLD[:128] = 32
+_FOLD[97:123] = np.arange(97, 123)
+_FOLD[65:91] = np.arange(97, 123)
+_FOLD[0xC0:0xDF] += 32
+_FOLD[0xD7] = 0xD7
 
 
 def grams(data: np.ndarray, at: np.ndarray, buckets: int = BUCKETS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Buckets and counts of the n-grams of bytes of each row."""
-    # UTF-8 bytes stand for characters: an n-gram of bytes covers n characters of ASCII and fewer others
-    code = _SPACE[data].astype(np.uint32)
+    """Buckets and counts of the n-grams of characters of each row."""
+    code = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), "<u4").copy()
+    low = code < 256
+    code[low] = _FOLD[code[low]]
+    # every byte but those that continue a character begins one
+    at = np.r_[0, np.cumsum((data & 0xC0) != 0x80)][at]
     n = len(code)
     hashed = []
     for k in range(MIN_GRAM, MAX_GRAM + 1):
         h = np.full(max(0, n - k + 1), k, np.uint32)
         for i in range(k):
             h = (h ^ code[i : n - k + 1 + i]) * np.uint32(0x9E3779B1)
-        hashed.append((h >> np.uint32(15)) % np.uint32(buckets))
+            h ^= h >> np.uint32(15)
+        hashed.append(h % np.uint32(buckets))
     for i in range(len(at) - 1):
         a, b = at[i], at[i + 1]
         own = np.concatenate([h[a : max(a, b - k)] for k, h in enumerate(hashed, MIN_GRAM - 1)]) if b > a else np.zeros(0, np.uint32)
@@ -130,13 +137,16 @@ def learn(rows: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS) -> dict
         for batch in batches:
             for part in tk.slices(batch, "text"):
                 got = list(grams(*tk.text_buffer(part.column("text")), buckets))
-                yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array([a.astype("<u4").tobytes() for a, _ in got], pa.binary()), pa.array([np.asarray(c, "<u4").tobytes() for _, c in got], pa.binary())], ["lang", "some", "counts"])
+                yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("key"), pa.array([a.astype("<u4").tobytes() for a, _ in got], pa.binary()), pa.array([np.asarray(c, "<u4").tobytes() for _, c in got], pa.binary())], ["lang", "key", "some", "counts"])
 
+    # as many rows of each language, about twice as many by hash first
+    counts = dict(rows.groupBy("lang").count().collect())  # one row a language
+    each = max(LEAST_EACH, sample // len(counts))
+    shares = rows.sparkSession.createDataFrame([(c, min(1.0, 2 * each / n)) for c, n in counts.items()], "lang string, share double")
     key = F.xxhash64(F.col("doc_id").cast("string"), F.lit(3))
-    # the ids come first, so that only the sample's texts are sorted out; ties of the hash at the end of the sample are all kept
-    last = rows.select(key.alias("key")).orderBy("key").limit(sample).agg(F.max("key")).first()[0]
-    chosen = rows.where(key <= last).select(key.alias("key"), "lang", "text")
-    got = chosen.select("lang", "text", "key").orderBy("key").limit(sample).select("lang", "text").mapInArrow(run, "lang string, some binary, counts binary").toPandas()
+    chosen = rows.join(F.broadcast(shares), "lang").where(F.pmod(key, F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    got = chosen.select("lang", "text", key.alias("key")).mapInArrow(run, "lang string, key long, some binary, counts binary").toPandas()
+    got = got.sort_values(["key", "lang", "some"]).groupby("lang").head(each)
     names = sorted(got["lang"].unique())
     data = [(*vector(np.frombuffer(a, "<u4").astype(np.int64), np.frombuffer(c, "<u4"), idf), names.index(y)) for y, a, c in zip(got["lang"], got["some"], got["counts"], strict=True)]
     held = data[::HELD_BACK] if len(data) >= 5 * HELD_BACK else []

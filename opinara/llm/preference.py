@@ -5,7 +5,8 @@ what follows is rendered as two completions, each with the spans that count for
 with their end marks, as start:end in code points of the completion.
 
 Turns are ordered by turn, role and text; repeated rows count once; a null role or text is empty; rows with a null
-conversation id and conversations without a partner give nothing; identical conversations give empty completions.
+conversation id and conversations without a partner give nothing; identical conversations give empty completions. An empty table
+gives an empty one; texts of any length are kept whole; other columns are not read.
 """
 
 from __future__ import annotations

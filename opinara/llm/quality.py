@@ -6,7 +6,8 @@ each passage of a text its share; the label's probability is logistic in the wei
 of whole texts are learned from: a bounded sample of `EACH` rows of each class, weighted by the classes' shares among
 all learning rows, so that scores stay probabilities.
 
-An empty or null text is one passage of zeros. Without learning rows of both classes every score is the share of label
+A text that is learned from gives at most `BAG` passages, at even distances; every passage of every text is scored.
+An empty or null text is one passage of zeros. An empty table gives an empty one. A score on the limit is accepted. Without learning rows of both classes every score is the share of label
 1, or 0.5. Repeated rows repeat; other columns are not read.
 """
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from opinara.llm import textkit as tk
 
-PASSAGE, EACH, PROJECTED, HIDDEN, STEPS = 64, 1500, 24, 24, 250
+PASSAGE, EACH, BAG, PROJECTED, HIDDEN, STEPS = 64, 1500, 256, 24, 24, 250
 ACCEPT = 0.3
 
 _KIND = np.full(256, 9, np.int64)
@@ -105,6 +106,11 @@ def fit(x: np.ndarray, of: np.ndarray, y: np.ndarray, weight: np.ndarray, hidden
     return m | {"mean": mean, "spread": spread}
 
 
+def spread(bag: np.ndarray, most: int = BAG) -> np.ndarray:
+    """At most so many passages of a bag, at even distances, so that a sample is bounded in memory too."""
+    return bag if len(bag) <= most else bag[np.linspace(0, len(bag) - 1, most).astype(np.int64)]
+
+
 def learn(docs: DataFrame, labels: DataFrame, each: int = EACH) -> dict:
     """docs: doc_id and text; labels: doc_id and label of the learning rows."""
     rows, counts = tk.sample_by_class(labels, each)
@@ -116,7 +122,7 @@ def learn(docs: DataFrame, labels: DataFrame, each: int = EACH) -> dict:
             for part in tk.slices(batch, "text"):
                 x, of = encode(*tk.text_buffer(part.column("text")))
                 at = tk.per_row(of, part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.string()), part.column("label").cast(pa.int32()), pa.array([x[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())], ["doc_id", "label", "x"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.string()), part.column("label").cast(pa.int32()), pa.array([spread(x[a:b]).tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())], ["doc_id", "label", "x"])
 
     got = tk.sampled_texts(docs, labels, rows).mapInArrow(run, "doc_id string, label int, x binary").toPandas().sort_values(["doc_id", "x"])
     y = got["label"].to_numpy(float)

@@ -323,6 +323,22 @@ def test_decontamination_finds_paraphrases(spark, texts, duck):
     assert 9000 in {r["doc_id"] for r in got}
 
 
+def test_decontamination_recall_of_paraphrases(spark, texts, duck):
+    """Items of 20 words or more with every eighth word replaced and one word in ten left out, inside other texts; ids are texts."""
+    rng = np.random.default_rng(21)
+    items = [(f"item {i}", t) for i, t in duck.sql("SELECT item_id, text FROM benchmark").fetchall() if len(t.split()) >= 20]
+    around = [t for t in texts.values() if len(t) > 600 and not any(x in t for _, x in items)]
+    docs, want = [], set()
+    for n, (i, t) in enumerate(items):
+        w = t.split()
+        w = [f"zq{rng.integers(1000)}" if k % 8 == 3 and k < 0.8 * len(w) else x for k, x in enumerate(w) if rng.random() > 0.1 or k > 0.8 * len(w)]
+        docs.append((n, f"{around[n % len(around)][:250]} {' '.join(w)} {around[(n + 1) % len(around)][250:500]}"))
+        want.add((n, i))
+    docs += [(1000 + n, t) for n, t in enumerate(around)]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id string, text string")).collect()}
+    assert len(got & want) >= 0.9 * len(want) and not {d for d, _ in got - want if d >= 1000}
+
+
 def test_lcs():
     rng = np.random.default_rng(3)
     for _ in range(200):

@@ -96,3 +96,58 @@ def test_preference(spark):
         a, b = map(int, r[f"{side}_loss"].split(":"))
         assert r[side][a:b] == said + "<|im_end|>"
     assert got[1]["n_common_turns"] == 1 and got[1]["chosen"] == "" and got[1]["chosen_loss"] == ""
+
+
+STAGE = "doc_id bigint, text string, lang string, source string, n_chars bigint, of_doc int, gone_lines int, text_key int, sig string, found int"
+
+
+@pytest.fixture(scope="module")
+def stage_input(spark):
+    rows = [(i, t, None, "s", len(t or ""), 1, 2, 3, "x", 4) for i, t in enumerate(TEXTS)]
+    return spark.createDataFrame([*rows, rows[4], (None, "a b c d e f g h", None, None, 15, None, None, None, None, None), (None, LONG, None, None, 5, None, None, None, None, None), (4, "not the same text as its namesake", None, None, 33, None, None, None, None, None)], STAGE)
+
+
+def test_stages_take_any_input(spark, stage_input, tmp_path):
+    """Each stage on nulls, repeated rows, shared ids, long texts, clashing column names, and on an empty table."""
+    spark.createDataFrame([(i, i % 2, 0) for i in range(4)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("first", LONG[:200]), (None, "zz yy xx")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for stage in (quality.keep_good, line_dedup.without_repeats, jaccard.keep_one, decontaminate.without_leaks):
+        got = stage(spark, stage_input, str(tmp_path))
+        assert got.columns == stage_input.columns
+        kept = got.count()
+        assert 0 < kept <= stage_input.count() or stage is quality.keep_good
+        assert stage(spark, stage_input.limit(0), str(tmp_path)).count() == 0
+    # only rows whose own text holds an item go
+    left = decontaminate.without_leaks(spark, stage_input, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in left if r["doc_id"] is not None) == sorted([0, 1, 2, 3, 4, 4, 4, 5, 7, 8])
+    assert [r["text"] for r in left if r["doc_id"] is None] == ["a b c d e f g h"]
+
+
+def test_loose_spans_among_many_base_spans():
+    text = "a@b.co " * 3000 + "call (212) 555-0100 now"
+    base = pii.base_spans(text)
+    assert len(base) == 3000 and [k for _, k, _ in pii.loose_spans(text, base)] == [3]
+    card = "+1 (212) 555-0100 and (212) 555-0101"
+    assert [(a, b) for a, _, b in pii.loose_spans(card, pii.base_spans(card))] == [(22, 36)]
+
+
+def test_chunks_cover_the_text():
+    for n in (1, 2048, 2049, 3072, 3073, 5000, 7168, 9000):
+        cut = compression.chunks(bytes(n), 2048)
+        assert sum(map(len, cut)) == (n if n > 2048 else 0) and all(1024 < len(c) <= 3072 for c in cut)
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(i, f"the quick brown fox number {i}", "en") for i in range(3000)] + [(5000 + i, f"東京都は日本の首都 {i}", "ja") for i in range(3)]
+    model = language.learn(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), sample=200)
+    assert model["names"] == ["en", "ja"]
+    got = language.predict(spark.createDataFrame([(1, "日本の首都"), (2, "a brown fox")], "doc_id bigint, text string"), model).collect()
+    assert [r["lang_pred"] for r in got] == ["ja", "en"]
+
+
+def test_preference_on_nothing(spark):
+    none = spark.createDataFrame([], "pair_id bigint, side int, conv_id bigint, turn bigint, role string, text string, chosen string, prompt string")
+    assert preference.format_pairs(none).count() == 0
+    long = spark.createDataFrame([(0, 0, 0, 0, "user", LONG, "x", "y"), (0, 1, 1, 0, "user", LONG, "x", "y"), (0, 1, 1, 1, "assistant", LONG, "x", "y")], none.schema)
+    r = preference.format_pairs(long).first()
+    assert LONG in r["prompt"] and LONG in r["rejected"] and r["chosen"] == ""
