@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from opinara.llm import textkit as tk
 
 
-def _is_star(edges: DataFrame) -> bool:
+def _is_star(edges: DataFrame, few: int) -> bool:
     """Whether every node has one edge down at most and none that leads on."""
     roles = edges.select("u", F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("down"), F.lit(1).alias("up")))
-    return roles.groupBy("u").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 OR (down > 0 AND up > 0)").isEmpty()
+    return roles.groupBy("u").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 OR (down > 0 AND up > 0)").coalesce(few).isEmpty()
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -22,7 +22,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = tk.checkpointed(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     few = tk.parts(edges.count())  # rounds over few links are a matter of few tasks
     edges = edges.coalesce(few)
-    while not _is_star(edges):
+    while not _is_star(edges, few):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(few).distinct().coalesce(few)
@@ -30,4 +30,4 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = tk.checkpointed(small.unionByName(least.select("u", F.col("m").alias("v"))).coalesce(few).distinct().coalesce(few))
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct().coalesce(few)).coalesce(few)

@@ -199,7 +199,7 @@ def _whole(wanted: DataFrame, docs: DataFrame, classes: DataFrame, k: int, sketc
 
     # beyond that many rows a shuffle finds the texts
     texts = docs.join(F.broadcast(ids) if count <= MOST_WANTED else ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return tk.stored(texts.select("text").mapInArrow(run, "sig long, whole binary").dropDuplicates(["sig"]))
+    return tk.stored(texts.select("text").mapInArrow(run, "sig long, whole binary").dropDuplicates(["sig"]).coalesce(tk.parts(count, 20_000)))
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -246,17 +246,19 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = tk.stored(_prepare(docs, k, percent))
     classes = rows.where("n > 0").select("sig", "doc_id")
-    prefixes = tk.stored(rows.where("n > 0").select("sig", "n", "prefix").dropDuplicates(["sig"]))
+    some = tk.parts(rows.count(), 5_000)
+    prefixes = tk.stored(rows.where("n > 0").select("sig", "n", "prefix").dropDuplicates(["sig"]).coalesce(some))
     meets = lambda n, m: may_meet(n, m, percent)
     size = lambda n: n & ((1 << 32) - 1)
     may = lambda n, m, difference: may_link(size(n), size(m), difference, percent)
-    lists = tk.stored(shared_lists(_entries(prefixes), meets))
+    lists = tk.stored(shared_lists(_entries(prefixes), meets).coalesce(some))
     sizes = [F.col(c).bitwiseAND((1 << 32) - 1) for c in ("n", "lead_n")]
     least = F.ceil((sizes[0] + sizes[1]) * percent / (100 + percent))
     first = [z - F.shiftright(c, 32) >= least for z, c in zip(sizes, ("n", "lead_n"), strict=True)]
     # of the leads of its lists, a set first meets the one that leads most of them
     leads = lists.where((F.col("sig") != F.col("lead")) & first[0] & first[1]).groupBy("sig", "lead").count()
-    pairs = tk.checkpointed(leads.groupBy("sig").agg(F.max_by("lead", F.struct("count", "lead")).alias("lead")).select(F.least("sig", "lead").alias("a"), F.greatest("sig", "lead").alias("b")).distinct())
+    few = tk.parts(lists.count())
+    pairs = tk.checkpointed(leads.coalesce(few).groupBy("sig").agg(F.max_by("lead", F.struct("count", "lead")).alias("lead")).select(F.least("sig", "lead").alias("a"), F.greatest("sig", "lead").alias("b")).coalesce(few).distinct().coalesce(few))
     links = tk.checkpointed(_verify(pairs, docs, classes, k, percent))
     roots = tk.checkpointed(components(links))
     members = mixed(lists, roots)
@@ -266,9 +268,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
         if not len(fresh):
             break
         skipped = np.union1d(skipped, fresh[: max(0, MOST_LONG - len(skipped))])
-        renewed = tk.stored(_prepare(docs, k, percent, skipped).where("n > 0").select("sig", "n", "prefix").dropDuplicates(["sig"]))
-        kept = prefixes.join(renewed.select("sig"), "sig", "left_anti")
-        members = mixed(tk.stored(shared_lists(_entries(kept.unionByName(renewed)), meets)), roots)
+        renewed = tk.stored(_prepare(docs, k, percent, skipped).where("n > 0").select("sig", "n", "prefix").dropDuplicates(["sig"]).coalesce(some))
+        kept = prefixes.join(renewed.select("sig"), "sig", "left_anti").coalesce(some)
+        members = mixed(tk.stored(shared_lists(_entries(kept.unionByName(renewed)), meets).coalesce(some)), roots)
     met = pairs
     dense = members.where(F.col("size") > wide)
     sketches = _whole(dense, docs, classes, k, sketches=True)
@@ -276,7 +278,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     for nearest in (True, False) if sketches is not None else (False,):
         while True:
             across = crossing(members, meets, may, sketches, nearest, wide, cell)
-            across = tk.checkpointed(across.join(met, ["a", "b"], "left_anti"))
+            across = tk.checkpointed(across.coalesce(few).join(met, ["a", "b"], "left_anti").coalesce(few))
             more = tk.checkpointed(_verify(across, docs, classes, k, percent))
             if more.isEmpty():
                 break
@@ -297,7 +299,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
 def _long_lists(members: DataFrame, long: int) -> np.ndarray:
     """Sorted shingles whose lists are shared by more than `long` components; at most MOST_LONG, the longest ones. Lists
     that are not skipped cost time, never links."""
-    wide = members.select("token", "root").distinct().groupBy("token").count().where(F.col("count") > long)
+    few = tk.parts(members.count())
+    wide = members.coalesce(few).select("token", "root").distinct().coalesce(few).groupBy("token").count().where(F.col("count") > long).coalesce(few)
     found = wide.orderBy(F.desc("count"), "token").limit(MOST_LONG).select("token").toPandas()["token"]
     return np.sort(found.to_numpy(np.int64).view(np.uint64))
 

@@ -271,23 +271,26 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     blocks = blocks or blocks_for(16 * docs.count())
     found = tk.stored(occurrences(docs, least, blocks))
+    some = tk.parts(found.count(), 50_000)
     nodes = found.groupBy("key").agg(F.min(F.struct("doc_id", "number")).alias("first"), F.min("code").alias("code"), F.count("*").alias("copies"))
-    nodes = tk.stored(nodes.select("key", "code", "copies", F.col("first.doc_id").alias("doc_id"), F.col("first.number").alias("number")))
+    nodes = tk.stored(nodes.select("key", "code", "copies", F.col("first.doc_id").alias("doc_id"), F.col("first.number").alias("number")).coalesce(some))
     # viewed as unsigned, as bitwise_count takes the absolute value of signed numbers
     gap = lambda n, m: np.bitwise_count((n ^ m).view(np.uint64)).astype(np.int64)
     meets = lambda n, m: gap(n, m) <= CLOSE
-    lists = tk.stored(shared_lists(entries(nodes, blocks), meets, WIDE))
+    lists = tk.stored(shared_lists(entries(nodes, blocks), meets, WIDE).coalesce(some))
     far = F.bit_count(F.col("n").bitwiseXOR(F.col("lead_n")))
     leads = lists.where((F.col("sig") != F.col("lead")) & (far <= CLOSE)).groupBy("sig", "lead").agg(F.count("*").alias("n"), F.min(far).alias("far"))
     # of the leads of its lists, a node first meets the one that leads most of them
-    pairs = leads.groupBy("sig").agg(F.max_by("lead", F.struct("n", -F.col("far"), "lead")).alias("lead")).select(F.least("sig", "lead").alias("a"), F.greatest("sig", "lead").alias("b"))
-    met = tk.checkpointed(pairs.distinct())
+    few = tk.parts(lists.count())
+    pairs = leads.coalesce(few).groupBy("sig").agg(F.max_by("lead", F.struct("n", -F.col("far"), "lead")).alias("lead")).select(F.least("sig", "lead").alias("a"), F.greatest("sig", "lead").alias("b"))
+    met = tk.checkpointed(pairs.coalesce(few).distinct().coalesce(few))
     links = tk.checkpointed(_verify(met, docs, nodes, similarity))
     roots = tk.checkpointed(components(links))
     members = mixed(lists, roots)
     for nearest in (False,) if members.where(F.col("size") > WIDE).isEmpty() else (True, False):
         while True:
-            across = tk.checkpointed(crossing(members, meets, nearest=nearest, wide=WIDE, gap=gap).join(met, ["a", "b"], "left_anti"))
+            across = crossing(members, meets, nearest=nearest, wide=WIDE, gap=gap)
+            across = tk.checkpointed(across.coalesce(few).join(met, ["a", "b"], "left_anti").coalesce(few))
             more = tk.checkpointed(_verify(across, docs, nodes, similarity))
             if more.isEmpty():
                 break

@@ -176,10 +176,11 @@ def crossing(members: DataFrame, fits: Callable[[np.ndarray, np.ndarray], np.nda
     large = large.withColumn("block", F.pmod(F.xxhash64("sig"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     large = large.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("long").alias("side"), "sig", "n", "root", "sketch")
     large = large.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run_wide, "a long, b long")
+    few = tk.parts(members.count(), 20_000)
     if nearest:
-        return large.distinct()
+        return large.coalesce(few).distinct()
     small = by_token(members.where(F.col("size") <= wide).drop("size"), "root", "sig").mapInArrow(run_narrow, "a long, b long")
-    return small.unionByName(large).distinct()
+    return small.coalesce(few).unionByName(large.coalesce(few)).distinct()
 
 
 def _pairs(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
