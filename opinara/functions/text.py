@@ -62,8 +62,11 @@ def parse_stance(answer: Column) -> Column:
 
 
 def parse_yes_no(answer: Column) -> Column:
-    lower = F.lower(answer)
-    return F.when(lower.contains("yes") & ~lower.contains("no"), "yes").when(lower.contains("no") & ~lower.contains("yes"), "no").when(lower.startswith("yes"), "yes").otherwise("no")
+    """By the first line: the one of yes and no that stands there alone; else yes if a word of approval does."""
+    line = F.lower(F.element_at(F.split(answer, "\n"), 1))
+    yes, no = line.contains("yes"), line.contains("no")
+    approves = line.contains("favor") | line.contains("agree") | line.contains("support")
+    return F.when(yes & ~no, "yes").when(no & ~yes, "no").when(approves, "yes").otherwise("no")
 
 
 def resolve_two(favor: Column, against: Column) -> Column:

@@ -52,14 +52,33 @@ def capped(df: DataFrame, group: str, id_col: str, cap: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap).drop("rank")
 
 
+def range_of(df: DataFrame, order: str, n: int = 64) -> Column:
+    """The range, of about n equal ones, that a number falls into. Bounds are constants, so every branch of a plan agrees."""
+    bounds = sorted(set(df.approxQuantile(order, [i / n for i in range(1, n)], 0.002)))
+    if not bounds:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(order).cast("double")))
+
+
+def running(df: DataFrame, order: str, sums: dict[str, Column], *keys: str, n: int = 64) -> DataFrame:
+    """run_x and total_x for each sum x: its running sum up to the row within the keys, and its sum over them. Ranges of the
+    order are summed apart and offset by the sums of those before, so no task sees all rows of a key."""
+    rows = df.withColumn("range_", range_of(df, order, n))
+    within = Window.partitionBy(*keys, "range_").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    local = rows.select("*", *(F.sum(c).over(within).alias(f"run_{x}") for x, c in sums.items()))
+    sizes = rows.groupBy(*keys, "range_").agg(*(F.sum(c).alias(f"size_{x}") for x, c in sums.items()))  # n rows a key
+    key = list(keys) or [F.lit(0)]
+    earlier, whole = Window.partitionBy(*key).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*key)
+    before = sizes.select(*keys, "range_", *(c for x in sums for c in (F.coalesce(F.sum(f"size_{x}").over(earlier), F.lit(0)).alias(f"before_{x}"), F.sum(f"size_{x}").over(whole).alias(f"total_{x}"))))
+    out = local.join(before, [*keys, "range_"])
+    for x in sums:
+        out = out.withColumn(f"run_{x}", F.col(f"run_{x}") + F.col(f"before_{x}")).drop(f"before_{x}")
+    return out.drop("range_")
+
+
 def numbered(df: DataFrame, order: str) -> DataFrame:
-    """rn: the place of each row in the order, from 1. Ranges are sorted apart and offset by the sizes of those before,
-    so no task sees all rows."""
-    ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("part", F.spark_partition_id())
-    local = ranged.withColumn("local", F.row_number().over(Window.partitionBy("part").orderBy(order)))
-    sizes = local.groupBy("part").agg(F.max("local").alias("size"))  # one row a partition
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy(F.col("a.part").alias("part")).agg(F.coalesce(F.sum("b.size"), F.lit(0)).alias("before"))
-    return local.join(F.broadcast(before), "part").withColumn("rn", F.col("local") + F.col("before")).drop("part", "local", "before")
+    """rn: the place of each row in the order of a number, from 1; no task sees all rows."""
+    return running(df, order, {"n": F.lit(1).cast("long")}).withColumnRenamed("run_n", "rn").drop("total_n")
 
 
 def systematic(df: DataFrame, order: str, n: int) -> DataFrame:
@@ -74,7 +93,36 @@ def ordered_split(df: DataFrame, order: str, train: int, dev: int) -> DataFrame:
 
 def stratified_split(df: DataFrame, label: str, order: str, ratio: tuple[int, ...] = (6, 2, 2)) -> DataFrame:
     """Each label's rows in order: shares of ratio / 10, rounded down, for train and dev; the rest tests."""
-    n = F.count("*").over(Window.partitionBy(label))
-    rn = F.row_number().over(Window.partitionBy(label).orderBy(order))
-    train, dev = F.floor(n * ratio[0] / 10), F.floor(n * ratio[1] / 10)
-    return df.withColumn("split", F.when(rn <= train, "train").when(rn <= train + dev, "dev").otherwise("test"))
+    out = running(df, order, {"n": F.lit(1).cast("long")}, label)
+    train, dev = F.floor(F.col("total_n") * ratio[0] / 10), F.floor(F.col("total_n") * ratio[1] / 10)
+    split = F.when(F.col("run_n") <= train, "train").when(F.col("run_n") <= train + dev, "dev").otherwise("test")
+    return out.withColumn("split", split).drop("run_n", "total_n")
+
+
+def shuffled(df: DataFrame, id_col: str, seed: int = 0) -> DataFrame:
+    """rn: a place in an order that follows from the id and a seed."""
+    key = F.pmod((F.col(id_col) + seed) * F.lit(2654435761), F.lit(1_000_003)) + F.pmod(F.col(id_col), F.lit(1 << 20)) / (1 << 21)
+    return numbered(df.withColumn("key_", key), "key_").drop("key_")
+
+
+def lookup_one(df: DataFrame, table: DataFrame, *keys: str) -> DataFrame:
+    """df with the columns of the one row of the table that has its keys; an error if there is none, or are several."""
+    rest = [c for c in table.columns if c not in keys]
+    found = table.groupBy(*keys).agg(F.count("*").alias("n_found"), *(F.first(c).alias(c) for c in rest))
+    bad = F.raise_error(F.concat(F.lit("rows found for a key: "), F.coalesce("n_found", F.lit(0)).cast("string")))
+    joined = df.join(found, list(keys), "left").withColumn("n_found", F.when(F.col("n_found") == 1, F.col("n_found")).otherwise(bad.cast("long")))
+    return joined.where("n_found = 1").drop("n_found")
+
+
+def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
+    """same: whether both hold the same rows, equally often."""
+    return a.exceptAll(b).unionByName(b.exceptAll(a)).agg((F.count("*") == 0).alias("same"))
+
+
+def without_tombstones(df: DataFrame, author: str = "author") -> DataFrame:
+    return df.where(F.col(author) != "[deleted]")
+
+
+def rescale(step: Column, steps: int, start: int, end: int) -> Column:
+    """Steps 0 to steps - 1 mapped evenly onto [start, end]."""
+    return start + step * ((end - start) / (steps - 1))

@@ -30,14 +30,21 @@ def degrees(edges: DataFrame) -> DataFrame:
     return each.unionByName(every).groupBy("type", "degree").agg(F.count("*").alias("n_nodes"))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Written to the session's checkpoint folder, if it has one, so that a lost executor does not repeat earlier rings."""
+    spark = df.sparkSession
+    return df.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() else df
+
+
 def rings(edges: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
     """user, node, ring: nodes at distance 1 to depth from each seed, regardless of direction."""
     both = edges.where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = settled(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     seen = seeds.select("user", F.col("user").alias("node"), F.lit(0).alias("ring"))
     front = seen
     for k in range(1, depth + 1):
         step = front.join(both, front["node"] == both["a"]).select("user", F.col("b").alias("node")).distinct()
         front = step.join(seen.select("user", "node"), ["user", "node"], "left_anti").withColumn("ring", F.lit(k))
+        front = settled(front)
         seen = seen.unionByName(front)
     return seen.where("ring > 0")

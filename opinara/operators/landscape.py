@@ -149,3 +149,15 @@ def bootstrap(pairs: DataFrame, replicates: int, *keys: str, level: float = 0.95
     rs = s.where("sw > 0").withColumn("pearson", F.try_divide(cov, F.sqrt(vx * vy)))
     tail = (1 - level) / 2
     return rs.groupBy(*keys).agg(F.round(F.percentile("pearson", F.lit(tail)), 6).alias("lo"), F.round(F.percentile("pearson", F.lit(1 - tail)), 6).alias("hi"))
+
+
+def pearson_xy(pairs: DataFrame, *keys: str) -> DataFrame:
+    """r of x and y with weights of their own, exp(-variance); the covariance is weighted by their product. t takes the
+    summed products less two (null unless positive), p_value the rows less two as degrees of freedom."""
+    w = pairs.withColumn("wx", F.exp(-F.col("vx"))).withColumn("wy", F.exp(-F.col("vy")))
+    means = w.groupBy(*keys).agg((F.sum(F.col("wx") * F.col("x")) / F.sum("wx")).alias("mx"), (F.sum(F.col("wy") * F.col("y")) / F.sum("wy")).alias("my"))
+    dx, dy, both = F.col("x") - F.col("mx"), F.col("y") - F.col("my"), F.col("wx") * F.col("wy")
+    sums = w.join(means, list(keys)).groupBy(*keys).agg(F.count("*").alias("n"), F.sum(both).alias("ww"), (F.sum(both * dx * dy) / F.sum(both)).alias("cov"), (F.sum(F.col("wx") * dx * dx) / F.sum("wx")).alias("a"), (F.sum(F.col("wy") * dy * dy) / F.sum("wy")).alias("b"))
+    r = sums.select(*keys, "n", "ww", F.try_divide(F.col("cov"), F.sqrt(F.col("a") * F.col("b"))).alias("r"))
+    r = r.withColumn("t", F.when(F.col("ww") > 2, t_statistic(F.col("r"), F.col("ww"))))
+    return r.withColumn("p_value", t_p_value(F.col("t"), F.col("n") - 2))

@@ -14,19 +14,25 @@ def past_and_future(df: DataFrame, user: str, t: str, value: str) -> DataFrame:
 
 
 def trailing(df: DataFrame, kind: str, ts: str, value: str, days: int) -> DataFrame:
-    """Count and mean of the same kind's rows in (ts - days, ts). Rows are summed by day first; a row then needs the sums
-    of whole days and the rows of the first and last day only, so that no task holds a kind's whole history."""
-    t = F.unix_micros(F.col(ts).cast("timestamp"))
+    """Count and mean of the same kind's rows in (ts - days, ts), as what came before ts less what came up to ts - days.
+    Both are running sums within a kind's day, plus the sums of its whole days before, so every row is read once and no
+    task holds a kind's whole history."""
     day = F.lit(86_400_000_000)
-    rows = df.withColumn("__t", t).withColumn("__day", F.floor(t / day))
-    by_day = rows.groupBy(kind, "__day").agg(F.count("*").alias("c"), F.sum(value).alias("s"))
-    probes = rows.select(kind, F.col("__t").alias("p_t"), F.col("__day").alias("p_day")).distinct()
-    whole = probes.select(kind, "p_t", F.explode(F.sequence(F.col("p_day") - days + 1, F.col("p_day") - 1)).alias("__day")).join(by_day, [kind, "__day"])
-    edge = probes.select(kind, "p_t", F.explode(F.array("p_day", F.col("p_day") - days)).alias("__day")).join(rows.select(kind, "__day", "__t", value), [kind, "__day"]).where((F.col("__t") < F.col("p_t")) & (F.col("__t") > F.col("p_t") - days * day))
-    both = whole.select(kind, "p_t", "c", "s").unionByName(edge.select(kind, "p_t", F.lit(1).cast("long").alias("c"), F.col(value).alias("s")))
-    sums = both.groupBy(kind, "p_t").agg(F.sum("c").alias("n_before"), F.sum("s").alias("s_before"))
-    out = rows.join(sums.withColumnRenamed("p_t", "__t"), [kind, "__t"], "left")
-    return out.withColumn("n_before", F.coalesce("n_before", F.lit(0))).withColumn("mean_before", F.try_divide("s_before", "n_before")).drop("__t", "__day", "s_before")
+    rows = df.withColumn("__t", F.unix_micros(F.col(ts).cast("timestamp")))
+    none = (F.lit(0).cast("long").alias("c"), F.lit(0.0).alias("s"))
+    held = rows.select(kind, F.col("__t").alias("at"), F.lit(0).alias("sign"), F.lit(None).cast("long").alias("of"), F.lit(1).cast("long").alias("c"), F.col(value).cast("double").alias("s"))
+    times = rows.select(kind, "__t").distinct()
+    asked = [times.select(kind, at.alias("at"), F.lit(sign).alias("sign"), F.col("__t").alias("of"), *none) for at, sign in ((F.col("__t") - 1, 1), (F.col("__t") - days * day, -1))]
+    both = held.unionByName(asked[0]).unionByName(asked[1]).withColumn("day", F.floor(F.col("at") / day))
+    # at equal times what is held comes before what is asked
+    within = Window.partitionBy(kind, "day").orderBy("at", F.abs("sign")).rowsBetween(Window.unboundedPreceding, 0)
+    ran = both.select(kind, "day", "sign", "of", F.sum("c").over(within).alias("c"), F.sum("s").over(within).alias("s"))
+    totals = both.groupBy(kind, "day").agg(F.sum("c").alias("day_c"), F.sum("s").alias("day_s"))  # a row a day
+    earlier = Window.partitionBy(kind).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(kind, "day", *(F.coalesce(F.sum(f"day_{x}").over(earlier), F.lit(0)).alias(f"before_{x}") for x in "cs"))
+    sums = ran.where("sign <> 0").join(before, [kind, "day"]).groupBy(kind, F.col("of").alias("__t")).agg(F.sum(F.col("sign") * (F.col("c") + F.col("before_c"))).alias("n_before"), F.sum(F.col("sign") * (F.col("s") + F.col("before_s"))).alias("s_before"))
+    out = rows.join(sums, [kind, "__t"], "left").withColumn("n_before", F.coalesce("n_before", F.lit(0)))
+    return out.withColumn("mean_before", F.when(F.col("n_before") > 0, F.col("s_before") / F.col("n_before"))).drop("__t", "s_before")
 
 
 def density(df: DataFrame, value: Column, lo: float, hi: float, bins: int) -> DataFrame:

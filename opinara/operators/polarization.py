@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinara.functions.scores import belief
+from opinara.operators.cohort import running
 
 
 def beliefs(snapshots: DataFrame) -> DataFrame:
@@ -16,7 +17,7 @@ def symmetric(rows: DataFrame, group: str = "snapshot", user: str = "user_id", a
     """Sum of |b - mean of the axis| over users and axes, by 2 n."""
     mean = rows.groupBy(group, axis).agg(F.avg("b").alias("m"))
     users = rows.groupBy(group).agg(F.countDistinct(user).alias("n"))
-    total = rows.join(F.broadcast(mean), [group, axis]).groupBy(group).agg(F.sum(F.abs(F.col("b") - F.col("m"))).alias("s"))
+    total = rows.join(mean, [group, axis]).groupBy(group).agg(F.sum(F.abs(F.col("b") - F.col("m"))).alias("s"))
     return total.join(users, group).select(group, F.round(F.col("s") / (2 * F.col("n")), 6).alias("polarization"))
 
 
@@ -33,12 +34,10 @@ def asymmetric(rows: DataFrame, axes: list[str], group: str = "snapshot", user:
     per = bits.withColumn("mask", F.explode(F.array(*map(F.lit, partitions(len(axes)))))).where(F.col("mask").bitwiseAND(F.col("bit")) != 0)
     means = per.groupBy(group, "mask", user).agg(F.round(F.avg("b"), 9).alias("v"))
     values = means.groupBy(group, "mask", "v").agg(F.count("*").alias("c"))
-    up = Window.partitionBy(group, "mask").orderBy("v")
-    whole = Window.partitionBy(group, "mask")
-    n, s = F.sum("c").over(whole), F.sum(F.col("v") * F.col("c")).over(whole)
-    i, low = F.sum("c").over(up), F.sum(F.col("v") * F.col("c")).over(up)
+    sums = running(values, "v", {"c": F.col("c"), "s": F.col("v") * F.col("c")}, group, "mask")
+    n, s, i, low = (F.col(c) for c in ("total_c", "total_s", "run_c", "run_s"))
     # within equal values the expression is linear in i, so its greatest value is at the end of a run
-    at = values.select(group, "mask", n.alias("n"), (i * (s - low) - (n - i) * low).alias("e"))
+    at = sums.select(group, "mask", n.alias("n"), (i * (s - low) - (n - i) * low).alias("e"))
     return at.groupBy(group, "mask").agg(F.round(F.max(F.col("e") / (4.0 * F.col("n") * F.col("n"))), 6).alias("polarization"))
 
 

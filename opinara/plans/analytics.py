@@ -67,11 +67,11 @@ def trailing_window_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", "n_before", F.round("mean_before", 6).alias("mean_before"))
 
 
-@R.query(f"""WITH {GRAPH}, {CONTENTS}, near AS (SELECT DISTINCT src, cast(substr(dst, 2) AS BIGINT) % 25 AS author FROM graph WHERE type = 'R' AND cast(substr(src, 2) AS BIGINT) < 20),
+@R.query(f"""WITH {GRAPH}, {CONTENTS}, near AS (SELECT DISTINCT src, cast(substr(dst, 2) AS BIGINT) % 25 AS author FROM graph WHERE type = 'R'),
 j AS (SELECT n.src, unnest(c.embedding)::DOUBLE AS x, unnest(range(len(c.embedding))) AS pos FROM near n JOIN contents c USING (author) WHERE c.t >= 50 AND c.t < 150)
 SELECT src, cast(pos AS INT) AS pos, round(avg(x), 6) AS value FROM j GROUP BY ALL""")
 def ring_window_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = fixtures.graph(spark, sf_dir).where("type = 'R'").where(F.substring("src", 2, 20).cast("long") < 20).select("src", (F.substring("dst", 2, 20).cast("long") % 25).alias("author")).distinct()
+    near = fixtures.graph(spark, sf_dir).where("type = 'R'").select("src", (F.substring("dst", 2, 20).cast("long") % 25).alias("author")).distinct()
     c = fixtures.contents(spark, sf_dir).where("t >= 50 AND t < 150")
     return vectors.centroids(near.join(c, "author"), "src")
 
@@ -322,8 +322,7 @@ def predict_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.predict(fixtures.comments(spark, sf_dir).select("id", "body"), models.lexicon, "body").select("id", "predicted")
 
 
-@R.query(f"""WITH {GRAPH}, c AS (SELECT DISTINCT src AS user, dst AS node, 1 AS ring FROM graph WHERE type = 'A' AND cast(substr(src, 2) AS BIGINT) < 50) SELECT * FROM c""")
+@R.query(f"""WITH {GRAPH}, c AS (SELECT DISTINCT src AS user, dst AS node, 1 AS ring FROM graph WHERE type = 'A') SELECT * FROM c""")
 def first_ring_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = fixtures.graph(spark, sf_dir).where("type = 'A'")
-    seeds = e.where(F.substring("src", 2, 20).cast("long") < 50).select(F.col("src").alias("user")).distinct()
-    return graph.rings(e, seeds, 1)
+    return graph.rings(e, e.select(F.col("src").alias("user")).distinct(), 1)

@@ -58,14 +58,14 @@ def quote_unescape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(QUOTES)), "i int, t string").select("i", text.unescape_quotes(F.col("t")).alias("t"))
 
 
-ANSWERS = ["Favor", "i disagree fully", "They support it\nagainst", "neutral I think", "no idea", "", "agree", "Against: yes"]
+ANSWERS = ["Favor", "i disagree fully", "They support it\nagainst", "neutral I think", "no idea", "", "agree", "Against: yes", "I agree", "well\nyes", "yes and no"]
 
 
 @R.query("""WITH v(i, t) AS (VALUES """ + ", ".join("({}, '{}')".format(i, a.replace("\n", "' || chr(10) || '")) for i, a in enumerate(ANSWERS)) + r"""),
 w AS (SELECT i, t, list_filter(list_transform(regexp_extract_all(lower(split_part(t, chr(10), 1)), '\w+'), lambda x:
     CASE WHEN contains(x, 'disagree') OR (contains(x, 'against') AND NOT contains(x, 'favor') AND NOT contains(x, 'agree') AND NOT contains(x, 'support')) THEN 'against'
          WHEN contains(x, 'favor') OR contains(x, 'agree') OR contains(x, 'support') THEN 'favor' WHEN contains(x, 'neutral') THEN 'neutral' END), lambda s: s IS NOT NULL) AS s FROM v)
-SELECT i, coalesce(s[1], 'neutral') AS stance, CASE WHEN contains(lower(t), 'yes') AND NOT contains(lower(t), 'no') THEN 'yes' WHEN contains(lower(t), 'no') AND NOT contains(lower(t), 'yes') THEN 'no' WHEN starts_with(lower(t), 'yes') THEN 'yes' ELSE 'no' END AS yes_no FROM w""")
+SELECT i, coalesce(s[1], 'neutral') AS stance, CASE WHEN contains(l, 'yes') AND NOT contains(l, 'no') THEN 'yes' WHEN contains(l, 'no') AND NOT contains(l, 'yes') THEN 'no' WHEN regexp_matches(l, 'favor|agree|support') THEN 'yes' ELSE 'no' END AS yes_no FROM (SELECT *, lower(split_part(t, chr(10), 1)) AS l FROM w)""")
 def stance_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame(list(enumerate(ANSWERS)), "i int, t string")
     return rows.select("i", text.parse_stance(F.col("t")).alias("stance"), text.parse_yes_no(F.col("t")).alias("yes_no"))
