@@ -280,13 +280,16 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
             across = crossing(members, meets, may, sketches, nearest, wide, cell)
             across = tk.checkpointed(across.coalesce(few).join(met, ["a", "b"], "left_anti").coalesce(few))
             more = tk.checkpointed(_verify(across, docs, classes, k, percent))
-            if more.isEmpty():
-                break
+            n_more = more.count()
             links, met = links.unionByName(more), met.unionByName(across)
+            if not n_more:
+                break
             roots = tk.checkpointed(components(links))
             if not nearest:  # all pairs have met
                 break
             members = mixed(members, roots)
+            if 20 * n_more < across.count():  # most of what is near is not alike: the last round is due
+                break
     # the least document of each class, then of each component; both combine before they shuffle
     of_class = classes.groupBy("sig").agg(F.min("doc_id").alias("least_id"))
     of_class = of_class.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))

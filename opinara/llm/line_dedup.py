@@ -32,7 +32,7 @@ from opinara.llm import textkit as tk
 from opinara.llm.components import components
 from opinara.llm.lists import crossing, mixed, shared_lists
 
-LEAST, FEW, TABLES, WIDTH, FLIPS, CLOSE, SIMILARITY, MOST_WANTED, WIDE = 1, 5, 4, 24, 3, 14, 0.8, 1 << 16, 256
+LEAST, FEW, TABLES, WIDTH, FLIPS, CLOSE, SIMILARITY, MOST_WANTED, WIDE, DENSE = 1, 5, 4, 24, 3, 12, 0.8, 1 << 16, 256, 16
 BITS = TABLES * WIDTH
 
 
@@ -287,18 +287,21 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     links = tk.checkpointed(_verify(met, docs, nodes, similarity))
     roots = tk.checkpointed(components(links))
     members = mixed(lists, roots)
-    for nearest in (False,) if members.where(F.col("size") > WIDE).isEmpty() else (True, False):
+    for nearest in (False,) if members.where(F.col("size") > DENSE).isEmpty() else (True, False):
         while True:
-            across = crossing(members, meets, nearest=nearest, wide=WIDE, gap=gap)
+            across = crossing(members, meets, nearest=nearest, wide=DENSE, gap=gap)
             across = tk.checkpointed(across.coalesce(few).join(met, ["a", "b"], "left_anti").coalesce(few))
             more = tk.checkpointed(_verify(across, docs, nodes, similarity))
-            if more.isEmpty():
-                break
+            n_more = more.count()
             links, met = links.unionByName(more), met.unionByName(across)
+            if not n_more:
+                break
             roots = tk.checkpointed(components(links))
             if not nearest:  # all pairs have met
                 break
             members = mixed(members, roots)
+            if 20 * n_more < across.count():  # most of what is near is not alike: the last round is due
+                break
     roots = roots.withColumnRenamed("node", "key")
     # the occurrence that stays, for nodes that have another occurrence or a link
     nodes = nodes.drop("code")
