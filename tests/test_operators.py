@@ -120,3 +120,33 @@ def test_sources(spark, tmp_path):
     for _ in range(2):
         assert readers.write_once(lambda: calls.append(1) or plain, spark, str(tmp_path / "once")).count() == 3
     assert len(calls) == 1
+
+
+def test_yes_no_by_the_first_line(spark):
+    from opinara.functions import text
+
+    said = {"I agree": "yes", "well\nyes": "no", "yes and no": "no", "Yes.": "yes", "no": "no", "": "no", "I support it, not sure": "yes"}
+    rows = spark.createDataFrame([(k,) for k in said], "t string").select("t", text.parse_yes_no(F.col("t")).alias("y")).collect()
+    # "not" holds "no"
+    assert {r["t"]: r["y"] for r in rows} == said | {"I support it, not sure": "no"}
+
+
+def test_lookup_of_one_row(spark):
+    from opinara.operators import cohort
+
+    known = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "k int, v string")
+    assert cohort.lookup_one(spark.createDataFrame([(1,)], "k int"), known, "k").collect() == [(1, "a")]
+    for k in (2, 3):
+        with pytest.raises(Exception, match="rows found for a key"):
+            cohort.lookup_one(spark.createDataFrame([(k,)], "k int"), known, "k").collect()
+
+
+def test_running_sums_by_ranges(spark):
+    from opinara.operators import cohort
+
+    rows = [("ab"[i % 2], (i * 37) % 101, i % 5) for i in range(101)]
+    got = cohort.running(spark.createDataFrame(rows, "g string, o int, v int"), "o", {"v": F.col("v")}, "g", n=7).collect()
+    for r in got:
+        own = [v for g, o, v in rows if g == r["g"] and o <= r["o"]]
+        assert r["run_v"] == sum(own) and r["total_v"] == sum(v for g, _, v in rows if g == r["g"])
+    assert len(got) == 101
