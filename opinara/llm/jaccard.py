@@ -8,7 +8,7 @@ shingles of each, so only these enter the inverted lists, which a shuffle by shi
 2. lists that are shared by more than `LONG` components are long: they come last in the order, and sets that had some in
    their prefix take further short lists in their place (`RENEWALS` times, as some of the new lists may be long too);
 3. in lists of more than a few members each member meets its nearest one in another component, for as long as that links
-   components; then all members meet that still are in different components. Members of such lists carry a parity sketch
+   many of them; then all members meet that still are in different components. Members of such lists carry a parity sketch
    of eight bits or more a shingle, an exact lower bound of the difference of two sets, so a dense group of sets that are
    just not alike makes few candidates. Lists of any length are cut into blocks, and pairs of blocks are separate tasks.
 
