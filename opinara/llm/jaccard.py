@@ -181,8 +181,8 @@ def _prepare(docs: DataFrame, k: int, percent: int, long: np.ndarray | None = No
     return docs.mapInArrow(run, f"doc_id {kind}, n long, sig long, prefix array<long>")
 
 
-def _whole(wanted: DataFrame, docs: DataFrame, classes: DataFrame, k: int, sketches: bool = False) -> DataFrame | None:
-    """sig and whole set of the classes with these sig, from one text of each; with sketches, their sketch instead."""
+def _whole(wanted: DataFrame, docs: DataFrame, classes: DataFrame, k: int, path: str, sketches: bool = False) -> DataFrame | None:
+    """sig and whole set of the classes with these sig, from one text of each, stored at path; with sketches, their sketch instead."""
     wanted = tk.checkpointed(wanted.select("sig").distinct())
     few = tk.parts(wanted.count())
     ids = tk.checkpointed(classes.join(wanted.coalesce(few), "sig", "left_semi").coalesce(few).groupBy("sig").agg(F.min("doc_id").alias("__id")).coalesce(few))
@@ -199,14 +199,15 @@ def _whole(wanted: DataFrame, docs: DataFrame, classes: DataFrame, k: int, sketc
 
     # beyond that many rows a shuffle finds the texts
     texts = docs.join(F.broadcast(ids) if count <= MOST_WANTED else ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return tk.stored(texts.select("text").mapInArrow(run, "sig long, whole binary").dropDuplicates(["sig"]).coalesce(tk.parts(count, 20_000)))
+    return tk.stored(texts.select("text").mapInArrow(run, "sig long, whole binary").dropDuplicates(["sig"]).coalesce(tk.parts(count, 20_000)), path)
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs that are links, by the full sets of one text of each class."""
+    """The pairs that are links, by the full sets of one text of each class; a table."""
+    path = tk.table_path(docs.sparkSession)
     few = tk.parts(pairs.count(), 20_000)
     pairs = pairs.coalesce(few)
-    whole = _whole(pairs.select(F.explode(F.array("a", "b")).alias("sig")), docs, classes, k)
+    whole = _whole(pairs.select(F.explode(F.array("a", "b")).alias("sig")), docs, classes, k, path)
     if whole is None:
         return pairs
 
@@ -238,20 +239,27 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, perce
     of_b = whole.select(F.col("sig").alias("b"), "whole")
     probes = dealt.select("a", "block").distinct().join(whole.withColumnRenamed("sig", "a"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "whole")
     both = probes.coalesce(few).unionByName(dealt.join(of_b, "b").select("a", "block", "b", "whole").coalesce(few))
-    return both.repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first()).mapInArrow(check, "a long, b long").coalesce(few)
+    links = tk.stored(both.repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first()).mapInArrow(check, "a long, b long").coalesce(few))
+    tk.drop(docs.sparkSession, path)
+    return links
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT, long: int = LONG, wide: int = WIDE, cell: int = CELL) -> DataFrame:
     """doc_id, n_shingles and component_id of each row."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = tk.stored(_prepare(docs, k, percent))
+    spark = docs.sparkSession
+    path = tk.table_path(spark)
+    every = tk.stored(_prepare(docs, k, percent), path)
+    rows = tk.stored(every.select("doc_id", "n", "sig"))  # without the prefixes, of which one a class is enough
     classes = rows.where("n > 0").select("sig", "doc_id")
     some = tk.parts(rows.count(), 5_000)
-    prefixes = tk.stored(rows.where("n > 0").select("sig", "n", "prefix").dropDuplicates(["sig"]).coalesce(some))
+    of_prefixes, of_lists = tk.table_path(spark), tk.table_path(spark)
+    prefixes = tk.stored(every.where("n > 0").select("sig", "n", "prefix").dropDuplicates(["sig"]).coalesce(some), of_prefixes)
+    tk.drop(spark, path)
     meets = lambda n, m: may_meet(n, m, percent)
     size = lambda n: n & ((1 << 32) - 1)
     may = lambda n, m, difference: may_link(size(n), size(m), difference, percent)
-    lists = tk.stored(shared_lists(_entries(prefixes), meets).coalesce(some))
+    lists = tk.stored(shared_lists(_entries(prefixes), meets).coalesce(some), of_lists)
     sizes = [F.col(c).bitwiseAND((1 << 32) - 1) for c in ("n", "lead_n")]
     least = F.ceil((sizes[0] + sizes[1]) * percent / (100 + percent))
     first = [z - F.shiftright(c, 32) >= least for z, c in zip(sizes, ("n", "lead_n"), strict=True)]
@@ -259,27 +267,33 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     leads = lists.where((F.col("sig") != F.col("lead")) & first[0] & first[1]).groupBy("sig", "lead").count()
     few = tk.parts(lists.count())
     pairs = tk.checkpointed(leads.coalesce(few).groupBy("sig").agg(F.max_by("lead", F.struct("count", "lead")).alias("lead")).select(F.least("sig", "lead").alias("a"), F.greatest("sig", "lead").alias("b")).coalesce(few).distinct().coalesce(few))
-    links = tk.checkpointed(_verify(pairs, docs, classes, k, percent))
+    links = _verify(pairs, docs, classes, k, percent)
     roots = tk.checkpointed(components(links))
     members = mixed(lists, roots)
+    tk.drop(spark, of_lists)
     skipped = np.zeros(0, np.uint64)
     for _ in range(RENEWALS):
         fresh = np.setdiff1d(_long_lists(members, long), skipped)
         if not len(fresh):
             break
         skipped = np.union1d(skipped, fresh[: max(0, MOST_LONG - len(skipped))])
-        renewed = tk.stored(_prepare(docs, k, percent, skipped).where("n > 0").select("sig", "n", "prefix").dropDuplicates(["sig"]).coalesce(some))
+        of_renewed, of_lists = tk.table_path(spark), tk.table_path(spark)
+        renewed = tk.stored(_prepare(docs, k, percent, skipped).where("n > 0").select("sig", "n", "prefix").dropDuplicates(["sig"]).coalesce(some), of_renewed)
         kept = prefixes.join(renewed.select("sig"), "sig", "left_anti").coalesce(some)
-        members = mixed(tk.stored(shared_lists(_entries(kept.unionByName(renewed)), meets).coalesce(some)), roots)
+        lists = tk.stored(shared_lists(_entries(kept.unionByName(renewed)), meets).coalesce(some), of_lists)
+        tk.drop(spark, of_renewed)
+        members = mixed(lists, roots)
+        tk.drop(spark, of_lists)
+    tk.drop(spark, of_prefixes)
     met = pairs
     dense = members.where(F.col("size") > wide)
-    sketches = _whole(dense, docs, classes, k, sketches=True)
+    sketches = _whole(dense, docs, classes, k, tk.table_path(spark), sketches=True)
     sketches = sketches.withColumnRenamed("whole", "sketch") if sketches is not None else None
     for nearest in (True, False) if sketches is not None else (False,):
         while True:
             across = crossing(members, meets, may, sketches, nearest, wide, cell)
-            across = tk.checkpointed(across.coalesce(few).join(met, ["a", "b"], "left_anti").coalesce(few))
-            more = tk.checkpointed(_verify(across, docs, classes, k, percent))
+            across = tk.stored(across.coalesce(few).join(met, ["a", "b"], "left_anti").coalesce(few))
+            more = _verify(across, docs, classes, k, percent)
             n_more = more.count()
             links, met = links.unionByName(more), met.unionByName(across)
             if not n_more:

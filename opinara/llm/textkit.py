@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 SEPARATORS = b" \t\n\x0b\x0c\r"
 SLICE_BYTES = 2 << 20
 BLOCK_BYTES = 1 << 19
+#: Shuffle files are deleted at the end of a query; a lost one is computed anew.
+CLEANUP_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ROWS_SETTING, ROWS_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1024"
 
 IS_SEP = np.zeros(256, bool)
@@ -226,11 +228,29 @@ def parts(rows: int, each: int = 200_000) -> int:
     return max(1, -(-rows // each))
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Writes df as a table in the session's checkpoint folder and reads it back; smaller than a checkpoint of wide rows."""
-    spark = df.sparkSession
+def table_path(spark: SparkSession) -> str:
+    """A new path in the session's checkpoint folder."""
     ensure_checkpoint_dir(spark)
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    return f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Writes df as a table (in the session's checkpoint folder) and reads it back; smaller than a checkpoint of wide rows.
+    The shuffle files of the write go with it, as nothing reads them once the table is there."""
+    spark = df.sparkSession
+    path = path or table_path(spark)
+    before = spark.conf.get(CLEANUP_SETTING)
+    spark.conf.set(CLEANUP_SETTING, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP_SETTING, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
