@@ -77,3 +77,9 @@ def majority(votes: DataFrame, item: str = "doc_id", place: str = "annotator") -
     """The most frequent label; the one seen first wins ties."""
     n = votes.groupBy(item, "label").agg(F.count("*").alias("n"), F.min(place).alias("first"))
     return n.groupBy(item).agg(F.min_by("label", F.struct(-F.col("n"), "first")).alias("label"), F.max("n").alias("n"))
+
+
+def best_class_macro(scores: DataFrame, name: str) -> DataFrame:
+    """Of favor and of against the scores of the classifier with the best F1, and their means."""
+    top = best(scores.where(F.col("class").isin("favor", "against") & (F.col("support") > 0)).select("class", name, "precision", "recall", "f1"), "f1", name, "class")
+    return top.agg(*(F.round(F.avg(c), 6).alias(f"macro_{c}") for c in ("precision", "recall", "f1")))

@@ -139,9 +139,7 @@ def beta_density(opinions: DataFrame, points: int = 100) -> DataFrame:
 def bootstrap(pairs: DataFrame, replicates: int, *keys: str, level: float = 0.95) -> DataFrame:
     """Percentile interval of Pearson's r. A row's weight in a replicate is Poisson(1) by a hash of row and replicate, so
     replicates are sums and need no second pass."""
-    u = F.pmod(F.xxhash64("user_id", *keys, "r"), F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
-    cuts = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])
-    weight = sum((F.when(u >= float(c), 1).otherwise(0) for c in cuts), F.lit(0)).cast("double")
+    weight = poisson("user_id", *keys, "r")
     rows = pairs.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", weight)
     x, y, w = F.col("x"), F.col("y"), F.col("w")
     s = rows.groupBy(*keys, "r").agg(F.sum(w).alias("sw"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"), F.sum(w * x * x).alias("sxx"), F.sum(w * x * y).alias("sxy"), F.sum(w * y * y).alias("syy"))
@@ -161,3 +159,77 @@ def pearson_xy(pairs: DataFrame, *keys: str) -> DataFrame:
     r = sums.select(*keys, "n", "ww", F.try_divide(F.col("cov"), F.sqrt(F.col("a") * F.col("b"))).alias("r"))
     r = r.withColumn("t", F.when(F.col("ww") > 2, t_statistic(F.col("r"), F.col("ww"))))
     return r.withColumn("p_value", t_p_value(F.col("t"), F.col("n") - 2))
+
+
+def regression_test(pairs: DataFrame, *keys: str) -> DataFrame:
+    """`regression` with t and two-sided p_value of the slope against 0; both null where the fit leaves no residual."""
+    fit = regression(pairs, *keys)
+    t = F.signum("slope") * F.sqrt(F.col("r2") * (F.col("n") - 2) / (1 - F.col("r2")))
+    fit = fit.withColumn("t", F.when((F.col("n") > 2) & (F.col("r2") < 1), t))
+    return fit.withColumn("p_value", t_p_value(F.col("t"), F.col("n") - 2))
+
+
+def mean_test(pairs: DataFrame, *keys: str) -> DataFrame:
+    """Means of x and y with weights exp(-mean variance), scaled to a mean of 1, and their t against 0 at n - 1 degrees of freedom."""
+    w = pairs.withColumn("w", F.exp(-(F.col("vx") + F.col("vy")) / 2))
+    sums = w.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("w").alias("sw"), *(e.alias(f"{k}{c}") for c in ("x", "y") for k, e in (("s", F.sum(F.col("w") * F.col(c))), ("q", F.sum(F.col("w") * F.col(c) * F.col(c))))))
+    for c in ("x", "y"):
+        mean = F.col(f"s{c}") / F.col("sw")
+        spread = F.sqrt(F.greatest(F.col(f"q{c}") / F.col("sw") - mean * mean, F.lit(0.0)))
+        sums = sums.withColumn(f"mean_{c}", mean).withColumn(f"t_{c}", F.when((F.col("n") > 1) & (spread > 1e-9), mean / spread * F.sqrt(F.col("n") - 1)))
+        sums = sums.withColumn(f"p_{c}", t_p_value(F.col(f"t_{c}"), F.col("n") - 1))
+    return sums.select(*keys, "n", *(f"{k}_{c}" for c in ("x", "y") for k in ("mean", "t", "p")))
+
+
+def poisson(*row: str) -> Column:
+    """A Poisson(1) weight that follows from the values of these columns."""
+    u = F.pmod(F.xxhash64(*row), F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
+    cuts = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])
+    return sum((F.when(u >= float(c), 1).otherwise(0) for c in cuts), F.lit(0)).cast("double")
+
+
+def bootstrap_mean(snapshots: DataFrame, replicates: int, *keys: str, level: float = 0.95) -> DataFrame:
+    """Mean opinion with weights exp(-variance), and the percentile interval of its replicates; keys must name the target."""
+    rows = snapshots.where("mean IS NOT NULL AND variance IS NOT NULL").withColumn("w", F.exp(-F.col("variance")))
+    rows = rows.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates))))  # 0 is the sample itself
+    weight = F.col("w") * F.when(F.col("r") == 0, 1.0).otherwise(poisson("user_id", *keys, "r"))
+    means = rows.groupBy(*keys, "r").agg(F.try_divide(F.sum(weight * F.col("mean")), F.sum(weight)).alias("m"))
+    again, tail = F.when(F.col("r") > 0, F.col("m")), (1 - level) / 2
+    return means.groupBy(*keys).agg(F.round(F.max(F.when(F.col("r") == 0, F.col("m"))), 6).alias("mean"), *(F.round(F.percentile(again, F.lit(q)), 6).alias(n) for n, q in (("lo", tail), ("hi", 1 - tail))))
+
+
+def beta_density_2d(opinions: DataFrame, points: int = 20) -> DataFrame:
+    """Mean over users of the outer product of their Beta densities on every two targets, on a grid of (0, 1) squared."""
+    counts = opinions.groupBy("user_id", "stance").agg((1 + F.count_if(F.col("predicted") == 1)).alias("a"), (1 + F.count_if(F.col("predicted") == -1)).alias("b"))
+    side = lambda k: counts.select("user_id", F.col("stance").alias(f"stance_{k}"), F.col("a").alias(f"a{k}"), F.col("b").alias(f"b{k}"))
+    pairs = side("x").join(side("y"), "user_id").where("stance_x < stance_y")
+    shapes = pairs.groupBy("stance_x", "stance_y", "ax", "bx", "ay", "by").agg(F.count("*").alias("users"))  # users of the same counts share a surface
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        grid = (np.arange(points) + 0.5) / points
+        curve = lambda a, b: np.exp((a - 1) * np.log(grid) + (b - 1) * np.log(1 - grid) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b))
+        cx, cy = (c.ravel() for c in np.indices((points, points)))
+        for f in frames:
+            for (x, y), g in f.groupby(["stance_x", "stance_y"]):
+                total = sum(n * np.outer(curve(ax, bx), curve(ay, by)) for ax, bx, ay, by, n in g[["ax", "bx", "ay", "by", "users"]].itertuples(index=False))
+                yield pd.DataFrame({"stance_x": x, "stance_y": y, "cx": cx, "cy": cy, "mass": total.ravel(), "users": g["users"].sum()})
+
+    rows = shapes.mapInPandas(run, "stance_x string, stance_y string, cx int, cy int, mass double, users long")
+    return rows.groupBy("stance_x", "stance_y", "cx", "cy").agg(F.round(F.sum("mass") / F.sum("users"), 6).alias("density"))
+
+
+def beta_quantile(a: Column, b: Column, q: float) -> Column:
+    """Quantile of a Beta distribution, by bisection of its distribution function."""
+
+    @F.pandas_udf("double")
+    def find(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            lo, hi = 0.0, 1.0
+            for _ in range(50):
+                mid = (lo + hi) / 2
+                lo, hi = (mid, hi) if incomplete_beta(x, y, mid) < q else (lo, mid)
+            out.append((lo + hi) / 2 if x == x and y == y else math.nan)
+        return pd.Series(out)
+
+    return find(a.cast("double"), b.cast("double"))

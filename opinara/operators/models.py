@@ -43,9 +43,9 @@ def _expect(codes: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.nda
     return a[0] * b / max((a[0] * b).sum(), 1e-300), pairs, float(np.log(scale).sum())
 
 
-def hmm(opinions: DataFrame, profiles: DataFrame, rounds: int = 10, pseudo: float = 1.0) -> DataFrame:
-    """Transition matrices of three hidden opinions for each target, by EM with Dirichlet pseudo-counts. Emissions are the
-    classifiers' confusions. The E-step runs over users' sequences in tasks; only 3 x 3 sums a target come back."""
+def hmm(opinions: DataFrame, profiles: DataFrame, rounds: int = 20, pseudo: float = 1.0, tolerance: float = 1e-3) -> DataFrame:
+    """Transition matrices of three hidden opinions for each target, by EM with Dirichlet pseudo-counts, until no
+    probability moves by more than the tolerance or `rounds` are over. Emissions are the classifiers' confusions. The E-step runs over users' sequences in tasks; only 3 x 3 sums a target come back."""
     emit = np.zeros((3, 9))
     for r in profiles.collect():  # nine rows a classifier
         emit[r["actual"] + 1, r["classifier_id"] * 3 + r["predicted"] + 1] = r["prob"]
@@ -72,7 +72,9 @@ def hmm(opinions: DataFrame, profiles: DataFrame, rounds: int = 10, pseudo: floa
         for r in sums:
             counts[r["stance"]][r["i"], r["j"] + 1] = r["n"]
         start = {s: (c[:, 0] + pseudo) / (c[:, 0] + pseudo).sum() for s, c in counts.items()}
-        move = {s: (c[:, 1:] + pseudo) / (c[:, 1:] + pseudo).sum(1, keepdims=True) for s, c in counts.items()}
+        before, move = move, {s: (c[:, 1:] + pseudo) / (c[:, 1:] + pseudo).sum(1, keepdims=True) for s, c in counts.items()}
+        if all(np.abs(move[s] - before[s]).max() < tolerance for s in stances):
+            break
     seqs.unpersist()
     rows = [(s, i - 1, j - 1, round(float(move[s][i, j]), 6)) for s in stances for i in range(3) for j in range(3)]
     return opinions.sparkSession.createDataFrame(rows, "stance string, state int, next int, prob double")

@@ -65,3 +65,13 @@ def landmarks(hist: DataFrame) -> DataFrame:
     """First, last and fullest bin, and the rows within ten bins below the last."""
     ends = hist.agg(F.min("bin").alias("first_bin"), F.max("bin").alias("last_bin"), F.min_by("bin", F.struct(-F.col("n"), "bin")).alias("peak_bin"))
     return hist.crossJoin(F.broadcast(ends)).groupBy("first_bin", "last_bin", "peak_bin").agg(F.sum(F.when(F.col("bin") >= F.col("last_bin") - 10, F.col("n")).otherwise(0)).alias("n_most"))
+
+
+def neighbour_window(interactions: DataFrame, content: DataFrame, ring: DataFrame, width: int) -> DataFrame:
+    """What the neighbours of an interaction's author wrote in the `width` before it. interactions: content_id, author, t;
+    content: author, t and more; ring: author, neighbour. Time is cut into buckets of the width, so an interaction meets two
+    buckets of each neighbour and no rows outside them."""
+    bucket = F.floor(F.col("t") / width)
+    asked = interactions.join(ring, "author").select("content_id", "neighbour", F.col("t").alias("at"), F.explode(F.array(bucket - 1, bucket)).alias("bucket"))
+    there = content.withColumn("bucket", bucket).withColumnRenamed("author", "neighbour").drop("content_id")
+    return asked.join(there, ["neighbour", "bucket"]).where((F.col("t") >= F.col("at") - width) & (F.col("t") < F.col("at"))).drop("bucket", "at")

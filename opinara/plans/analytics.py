@@ -220,12 +220,11 @@ def density_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landscape.density_mean(landscape.gaussian_density(fixtures.snapshots(spark, sf_dir), 41, "snapshot", "stance"), "snapshot", "stance")
 
 
-@R.query(f"""WITH {PAIRS}, a AS (SELECT snapshot, user_id, x, vx, y, vy FROM pairs WHERE stance_x = 'click' AND stance_y = 'view'),
-kx AS (SELECT snapshot, user_id, i, {_kernel('x', 'vx', 25)} AS v FROM a, range(25) g(i)), ky AS (SELECT snapshot, user_id, i, {_kernel('y', 'vy', 25)} AS v FROM a, range(25) g(i)),
-m AS (SELECT snapshot, user_id, (SELECT sum(v) FROM kx WHERE kx.snapshot = a.snapshot AND kx.user_id = a.user_id) * (SELECT sum(v) FROM ky WHERE ky.snapshot = a.snapshot AND ky.user_id = a.user_id) AS mass FROM a)
-SELECT kx.snapshot, cast(kx.i AS INT) AS cx, cast(ky.i AS INT) AS cy, round(sum(kx.v * ky.v / mass) / count(*), 6) AS density FROM kx JOIN ky USING (snapshot, user_id) JOIN m USING (snapshot, user_id) GROUP BY ALL""")
+@R.query(f"""WITH {PAIRS}, kx AS (SELECT snapshot, stance_x, stance_y, user_id, i, {_kernel('x', 'vx', 15)} AS v FROM pairs, range(15) g(i)), ky AS (SELECT snapshot, stance_x, stance_y, user_id, i, {_kernel('y', 'vy', 15)} AS v FROM pairs, range(15) g(i)),
+nx AS (SELECT *, v / sum(v) OVER (PARTITION BY snapshot, stance_x, stance_y, user_id) AS p FROM kx), ny AS (SELECT *, v / sum(v) OVER (PARTITION BY snapshot, stance_x, stance_y, user_id) AS p FROM ky)
+SELECT nx.snapshot, nx.stance_x, nx.stance_y, cast(nx.i AS INT) AS cx, cast(ny.i AS INT) AS cy, round(sum(nx.p * ny.p) / count(*), 6) AS density FROM nx JOIN ny USING (snapshot, stance_x, stance_y, user_id) GROUP BY ALL""")
 def gaussian_density_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return landscape.gaussian_density_2d(_pairs(spark, sf_dir).where("stance_x = 'click' AND stance_y = 'view'"), 25, "snapshot")
+    return landscape.gaussian_density_2d(_pairs(spark, sf_dir), 15, *KEYS)
 
 
 @R.query(f"""WITH {OPINIONS}, n AS (SELECT user_id, stance, predicted, count(*) AS c FROM opinions GROUP BY ALL), t AS (SELECT user_id, stance, sum(c) AS t FROM n GROUP BY ALL),
@@ -309,7 +308,7 @@ def precision_weighted_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query()
 def hmm_em(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.hmm(fixtures.opinions(spark, sf_dir), fixtures.profiles(spark), rounds=5)
+    return models.hmm(fixtures.opinions(spark, sf_dir), fixtures.profiles(spark))
 
 
 @R.query()

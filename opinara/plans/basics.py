@@ -229,6 +229,13 @@ def best_run_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.best(s, "f1", "source", "class").select("class", "source", F.round("f1", 6).alias("f1"))
 
 
+@R.query(f"""WITH {ANNOTATIONS}, rows_ AS (SELECT p.*, d.source FROM predictions p JOIN documents d USING (doc_id)), {CLASS_SQL.format(by='source,', rows='rows_')},
+r AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY round(f1, 4) DESC, source) AS k FROM f WHERE support > 0 AND class IN ('favor', 'against'))
+SELECT round(avg(precision), 6) AS macro_precision, round(avg(recall), 6) AS macro_recall, round(avg(f1), 6) AS macro_f1 FROM r WHERE k = 1""")
+def best_class_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.best_class_macro(evaluation.class_scores(_by_source(spark, sf_dir), "source"), "source")
+
+
 @R.query(f"""WITH {ANNOTATIONS}, c AS (SELECT doc_id, count(*) FILTER (label = 'favor') AS f, count(*) FILTER (label = 'neutral') AS n, count(*) FILTER (label = 'against') AS a FROM annotations GROUP BY doc_id),
 s AS (SELECT count(*) AS items, avg((f * f + n * n + a * a - 3) / 6.0::DOUBLE) AS p, sum(f) / (count(*) * 3.0::DOUBLE) AS pf, sum(n) / (count(*) * 3.0::DOUBLE) AS pn, sum(a) / (count(*) * 3.0::DOUBLE) AS pa,
     avg(CASE WHEN greatest(f, n, a) = 3 THEN 1.0::DOUBLE ELSE 0 END) AS unanimous, avg(CASE WHEN greatest(f, n, a) < 3 AND n = 0 THEN 1.0::DOUBLE ELSE 0 END) AS full_disagreement FROM c)

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opinara.functions import scores, text
-from opinara.operators import cohort, graph, landscape, polarization, vectors
+from opinara.operators import cohort, graph, landscape, models, movement, polarization, vectors
 from opinara.plans.analytics import BELIEFS, DOUBLES, PAIRS, TYPES
-from opinara.plans.register import COMMENTS, CONTENTS, OPINIONS, Registry
+from opinara.plans.register import COMMENTS, CONTENTS, OPINIONS, SNAPSHOTS, Registry
 from opinara.sources import fixtures
 from opinara.sources.fixtures import table
 
@@ -196,3 +196,47 @@ def synthetic_timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.range(200).select(F.col("id").alias("user_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(23).cast("long"))).alias("step"))
     noise = F.pmod(F.col("user_id") * 31 + F.col("step") * 17, F.lit(101)) / 50.0 - 1
     return rows.select("user_id", "step", F.round(F.when(F.col("user_id") % 2 == 0, 0.5).otherwise(-0.5) + 0.2 * noise, 6).alias("opinion"))
+
+
+@R.query(f"""WITH {CONTENTS}, ring AS (SELECT DISTINCT author, (author + d) % 25 AS neighbour FROM contents, (VALUES (1), (3)) v(d)),
+j AS (SELECT i.content_id, unnest(c.embedding)::DOUBLE AS x, unnest(range(len(c.embedding))) AS pos FROM contents i JOIN ring r USING (author) JOIN contents c ON c.author = r.neighbour AND c.t >= i.t - 50 AND c.t < i.t)
+SELECT content_id, cast(pos AS INT) AS pos, round(avg(x), 6) AS value FROM j GROUP BY ALL""")
+def neighbour_window_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean embedding of what two neighbours wrote before each item, an interval for each item."""
+    c = fixtures.contents(spark, sf_dir)
+    ring = c.select("author", F.explode(F.array(F.pmod(F.col("author") + 1, F.lit(25)), F.pmod(F.col("author") + 3, F.lit(25)))).alias("neighbour")).distinct()
+    near = movement.neighbour_window(c.select("content_id", "author", "t"), c.select("author", "t", "embedding"), ring, 50)
+    return vectors.centroids(near, "content_id")
+
+
+@R.query(f"""WITH {PAIRS}, w AS (SELECT *, exp(-(vx + vy) / 2) AS w FROM pairs),
+s AS (SELECT snapshot, stance_x, stance_y, count(*) AS n, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my, sum(w * x * x) / sum(w) AS qx, sum(w * y * y) / sum(w) AS qy FROM w GROUP BY ALL),
+d AS (SELECT *, sqrt(greatest(qx - mx * mx, 0.0)) AS dx, sqrt(greatest(qy - my * my, 0.0)) AS dy FROM s)
+SELECT snapshot, stance_x, stance_y, n, round(mx, 6) AS mean_x, round(my, 6) AS mean_y, round(CASE WHEN n > 1 AND dx > 1e-9 THEN mx / dx * sqrt(n - 1) END, 4) AS t_x, round(CASE WHEN n > 1 AND dy > 1e-9 THEN my / dy * sqrt(n - 1) END, 4) AS t_y FROM d""")
+def weighted_mean_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = landscape.mean_test(landscape.stance_pairs(fixtures.snapshots(spark, sf_dir)), "snapshot", "stance_x", "stance_y")
+    return r.select("snapshot", "stance_x", "stance_y", "n", *(F.round(c, d).alias(c) for c, d in (("mean_x", 6), ("mean_y", 6), ("t_x", 4), ("t_y", 4))))
+
+
+@R.query(f"WITH {SNAPSHOTS} SELECT snapshot, stance, round(sum(exp(-variance) * mean) / sum(exp(-variance)), 6) AS mean, true AS inside FROM snapshots WHERE mean IS NOT NULL GROUP BY ALL")
+def weighted_mean_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted mean opinion and whether the bootstrap interval holds it."""
+    b = landscape.bootstrap_mean(fixtures.snapshots(spark, sf_dir), 100, "snapshot", "stance")
+    return b.select("snapshot", "stance", "mean", F.col("mean").between(F.col("lo"), F.col("hi")).alias("inside"))
+
+
+@R.query()
+def slope_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return landscape.regression_test(landscape.stance_pairs(fixtures.snapshots(spark, sf_dir)), "snapshot", "stance_x", "stance_y")
+
+
+@R.query()
+def beta_density_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return landscape.beta_density_2d(fixtures.opinions(spark, sf_dir))
+
+
+@R.query()
+def hmm_by_community(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transition matrices of hidden opinions for each target within each community."""
+    o = fixtures.opinions(spark, sf_dir)
+    return models.hmm(o.withColumn("stance", F.concat_ws("/", "stance", F.col("community").cast("string"))), fixtures.profiles(spark))

@@ -102,3 +102,39 @@ def write_once(df_of, spark: SparkSession, path: str) -> DataFrame:
     if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
         df_of().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """path and year_month of the files whose name matches a pattern; the files themselves are not read."""
+    found = spark.read.format("binaryFile").load(folder).select("path")
+    return found.where(F.element_at(F.split("path", "/"), -1).rlike(pattern)).select("path", year_month(F.element_at(F.split("path", "/"), -1)).alias("year_month"))
+
+
+def paired(comments: DataFrame, submissions: DataFrame) -> DataFrame:
+    """Files of comments with the file of submissions of the same month; a month that lacks either is left out."""
+    return comments.withColumnRenamed("path", "comments").join(submissions.withColumnRenamed("path", "submissions"), "year_month")
+
+
+def file_sample(found: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
+    """A share of the files that follows from their names."""
+    return found.where(F.pmod(F.xxhash64(F.element_at(F.split("path", "/"), -1), F.lit(seed)), F.lit(1_000_000)) < fraction * 1_000_000)
+
+
+def write_metrics(metrics: DataFrame, path: str) -> None:
+    """Metrics, or cases, of runs as lines of JSON."""
+    metrics.write.mode("overwrite").json(path)
+
+
+def finished_runs(spark: SparkSession, path: str, schema: str | T.StructType, state: str = "finished") -> DataFrame:
+    """Runs in a state, from lines of JSON that hold a column `state`."""
+    return spark.read.schema(schema).json(path).where(F.col("state") == state)
+
+
+def write_sequences(events: DataFrame, path: str, key: str, time: str) -> None:
+    """A row an event, sorted by key and time within files, so that a key's sequence is read as it stands."""
+    events.repartitionByRange(key, time).sortWithinPartitions(key, time).write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def topics_of(stances: DataFrame, known: DataFrame) -> DataFrame:
+    """Stances with their topics of a catalogue; those that it does not hold have none."""
+    return stances.join(known.select("topic", "stance"), "stance", "left")

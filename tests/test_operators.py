@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opinara.functions import scores, text
-from opinara.operators import evaluation, graph, landscape, opinions, polarization
+from opinara.operators import evaluation, graph, landscape, models, opinions, polarization
 from opinara.sources import readers
 
 SIDE = {"f": "favor", "n": "neutral", "a": "against"}
@@ -150,3 +150,95 @@ def test_running_sums_by_ranges(spark):
         own = [v for g, o, v in rows if g == r["g"] and o <= r["o"]]
         assert r["run_v"] == sum(own) and r["total_v"] == sum(v for g, _, v in rows if g == r["g"])
     assert len(got) == 101
+
+
+def test_slope_and_mean_tests(spark):
+    df = spark.createDataFrame([(1, float(x), 0.5, float(y), 0.5) for x, y in zip((1, 2, 3, 4, 5), (2, 4, 5, 4, 5), strict=True)], "g int, x double, vx double, y double, vy double")
+    r = one(landscape.regression_test(df, "g"))
+    assert (round(r["slope"], 6), round(r["r2"], 6), round(r["t"], 4), round(r["p_value"], 4)) == (0.6, 0.6, 2.1213, 0.1240)
+    m = one(landscape.mean_test(df, "g"))
+    assert (m["n"], round(m["mean_x"], 6), round(m["t_x"], 4), round(m["mean_y"], 6)) == (5, 3.0, 4.2426, 4.0)
+    assert round(m["p_x"], 4) == 0.0132
+
+
+def test_bootstrap_intervals(spark):
+    same = spark.createDataFrame([(i, "s", 0.25, 0.1) for i in range(20)], "user_id long, stance string, mean double, variance double")
+    r = one(landscape.bootstrap_mean(same, 50, "stance"))
+    assert (r["mean"], r["lo"], r["hi"]) == (0.25, 0.25, 0.25)
+    spread = spark.createDataFrame([(i, "s", (-1.0) ** i, 0.0) for i in range(400)], "user_id long, stance string, mean double, variance double")
+    r = one(landscape.bootstrap_mean(spread, 400, "stance"))
+    # the standard error of the mean is 1/20, so the interval is about 0.098 to each side
+    assert r["mean"] == 0 and -0.13 < r["lo"] < -0.07 and 0.07 < r["hi"] < 0.13
+    line = spark.createDataFrame([(i, "s", float(i), 2.0 * i) for i in range(30)], "user_id long, stance string, x double, y double")
+    r = one(landscape.bootstrap(line, 50, "stance"))
+    assert (r["lo"], r["hi"]) == (1.0, 1.0)
+
+
+def test_beta(spark):
+    o = spark.createDataFrame([(1, "a", 1), (1, "b", 0)], "user_id long, stance string, predicted int")  # Beta(2, 1) is 2x, Beta(1, 1) is 1
+    got = {(r["stance"], r["cell"]): r["density"] for r in landscape.beta_density(o, 10).collect()}
+    assert got[("a", 0)] == 0.1 and got[("a", 9)] == 1.9 and got[("b", 4)] == 1.0
+    got = {(r["cx"], r["cy"]): r["density"] for r in landscape.beta_density_2d(o, 10).collect()}
+    assert len(got) == 100 and got[(0, 7)] == 0.1 and got[(9, 0)] == 1.9
+    q = one(spark.range(1).select(landscape.beta_quantile(F.lit(1), F.lit(1), 0.25).alias("flat"), landscape.beta_quantile(F.lit(2), F.lit(1), 0.5).alias("rising")))
+    assert (round(q["flat"], 9), round(q["rising"], 9)) == (0.25, round(0.5**0.5, 9))
+
+
+def test_hmm_finds_still_and_alternating_opinions(spark):
+    rows = [(u, s, t, t, 0, 1 if s == "still" else (-1) ** t) for u in range(10) for s in ("still", "swing") for t in range(30)]
+    o = spark.createDataFrame(rows, "user_id long, stance string, ts long, event_id long, classifier_id long, predicted int")
+    sure = spark.createDataFrame([(0, a, p, 0.98 if a == p else 0.01) for a in (-1, 0, 1) for p in (-1, 0, 1)], "classifier_id long, actual int, predicted int, prob double")
+    got = {(r["stance"], r["state"], r["next"]): r["prob"] for r in models.hmm(o, sure).collect()}
+    assert got[("still", 1, 1)] > 0.97 and got[("swing", 1, -1)] > 0.9 and got[("swing", -1, 1)] > 0.9
+
+
+def test_spline_of_a_constant(spark):
+    rows = [(1, "s", i, 1, f"2024-01-01 {i:02d}:00:00") for i in range(24)]
+    o = spark.createDataFrame(rows, "user_id long, stance string, event_id long, predicted int, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = models.splines(o, ridge=1e-6).collect()
+    assert len(got) == 12 and all(abs(r["mean"] - 1) < 1e-4 and r["lo"] <= r["mean"] <= r["hi"] for r in got)
+
+
+def test_predict_hook(spark):
+    import pandas as pd
+
+    df = spark.createDataFrame([(1, "abc"), (2, "a"), (3, None)], "id int, body string")
+    got = dict(models.predict(df, lambda s: pd.Series(s.fillna("").str.len().astype(str)), "body").select("id", "predicted").collect())
+    assert got == {1: "3", 2: "1", 3: "0"}
+
+
+def test_best_class_macro(spark):
+    rows = [("favor", "m1", 5, 0.5, 0.9, 0.6), ("favor", "m2", 5, 0.7, 0.7, 0.7), ("against", "m1", 5, 0.9, 0.3, 0.5), ("against", "m2", 5, 0.1, 0.1, 0.1), ("neutral", "m1", 5, 1.0, 1.0, 1.0)]
+    r = one(evaluation.best_class_macro(spark.createDataFrame(rows, "class string, run string, support int, precision double, recall double, f1 double"), "run"))
+    assert tuple(r) == (0.8, 0.5, 0.6)
+
+
+def test_files_and_sinks(spark, tmp_path):
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    for n in ("canada_comments_filtered_2022-01", "canada_comments_filtered_2022-02", "canada_submissions_filtered_2022-01", "other.txt"):
+        (raw / n).write_text("x")
+    side = {k: readers.files(spark, str(raw), rf"^canada_{k}_filtered_\d{{4}}-\d{{2}}$") for k in ("comments", "submissions")}
+    assert side["comments"].count() == 2
+    assert [r["year_month"] for r in readers.paired(side["comments"], side["submissions"]).collect()] == ["2022-01"]
+    assert readers.file_sample(side["comments"], 1.0).count() == 2 and readers.file_sample(side["comments"], 0.0).count() == 0
+
+    runs = spark.createDataFrame([("r1", "finished", 0.5), ("r2", "failed", None)], "run string, state string, f1 double")
+    readers.write_metrics(runs, str(tmp_path / "runs"))
+    assert [tuple(r) for r in readers.finished_runs(spark, str(tmp_path / "runs"), runs.schema).collect()] == [("r1", "finished", 0.5)]
+
+    rows = spark.createDataFrame([("007", 'a "b"\nc', 3), ("x", "d", 1)], "id string, text string, n int")
+    readers.write_csv(rows, str(tmp_path / "csv"))
+    assert sorted(readers.typed_csv(spark, str(tmp_path / "csv"), rows.schema).collect()) == sorted(rows.collect())
+    readers.write_samples(rows, str(tmp_path / "zstd"))
+    readers.write_sequences(rows, str(tmp_path / "sequences"), "id", "n")
+    assert all(sorted(spark.read.parquet(str(tmp_path / p)).collect()) == sorted(rows.collect()) for p in ("zstd", "sequences"))
+
+    readers.write_graph(spark.createDataFrame([("a", "b"), ("c", "c")], "src string, dst string"), str(tmp_path / "graph"))
+    assert readers.read_graph(spark, str(tmp_path / "graph")).count() == 1
+    assert spark.read.parquet(str(tmp_path / "graph/nodes")).count() == 3
+
+    (tmp_path / "catalogue.json").write_text(json.dumps({"topic_stances": [{"topics": [1, 2], "stances": ["gun control"]}]}))
+    known = readers.catalogue(spark, str(tmp_path / "catalogue.json"))
+    got = readers.topics_of(spark.createDataFrame([("gun control",), ("rent",)], "stance string"), known)
+    assert sorted((r["stance"], r["topic"] or 0) for r in got.collect()) == [("gun control", 1), ("gun control", 2), ("rent", 0)]
