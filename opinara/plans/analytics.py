@@ -220,11 +220,11 @@ def density_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landscape.density_mean(landscape.gaussian_density(fixtures.snapshots(spark, sf_dir), 41, "snapshot", "stance"), "snapshot", "stance")
 
 
-@R.query(f"""WITH {PAIRS}, kx AS (SELECT snapshot, stance_x, stance_y, user_id, i, {_kernel('x', 'vx', 15)} AS v FROM pairs, range(15) g(i)), ky AS (SELECT snapshot, stance_x, stance_y, user_id, i, {_kernel('y', 'vy', 15)} AS v FROM pairs, range(15) g(i)),
+@R.query(f"""WITH {PAIRS}, kx AS (SELECT snapshot, stance_x, stance_y, user_id, i, {_kernel('x', 'vx', 25)} AS v FROM pairs, range(25) g(i)), ky AS (SELECT snapshot, stance_x, stance_y, user_id, i, {_kernel('y', 'vy', 25)} AS v FROM pairs, range(25) g(i)),
 nx AS (SELECT *, v / sum(v) OVER (PARTITION BY snapshot, stance_x, stance_y, user_id) AS p FROM kx), ny AS (SELECT *, v / sum(v) OVER (PARTITION BY snapshot, stance_x, stance_y, user_id) AS p FROM ky)
 SELECT nx.snapshot, nx.stance_x, nx.stance_y, cast(nx.i AS INT) AS cx, cast(ny.i AS INT) AS cy, round(sum(nx.p * ny.p) / count(*), 6) AS density FROM nx JOIN ny USING (snapshot, stance_x, stance_y, user_id) GROUP BY ALL""")
 def gaussian_density_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return landscape.gaussian_density_2d(_pairs(spark, sf_dir), 15, *KEYS)
+    return landscape.gaussian_density_2d(_pairs(spark, sf_dir), 25, *KEYS)
 
 
 @R.query(f"""WITH {OPINIONS}, n AS (SELECT user_id, stance, predicted, count(*) AS c FROM opinions GROUP BY ALL), t AS (SELECT user_id, stance, sum(c) AS t FROM n GROUP BY ALL),
