@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opinara.llm import byte_bpe, compression, decontaminate, jaccard, language, line_dedup, merkle, pii, preference, quality, toxicity
+from opinara.llm import byte_bpe, compression, decontaminate, filter_audit, jaccard, language, line_dedup, merkle, pii, preference, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_attention_quality": quality.op1_attention_quality,
@@ -19,7 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_latent_decontamination": decontaminate.op8_latent_decontamination,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_preference_pairs": preference.op10_preference_pairs,
+    "op11_filter_interaction": filter_audit.op11_filter_interaction,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
-ORACLES: dict[str, str] = {"op10_preference_pairs": preference.OP10_SQL, "op13_merkle_manifest": merkle.OP13_SQL}
+ORACLES: dict[str, str] = {"op10_preference_pairs": preference.OP10_SQL, "op11_filter_interaction": filter_audit.OP11_SQL, "op13_merkle_manifest": merkle.OP13_SQL}
