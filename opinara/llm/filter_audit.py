@@ -31,6 +31,8 @@ FILTERS = "ABCDE"
 COPY = 1 << FILTERS.index("E")
 #: Bytes of text that a task holds before it sends what it has.
 HOLD = 16 << 20
+#: Bytes of text, before compression and with all copies, for each partition of the routed texts.
+PARTITION_BYTES = 32 << 20
 
 # Limits of the filters.
 LEAST_WORDS, DISTINCT_PERCENT, CAPITAL_PERCENT = 100, 80, 10
@@ -112,9 +114,11 @@ def judged(records: Iterator[tuple[int, tuple]]) -> Iterator[tuple[int | None, s
 
 
 def masks(docs: DataFrame, partitions: int | None = None, hold: int = HOLD) -> RDD:
-    """(id, part, mask, rows) of all documents, rows with equal values possibly in several records."""
+    """(id, part, mask, rows) of all documents, rows with equal values possibly in several records. Without `partitions`
+    there are as many as the texts have PARTITION_BYTES."""
     rows = docs.select("doc_id", "text", F.coalesce(F.col("lang").cast("string"), F.lit(""))).rdd
-    n = partitions or max(1, rows.getNumPartitions())
+    size = 0 if partitions else docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    n = partitions or 1 + size // PARTITION_BYTES
     routed = rows.mapPartitions(lambda part: route(part, hold))
     # sorted within its memory limit or on disk, so that a partition may be larger than memory
     return routed.repartitionAndSortWithinPartitions(n, lambda h: h % n).mapPartitions(judged)
