@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opinara.llm import byte_bpe, compression, decontaminate, filter_audit, jaccard, language, line_dedup, merkle, pii, preference, quality, toxicity
+from opinara.llm import byte_bpe, compression, decontaminate, filter_audit, jaccard, language, line_dedup, merkle, pii, preference, quality, secret_scan, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_attention_quality": quality.op1_attention_quality,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_preference_pairs": preference.op10_preference_pairs,
     "op11_filter_interaction": filter_audit.op11_filter_interaction,
+    "op12_secret_grammars": secret_scan.op12_secret_grammars,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
