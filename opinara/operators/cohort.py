@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opinara.operators.scans import running
+
 
 def activity(events: DataFrame, user: str = "user_id", ts: str = "ts") -> DataFrame:
     """Count, first and last time and the days between them."""
@@ -52,30 +54,6 @@ def capped(df: DataFrame, group: str, id_col: str, cap: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap).drop("rank")
 
 
-def range_of(df: DataFrame, order: str, n: int = 64) -> Column:
-    """The range, of about n equal ones, that a number falls into. Bounds are constants, so every branch of a plan agrees."""
-    bounds = sorted(set(df.approxQuantile(order, [i / n for i in range(1, n)], 0.002)))
-    if not bounds:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(order).cast("double")))
-
-
-def running(df: DataFrame, order: str, sums: dict[str, Column], *keys: str, n: int = 64) -> DataFrame:
-    """run_x and total_x for each sum x: its running sum up to the row within the keys, and its sum over them. Ranges of the
-    order are summed apart and offset by the sums of those before, so no task sees all rows of a key."""
-    rows = df.withColumn("range_", range_of(df, order, n))
-    within = Window.partitionBy(*keys, "range_").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    local = rows.select("*", *(F.sum(c).over(within).alias(f"run_{x}") for x, c in sums.items()))
-    sizes = rows.groupBy(*keys, "range_").agg(*(F.sum(c).alias(f"size_{x}") for x, c in sums.items()))  # n rows a key
-    key = list(keys) or [F.lit(0)]
-    earlier, whole = Window.partitionBy(*key).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*key)
-    before = sizes.select(*keys, "range_", *(c for x in sums for c in (F.coalesce(F.sum(f"size_{x}").over(earlier), F.lit(0)).alias(f"before_{x}"), F.sum(f"size_{x}").over(whole).alias(f"total_{x}"))))
-    out = local.join(before, [*keys, "range_"])
-    for x in sums:
-        out = out.withColumn(f"run_{x}", F.col(f"run_{x}") + F.col(f"before_{x}")).drop(f"before_{x}")
-    return out.drop("range_")
-
-
 def numbered(df: DataFrame, order: str) -> DataFrame:
     """rn: the place of each row in the order of a number, from 1; no task sees all rows."""
     return running(df, order, {"n": F.lit(1).cast("long")}).withColumnRenamed("run_n", "rn").drop("total_n")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opinara.operators.scans import ROWS, running
+
 
 def past_and_future(df: DataFrame, user: str, t: str, value: str) -> DataFrame:
     """Mean of what came before, and of what comes from here on."""
@@ -13,24 +15,20 @@ def past_and_future(df: DataFrame, user: str, t: str, value: str) -> DataFrame:
     return df.withColumn("past_mean", mean(Window.unboundedPreceding, -1)).withColumn("future_mean", mean(0, Window.unboundedFollowing))
 
 
-def trailing(df: DataFrame, kind: str, ts: str, value: str, days: int) -> DataFrame:
-    """Count and mean of the same kind's rows in (ts - days, ts), as what came before ts less what came up to ts - days.
-    Both are running sums within a kind's day, plus the sums of its whole days before, so every row is read once and no
-    task holds a kind's whole history."""
-    day = F.lit(86_400_000_000)
+def trailing(df: DataFrame, kind: str, ts: str, value: str, days: int, rows_each: int = ROWS) -> DataFrame:
+    """Count and mean of the same kind's rows in (ts - days, ts), as what came before ts less what came up to ts - days:
+    running sums over one order of what is held and what is asked, so every row is read once and no task holds more than
+    a range of a kind."""
+    day = 86_400_000_000
     rows = df.withColumn("__t", F.unix_micros(F.col(ts).cast("timestamp")))
     none = (F.lit(0).cast("long").alias("c"), F.lit(0.0).alias("s"))
-    held = rows.select(kind, F.col("__t").alias("at"), F.lit(0).alias("sign"), F.lit(None).cast("long").alias("of"), F.lit(1).cast("long").alias("c"), F.col(value).cast("double").alias("s"))
-    times = rows.select(kind, "__t").distinct()
-    asked = [times.select(kind, at.alias("at"), F.lit(sign).alias("sign"), F.col("__t").alias("of"), *none) for at, sign in ((F.col("__t") - 1, 1), (F.col("__t") - days * day, -1))]
-    both = held.unionByName(asked[0]).unionByName(asked[1]).withColumn("day", F.floor(F.col("at") / day))
     # at equal times what is held comes before what is asked
-    within = Window.partitionBy(kind, "day").orderBy("at", F.abs("sign")).rowsBetween(Window.unboundedPreceding, 0)
-    ran = both.select(kind, "day", "sign", "of", F.sum("c").over(within).alias("c"), F.sum("s").over(within).alias("s"))
-    totals = both.groupBy(kind, "day").agg(F.sum("c").alias("day_c"), F.sum("s").alias("day_s"))  # a row a day
-    earlier = Window.partitionBy(kind).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(kind, "day", *(F.coalesce(F.sum(f"day_{x}").over(earlier), F.lit(0)).alias(f"before_{x}") for x in "cs"))
-    sums = ran.where("sign <> 0").join(before, [kind, "day"]).groupBy(kind, F.col("of").alias("__t")).agg(F.sum(F.col("sign") * (F.col("c") + F.col("before_c"))).alias("n_before"), F.sum(F.col("sign") * (F.col("s") + F.col("before_s"))).alias("s_before"))
+    held = rows.select(kind, (F.col("__t") * 2).alias("at"), F.lit(0).alias("sign"), F.lit(None).cast("long").alias("of"), F.lit(1).cast("long").alias("c"), F.col(value).cast("double").alias("s"))
+    times = rows.select(kind, "__t").distinct()
+    asked = [times.select(kind, (at * 2 + 1).alias("at"), F.lit(sign).alias("sign"), F.col("__t").alias("of"), *none) for at, sign in ((F.col("__t") - 1, 1), (F.col("__t") - days * day, -1))]
+    both = held.unionByName(asked[0]).unionByName(asked[1])
+    ran = running(both, "at", {"c": F.col("c"), "s": F.col("s")}, kind, rows=rows_each).where("sign <> 0")
+    sums = ran.groupBy(kind, F.col("of").alias("__t")).agg(F.sum(F.col("sign") * F.col("run_c")).alias("n_before"), F.sum(F.col("sign") * F.col("run_s")).alias("s_before"))
     out = rows.join(sums, [kind, "__t"], "left").withColumn("n_before", F.coalesce("n_before", F.lit(0)))
     return out.withColumn("mean_before", F.when(F.col("n_before") > 0, F.col("s_before") / F.col("n_before"))).drop("__t", "s_before")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinara.functions.scores import belief
-from opinara.operators.cohort import running
+from opinara.operators.scans import running
 
 
 def beliefs(snapshots: DataFrame) -> DataFrame:

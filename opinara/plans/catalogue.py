@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opinara.plans import analytics, basics, extras
+from opinara.plans import analytics, basics, extras, references
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**basics.QUERIES, **analytics.QUERIES, **extras.QUERIES}
-ORACLES: dict[str, str] = {**basics.ORACLES, **analytics.ORACLES, **extras.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**basics.QUERIES, **analytics.QUERIES, **extras.QUERIES, **references.QUERIES}
+ORACLES: dict[str, str] = {**basics.ORACLES, **analytics.ORACLES, **extras.ORACLES, **references.ORACLES}

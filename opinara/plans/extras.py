@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opinara.functions import scores, text
-from opinara.operators import cohort, graph, landscape, models, movement, polarization, vectors
+from opinara.operators import cohort, graph, landscape, models, movement, polarization, scans, vectors
 from opinara.plans.analytics import BELIEFS, DOUBLES, PAIRS, TYPES
 from opinara.plans.register import COMMENTS, CONTENTS, OPINIONS, SNAPSHOTS, Registry
 from opinara.sources import fixtures
@@ -47,7 +47,7 @@ def month_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query(f"WITH {OPINIONS}, n AS (SELECT stance, predicted, row_number() OVER (PARTITION BY stance ORDER BY event_id) AS i, count(*) OVER (PARTITION BY stance) AS n FROM opinions) SELECT stance, cast(floor((i - 1) / greatest(n // 4, 1)) AS BIGINT) AS step, count(*) AS n, round(avg(predicted), 6) AS mean FROM n GROUP BY 1, 2")
 def step_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = cohort.running(fixtures.opinions(spark, sf_dir), "event_id", {"n": F.lit(1).cast("long")}, "stance")
+    o = scans.running(fixtures.opinions(spark, sf_dir), "event_id", {"n": F.lit(1).cast("long")}, "stance")
     step = F.floor((F.col("run_n") - 1) / F.greatest(F.floor(F.col("total_n") / 4), F.lit(1)))
     return o.groupBy("stance", step.alias("step")).agg(F.count("*").alias("n"), F.round(F.avg("predicted"), 6).alias("mean"))
 

@@ -90,3 +90,26 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = annotations(spark, sf_dir)
     gold = a.where("annotator = 1").select("doc_id", F.col("label").alias("gold"))
     return gold.join(a.where("annotator = 3").select("doc_id", F.col("label").alias("predicted")), "doc_id")
+
+
+def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Videos and comments with an embedding: content_id, author, kind, t, viewed_id (what a comment answers)."""
+    v = F.col("vec_id")
+    return table(spark, sf_dir, "embeddings").select(v.alias("content_id"), (v % 40).alias("author"), F.when(v % 3 == 0, "video").otherwise("comment").alias("kind"), v.alias("t"), F.floor(v / 2).cast("bigint").alias("viewed_id"), "embedding")
+
+
+def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments with the kind and author of what they answer."""
+    p = posts(spark, sf_dir)
+    seen = p.select(F.col("content_id").alias("viewed_id"), "kind", F.col("author").alias("viewed_author"))
+    said = p.where("kind = 'comment'").select("content_id", F.col("author").alias("user_id"), "t", "viewed_id", "embedding")
+    return said.join(seen, "viewed_id")
+
+
+def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours of every user up to a distance of three: user_id, neighbour, ring."""
+    from opinara.operators.graph import rings as around
+
+    edges = interactions(spark, sf_dir).select(F.col("user_id").alias("src"), F.col("viewed_author").alias("dst")).distinct()
+    users = edges.select(F.col("src").alias("user")).distinct()
+    return around(edges, users).select(F.col("user").alias("user_id"), F.col("node").alias("neighbour"), "ring")

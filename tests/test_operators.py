@@ -142,10 +142,10 @@ def test_lookup_of_one_row(spark):
 
 
 def test_running_sums_by_ranges(spark):
-    from opinara.operators import cohort
+    from opinara.operators import scans
 
     rows = [("ab"[i % 2], (i * 37) % 101, i % 5) for i in range(101)]
-    got = cohort.running(spark.createDataFrame(rows, "g string, o int, v int"), "o", {"v": F.col("v")}, "g", n=7).collect()
+    got = scans.running(spark.createDataFrame(rows, "g string, o int, v int"), "o", {"v": F.col("v")}, "g", rows=9).collect()
     for r in got:
         own = [v for g, o, v in rows if g == r["g"] and o <= r["o"]]
         assert r["run_v"] == sum(own) and r["total_v"] == sum(v for g, _, v in rows if g == r["g"])
