@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.operators import reference_points, scans
+from opinara.operators import reference_points, scans, similarity
 from opinara.plans.register import Registry
 from opinara.sources import fixtures
 from opinara.sources.fixtures import table
@@ -62,3 +62,21 @@ def asof_shipment(spark: SparkSession, sf_dir: str) -> DataFrame:
     shipped = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate").join(owners, "l_orderkey")
     out = scans.asof(orders, shipped, ["o_custkey"], "o_orderdate", "l_shipdate", ["l_shipdate", "l_orderkey", "l_linenumber"], tie=["l_orderkey", "l_linenumber"])
     return out.select("o_orderkey", F.col("l_shipdate").alias("last_shipdate"), F.col("l_orderkey").alias("last_orderkey"), F.col("l_linenumber").alias("last_linenumber"))
+
+
+@R.query(f"""WITH {POSTS}, s AS (SELECT c.content_id AS left_id, v.content_id AS right_id, round(list_cosine_similarity(c.e, v.e), 9) AS s FROM posts c, posts v WHERE c.kind = 'comment' AND v.kind = 'video')
+SELECT left_id, right_id, round(s, 6) AS similarity, cast(row_number() OVER (PARTITION BY left_id ORDER BY s DESC, right_id) AS INT) AS rank FROM s QUALIFY rank <= 5""")
+def similar_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five videos most like each comment, of all."""
+    posts = fixtures.posts(spark, sf_dir)
+    out = similarity.top_k(posts.where("kind = 'comment'"), posts.where("kind = 'video'"), "content_id", "content_id", "embedding", "embedding", 5)
+    return out.withColumn("similarity", F.round("similarity", 6))
+
+
+@R.query("""WITH s AS (SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)
+SELECT left_id, right_id, round(s, 6) AS similarity, cast(row_number() OVER (PARTITION BY left_id ORDER BY s DESC, right_id) AS INT) AS rank FROM s QUALIFY rank <= 10""")
+def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten vectors most like each one, of all others, in blocks of 256 around pivots."""
+    e = table(spark, sf_dir, "embeddings")
+    out = similarity.top_k(e, e, "vec_id", "vec_id", "embedding", "embedding", 10, same=True, block_rows=256)
+    return out.withColumn("similarity", F.round("similarity", 6))
