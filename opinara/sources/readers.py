@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from opinara.sources.dumps import read_dumps
+
 COMMENT = T.StructType([T.StructField(n, T.LongType() if n in ("created_utc", "score") else T.StringType()) for n in ("author", "author_fullname", "body", "created_utc", "id", "parent_id", "permalink", "score", "subreddit")])
 SUBMISSION = T.StructType([T.StructField(n, T.LongType() if n in ("created_utc", "score", "num_comments") else T.StringType()) for n in ("author", "author_fullname", "title", "selftext", "created_utc", "id", "num_comments", "permalink", "score", "subreddit")])
 
@@ -22,30 +20,7 @@ def ndjson(spark: SparkSession, path: str, schema: T.StructType = COMMENT, keep:
 
 def long_window_zst(spark: SparkSession, path: str, schema: T.StructType = COMMENT, keep: list[str] | None = None) -> DataFrame:
     """For dumps with a window of 2**31 bytes, which the built-in reader refuses: one task a file, read as a stream."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zst").load(path).select("path", "content")
-    names = schema.fieldNames()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-
-        import zstandard
-
-        for f in frames:
-            for content in f["content"]:
-                stream = zstandard.ZstdDecompressor(max_window_size=2**31).stream_reader(io.BytesIO(content))
-                rows: list[list] = []
-                for line in io.TextIOWrapper(stream, encoding="utf-8", errors="replace"):
-                    if not line.strip():
-                        continue
-                    x = json.loads(line)
-                    if keep is None or x.get("subreddit") in keep:
-                        rows.append([x.get(n) for n in names])
-                    if len(rows) >= 10_000:
-                        yield pd.DataFrame(rows, columns=names, dtype=object)
-                        rows = []
-                yield pd.DataFrame(rows, columns=names, dtype=object)
-
-    return files.mapInPandas(run, schema)
+    return read_dumps(spark, path, schema, keep)
 
 
 def year_month(path: Column) -> Column:
@@ -110,6 +85,39 @@ def files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     return found.where(F.element_at(F.split("path", "/"), -1).rlike(pattern)).select("path", year_month(F.element_at(F.split("path", "/"), -1)).alias("year_month"))
 
 
+def scan(spark: SparkSession, found: DataFrame, schema: str | T.StructType) -> DataFrame:
+    """The rows of listed Parquet files with the year_month of their file. Columns are aligned with the schema by name: those
+    that a file lacks are null, others are not read."""
+    paths = [r["path"] for r in found.select("path").orderBy("path").collect()]  # names of files, not their rows
+    if not paths:
+        return spark.createDataFrame([], schema).withColumn("year_month", F.lit(None).cast("string"))
+    return spark.read.schema(schema).parquet(*paths).withColumn("year_month", year_month(F.element_at(F.split(F.input_file_name(), "/"), -1)))
+
+
+VIDEO = "video_id string, author_id string, author_name string, createtime timestamp, `desc` string, hashtags string, mentions string, share_video_id string, share_video_user_id string, share_type string"
+VIDEO_COMMENT = "comment_id string, video_id string, author_id string, author_name string, createtime timestamp, text string, comment_language string, mentions string, reply_comment_id string"
+
+
+def _lists(df: DataFrame, *columns: str) -> DataFrame:
+    """Lists that a CSV cell holds as text, in either kind of quotes; an empty or unreadable cell is an empty list."""
+    read = lambda c: F.coalesce(F.from_json(F.col(c), "array<string>"), F.array().cast("array<string>"))
+    return df.withColumns({c: F.filter(read(c), lambda x: x.isNotNull()) for c in columns})
+
+
+def videos(spark: SparkSession, path: str) -> DataFrame:
+    """Videos with lists of hashtags and mentions, one row an id (the first by time)."""
+    from opinara.operators.cohort import dedup_keyed
+
+    rows = _lists(typed_csv(spark, path, VIDEO), "hashtags", "mentions")
+    return dedup_keyed(rows.where(F.col("video_id").isNotNull()), ["video_id"], ["createtime", "author_id", "desc"])
+
+
+def video_comments(spark: SparkSession, path: str) -> DataFrame:
+    """Comments on videos with a list of mentions; without an id or a video they are left out."""
+    rows = _lists(typed_csv(spark, path, VIDEO_COMMENT), "mentions")
+    return rows.where(F.col("comment_id").isNotNull() & F.col("video_id").isNotNull())
+
+
 def paired(comments: DataFrame, submissions: DataFrame) -> DataFrame:
     """Files of comments with the file of submissions of the same month; a month that lacks either is left out."""
     return comments.withColumnRenamed("path", "comments").join(submissions.withColumnRenamed("path", "submissions"), "year_month")
