@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,17 +26,49 @@ def parent_of(parent_id: Column) -> Column:
 
 def unescape_quotes(text: Column) -> Column:
     """Quoted lines between quotation marks."""
-    return F.regexp_replace(text, "&gt;(.*)\n", '"$1"\n')
+    return F.regexp_replace(text, "(?d)&gt;(.*)\n", '"$1"\n')  # only a line feed ends a line
+
+
+# What a token of a post is, the first that fits: links, emoticons, tags, arrows, users, hashtags, mail, words
+# with dashes or apostrophes within, numbers with marks within, other words, rows of dots, single characters.
+TOKEN = "|".join((
+    r"[hH][tT][tT][pP][sS]?://[^ \t\n\x0B\f\r]+", r"[wW][wW][wW]\.[^ \t\n\x0B\f\r]+",
+    r"[<>]?[:;=8][\-o\*']?[\)\]\(\[dDpP/:\}\{@|\\]", r"[\)\]\(\[dDpP/:\}\{@|\\][\-o\*']?[:;=8][<>]?", r"<3",
+    r"<[^> \t\n\x0B\f\r]+>", r"-+>|<-+", r"@[A-Za-z0-9_]+", r"#+[\p{L}\p{N}_]+[\p{L}\p{N}_'\-]*[\p{L}\p{N}_]+",
+    r"[A-Za-z0-9_.+\-]+@[A-Za-z0-9_\-]+\.[A-Za-z0-9_.\-]*[A-Za-z0-9_\-]",
+    r"\p{L}[\p{L}'\-_]+\p{L}", r"[+\-]?[0-9]+[,/.:\-][0-9]+[+\-]?", r"[\p{L}\p{N}_]+", r"\.(?:[ \t\n\x0B\f\r]*\.)+", r"[^ \t\n\x0B\f\r]",
+))
+#: Blocks of emoji, by first and last code point.
+EMOJI = ((0x203C, 0x203C), (0x2049, 0x2049), (0x2139, 0x2139), (0x2194, 0x21AA), (0x231A, 0x23FF), (0x25AA, 0x27BF), (0x2934, 0x2935), (0x2B05, 0x2B55), (0x1F004, 0x1F0CF), (0x1F170, 0x1F251), (0x1F300, 0x1F64F), (0x1F680, 0x1F6FF), (0x1F7E0, 0x1F7F0), (0x1F90C, 0x1FAFF))
+
+
+def emoji_names() -> dict[str, str]:
+    """:name: of each emoji, from its name in Unicode."""
+    found = {chr(c): unicodedata.name(chr(c), "") for lo, hi in EMOJI for c in range(lo, hi + 1)}
+    return {c: ":" + n.lower().replace(" ", "_") + ":" for c, n in found.items() if n}
+
+
+def name_emoji(token: Column) -> Column:
+    """A token that is an emoji by its name; the table is one constant, and only tokens in the blocks are looked up."""
+    table = F.from_json(F.lit(json.dumps(emoji_names())), "map<string,string>")
+    blocks = "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in EMOJI)
+    return F.when(token.rlike(f"^[{blocks}]$"), F.coalesce(F.element_at(table, token), token)).otherwise(token)
+
+
+def tokens(text: Column) -> Column:
+    """The tokens of a text, punctuation apart."""
+    return F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1))
 
 
 def normalize_token(token: Column) -> Column:
     lower = F.lower(token)
-    return F.when(token.startswith("@"), "@USER").when(lower.startswith("http") | lower.startswith("www"), "HTTPURL").when(token == "’", "'").when(token == "…", "...").otherwise(token)
+    other = F.when(token == "’", "'").when(token == "…", "...").otherwise(name_emoji(token))
+    return F.when(token.startswith("@"), "@USER").when(lower.startswith("http") | lower.startswith("www"), "HTTPURL").otherwise(other)
 
 
 def normalize(text: Column) -> Column:
-    """Tokens replaced, contractions set apart, white space collapsed."""
-    out = F.array_join(F.transform(F.split(F.replace(F.replace(text, F.lit("’"), F.lit("'")), F.lit("…"), F.lit("...")), "[ \n\t]+"), normalize_token), " ")
+    """Tokens replaced and set apart by spaces, contractions set apart, white space collapsed."""
+    out = F.array_join(F.transform(tokens(F.replace(F.replace(text, F.lit("’"), F.lit("'")), F.lit("…"), F.lit("..."))), normalize_token), " ")
     for old, new in REPLACEMENTS:
         out = F.replace(out, F.lit(old), F.lit(new))
     return F.trim(F.regexp_replace(out, "[ \n\t]+", " "))

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -137,10 +138,9 @@ def beta_density(opinions: DataFrame, points: int = 100) -> DataFrame:
 
 
 def bootstrap(pairs: DataFrame, replicates: int, *keys: str, level: float = 0.95) -> DataFrame:
-    """Percentile interval of Pearson's r. A row's weight in a replicate is Poisson(1) by a hash of row and replicate, so
+    """Percentile interval of Pearson's r. A user's weight in a replicate is a Poisson(1) number of user and replicate, so
     replicates are sums and need no second pass."""
-    weight = poisson("user_id", *keys, "r")
-    rows = pairs.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", weight)
+    rows = pairs.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", F.expr(poisson("user_id", "cast(r AS bigint)")))
     x, y, w = F.col("x"), F.col("y"), F.col("w")
     s = rows.groupBy(*keys, "r").agg(F.sum(w).alias("sw"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"), F.sum(w * x * x).alias("sxx"), F.sum(w * x * y).alias("sxy"), F.sum(w * y * y).alias("syy"))
     cov, vx, vy = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("sw"), F.col("sxx") - F.col("sx") * F.col("sx") / F.col("sw"), F.col("syy") - F.col("sy") * F.col("sy") / F.col("sw")
@@ -181,21 +181,78 @@ def mean_test(pairs: DataFrame, *keys: str) -> DataFrame:
     return sums.select(*keys, "n", *(f"{k}_{c}" for c in ("x", "y") for k in ("mean", "t", "p")))
 
 
-def poisson(*row: str) -> Column:
-    """A Poisson(1) weight that follows from the values of these columns."""
-    u = F.pmod(F.xxhash64(*row), F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
+def poisson(user: str, replicate: str) -> str:
+    """SQL of a Poisson(1) weight that follows from a user's number and a replicate's; the same in any engine."""
+    u, p = f"(({user} % 1000003 + 1000003) % 1000003)", 1_000_003
+    first = f"(({u} * 7919 + {replicate} * 104729 + 12345) % {p})"
+    second = f"(({first} * {first} + 31 * {first} + {replicate} * 7907) % {p})"
+    share = f"(({second} * {second} + 17 * {second} + {u}) % {p})"
     cuts = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])
-    return sum((F.when(u >= float(c), 1).otherwise(0) for c in cuts), F.lit(0)).cast("double")
+    return "CASE " + " ".join(f"WHEN {share} < {math.floor(c * p)} THEN {k}" for k, c in enumerate(cuts)) + f" ELSE {len(cuts)} END"
+
+
+# Coefficients of approximations to the normal distribution and its quantiles.
+_B = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
+_T, _NORM = 0.2316419, 0.3989422804014327
+_C, _D = (2.515517, 0.802853, 0.010328), (1.432788, 0.189269, 0.001308)
+
+
+def normal(x: str) -> str:
+    """SQL of the normal distribution function, to 1e-7."""
+    t = f"(1 / (1 + {_T}e0 * abs({x})))"
+    sum_ = f"{_B[4]}e0"
+    for c in reversed(_B[:4]):
+        sum_ = f"({c}e0 + {t} * {sum_})"
+    tail = f"({_NORM}e0 * exp(-{x} * {x} / 2) * {t} * {sum_})"
+    return f"(CASE WHEN {x} < 0 THEN {tail} ELSE 1 - {tail} END)"
+
+
+def normal_quantile(p: str) -> str:
+    """SQL of the normal quantile, to 5e-4; `refined` brings it to 1e-6."""
+    t = f"sqrt(-2 * ln(least({p}, 1 - {p})))"
+    x = f"({t} - ({_C[0]}e0 + {t} * ({_C[1]}e0 + {t} * {_C[2]}e0)) / (1 + {t} * ({_D[0]}e0 + {t} * ({_D[1]}e0 + {t} * {_D[2]}e0))))"
+    return f"(CASE WHEN {p} < 0.5 THEN -{x} ELSE {x} END)"
+
+
+def refined(x: str, p: str) -> str:
+    """SQL of a quantile after a Newton step."""
+    return f"({x} - ({normal(x)} - {p}) / ({_NORM}e0 * exp(-{x} * {x} / 2)))"
+
+
+def bca_steps(level: float, replicates: int) -> list[tuple[str, str]]:
+    """Columns, one after the other, from estimate, share (of replicates below it), n and the moments s1, s2, s3 of the
+    leave-one-out estimates less the estimate, to at_lo and at_hi: where among the sorted replicates the bounds lie."""
+    z = NormalDist().inv_cdf((1 + level) / 2)
+    steps = [
+        ("p0", f"least(greatest(share, {0.5 / replicates}e0), 1 - {0.5 / replicates}e0)"),
+        ("x0", normal_quantile("p0")),
+        ("z0", refined("x0", "p0")),
+        ("q2", "(s2 - s1 * s1 / n)"),
+        ("q3", "(s3 - 3 * s1 / n * s2 + 2 * s1 * s1 * s1 / (n * n))"),
+        ("acc", "CASE WHEN q2 > 1e-18 THEN -q3 / (6 * q2 * sqrt(q2)) ELSE 0e0 END"),
+    ]
+    for name, end in (("lo", -z), ("hi", z)):
+        steps += [(f"z_{name}", f"z0 + (z0 + {end}e0) / (1 - acc * (z0 + {end}e0))"), (f"at_{name}", f"{normal(f'z_{name}')} * (m - 1)")]
+    return steps
 
 
 def bootstrap_mean(snapshots: DataFrame, replicates: int, *keys: str, level: float = 0.95) -> DataFrame:
-    """Mean opinion with weights exp(-variance), and the percentile interval of its replicates; keys must name the target."""
-    rows = snapshots.where("mean IS NOT NULL AND variance IS NOT NULL").withColumn("w", F.exp(-F.col("variance")))
-    rows = rows.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates))))  # 0 is the sample itself
-    weight = F.col("w") * F.when(F.col("r") == 0, 1.0).otherwise(poisson("user_id", *keys, "r"))
-    means = rows.groupBy(*keys, "r").agg(F.try_divide(F.sum(weight * F.col("mean")), F.sum(weight)).alias("m"))
-    again, tail = F.when(F.col("r") > 0, F.col("m")), (1 - level) / 2
-    return means.groupBy(*keys).agg(F.round(F.max(F.when(F.col("r") == 0, F.col("m"))), 6).alias("mean"), *(F.round(F.percentile(again, F.lit(q)), 6).alias(n) for n, q in (("lo", tail), ("hi", 1 - tail))))
+    """Mean opinion with weights exp(-variance) and its bias-corrected accelerated interval. Users keep or lose weight in a
+    replicate by a Poisson number, so replicates are sums; leave-one-out means come from the sums less a user's part."""
+    rows = snapshots.where("mean IS NOT NULL AND variance IS NOT NULL").select(*keys, "user_id", "mean", F.exp(-F.col("variance")).alias("w"))
+    whole = rows.groupBy(*keys).agg(F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("mean")).alias("sm"), F.count("*").alias("n"))
+    without = F.col("sw") - F.col("w")
+    off = F.when(without > 1e-12, (F.col("sm") - F.col("w") * F.col("mean")) / without - F.col("sm") / F.col("sw")).otherwise(0.0)
+    moments = rows.join(whole, list(keys)).withColumn("off", off).groupBy(*keys).agg((F.first("sm") / F.first("sw")).alias("estimate"), F.first("n").alias("n"), *(F.sum(F.pow("off", F.lit(float(k)))).alias(f"s{k}") for k in (1, 2, 3)))
+    again = rows.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", F.col("w") * F.expr(poisson("user_id", "cast(r AS bigint)")))
+    drawn = again.groupBy(*keys, "r").agg(F.try_divide(F.sum(F.col("w") * F.col("mean")), F.sum("w")).alias("v")).where("v IS NOT NULL").join(moments, list(keys))
+    w = Window.partitionBy(*keys)  # a row a replicate
+    placed = drawn.withColumn("i", F.row_number().over(w.orderBy("v", "r")) - 1).withColumn("next", F.lead("v").over(w.orderBy("v", "r")))
+    placed = placed.withColumn("m", F.count("*").over(w)).withColumn("share", F.avg((F.col("v") < F.col("estimate") - 1e-12).cast("double") + (F.abs(F.col("v") - F.col("estimate")) <= 1e-12).cast("double") / 2).over(w))
+    for name, value in bca_steps(level, replicates):
+        placed = placed.withColumn(name, F.expr(value))
+    bound = lambda at: F.max(F.when(F.floor(at) == F.col("i"), F.col("v") + (F.col(at) - F.col("i")) * (F.coalesce("next", "v") - F.col("v"))))
+    return placed.groupBy(*keys).agg(F.round(F.first("estimate"), 6).alias("mean"), F.round(bound("at_lo"), 6).alias("lo"), F.round(bound("at_hi"), 6).alias("hi"))
 
 
 def beta_density_2d(opinions: DataFrame, points: int = 20) -> DataFrame:

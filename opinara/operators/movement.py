@@ -33,6 +33,16 @@ def trailing(df: DataFrame, kind: str, ts: str, value: str, days: int, rows_each
     return out.withColumn("mean_before", F.when(F.col("n_before") > 0, F.col("s_before") / F.col("n_before"))).drop("__t", "s_before")
 
 
+def monthly(df: DataFrame, user: str, ts: str, value: str) -> DataFrame:
+    """n and mean of each user's rows in each calendar month from the first to the last one that has some; months without
+    rows have 0 and null. Rows are summed by month first, so the calendar meets a row a user and month."""
+    month = F.date_trunc("month", F.col(ts)).cast("date")
+    each = df.where(F.col(ts).isNotNull()).groupBy(user, month.alias("month")).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+    ends = each.groupBy(user).agg(F.min("month").alias("first"), F.max("month").alias("last"))
+    calendar = ends.select(user, F.explode(F.sequence("first", "last", F.expr("INTERVAL 1 MONTH"))).alias("month"))
+    return calendar.join(each, [user, "month"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
 def density(df: DataFrame, value: Column, lo: float, hi: float, bins: int) -> DataFrame:
     """Counts and density of equal bins; hi belongs to the last bin, what lies outside is left out."""
     width = (hi - lo) / bins

@@ -34,15 +34,18 @@ def text_sentinel_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _normal_sql() -> str:
-    out = "array_to_string(list_transform(regexp_split_to_array(replace(replace(text, '’', ''''), '…', '...'), '[ \\n\\t]+'), lambda t: CASE WHEN starts_with(t, '@') THEN '@USER' WHEN starts_with(lower(t), 'http') OR starts_with(lower(t), 'www') THEN 'HTTPURL' ELSE t END), ' ')"
+    token = "CASE WHEN starts_with(t, '@') THEN '@USER' WHEN starts_with(lower(t), 'http') OR starts_with(lower(t), 'www') THEN 'HTTPURL' ELSE t END"
+    quoted = text.TOKEN.replace("'", "''")
+    out = "array_to_string(list_transform(regexp_extract_all(replace(replace(text, '’', ''''), '…', '...'), '(" + quoted + ")'), lambda t: " + token + "), ' ')"
     for old, new in text.REPLACEMENTS:
         out = "replace({}, '{}', '{}')".format(out, old.replace("'", "''"), new.replace("'", "''"))
-    return f"SELECT doc_id, trim(regexp_replace({out}, '[ \\n\\t]+', ' ', 'g')) AS normal FROM documents WHERE lang = 'en'"
+    return f"SELECT doc_id, trim(regexp_replace({out}, '[ \\n\\t]+', ' ', 'g')) AS normal FROM documents"
 
 
 @R.query(_normal_sql())
 def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", text.normalize(F.col("text")).alias("normal"))
+    """Documents of all languages as tokens; the SQL names no emoji, as the table has none (tests do)."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.normalize(F.col("text")).alias("normal"))
 
 
 @R.query("SELECT doc_id, length(text) AS n FROM documents ORDER BY n DESC, doc_id LIMIT 20")
@@ -50,25 +53,24 @@ def text_length_sort_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.char_length("text").cast("long").alias("n")).orderBy(F.desc("n"), "doc_id").limit(20)
 
 
-QUOTES = ["&gt;said so\nno", "plain\n&gt;a\n&gt;b\nend", "no quote", ""]
-
-
-@R.query("SELECT i, regexp_replace(t, '&gt;(.*)\\n', '\"\\1\"' || chr(10), 'g') AS t FROM (VALUES " + ", ".join("({}, '{}')".format(i, q.replace("\n", "' || chr(10) || '")) for i, q in enumerate(QUOTES)) + ") v(i, t)")
+@R.query(r"""SELECT doc_id, md5(regexp_replace(replace(text, chr(10), chr(10) || '&gt;'), '&gt;(.*)\n', '"\1"' || chr(10), 'g')) AS unescaped FROM documents""")
 def quote_unescape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(QUOTES)), "i int, t string").select("i", text.unescape_quotes(F.col("t")).alias("t"))
-
-
-ANSWERS = ["Favor", "i disagree fully", "They support it\nagainst", "neutral I think", "no idea", "", "agree", "Against: yes", "I agree", "well\nyes", "yes and no"]
+    """Every document with all lines but the first quoted, and then unescaped."""
+    quoted = F.replace(F.col("text"), F.lit("\n"), F.lit("\n&gt;"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.unescape_quotes(quoted).cast("binary")).alias("unescaped"))
 
 
-@R.query("""WITH v(i, t) AS (VALUES """ + ", ".join("({}, '{}')".format(i, a.replace("\n", "' || chr(10) || '")) for i, a in enumerate(ANSWERS)) + r"""),
-w AS (SELECT i, t, list_filter(list_transform(regexp_extract_all(lower(split_part(t, chr(10), 1)), '\w+'), lambda x:
+@R.query(r"""WITH v AS (SELECT conv_id, turn, text AS t FROM conversations UNION ALL SELECT conv_id, turn + 100, CASE turn % 4 WHEN 0 THEN 'I disagree: ' WHEN 1 THEN 'Favor, ' WHEN 2 THEN 'yes ' ELSE 'They support it ' END || text FROM conversations),
+w AS (SELECT conv_id, turn, t, list_filter(list_transform(regexp_extract_all(lower(split_part(t, chr(10), 1)), '\w+'), lambda x:
     CASE WHEN contains(x, 'disagree') OR (contains(x, 'against') AND NOT contains(x, 'favor') AND NOT contains(x, 'agree') AND NOT contains(x, 'support')) THEN 'against'
          WHEN contains(x, 'favor') OR contains(x, 'agree') OR contains(x, 'support') THEN 'favor' WHEN contains(x, 'neutral') THEN 'neutral' END), lambda s: s IS NOT NULL) AS s FROM v)
-SELECT i, coalesce(s[1], 'neutral') AS stance, CASE WHEN contains(l, 'yes') AND NOT contains(l, 'no') THEN 'yes' WHEN contains(l, 'no') AND NOT contains(l, 'yes') THEN 'no' WHEN regexp_matches(l, 'favor|agree|support') THEN 'yes' ELSE 'no' END AS yes_no FROM (SELECT *, lower(split_part(t, chr(10), 1)) AS l FROM w)""")
+SELECT conv_id, turn, coalesce(s[1], 'neutral') AS stance, CASE WHEN contains(l, 'yes') AND NOT contains(l, 'no') THEN 'yes' WHEN contains(l, 'no') AND NOT contains(l, 'yes') THEN 'no' WHEN regexp_matches(l, 'favor|agree|support') THEN 'yes' ELSE 'no' END AS yes_no FROM (SELECT *, lower(split_part(t, chr(10), 1)) AS l FROM w)""")
 def stance_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(ANSWERS)), "i int, t string")
-    return rows.select("i", text.parse_stance(F.col("t")).alias("stance"), text.parse_yes_no(F.col("t")).alias("yes_no"))
+    """Stance and yes or no of every turn, and of every turn after an opening that takes a side."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    opening = F.element_at(F.array(*map(F.lit, ("I disagree: ", "Favor, ", "yes ", "They support it "))), (F.col("turn") % 4 + 1).cast("int"))
+    rows = c.unionByName(c.select("conv_id", (F.col("turn") + 100).alias("turn"), F.concat(opening, "text").alias("text")))
+    return rows.select("conv_id", "turn", text.parse_stance(F.col("text")).alias("stance"), text.parse_yes_no(F.col("text")).alias("yes_no"))
 
 
 @R.query(f"""WITH {COMMENTS}, c AS (SELECT *, nullif(regexp_extract(permalink, '^(/r/[^/]+/comments/[^/]+/[^/]+/)', 1), '') AS post_permalink,

@@ -39,10 +39,13 @@ def interaction_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.interaction_edges(*_interactions(spark, sf_dir))
 
 
-@R.query(f"WITH {OPINIONS} SELECT date_trunc('month', ts)::TIMESTAMP AS month, stance, count(*) AS n, round(avg(predicted), 6) AS mean FROM opinions GROUP BY ALL")
+@R.query("""WITH o AS (SELECT o_custkey, date_trunc('month', o_orderdate)::TIMESTAMP AS month, o_totalprice FROM orders),
+c AS (SELECT o_custkey, unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH))::TIMESTAMP AS month FROM o GROUP BY o_custkey)
+SELECT c.o_custkey, c.month, count(o.month) AS n, round(avg(o_totalprice), 4) AS mean FROM c LEFT JOIN o ON o.o_custkey = c.o_custkey AND o.month = c.month GROUP BY ALL""")
 def month_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = fixtures.opinions(spark, sf_dir).withColumn("month", F.date_trunc("month", F.col("ts")).cast("timestamp_ntz"))
-    return o.groupBy("month", "stance").agg(F.count("*").alias("n"), F.round(F.avg("predicted"), 6).alias("mean"))
+    """Orders of every customer in every calendar month from the first to the last, empty months too."""
+    out = movement.monthly(table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", "o_totalprice")
+    return out.withColumn("month", F.col("month").cast("timestamp_ntz")).withColumn("mean", F.round("mean", 4))
 
 
 @R.query(f"WITH {OPINIONS}, n AS (SELECT stance, predicted, row_number() OVER (PARTITION BY stance ORDER BY event_id) AS i, count(*) OVER (PARTITION BY stance) AS n FROM opinions) SELECT stance, cast(floor((i - 1) / greatest(n // 4, 1)) AS BIGINT) AS step, count(*) AS n, round(avg(predicted), 6) AS mean FROM n GROUP BY 1, 2")
@@ -102,11 +105,16 @@ def keyed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohort.lookup_one(c.select("content_id", "viewed_id"), known, "viewed_id").select("content_id", "topic")
 
 
-@R.query("SELECT count(*) AS n_events, cast((SELECT sum(n) FROM (SELECT count(*) AS n FROM events GROUP BY user_id)) AS BIGINT) AS n_counted, true AS covered FROM events")
+@R.query("""WITH a AS (SELECT user_id FROM events GROUP BY user_id HAVING count(*) > 60), n AS (SELECT event_type, count(*) AS n_events, sum(CASE WHEN user_id IN (SELECT user_id FROM a) THEN 1 ELSE 0 END) AS n_active, count(DISTINCT user_id) AS n_users FROM events GROUP BY event_type)
+SELECT event_type, n_events, cast(n_active AS BIGINT) AS n_active, n_active = n_events AS covered, n_users = (SELECT count(DISTINCT user_id) FROM events) AS all_users FROM n""")
 def activity_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    counted = cohort.activity(e).agg(F.sum("n").alias("n_counted"))
-    return e.agg(F.count("*").alias("n_events")).crossJoin(counted).withColumn("covered", F.col("n_events") == F.col("n_counted"))
+    """Whether active users account for all events of a type, and whether every user has some."""
+    e = table(spark, sf_dir, "events").select("event_type", "user_id")
+    known = cohort.active(e, 60, "user_id").groupBy("event_type").agg(F.count("*").alias("n_active"))
+    each = e.groupBy("event_type", "user_id").agg(F.count("*").alias("n")).groupBy("event_type").agg(F.sum("n").alias("n_events"), F.count("*").alias("n_users"))
+    users = e.select("user_id").distinct().agg(F.count("*").alias("n_all"))
+    out = each.join(known, "event_type", "left").crossJoin(F.broadcast(users)).withColumn("n_active", F.coalesce("n_active", F.lit(0)))
+    return out.select("event_type", "n_events", "n_active", (F.col("n_active") == F.col("n_events")).alias("covered"), (F.col("n_users") == F.col("n_all")).alias("all_users"))
 
 
 @R.query("SELECT event_id, row_number() OVER (ORDER BY ((event_id + 7) * 2654435761) % 1000003, event_id % 1048576) AS rn FROM events")
@@ -114,10 +122,22 @@ def seeded_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohort.shuffled(table(spark, sf_dir, "events").select("event_id"), "event_id", 7)
 
 
-@R.query("SELECT true AS same")
+SETS = {
+    "labelled documents": ("SELECT doc_id FROM labels", "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)"),
+    "all documents": ("SELECT doc_id FROM labels", "SELECT doc_id FROM documents"),
+    "toxic and the rest": ("SELECT doc_id FROM labels WHERE toxic = 1 UNION ALL SELECT doc_id FROM labels WHERE toxic = 0", "SELECT doc_id FROM labels"),
+    "sources of twice": ("SELECT source FROM documents UNION ALL SELECT source FROM documents", "SELECT source FROM documents"),
+}
+
+
+@R.query(" UNION ALL ".join(f"SELECT '{name}' AS pair, NOT EXISTS (({a}) EXCEPT ALL ({b})) AND NOT EXISTS (({b}) EXCEPT ALL ({a})) AS same" for name, (a, b) in SETS.items()))
 def set_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "labels").select("doc_id")
-    return cohort.same_rows(d, d.orderBy(F.desc("doc_id")))
+    """Pairs of tables that hold the same rows equally often, and pairs that do not."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    ids, source = labels.select("doc_id"), docs.select("source")
+    sides = (ids, docs.join(ids, "doc_id", "left_semi").select("doc_id")), (ids, docs.select("doc_id")), (labels.where("toxic = 1").select("doc_id").unionByName(labels.where("toxic = 0").select("doc_id")), ids), (source.unionByName(source), source)
+    out = [cohort.same_rows(a, b).select(F.lit(name).alias("pair"), "same") for name, (a, b) in zip(SETS, sides, strict=True)]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
 @R.query("SELECT doc_id, 'quality' AS target, quality AS label FROM labels UNION ALL SELECT doc_id, 'toxic', toxic FROM labels")
@@ -165,13 +185,18 @@ def time_rescale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select("user_id", F.round(cohort.rescale(F.col("user_id") % 12, 12, 1_704_067_200, 1_735_689_600), 3).alias("at"))
 
 
-@R.query("""WITH g AS (SELECT i * 0.1::DOUBLE AS ou, j * 0.1::DOUBLE AS up FROM range(1, 21) a(i), range(1, 21) b(j))
-SELECT round(ou, 1) AS ou, round(up, 1) AS up, round(1 / (1 + exp(ou - up)), 6) AS between_, round(1 / (1 + exp(-least((ou + up) / 1.0 - 1, 100.0))), 6) AS away FROM g""")
+@R.query(f"""WITH {CONTENTS}, {REFERENCES}, d AS (SELECT list_distance({DOUBLES.format('viewed')}, {DOUBLES.format('prev')}) AS d FROM v),
+n AS (SELECT cast(round(d * 4) AS BIGINT) AS d4, count(*) AS n FROM d WHERE d > 0 GROUP BY 1), g AS (SELECT i, j FROM range(1, 21) a(i), range(1, 21) b(j))
+SELECT cast(i AS INT) AS i, cast(j AS INT) AS j, sum(n)::BIGINT AS n, round(sum(n / (1 + exp((i - j) * 0.1::DOUBLE * d4 / 4))) / sum(n), 6) AS between_, round(1 / (1 + exp(-least((i + j) * 0.1::DOUBLE - 1, 100.0))), 6) AS away FROM g, n GROUP BY i, j""")
 def movement_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both metrics over a grid of distances to the viewed and the previous item, which are at distance 1."""
-    axis = lambda n: F.explode(F.sequence(F.lit(1), F.lit(20))).alias(n)
-    g = spark.range(1).select(axis("i")).select("i", axis("j")).select((F.col("i") * 0.1).alias("ou"), (F.col("j") * 0.1).alias("up"))
-    return g.select(F.round("ou", 1).alias("ou"), F.round("up", 1).alias("up"), F.round(scores.between(F.col("ou"), F.col("up")), 6).alias("between_"), F.round(scores.away(F.col("ou"), F.lit(1.0), F.col("up")), 6).alias("away"))
+    """Both metrics over a grid of distances to the viewed and to the previous item, in tenths of the distance between the
+    two, as a mean over all interactions; these are first counted by that distance, in quarters."""
+    v = _references(spark, sf_dir).select(scores.euclidean(F.col("viewed"), F.col("prev_embedding")).alias("d")).where("d > 0")
+    n = v.groupBy(F.round(F.col("d") * 4).cast("long").alias("d4")).agg(F.count("*").alias("n"))
+    axis = lambda c: F.explode(F.sequence(F.lit(1), F.lit(20))).alias(c)
+    g = n.select("*", axis("i")).select("*", axis("j")).withColumn("ou", F.col("i") * 0.1 * F.col("d4") / 4).withColumn("up", F.col("j") * 0.1 * F.col("d4") / 4)
+    far = scores.away(F.col("i") * 0.1, F.lit(1.0), F.col("j") * 0.1)
+    return g.groupBy("i", "j").agg(F.sum("n").alias("n"), F.round(F.sum(F.col("n") * scores.between(F.col("ou"), F.col("up"))) / F.sum("n"), 6).alias("between_"), F.round(F.first(far), 6).alias("away"))
 
 
 @R.query(f"WITH {OPINIONS}, m AS (SELECT user_id, stance, max(CASE WHEN predicted > 0 THEN 1 ELSE 0 END) AS open FROM opinions GROUP BY ALL) SELECT user_id, stance, round(CASE WHEN open = 1 THEN 1.0::DOUBLE / sum(open) OVER (PARTITION BY user_id) ELSE 0 END, 6) AS share FROM m")
@@ -190,10 +215,10 @@ def weighted_pearson_xy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("snapshot", "stance_x", "stance_y", "n", F.round("r", 6).alias("r"), F.round("t", 4).alias("t"))
 
 
-@R.query("SELECT u.i AS user_id, s.j AS step, round(CASE WHEN u.i % 2 = 0 THEN 0.5 ELSE -0.5 END + 0.2::DOUBLE * (((u.i * 31 + s.j * 17) % 101) / 50.0::DOUBLE - 1), 6) AS opinion FROM range(200) u(i), range(24) s(j)")
+@R.query("SELECT u.user_id, s.j AS step, round(CASE WHEN u.user_id % 2 = 0 THEN 0.5 ELSE -0.5 END + 0.2::DOUBLE * (((u.user_id * 31 + s.j * 17) % 101) / 50.0::DOUBLE - 1), 6) AS opinion FROM (SELECT DISTINCT user_id FROM events) u, range(24) s(j)")
 def synthetic_timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Generated users with a fixed stance and noise that follows from user and step."""
-    rows = spark.range(200).select(F.col("id").alias("user_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(23).cast("long"))).alias("step"))
+    """Timelines of the table's users with a fixed stance and noise that follows from user and step."""
+    rows = table(spark, sf_dir, "events").select("user_id").distinct().select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(23).cast("long"))).alias("step"))
     noise = F.pmod(F.col("user_id") * 31 + F.col("step") * 17, F.lit(101)) / 50.0 - 1
     return rows.select("user_id", "step", F.round(F.when(F.col("user_id") % 2 == 0, 0.5).otherwise(-0.5) + 0.2 * noise, 6).alias("opinion"))
 
@@ -218,11 +243,26 @@ def weighted_mean_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("snapshot", "stance_x", "stance_y", "n", *(F.round(c, d).alias(c) for c, d in (("mean_x", 6), ("mean_y", 6), ("t_x", 4), ("t_y", 4))))
 
 
-@R.query(f"WITH {SNAPSHOTS} SELECT snapshot, stance, round(sum(exp(-variance) * mean) / sum(exp(-variance)), 6) AS mean, true AS inside FROM snapshots WHERE mean IS NOT NULL GROUP BY ALL")
+def _bca_sql(replicates: int = 100) -> str:
+    steps, last = "", "p"
+    for i, (name, value) in enumerate(landscape.bca_steps(0.95, replicates)):
+        steps += f", b{i} AS (SELECT *, {value} AS {name} FROM {last})"
+        last = f"b{i}"
+    bound = lambda at: f"round(max(CASE WHEN floor({at}) = i THEN v + ({at} - i) * (coalesce(next, v) - v) END), 6)"
+    return f"""WITH {SNAPSHOTS}, w AS (SELECT *, exp(-variance) AS w FROM snapshots WHERE mean IS NOT NULL),
+t AS (SELECT snapshot, stance, sum(w) AS sw, sum(w * mean) AS sm, count(*) AS n FROM w GROUP BY ALL),
+o AS (SELECT snapshot, stance, sm / sw AS estimate, t.n, CASE WHEN sw - w > 1e-12 THEN (sm - w * mean) / (sw - w) - sm / sw ELSE 0 END AS off FROM w JOIN t USING (snapshot, stance)),
+s AS (SELECT snapshot, stance, any_value(estimate) AS estimate, any_value(n)::DOUBLE AS n, sum(off) AS s1, sum(off * off) AS s2, sum(off * off * off) AS s3 FROM o GROUP BY ALL),
+d AS (SELECT snapshot, stance, r, sum(w * k * mean) / nullif(sum(w * k), 0) AS v FROM (SELECT *, {landscape.poisson('user_id', 'r')} AS k FROM w, range(1, {replicates + 1}) x(r)) GROUP BY ALL),
+p AS (SELECT *, row_number() OVER (PARTITION BY snapshot, stance ORDER BY v, r) - 1 AS i, lead(v) OVER (PARTITION BY snapshot, stance ORDER BY v, r) AS next, count(*) OVER (PARTITION BY snapshot, stance) AS m,
+    avg(CASE WHEN v < estimate - 1e-12 THEN 1.0 WHEN abs(v - estimate) <= 1e-12 THEN 0.5 ELSE 0 END) OVER (PARTITION BY snapshot, stance) AS share FROM d JOIN s USING (snapshot, stance) WHERE v IS NOT NULL){steps}
+SELECT snapshot, stance, round(any_value(estimate), 6) AS mean, {bound('at_lo')} AS lo, {bound('at_hi')} AS hi FROM {last} GROUP BY snapshot, stance"""
+
+
+@R.query(_bca_sql())
 def weighted_mean_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted mean opinion and whether the bootstrap interval holds it."""
-    b = landscape.bootstrap_mean(fixtures.snapshots(spark, sf_dir), 100, "snapshot", "stance")
-    return b.select("snapshot", "stance", "mean", F.col("mean").between(F.col("lo"), F.col("hi")).alias("inside"))
+    """Weighted mean opinions with their bias-corrected accelerated bootstrap intervals."""
+    return landscape.bootstrap_mean(fixtures.snapshots(spark, sf_dir), 100, "snapshot", "stance")
 
 
 @R.query()

@@ -1,12 +1,14 @@
 """Operators on literal inputs with values worked out by hand."""
 
 import json
+import math
+from statistics import NormalDist
 
 import pytest
 from pyspark.sql import functions as F
 
 from opinara.functions import scores, text
-from opinara.operators import evaluation, graph, landscape, models, opinions, polarization
+from opinara.operators import evaluation, graph, landscape, models, movement, opinions, polarization
 from opinara.sources import readers
 
 SIDE = {"f": "favor", "n": "neutral", "a": "against"}
@@ -161,6 +163,56 @@ def test_slope_and_mean_tests(spark):
     assert round(m["p_x"], 4) == 0.0132
 
 
+def plain_bca(rows, replicates, level=0.95):
+    """From the definition: Poisson weights, bias from the share below, acceleration from leave-one-out means."""
+    normal = NormalDist()
+    cuts = [math.floor(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * 1_000_003) for k in range(8)]
+
+    def poisson(u, r):
+        u %= 1_000_003
+        a = (u * 7919 + r * 104729 + 12345) % 1_000_003
+        b = (a * a + 31 * a + r * 7907) % 1_000_003
+        return sum(c <= (b * b + 17 * b + u) % 1_000_003 for c in cuts)
+
+    mean = lambda xs: sum(w * m for _, m, w in xs) / sum(w for _, _, w in xs)
+    whole = mean(rows)
+    drawn = sorted(mean([(u, m, w * poisson(u, r)) for u, m, w in rows]) for r in range(1, replicates + 1))
+    z0 = normal.inv_cdf(sum(x < whole for x in drawn) / replicates)
+    out = [mean(rows[:i] + rows[i + 1 :]) for i in range(len(rows))]
+    middle = sum(out) / len(out)
+    a = sum((middle - x) ** 3 for x in out) / (6 * sum((middle - x) ** 2 for x in out) ** 1.5)
+    bounds = []
+    for p in ((1 - level) / 2, (1 + level) / 2):
+        z = normal.inv_cdf(p)
+        at = normal.cdf(z0 + (z0 + z) / (1 - a * (z0 + z))) * (replicates - 1)
+        i = int(at)
+        bounds.append(drawn[i] + (at - i) * (drawn[min(i + 1, replicates - 1)] - drawn[i]))
+    return bounds
+
+
+def test_normal_distribution_in_sql(spark):
+    xs = [(x / 10,) for x in range(-45, 46)]
+    df = spark.createDataFrame(xs, "x double").selectExpr("x", f"{landscape.normal('x')} AS p")
+    df = df.selectExpr("x", "p", f"{landscape.normal_quantile('p')} AS q").selectExpr("x", "p", f"{landscape.refined('q', 'p')} AS q").collect()
+    assert all(abs(r["p"] - NormalDist().cdf(r["x"])) < 1e-7 for r in df)
+    assert all(abs(r["q"] - r["x"]) < 1e-3 for r in df if abs(r["x"]) < 3)
+
+
+def test_tokens_and_emoji(spark):
+    said = "@ann Look: https://x.y/z?a=1 isn't it great!!! :-) #so-good 3.5kg don't... 😀🚀 e.g. état-major a@b.co…"
+    r = spark.createDataFrame([(said,), ("",), (None,)], "t string").select(text.tokens(F.col("t")).alias("k"), text.normalize(F.col("t")).alias("n")).collect()
+    assert r[0]["k"] == ["@ann", "Look", ":", "https://x.y/z?a=1", "isn't", "it", "great", "!", "!", "!", ":-)", "#so-good", "3.5", "kg", "don't", "...", "😀", "🚀", "e", ".", "g", ".", "état-major", "a@b.co", "…"]
+    assert r[0]["n"] == "@USER Look : HTTPURL is n't it great ! ! ! :-) #so-good 3.5 kg do n't ... :grinning_face: :rocket: e . g . état-major a@b.co ..."
+    assert (r[1]["k"], r[1]["n"], r[2]["n"]) == ([], "", None)
+
+
+def test_empty_months(spark):
+    rows = [(1, "2024-01-31 10:00:00", 2.0), (1, "2024-04-01 00:00:00", 4.0), (1, "2024-04-02 00:00:00", 5.0), (2, "2023-12-05 00:00:00", None), (3, None, 1.0)]
+    df = spark.createDataFrame(rows, "u int, s string, v double").withColumn("ts", F.to_timestamp("s"))
+    got = sorted((r["u"], str(r["month"])[:7], r["n"], r["mean"]) for r in movement.monthly(df, "u", "ts", "v").collect())
+    assert got == [(1, "2024-01", 1, 2.0), (1, "2024-02", 0, None), (1, "2024-03", 0, None), (1, "2024-04", 2, 4.5), (2, "2023-12", 1, None)]
+
+
 def test_bootstrap_intervals(spark):
     same = spark.createDataFrame([(i, "s", 0.25, 0.1) for i in range(20)], "user_id long, stance string, mean double, variance double")
     r = one(landscape.bootstrap_mean(same, 50, "stance"))
@@ -169,6 +221,10 @@ def test_bootstrap_intervals(spark):
     r = one(landscape.bootstrap_mean(spread, 400, "stance"))
     # the standard error of the mean is 1/20, so the interval is about 0.098 to each side
     assert r["mean"] == 0 and -0.13 < r["lo"] < -0.07 and 0.07 < r["hi"] < 0.13
+    skewed = [(i, "s", (i % 40) ** 3 / 32000 - 0.5, (i % 5) / 10) for i in range(120)]
+    r = one(landscape.bootstrap_mean(spark.createDataFrame(skewed, "user_id long, stance string, mean double, variance double"), 500, "stance"))
+    lo, hi = plain_bca([(u, m, math.exp(-v)) for u, _, m, v in skewed], 500)
+    assert abs(r["lo"] - lo) < 1e-5 and abs(r["hi"] - hi) < 1e-5
     line = spark.createDataFrame([(i, "s", float(i), 2.0 * i) for i in range(30)], "user_id long, stance string, x double, y double")
     r = one(landscape.bootstrap(line, 50, "stance"))
     assert (r["lo"], r["hi"]) == (1.0, 1.0)
