@@ -95,6 +95,18 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
                 ids = [_ids(t, vocabulary) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The overlapping chunks of long texts, cut once and given a few at a time."""
+        for batch in batches:
+            for part in tk.slices(batch, "text"):
+                for key, text in zip(part.column("doc_id"), part.column("text").to_pylist(), strict=True):
+                    n = max(1, -(-(len(text) - overlap) // chunk))
+                    sha = hashlib.sha256(text.encode()).hexdigest()
+                    for i in range(0, n, 32):
+                        own = range(i, min(n, i + 32))
+                        cuts = [text[j * chunk : None if j + 1 == n else (j + 1) * chunk + overlap] for j in own]
+                        yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(own), key.type), pa.array([sha] * len(own)), pa.array(list(own), pa.int32()), pa.array([n] * len(own), pa.int32()), pa.array(cuts, pa.string())], ["doc_id", "sha", "chunk_no", "n_chunks", "text"])
+
     def pretokenise(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             heads, tails = [], []
@@ -121,12 +133,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
     is_long = F.char_length("text") > chunk
     short = docs.where(~is_long).mapInArrow(whole, f"doc_id {kind}, ids binary")
-    n = F.ceil((F.char_length("text") - overlap) / F.lit(chunk)).cast("int")
     chunks = (
         docs.where(is_long)
-        .select("doc_id", F.sha2("text", 256).alias("sha"), "text", F.greatest(n, F.lit(1)).alias("n_chunks"))
-        .select("doc_id", "sha", "n_chunks", "text", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("chunk_no"))
-        .select("doc_id", "sha", "chunk_no", "n_chunks", F.expr(f"CASE WHEN chunk_no + 1 = n_chunks THEN substring(text, chunk_no * {chunk} + 1) ELSE substring(text, chunk_no * {chunk} + 1, {chunk + overlap}) END").alias("text"))
+        .mapInArrow(cut_up, f"doc_id {kind}, sha string, chunk_no int, n_chunks int, text string")
         .repartition("sha", "chunk_no")
         .mapInPandas(pretokenise, f"doc_id {kind}, sha string, chunk_no int, n_chunks int, text string, head array<bigint>, tail array<bigint>")
     )

@@ -328,8 +328,10 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the least id, with all its columns. Repeated rows become one;
-    documents with a null id stay unless they are linked with one that has an id."""
-    found = join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("doc_id")).distinct().alias("found")
-    own = docs.alias("own")
-    return own.join(found, F.col("own.doc_id").eqNullSafe(F.col("found.doc_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    """Pipeline stage: of each component one row, with all its columns: that with the least id, of several of them the one with
+    the least hash of its text. Rows without an id come after all others, so they stay where no row of their component has one.
+    Repeated rows become one; rows that share an id are told apart by their texts."""
+    key, of = tk.unused(docs, "row_key", "of_row")
+    own = docs.withColumn(key, F.struct(F.col("doc_id").isNull().alias("without"), tk.row_key().alias("row")))
+    found = join(own, key).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(of)).distinct()
+    return own.join(found, F.col(key) == F.col(of), "left_semi").dropDuplicates([key]).select(*docs.columns)

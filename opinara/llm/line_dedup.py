@@ -143,7 +143,7 @@ def lines_of(data: np.ndarray, at: np.ndarray, least: int = LEAST, blocks: tuple
 
 def normal(line: bytes) -> str:
     """The terms of a line as one text, or the line itself if it has none."""
-    folded = tk.folded(np.frombuffer(line, np.uint8))
+    folded = tk.folded(tk.fold_letters(np.frombuffer(line, np.uint8)))
     folded[tk.TERM_SEP[folded]] = 32
     return (b" ".join(folded.tobytes().split()) or line.strip(tk.SEPARATORS)).decode("utf-8", "replace")
 
@@ -267,7 +267,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: flo
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, least: int = LEAST, blocks: tuple[int, int] | None = None) -> DataFrame:
-    """doc_id and number of each line that goes. blocks: of the SimHash and their bits, or such as fit sixteen lines a row."""
+    """doc_id and number of each line that goes; rows that share an id are taken for one text, so `dedup` gives a key of id and
+    text. blocks: of the SimHash and their bits, or such as fit sixteen lines a row."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     blocks = blocks or blocks_for(16 * docs.count())
     found = tk.stored(occurrences(docs, least, blocks))
@@ -317,25 +318,27 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with the repeated lines taken out of the text; all columns stay, and n_chars follows the text if there is one.
     Rows of which no word is left go, unless they had none before."""
-    of, lines = tk.unused(docs, "of_doc", "gone_lines")
-    gone = removed(docs, id_col, text_col, **options).groupBy(F.col("doc_id").alias(of)).agg(F.collect_set("number").alias(lines))  # at most the lines of one text
-    joined = docs.join(gone, docs[id_col].eqNullSafe(gone[of]), "left")
+    of, lines, key = tk.unused(docs, "of_doc", "gone_lines", "row_key")
+    docs_columns = docs.columns
+    docs = docs.withColumn(key, tk.row_key(id_col, text_col))
+    gone = removed(docs, key, text_col, **options).groupBy(F.col("doc_id").alias(of)).agg(F.collect_set("number").alias(lines))  # at most the lines of one text
+    joined = docs.join(gone, docs[key] == gone[of], "left")
     kept = F.expr(f"filter(split(`{text_col}`, '\\n'), (line, i) -> NOT array_contains(`{lines}`, cast(i AS bigint)))")
     untouched = F.col(lines).isNull()
     joined = joined.withColumn(text_col, F.when(untouched, F.col(text_col)).otherwise(F.array_join(kept, "\n")))
     joined = joined.where(untouched | F.col(text_col).rlike("[^ \\t\\n\\x0B\\f\\r]"))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.when(untouched, F.col("n_chars")).otherwise(F.char_length(text_col).cast(docs.schema["n_chars"].dataType)))
-    return joined.select(*docs.columns)
+    return joined.select(*docs_columns)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every document how many of its lines go, and which."""
-    docs = tk.documents(spark, sf_dir)
-    gone = removed(docs).groupBy("doc_id").agg(F.array_sort(F.collect_set("number")).alias("removed_lines"))
+    docs = tk.documents(spark, sf_dir).withColumn("row_key", tk.row_key())
+    gone = removed(docs, "row_key").groupBy(F.col("doc_id").alias("of_row")).agg(F.array_sort(F.collect_set("number")).alias("removed_lines"))
     lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
-    out = docs.select("doc_id", lines.alias("n_lines")).alias("d").join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left")
-    return out.select("d.doc_id", "n_lines", F.coalesce(F.size("removed_lines"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("removed_lines", ","), F.lit("")).alias("removed_lines"))
+    out = docs.select("doc_id", "row_key", lines.alias("n_lines")).join(gone, F.col("row_key") == F.col("of_row"), "left")
+    return out.select("doc_id", "n_lines", F.coalesce(F.size("removed_lines"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("removed_lines", ","), F.lit("")).alias("removed_lines"))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,6 +46,31 @@ _FOLD[48:58] = 48
 FOLDED = _CODES[_FOLD]
 
 
+def _letter_pairs() -> np.ndarray:
+    """For two bytes of UTF-8 those of the letter in lower case: Latin-1, Latin Extended-A, Greek and Cyrillic."""
+    table = np.arange(1 << 16, dtype=np.uint16)
+    for c in (*range(0xC0, 0x180), *range(0x370, 0x530)):
+        upper, lower = chr(c).encode(), chr(c).lower().encode()
+        if len(upper) == len(lower) == 2:
+            table[upper[0] << 8 | upper[1]] = lower[0] << 8 | lower[1]
+    return table
+
+
+_LETTERS = _letter_pairs()
+
+
+def fold_letters(data: np.ndarray) -> np.ndarray:
+    """Bytes with letters of two bytes in lower case; none gets longer or shorter."""
+    lead = np.flatnonzero((data >= 0xC3) & (data < 0xD5))
+    lead = lead[lead + 1 < len(data)]
+    if not len(lead):
+        return data
+    pair = _LETTERS[data[lead].astype(np.uint16) << 8 | data[lead + 1]]
+    data = data.copy()
+    data[lead], data[lead + 1] = pair >> 8, pair & 255
+    return data
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalises 64-bit values so that all their bits depend on all bits of the input."""
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -101,7 +126,8 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
 
 
 def words(data: np.ndarray, at: np.ndarray, lower: bool = True, sep: np.ndarray = IS_SEP, codes: np.ndarray | None = None, unspaced: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash (64 bits), row, start and end of each word; words do not cross rows. sep: which bytes separate;
+    """Hash (64 bits), row, start and end of each word; words do not cross rows. sep: which bytes separate (terms, that is
+    words by TERM_SEP, are in lower case beyond ASCII too);
     codes: numbers of the bytes, where some are to count as the same. unspaced: characters of three or four bytes, as in
     scripts without spaces, are words of their own."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -132,7 +158,7 @@ def words(data: np.ndarray, at: np.ndarray, lower: bool = True, sep: np.ndarray
         starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
         if len(starts):
             total = np.zeros(len(block) + 1, np.uint64)
-            np.cumsum(codes[block] * _pow("p", _P, len(block)), out=total[1:])
+            np.cumsum(codes[fold_letters(block) if sep is TERM_SEP else block] * _pow("p", _P, len(block)), out=total[1:])
             h = mix((total[ends] - total[starts]) * _pow("inverse", _P_INV, len(block))[starts])
             out.append((h, starts + begin, ends + begin))
         begin = end
@@ -211,6 +237,11 @@ def sampled_texts(docs: DataFrame, labels: DataFrame, rows: list[tuple]) -> Data
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """What tells rows apart that share an id or have none: the id and a hash of the text, ordered by id, null first."""
+    return F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("of_text"))
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Names like these that df has no column of."""
     taken = {c.lower() for c in df.columns}

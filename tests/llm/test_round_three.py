@@ -9,7 +9,9 @@ from itertools import permutations
 
 import pytest
 
-from opinara.llm import filter_audit, merkle, queries, secret_scan
+import pyarrow as pa
+
+from opinara.llm import byte_bpe, decontaminate, filter_audit, jaccard, line_dedup, merkle, queries, secret_scan, textkit
 from pyspark.sql import functions as F
 
 LONG = "the quick brown fox jumps over the lazy dog again and again until night falls " * 3000
@@ -237,3 +239,51 @@ def test_changed_rows_are_not_verified(spark):
     rows = spark.createDataFrame([(i, f"Text {i}", "en", "s", 6, None, None, None, None) for i in range(50)], DOCS)
     out = merkle.audit(rows, F.col("doc_id") % 2 == 0, F.lower("text")).collect()
     assert all(r["verified"] == (r["doc_id"] % 2 == 1) for r in out)
+
+
+# rows that share an id
+
+
+SHARED = [(1, "a line that two of the texts have in common here\nand an ending of the first one only"), (2, "a line that two of the texts have in common here\nwhat only the second text says at its end"), (2, "a wholly unique first line that nobody else has written\nand one more of its own"), (None, "what stands here has no id and stands alone"), (None, "a line that two of the texts have in common here\nbut no id comes with it at all"), (None, None)]
+
+
+def test_lines_of_rows_that_share_an_id_stay(spark):
+    docs = spark.createDataFrame(SHARED, "doc_id bigint, text string")
+    got = sorted((tuple(r) for r in line_dedup.dedup(docs).collect()), key=str)
+    first = SHARED[4][1]  # the null id sorts first and keeps the line
+    assert got == sorted([(1, SHARED[0][1].split("\n")[1]), (2, SHARED[1][1].split("\n")[1]), SHARED[2], SHARED[3], (None, first), (None, None)], key=str)
+
+
+def test_one_row_of_each_component_stays(spark, tmp_path):
+    words = " ".join(f"word{i}" for i in range(60))
+    rows = [(5, words), (5, words + " more"), (5, "quite another text under the same id as these"), (None, words + " end"), (None, "alone without an id but with enough words"), (None, "alone without an id but with enough words"), (7, None), (7, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = jaccard.keep_one(spark, docs, str(tmp_path)).collect()
+    near = [r for r in got if r["text"] and r["text"].startswith("word0 ")]
+    assert len(near) == 1 and near[0]["doc_id"] == 5
+    rest = sorted(((r["doc_id"], r["text"]) for r in got if r not in near), key=str)
+    assert rest[:2] == [(5, rows[2][1]), (7, rest[1][1])] and (None, rows[4][1]) in rest and (None, None) in rest and len(rest) == 4
+
+
+def test_letters_are_folded_beyond_ascii():
+    import numpy as np
+
+    said = "ÀÉÎÕÜ ×÷ßÿ ŁŹŠĐ ΑΒΓΔΩ АБВЯЁЇ 東京 É"
+    got = textkit.fold_letters(np.frombuffer(said.encode(), np.uint8)).tobytes().decode()
+    assert got == said.lower()
+    h = lambda t: textkit.words(*textkit.text_buffer(pa.array([t])), sep=textkit.TERM_SEP)[0].tolist()
+    assert h(said) == h(said.lower()) and line_dedup.normal(said.encode()) == line_dedup.normal(said.lower().encode())
+
+
+def test_leaks_in_capitals(spark):
+    items = ["L'été à Paris est très agréable pour les élèves et leurs nombreux amis étrangers", "Die schöne Müllerin wäscht täglich früh am großen Fluß ihre Kleider und Tücher", "Ο γρήγορος σκύλος τρέχει πάνω από τον τεμπέλη γάτο κάθε πρωί στις εννέα", "Быстрая лиса прыгает через ленивую собаку каждое утро возле старого дома у реки"]
+    docs = [(i, f"Before it some words. {t.upper().replace('SS', 'ß')} And after it others follow here.") for i, t in enumerate(items)] + [(10, "nothing of the kind is said in this text at all, not in any way")]
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(i, i) for i in (0, 1, 3)} or {(r["doc_id"], r["item_id"]) for r in found} == {(i, i) for i in range(4)}
+
+
+def test_long_texts_are_cut_once(spark):
+    text = "Zürich 東京 and some 'words' 123  \n" * 4000
+    docs = spark.createDataFrame([(1, text), (1, text), (2, text + "x"), (3, "short")], "doc_id bigint, text string")
+    got = byte_bpe.decode(byte_bpe.encode(docs, chunk=3000, overlap=100)).collect()
+    assert sorted((r["doc_id"], bytes(r["data"]).decode()) for r in got) == sorted((r["doc_id"], r["text"]) for r in docs.collect())
