@@ -87,10 +87,12 @@ def bare_lines(data: np.ndarray, at: np.ndarray, starts: np.ndarray) -> list[tup
     begin = begin[begin < len(data)]
     held = np.searchsorted(starts, np.r_[begin, len(data)])
     out = []
-    for i in np.flatnonzero((held[1:] == held[:-1]) & (np.add.reduceat(~tk.IS_SEP[data], begin, dtype=np.int64) > 0)).tolist() if len(begin) else []:
+    for i in np.flatnonzero(held[1:] == held[:-1]).tolist():
         a = int(begin[i])
         line = data[a : int(begin[i + 1]) if i + 1 < len(begin) else len(data)].tobytes()
         inner = line.strip(tk.SEPARATORS)
+        if not inner:
+            continue
         a += line.index(inner)
         row = int(np.searchsorted(at, a, "right")) - 1
         key = int.from_bytes(hashlib.blake2b(inner, digest_size=8).digest(), "little", signed=True)
@@ -103,8 +105,8 @@ def lines_of(data: np.ndarray, at: np.ndarray, least: int = LEAST, blocks: tuple
     signs. With blocks also the packed code of lines that have terms, which come first."""
     h, rows, starts, ends = tk.words(data, at, sep=tk.TERM_SEP, codes=tk.FOLDED, unspaced=True)
     bare = np.array(bare_lines(data, at, starts) if least <= 1 else [], np.int64).reshape(-1, 5).T
-    breaks = np.flatnonzero(data == 10)
-    number = np.searchsorted(breaks, starts) - np.searchsorted(breaks, at[rows])
+    broken = np.concatenate([[0], np.cumsum(data == 10, dtype=np.int32)])
+    number = broken[starts] - broken[at[rows]]
     fresh = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (number[1:] != number[:-1])]) if len(h) else np.zeros(0, np.int64)
     size = np.diff(np.r_[fresh, len(h)])
     names = ("row", "number", "key", "begin", "end")
@@ -320,9 +322,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
     Rows of which no word is left go, unless they had none before."""
     of, lines, key = tk.unused(docs, "of_doc", "gone_lines", "row_key")
     docs_columns = docs.columns
-    docs = docs.withColumn(key, tk.row_key(id_col, text_col))
+    docs = docs.withColumn(key, tk.shortest_key(docs, id_col, text_col))
     gone = removed(docs, key, text_col, **options).groupBy(F.col("doc_id").alias(of)).agg(F.collect_set("number").alias(lines))  # at most the lines of one text
-    joined = docs.join(gone, docs[key] == gone[of], "left")
+    joined = docs.join(gone, F.col(key) == F.col(of), "left")
     kept = F.expr(f"filter(split(`{text_col}`, '\\n'), (line, i) -> NOT array_contains(`{lines}`, cast(i AS bigint)))")
     untouched = F.col(lines).isNull()
     joined = joined.withColumn(text_col, F.when(untouched, F.col(text_col)).otherwise(F.array_join(kept, "\n")))
@@ -334,7 +336,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every document how many of its lines go, and which."""
-    docs = tk.documents(spark, sf_dir).withColumn("row_key", tk.row_key())
+    docs = tk.documents(spark, sf_dir)
+    docs = docs.withColumn("row_key", tk.shortest_key(docs))
     gone = removed(docs, "row_key").groupBy(F.col("doc_id").alias("of_row")).agg(F.array_sort(F.collect_set("number")).alias("removed_lines"))
     lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
     out = docs.select("doc_id", "row_key", lines.alias("n_lines")).join(gone, F.col("row_key") == F.col("of_row"), "left")

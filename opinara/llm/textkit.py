@@ -61,7 +61,9 @@ _LETTERS = _letter_pairs()
 
 def fold_letters(data: np.ndarray) -> np.ndarray:
     """Bytes with letters of two bytes in lower case; none gets longer or shorter."""
-    lead = np.flatnonzero((data >= 0xC3) & (data < 0xD5))
+    if not len(data) or data.max() < 0xC3:
+        return data
+    lead = np.flatnonzero(data - np.uint8(0xC3) < 0x12)
     lead = lead[lead + 1 < len(data)]
     if not len(lead):
         return data
@@ -242,6 +244,12 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     return F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("of_text"))
 
 
+def shortest_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """The id where it tells all rows apart, else row_key; both order rows alike."""
+    shared = docs.groupBy(id_col).count().where((F.col("count") > 1) | F.col(id_col).isNull())
+    return F.col(id_col) if shared.isEmpty() else row_key(id_col, text_col)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Names like these that df has no column of."""
     taken = {c.lower() for c in df.columns}
