@@ -339,7 +339,8 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tk.documents(spark, sf_dir)
     docs = docs.withColumn("row_key", tk.shortest_key(docs))
     gone = removed(docs, "row_key").groupBy(F.col("doc_id").alias("of_row")).agg(F.array_sort(F.collect_set("number")).alias("removed_lines"))
-    lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
+    # counted by bytes, as a split makes an array of every text
+    lines = F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
     out = docs.select("doc_id", "row_key", lines.alias("n_lines")).join(gone, F.col("row_key") == F.col("of_row"), "left")
     return out.select("doc_id", "n_lines", F.coalesce(F.size("removed_lines"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("removed_lines", ","), F.lit("")).alias("removed_lines"))
 

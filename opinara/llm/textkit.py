@@ -63,7 +63,7 @@ def fold_letters(data: np.ndarray) -> np.ndarray:
     """Bytes with letters of two bytes in lower case; none gets longer or shorter."""
     if not len(data) or data.max() < 0xC3:
         return data
-    lead = np.flatnonzero(data - np.uint8(0xC3) < 0x12)
+    lead = np.flatnonzero(data >= 0xC3)  # pairs that begin longer letters stay as they are
     lead = lead[lead + 1 < len(data)]
     if not len(lead):
         return data
