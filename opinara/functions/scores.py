@@ -45,6 +45,12 @@ def softmax_expectation(logits: Column) -> Column:
     return F.aggregate(F.transform(e, lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x) / total - 1
 
 
+def text_quality(user: str, prev: str, viewed: str, least: int = 10) -> Column:
+    """False if all three texts are short, or the user's is the one before it. A missing text is short."""
+    short = lambda c: F.char_length(F.coalesce(c, F.lit(""))) < least
+    return ~((short(user) & short(prev) & short(viewed)) | F.coalesce(F.col(user) == F.col(prev), F.lit(False)))
+
+
 def euclidean(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2.0))), F.lit(0.0), lambda s, x: s + x))
 

@@ -34,8 +34,11 @@ def macro_scores(scores: DataFrame, *by: str) -> DataFrame:
     return scores.groupBy(*by).agg(*(F.coalesce(F.avg(F.when(on, F.col(c))), F.lit(0.0)).alias(f"macro_{c}") for c in ("precision", "recall", "f1", "fbeta")))
 
 
-def best(df: DataFrame, score: str, name: str, *by: str) -> DataFrame:
-    """The row with the greatest score rounded to four digits; ties go to the least name."""
+def best(df: DataFrame, score: str, name: str, *by: str, gate: str | None = None, above: float = 0.5) -> DataFrame:
+    """The row with the greatest score rounded to four digits; ties go to the least name. With a gate only rows compete
+    where this column is above a limit."""
+    if gate:
+        df = df.where(F.col(gate) > above)
     rest = [c for c in df.columns if c not in by]
     return df.groupBy(*by).agg(F.min_by(F.struct(*rest), F.struct(-F.round(score, 4), name)).alias("row")).select(*by, "row.*")
 
@@ -63,6 +66,17 @@ def agreement(counts: DataFrame) -> DataFrame:
     return sums.select("items", F.round(F.try_divide(F.col("p") - pe, 1 - pe), 3).alias("kappa"), F.round("unanimous", 6).alias("unanimous"), F.round("full_disagreement", 6).alias("full_disagreement"))
 
 
+def disagreements(annotations: DataFrame, annotators: int, item: str = "doc_id", place: str = "annotator") -> DataFrame:
+    """Items whose labels are not all the same, with a column for each annotator."""
+    wide = annotations.groupBy(item).agg(*(F.max(F.when(F.col(place) == i, F.col("label"))).alias(f"annotator_{i}") for i in range(1, annotators + 1)), F.min("label").alias("least"), F.max("label").alias("most"))
+    return wide.where("least <> most").drop("least", "most")
+
+
+def target_means(macro: DataFrame, *by: str) -> DataFrame:
+    """Means of the macro scores over targets, each target counting once."""
+    return macro.groupBy(*by).agg(F.count("*").alias("targets"), *(F.round(F.avg(f"macro_{c}"), 4).alias(f"mean_{c}") for c in ("precision", "recall", "f1")))
+
+
 def adjudicate(first: DataFrame, decided: DataFrame, item: str = "doc_id") -> DataFrame:
     """An adjudicated label overrides the first annotator's."""
     return first.join(decided.select(item, F.col("label").alias("decided")), item, "left").select(item, F.coalesce("decided", "label").alias("label"))

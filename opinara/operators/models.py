@@ -1,4 +1,4 @@
-"""Models: posterior of a latent opinion, hidden Markov chains, spline curves, flow fields, topics and a predict hook."""
+"""Models: posterior of a latent opinion, spline curves, flow fields and a predict hook."""
 
 from __future__ import annotations
 
@@ -26,80 +26,42 @@ def posterior(opinions: DataFrame, profiles: DataFrame, step: float = 0.05) -> D
     return w.groupBy("user_id", "stance").agg(F.round(mean, 6).alias("mean"), F.round(F.sum(F.col("w") * F.col("t") * F.col("t")) / F.sum("w") - mean * mean, 6).alias("variance"))
 
 
-def _expect(codes: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Scaled forward-backward of one sequence of observation codes."""
-    n = len(codes)
-    e = emit[:, codes].T
-    a, scale = np.zeros((n, 3)), np.zeros(n)
-    for t in range(n):
-        a[t] = (start if t == 0 else a[t - 1] @ move) * e[t]
-        scale[t] = a[t].sum()
-        a[t] /= scale[t]
-    b, pairs = np.ones(3), np.zeros((3, 3))
-    for t in range(n - 1, 0, -1):
-        weighted = e[t] * b / scale[t]
-        pairs += a[t - 1][:, None] * move * weighted[None, :]
-        b = move @ weighted
-    return a[0] * b / max((a[0] * b).sum(), 1e-300), pairs, float(np.log(scale).sum())
-
-
-def hmm(opinions: DataFrame, profiles: DataFrame, rounds: int = 20, pseudo: float = 1.0, tolerance: float = 1e-3) -> DataFrame:
-    """Transition matrices of three hidden opinions for each target, by EM with Dirichlet pseudo-counts, until no
-    probability moves by more than the tolerance or `rounds` are over. Emissions are the classifiers' confusions. The E-step runs over users' sequences in tasks; only 3 x 3 sums a target come back."""
-    emit = np.zeros((3, 9))
-    for r in profiles.collect():  # nine rows a classifier
-        emit[r["actual"] + 1, r["classifier_id"] * 3 + r["predicted"] + 1] = r["prob"]
-    code = (F.col("classifier_id") * 3 + F.col("predicted") + 1).cast("int")
-    seqs = opinions.select("user_id", "stance", F.struct("ts", "event_id", code.alias("code")).alias("o")).groupBy("user_id", "stance").agg(F.transform(F.array_sort(F.collect_list("o")), lambda o: o["code"]).alias("codes"))
-    seqs = seqs.persist()  # one row a user and target
-    stances = sorted(r[0] for r in seqs.select("stance").distinct().collect())
-    start = {s: np.full(3, 1 / 3) for s in stances}
-    move = {s: np.full((3, 3), 0.05) + 0.85 * np.eye(3) for s in stances}
-    for _ in range(rounds):
-
-        def step(frames: Iterator[pd.DataFrame], start=start, move=move) -> Iterator[pd.DataFrame]:
-            first, pairs = {}, {}
-            for f in frames:
-                for stance, codes in zip(f["stance"], f["codes"], strict=True):
-                    s, p, _ = _expect(np.asarray(codes), start[stance], move[stance], emit)
-                    first[stance] = first.get(stance, 0) + s
-                    pairs[stance] = pairs.get(stance, 0) + p
-            rows = [(s, i, j, float(pairs[s][i, j]) if j >= 0 else float(first[s][i])) for s in first for i in range(3) for j in range(-1, 3)]
-            yield pd.DataFrame(rows, columns=["stance", "i", "j", "n"])
-
-        sums = seqs.select("stance", "codes").mapInPandas(step, "stance string, i int, j int, n double").groupBy("stance", "i", "j").agg(F.sum("n").alias("n")).collect()
-        counts = {s: np.zeros((3, 4)) for s in stances}
-        for r in sums:
-            counts[r["stance"]][r["i"], r["j"] + 1] = r["n"]
-        start = {s: (c[:, 0] + pseudo) / (c[:, 0] + pseudo).sum() for s, c in counts.items()}
-        before, move = move, {s: (c[:, 1:] + pseudo) / (c[:, 1:] + pseudo).sum(1, keepdims=True) for s, c in counts.items()}
-        if all(np.abs(move[s] - before[s]).max() < tolerance for s in stances):
-            break
-    seqs.unpersist()
-    rows = [(s, i - 1, j - 1, round(float(move[s][i, j]), 6)) for s in stances for i in range(3) for j in range(3)]
-    return opinions.sparkSession.createDataFrame(rows, "stance string, state int, next int, prob double")
-
-
 def splines(opinions: DataFrame, knots: int = 6, points: int = 12, ridge: float = 1.0) -> DataFrame:
-    """Ridge regression of each user's opinions on a linear B-spline basis of time, with a 95 % band."""
-    t = (F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000.0).alias("t")
-
-    def fit(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["t", "event_id"])
-        x, y = f["t"].to_numpy(), f["predicted"].to_numpy(float)
-        lo, hi = x.min(), max(x.max(), x.min() + 1e-9)
-        basis = lambda v: np.maximum(0, 1 - np.abs((v[:, None] - lo) / (hi - lo) * (knots - 1) - np.arange(knots)))
-        b = basis(x)
-        inverse = np.linalg.inv(b.T @ b + ridge * np.eye(knots))
-        w = inverse @ b.T @ y
-        noise = ((y - b @ w) ** 2).mean()
-        at = np.linspace(lo, hi, points)
-        g = basis(at)
-        half = 1.96 * np.sqrt(np.maximum(noise * ((g @ inverse) * g).sum(1), 0))
-        return pd.DataFrame({"user_id": key[0], "stance": key[1], "point": range(points), "mean": np.round(g @ w, 6), "lo": np.round(g @ w - half, 6), "hi": np.round(g @ w + half, 6)})
-
-    rows = opinions.select("user_id", "stance", "event_id", t, "predicted")
-    return rows.groupBy("user_id", "stance").applyInPandas(fit, "user_id long, stance string, point int, mean double, lo double, hi double")
+    """Ridge regression of each user's opinions on a linear B-spline basis of time, with a 95 % band. A row touches the two
+    basis functions around it, so sums by (user, target, interval) are all that a fit needs."""
+    keys = ["user_id", "stance"]
+    rows = opinions.select(*keys, (F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000.0).alias("t"), F.col("predicted").cast("double").alias("y")).where("t IS NOT NULL AND y IS NOT NULL")
+    spans = rows.groupBy(*keys).agg(F.min("t").alias("lo"), F.greatest(F.max("t"), F.min("t") + 1e-9).alias("hi"))
+    u = (F.col("t") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (knots - 1)
+    cell = F.least(F.floor(u), F.lit(knots - 2))
+    f, y = F.col("f"), F.col("y")
+    placed = rows.join(spans, keys).select(*keys, cell.cast("int").alias("cell"), (u - cell).alias("f"), "y")
+    sums = {"n": F.lit(1.0), "f": f, "ff": f * f, "y": y, "fy": f * y, "yy": y * y}
+    cells = placed.groupBy(*keys, "cell").agg(*(F.sum(c).alias(x) for x, c in sums.items()))
+    curves = cells.groupBy(*keys).agg(F.collect_list(F.array(F.col("cell").cast("double"), *sums)).alias("cells"))  # at most knots - 1 a user
+
+    def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = np.linspace(0, knots - 1, points)
+        g = np.maximum(0, 1 - np.abs(at[:, None] - np.arange(knots)))
+        for frame in frames:
+            parts = []
+            for user, stance, rows in zip(frame["user_id"], frame["stance"], frame["cells"], strict=True):
+                inner, outer, n, squares = np.zeros((knots, knots)), np.zeros(knots), 0.0, 0.0
+                for cell, one, f, ff, y, fy, yy in sorted(map(tuple, rows)):
+                    k = int(cell)
+                    inner[k : k + 2, k : k + 2] += [[one - 2 * f + ff, f - ff], [f - ff, ff]]
+                    outer[k : k + 2] += [y - fy, fy]
+                    n, squares = n + one, squares + yy
+                inverse = np.linalg.inv(inner + ridge * np.eye(knots))
+                w = inverse @ outer
+                noise = max(squares - 2 * w @ outer + w @ inner @ w, 0) / n
+                half = 1.96 * np.sqrt(np.maximum(noise * ((g @ inverse) * g).sum(1), 0))
+                parts.append(pd.DataFrame({"user_id": user, "stance": stance, "point": range(points), "mean": np.round(g @ w, 6), "lo": np.round(g @ w - half, 6), "hi": np.round(g @ w + half, 6)}))
+            if parts:
+                yield pd.concat(parts)
+
+    named = ", ".join(f"{c} {opinions.schema[c].dataType.simpleString()}" for c in keys)
+    return curves.mapInPandas(fit, f"{named}, point int, mean double, lo double, hi double")
 
 
 def flow_field(snapshots: DataFrame, x: str, y: str, cells: int = 10) -> DataFrame:

@@ -47,11 +47,12 @@ def range_of(order: Column | str, cuts: list[float]) -> Column:
     return F.when(group == 0, 0).otherwise((group - 1) * step + below(F.element_at(F.array(*map(array, groups)), F.greatest(group, F.lit(1)))))
 
 
-def running(df: DataFrame, order: str, sums: dict[str, Column], *keys: str, rows: int = ROWS) -> DataFrame:
-    """run_x and total_x for each sum x: its running sum up to the row within the keys, and its sum over them."""
+def running(df: DataFrame, order: str, sums: dict[str, Column], *keys: str, rows: int = ROWS, tie: tuple[str, ...] = ()) -> DataFrame:
+    """run_x and total_x for each sum x: its running sum up to the row within the keys, and its sum over them. Rows equal
+    in the order come by `tie`."""
     cuts = bounds(df, order, rows)
     ranged = df.withColumn("range_", range_of(order, cuts))
-    within = Window.partitionBy(*keys, "range_").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(*keys, "range_").orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.select("*", *(F.sum(c).over(within).alias(f"run_{x}") for x, c in sums.items()))
     if not cuts:
         whole = Window.partitionBy(*keys, "range_")

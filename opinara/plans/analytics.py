@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinara.functions import scores
-from opinara.operators import graph, landscape, models, movement, opinions, polarization, vectors
+from opinara.operators import chains, graph, landscape, models, movement, opinions, polarization, vectors
 from opinara.plans.register import CONTENTS, GRAPH, OPINIONS, PROFILES, SNAPSHOTS, Registry
 from opinara.sources import fixtures
 from opinara.sources.fixtures import table
@@ -308,7 +308,7 @@ def precision_weighted_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query()
 def hmm_em(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.hmm(fixtures.opinions(spark, sf_dir), fixtures.profiles(spark))
+    return chains.hmm(fixtures.opinions(spark, sf_dir), fixtures.profiles(spark))
 
 
 @R.query()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opinara.functions import scores, text
-from opinara.operators import cohort, graph, landscape, models, movement, polarization, scans, vectors
+from opinara.operators import chains, cohort, graph, landscape, models, movement, polarization, scans, vectors
 from opinara.plans.analytics import BELIEFS, DOUBLES, PAIRS, TYPES
 from opinara.plans.register import COMMENTS, CONTENTS, OPINIONS, SNAPSHOTS, Registry
 from opinara.sources import fixtures
@@ -146,13 +146,15 @@ def dataset_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part("quality").unionByName(part("toxic"))
 
 
-@R.query(f"""WITH {COMMENTS}, p AS (SELECT a.id, a.body, b.body AS prev FROM comments a LEFT JOIN comments b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1)
-SELECT id, NOT ((length(body) < 10 AND length(coalesce(prev, '')) < 10) OR coalesce(body = prev, false)) AS good FROM p""")
+@R.query(f"""WITH {COMMENTS}, p AS (SELECT a.id, a.body, b.body AS prev, c.body AS viewed FROM comments a LEFT JOIN comments b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1 LEFT JOIN comments c ON a.conv_id = c.conv_id AND c.turn = 0 AND a.turn > 0)
+SELECT id, NOT ((length(body) < 10 AND length(coalesce(prev, '')) < 10 AND length(coalesce(viewed, '')) < 10) OR coalesce(body = prev, false)) AS good FROM p""")
 def text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a comment, the one before it and the post it answers are not all short, and the first two differ."""
     c = fixtures.comments(spark, sf_dir)
     before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("body").alias("prev"))
-    short = (F.char_length("body") < 10) & (F.char_length(F.coalesce("prev", F.lit(""))) < 10)
-    return c.join(before, ["conv_id", "turn"], "left").select("id", (~(short | F.coalesce(F.col("body") == F.col("prev"), F.lit(False)))).alias("good"))
+    posts = c.where("turn = 0").select("conv_id", F.col("body").alias("post"))
+    texts = c.join(before, ["conv_id", "turn"], "left").join(posts, "conv_id", "left").withColumn("viewed", F.when(F.col("turn") > 0, F.col("post")))
+    return texts.select("id", scores.text_quality("body", "prev", "viewed").alias("good"))
 
 
 @R.query(f"WITH {COMMENTS} SELECT author, count(*) AS n FROM (SELECT CASE WHEN turn % 5 = 3 THEN '[deleted]' ELSE author END AS author FROM comments) WHERE author <> '[deleted]' GROUP BY author")
@@ -279,4 +281,4 @@ def beta_density_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hmm_by_community(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transition matrices of hidden opinions for each target within each community."""
     o = fixtures.opinions(spark, sf_dir)
-    return models.hmm(o.withColumn("stance", F.concat_ws("/", "stance", F.col("community").cast("string"))), fixtures.profiles(spark))
+    return chains.hmm(o.withColumn("stance", F.concat_ws("/", "stance", F.col("community").cast("string"))), fixtures.profiles(spark))

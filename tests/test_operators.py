@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opinara.functions import scores, text
-from opinara.operators import evaluation, graph, landscape, models, movement, opinions, polarization
+from opinara.operators import chains, evaluation, graph, landscape, models, movement, opinions, polarization
 from opinara.sources import readers
 
 SIDE = {"f": "favor", "n": "neutral", "a": "against"}
@@ -244,7 +244,7 @@ def test_hmm_finds_still_and_alternating_opinions(spark):
     rows = [(u, s, t, t, 0, 1 if s == "still" else (-1) ** t) for u in range(10) for s in ("still", "swing") for t in range(30)]
     o = spark.createDataFrame(rows, "user_id long, stance string, ts long, event_id long, classifier_id long, predicted int")
     sure = spark.createDataFrame([(0, a, p, 0.98 if a == p else 0.01) for a in (-1, 0, 1) for p in (-1, 0, 1)], "classifier_id long, actual int, predicted int, prob double")
-    got = {(r["stance"], r["state"], r["next"]): r["prob"] for r in models.hmm(o, sure).collect()}
+    got = {(r["stance"], r["state"], r["next"]): r["prob"] for r in chains.hmm(o, sure).collect()}
     assert got[("still", 1, 1)] > 0.97 and got[("swing", 1, -1)] > 0.9 and got[("swing", -1, 1)] > 0.9
 
 
