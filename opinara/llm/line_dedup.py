@@ -32,7 +32,7 @@ from opinara.llm import textkit as tk
 from opinara.llm.components import components
 from opinara.llm.lists import crossing, mixed, shared_lists
 
-LEAST, FEW, TABLES, WIDTH, FLIPS, CLOSE, SIMILARITY, MOST_WANTED, WIDE, DENSE = 1, 5, 4, 24, 3, 12, 0.8, 1 << 16, 256, 16
+LEAST, FEW, TABLES, WIDTH, FLIPS, CLOSE, SIMILARITY, MOST_WANTED, WIDE, DENSE, SEEN = 1, 5, 4, 24, 3, 12, 0.8, 1 << 16, 256, 16, 1 << 18
 BITS = TABLES * WIDTH
 
 
@@ -100,9 +100,17 @@ def bare_lines(data: np.ndarray, at: np.ndarray, starts: np.ndarray) -> list[tup
     return out
 
 
-def lines_of(data: np.ndarray, at: np.ndarray, least: int = LEAST, blocks: tuple[int, int] | None = None) -> dict[str, np.ndarray]:
+def unseen(key: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys that are not among the sorted seen ones, and where each stands first."""
+    keys, first = np.unique(key, return_index=True)
+    new = seen[np.minimum(np.searchsorted(seen, keys), len(seen) - 1)] != keys if len(seen) else np.ones(len(keys), bool)
+    return keys[new], first[new]
+
+
+def lines_of(data: np.ndarray, at: np.ndarray, least: int = LEAST, blocks: tuple[int, int] | None = None, seen: np.ndarray | None = None) -> dict[str, np.ndarray]:
     """Row, number, key, first and last byte of each line that has enough terms; for least = 1 also of lines of other
-    signs. With blocks also the packed code of lines that have terms, which come first."""
+    signs. With blocks also the packed codes of lines that have terms, and which lines these are; with seen, sorted keys,
+    only the first line of each other key has one."""
     h, rows, starts, ends = tk.words(data, at, sep=tk.TERM_SEP, codes=tk.FOLDED, unspaced=True)
     bare = np.array(bare_lines(data, at, starts) if least <= 1 else [], np.int64).reshape(-1, 5).T
     broken = np.concatenate([[0], np.cumsum(data == 10, dtype=np.int32)])
@@ -111,7 +119,7 @@ def lines_of(data: np.ndarray, at: np.ndarray, least: int = LEAST, blocks: tuple
     size = np.diff(np.r_[fresh, len(h)])
     names = ("row", "number", "key", "begin", "end")
     if not len(fresh):
-        return dict(zip(names, bare, strict=True)) | {"code": np.zeros((0, 1), np.uint8)}
+        return dict(zip(names, bare, strict=True)) | {"code": np.zeros((0, 1), np.uint8), "coded": np.zeros(0, np.int64)}
     place = np.arange(len(h)) - np.repeat(fresh, size)
     key = tk.mix(np.add.reduceat(tk.mix(h ^ (place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))), fresh) + size.astype(np.uint64))
     enough = np.flatnonzero(size >= least)
@@ -121,13 +129,16 @@ def lines_of(data: np.ndarray, at: np.ndarray, least: int = LEAST, blocks: tuple
     if blocks is None:
         return out
     width = blocks[0] * blocks[1]
+    coded = np.arange(len(enough)) if seen is None else np.sort(unseen(key.view(np.int64)[enough], seen)[1])
+    size, fresh = size[enough][coded], fresh[enough][coded]
     # each term of a line counts once, or its most common terms alone would decide the bits
-    line = np.repeat(np.arange(len(fresh)), size).astype(np.uint64)
-    both = np.sort((line << np.uint64(40)) | (h >> np.uint64(24)))
-    both = both[np.r_[True, both[1:] != both[:-1]]]
+    line = np.repeat(np.arange(len(fresh)), size)
+    own = h[np.arange(len(line)) + np.repeat(fresh - np.cumsum(size) + size, size)]
+    both = np.sort((line.astype(np.uint64) << np.uint64(40)) | (own >> np.uint64(24)))
+    both = both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
     line, term = (both >> np.uint64(40)).astype(np.int64), both & np.uint64((1 << 40) - 1)
     first = tk.per_row(line, len(fresh))
-    code = []
+    code = [np.zeros((0, -(-width // 8) + FLIPS * blocks[0]), np.uint8)]
     step = 1 << 10  # lines at a time
     for i in range(0, len(fresh), step):
         edges = first[i : i + step + 1]
@@ -140,7 +151,7 @@ def lines_of(data: np.ndarray, at: np.ndarray, least: int = LEAST, blocks: tuple
             together = np.add.reduceat(tk.mix(own), starts_at)[few] & np.uint64((1 << 40) - 1)
             ties[few] = (2 * sums[few] == count[few, None]) & (bit_sums(together, np.arange(len(few)), np.ones(len(few), np.int64), width) > 0)
         code.append(packed(sums, count, ties, blocks))
-    return out | {"code": np.concatenate(code)[enough]}
+    return out | {"code": np.concatenate(code), "coded": coded}
 
 
 def normal(line: bytes) -> str:
@@ -201,17 +212,22 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
 
 
 def occurrences(docs: DataFrame, least: int = LEAST, blocks: tuple[int, int] = (TABLES, WIDTH)) -> DataFrame:
-    """doc_id, number, key, code of every line with enough terms."""
+    """doc_id, number, key of every line with enough terms, and the code once in a while for each key: a task keeps `SEEN` keys in
+    mind, whose codes it has given."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, np.int64)
         for batch in batches:
             for part in tk.slices(batch, "text"):
-                f = lines_of(*tk.text_buffer(part.column("text")), least, blocks)
+                f = lines_of(*tk.text_buffer(part.column("text")), least, blocks, seen)
+                new = np.sort(f["key"][f["coded"]])
+                seen = np.insert(seen, np.searchsorted(seen, new), new) if len(seen) < SEEN else new
                 raw, size = f["code"].tobytes(), f["code"].shape[1]
-                code = [raw[i : i + size] for i in range(0, len(raw), size)]
-                code += [None] * (len(f["row"]) - len(code))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(f["row"])), *(pa.array(f[c], pa.int64()) for c in ("number", "key")), pa.array(code, pa.binary())], ["doc_id", "number", "key", "code"])
+                of = np.full(len(f["row"]), -1)
+                of[f["coded"]] = np.arange(len(new))
+                code = pa.array([raw[i : i + size] for i in range(0, len(raw), size)], pa.binary()).take(pa.array(of, mask=of < 0))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(f["row"])), *(pa.array(f[c], pa.int64()) for c in ("number", "key")), code], ["doc_id", "number", "key", "code"])
 
     return docs.mapInArrow(run, f"doc_id {kind}, number long, key long, code binary")
 
@@ -280,7 +296,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     # viewed as unsigned, as bitwise_count takes the absolute value of signed numbers
     gap = lambda n, m: np.bitwise_count((n ^ m).view(np.uint64)).astype(np.int64)
     meets = lambda n, m: gap(n, m) <= CLOSE
-    lists = tk.stored(shared_lists(entries(nodes, blocks), meets, WIDE).coalesce(some))
+    lists = tk.stored(shared_lists(entries(nodes, blocks), meets, WIDE).coalesce(some), narrow=True)
     far = F.bit_count(F.col("n").bitwiseXOR(F.col("lead_n")))
     leads = lists.where((F.col("sig") != F.col("lead")) & (far <= CLOSE)).groupBy("sig", "lead").agg(F.count("*").alias("n"), F.min(far).alias("far"))
     # of the leads of its lists, a node first meets the one that leads most of them

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from opinara.llm import textkit as tk
 
-WIDE, CELL = 16, 2048
+WIDE, CELL, HELD = 16, 2048, 1 << 15
 
 
 def by_token(frame: DataFrame, *then: str) -> DataFrame:
@@ -19,39 +20,49 @@ def by_token(frame: DataFrame, *then: str) -> DataFrame:
 
 
 def shared_lists(tokens: DataFrame, meets: Callable[[np.ndarray, np.ndarray], np.ndarray], wide: int = WIDE) -> DataFrame:
-    """token, sig, n of the lists with at least two members, and the least member of the list. Of lists of up to `wide`
-    members only those that meet another (a function of the n of both) are given, so that lists shared by chance, whose
-    number grows with the square of the input, end here."""
+    """token, sig, n of the lists with at least two members, and their lead: the least member, of lists that are longer than
+    `HELD` the least of those that come first. Spark sorts by the token alone, which is one number; members are put in order here.
+    Of lists of up to `wide` members only those that meet another (a function of the n of both) are given, so that lists
+    shared by chance, whose number grows with the square of the input, end here."""
+
+    names = ["token", "sig", "n", "lead", "lead_n"]
+
+    def lists(t: np.ndarray, s: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+        # lists of one member end here, before the others are put in order
+        same = t[1:] == t[:-1]
+        shared = np.r_[same, False] | np.r_[False, same]
+        t, s, n = t[shared], s[shared], n[shared]
+        order = np.lexsort((s, t))
+        t, s, n = t[order], s[order], n[order]
+        lead = np.searchsorted(t, t)
+        return [t, s, n, s[lead], n[lead]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the last row of a batch waits, as the next batch may go on with its list
-        token, lead, lead_n = None, 0, 0
-        held: tuple | None = None
-        names = ["token", "sig", "n", "lead", "lead_n"]
-        for batch in batches:
-            t, s, n = (batch.column(c).to_numpy() for c in ("token", "sig", "n"))
-            if not len(t):
-                continue
-            if held is not None:
-                t, s, n = np.r_[held[0], t], np.r_[held[1], s], np.r_[held[2], n]
-            fresh = np.r_[t[0] != token if held is None or held[3] else False, t[1:] != t[:-1]]
-            if held is not None and not held[3]:
-                fresh[0] = False
-            elif held is not None:
-                fresh[0] = True
-            start = np.maximum.accumulate(np.where(fresh, np.arange(len(t)), -1))
-            a = np.where(start >= 0, s[np.maximum(start, 0)], lead)
-            an = np.where(start >= 0, n[np.maximum(start, 0)], lead_n)
-            shared = ~fresh
-            shared[:-1] |= ~fresh[1:]
-            token, lead, lead_n = t[-1], a[-1], an[-1]
-            held = (t[-1:], s[-1:], n[-1:], bool(fresh[-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][shared[:-1]]) for x in (t, s, n, a, an)], names)
-        if held is not None and not held[3]:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (held[0], held[1], held[2], np.array([lead]), np.array([lead_n]))], names)
+        # the last list waits, as it may go on; one that goes on and on is passed on with the lead of its first rows
+        held, waiting, endless = [[np.zeros(0, np.int64)] * 3], 0, None
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held.append([batch.column(c).to_numpy() for c in ("token", "sig", "n")])
+                waiting += batch.num_rows
+                if waiting < HELD:
+                    continue
+            c = [np.concatenate(x) for x in zip(*held, strict=True)]
+            if endless is not None and len(c[0]):
+                of = int(np.searchsorted(c[0], endless[0], "right"))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*(x[:of] for x in c), *(np.full(of, v) for v in endless[1:]))], names)
+                endless = endless if of == len(c[0]) else None
+                c = [x[of:] for x in c]
+            cut = int(np.searchsorted(c[0], c[0][-1])) if len(c[0]) else 0
+            go_on = batch is not None and len(c[0]) - cut >= HELD
+            if batch is None or go_on:
+                cut = len(c[0])
+            if cut:
+                out = lists(*(x[:cut] for x in c))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names)
+                endless = (out[0][-1], out[3][-1], out[4][-1]) if go_on else endless
+            held, waiting = [[x[cut:] for x in c]], 0
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["token", "sig", "n", "lead", "lead_n"]
         held, open_list = [np.zeros(0, np.int64)] * 5, None
 
         def keep(c: list[np.ndarray], more: bool) -> pa.RecordBatch:
@@ -86,7 +97,7 @@ def shared_lists(tokens: DataFrame, meets: Callable[[np.ndarray, np.ndarray], np
         if len(held[0]):
             yield keep(held, False)
 
-    return by_token(tokens, "sig").mapInArrow(lambda batches: met(run(batches)), "token long, sig long, n long, lead long, lead_n long")
+    return by_token(tokens).mapInArrow(lambda batches: met(run(batches)), "token long, sig long, n long, lead long, lead_n long")
 
 
 def crossing(members: DataFrame, fits: Callable[[np.ndarray, np.ndarray], np.ndarray], may_link: Callable | None = None, sketches: DataFrame | None = None, nearest: bool = False, wide: int = WIDE, cell: int = CELL, gap: Callable | None = None) -> DataFrame:

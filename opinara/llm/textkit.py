@@ -274,17 +274,23 @@ def table_path(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+def stored(df: DataFrame, path: str | None = None, narrow: bool = False) -> DataFrame:
     """Writes df as a table (in the session's checkpoint folder) and reads it back; smaller than a checkpoint of wide rows.
-    The shuffle files of the write go with it, as nothing reads them once the table is there."""
+    The shuffle files of the write go with it, as nothing reads them once the table is there. narrow: Python workers get rows
+    of a few numbers, as many at a time as Spark's own default says."""
     spark = df.sparkSession
     path = path or table_path(spark)
-    before = spark.conf.get(CLEANUP_SETTING)
-    spark.conf.set(CLEANUP_SETTING, "true")
+    settings = {CLEANUP_SETTING: "true"}
+    if narrow and spark.conf.get(ROWS_SETTING) == BATCH_ROWS:
+        settings[ROWS_SETTING] = ROWS_DEFAULT
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP_SETTING, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

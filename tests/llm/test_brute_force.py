@@ -448,3 +448,33 @@ def test_preference_sql(spark, sf_dir, duck):
     key = sorted(df.columns)
     assert key == sorted(want.columns)
     assert sorted(tuple(r[c] for c in key) for r in df.collect()) == sorted(map(tuple, want.select(*key).fetchall()))
+
+
+def test_lists_without_end_and_codes_given_once(spark, monkeypatch):
+    """Lists that are passed on in pieces keep all members under one lead; a key's code is given once by a task."""
+    monkeypatch.setattr(lists, "HELD", 8)
+    rows = [(t, (s * 37) % 101, 0) for t, size in enumerate((1, 3, 100, 2, 9, 1, 64)) for s in range(size)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("token", "sig", "n"), r, strict=True)) for r in rows[i : i + 5]]) for i in range(0, len(rows), 5)]
+
+    class Plan:
+        def mapInArrow(self, run, schema):
+            return [r for b in run(iter(batches)) for r in b.to_pylist()]
+
+    monkeypatch.setattr(lists, "by_token", lambda tokens: Plan())
+    got = lists.shared_lists(None, lambda n, m: n == m, 4)
+    members, leads = {}, {}
+    for r in got:
+        members.setdefault(r["token"], []).append(r["sig"])
+        leads.setdefault(r["token"], set()).add(r["lead"])
+    want = {t: sorted(s for u, s, _ in rows if u == t) for t, *_ in rows}
+    assert {t: sorted(m) for t, m in members.items()} == {t: m for t, m in want.items() if len(m) > 1}
+    assert all(len(v) == 1 and v <= set(want[t]) for t, v in leads.items())
+    assert all(min(want[t]) in v for t, v in leads.items() if len(want[t]) < 8)
+
+    docs = spark.createDataFrame([(i, f"the same line\nline number {'abcdefgh'[i]}\n...") for i in range(8)], "doc_id bigint, text string").coalesce(1)
+    found = line_dedup.occurrences(docs).collect()
+    assert len(found) == 24 and sum(r["code"] is not None for r in found) == 9
+    data, at = textkit.text_buffer(pa.array([f"the same line\nline number {x}" for x in "abcdefgh"]))
+    plain = line_dedup.lines_of(data, at, blocks=(line_dedup.TABLES, line_dedup.WIDTH))
+    codes = dict(zip(plain["key"].tolist(), (x.tobytes() for x in plain["code"]), strict=True))
+    assert {r["key"]: bytes(r["code"]) for r in found if r["code"]} == codes
