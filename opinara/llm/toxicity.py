@@ -1,4 +1,6 @@
-"""Toxicity by the nearest labelled examples under exact TF-IDF cosine.
+"""Toxicity by the nearest labelled examples under cosine of TF-IDF vectors with weights by relevance, searched exactly.
+
+A text's norm covers the terms of the examples only, which scales all its similarities alike.
 
 Terms are words in lower case, hashed to 64 bits. `INDEXED` labelled rows of each class are the examples; all their terms
 are the vocabulary, with document frequencies counted over all documents. A term's weight is (1 + log tf) * idf times its
