@@ -10,6 +10,7 @@ its own, which is how topics are clustered again. What comes to the driver are c
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinara.operators.graph import settled
+from opinara.operators.scans import ROWS, running
 from opinara.operators.vector_windows import vector_sum
 
 SEED_ROUNDS = 4
@@ -40,6 +42,19 @@ def squared(v: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.maximum((v * v).sum(1)[:, None] - 2 * v @ centroids.T + (centroids * centroids).sum(1), 0)
 
 
+def nearest(v: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the nearest centroid (ties to the first) and the distance to it. The product of matrices only chooses;
+    distances are sums of squared differences, the same for equal rows wherever they stand."""
+    near = squared(v, centroids)
+    slack = 1e-12 * ((v * v).sum(1) + (centroids * centroids).sum(1).max())
+    row, c = np.nonzero(~(near > (near.min(1) + slack)[:, None]))
+    difference = v[row] - centroids[c]
+    d = np.sqrt((difference * difference).sum(1))
+    order = np.lexsort((c, d, row))
+    first = order[np.r_[True, row[order][1:] != row[order][:-1]]]
+    return c[first], d[first]
+
+
 def _assigned(rows: DataFrame, centroids: Centroids) -> DataFrame:
     """rows with c, the nearest of their group's centroids (ties to the first), and d, the distance to it."""
 
@@ -52,9 +67,7 @@ def _assigned(rows: DataFrame, centroids: Centroids) -> DataFrame:
                 for g in np.unique(group):
                     if g in centroids:
                         own = group == g
-                        near = squared(np.stack(part["v"].to_numpy()[own]), centroids[g])
-                        c[own] = near.argmin(1)
-                        d[own] = np.sqrt(near.min(1))
+                        c[own], d[own] = nearest(np.stack(part["v"].to_numpy()[own]), centroids[g])
                 part = part.assign(c=c, d=d)
                 yield part[part["c"] >= 0]
 
@@ -106,11 +119,15 @@ def lloyd(rows: DataFrame, centroids: Centroids, rounds: int, tolerance: float =
     return centroids
 
 
-def radii(rows: DataFrame, centroids: Centroids, quantile: float) -> dict[tuple[int, int], tuple[int, float]]:
-    """Of each group and centroid its rows and the distance that the share `quantile` of them does not exceed."""
-    near = _assigned(rows, centroids)
-    got = near.groupBy("g", "c").agg(F.count("*").alias("n"), F.percentile_approx("d", quantile, 10_000).alias("r")).collect()  # a row a centroid
-    return {(r["g"], r["c"]): (r["n"], r["r"]) for r in got}
+def radii(rows: DataFrame, centroids: Centroids, quantile: float, each: int = ROWS) -> dict[tuple[int, int], tuple[int, float]]:
+    """Of each group and centroid its rows and the least distance that the share `quantile` of them does not exceed. It is
+    exact: rows are numbered in the order of their distance, in ranges of `each`."""
+    near = settled(_assigned(rows, centroids).select("g", "c", "d"))
+    ranked = running(near, "d", {"n": F.lit(1).cast("long")}, "g", "c", rows=each)
+    share = Decimal(str(quantile))
+    rank = F.greatest(F.ceil(F.col("total_n") * F.lit(share)), F.lit(1))
+    got = ranked.where(F.col("run_n") == rank).select("g", "c", "total_n", "d").collect()  # a row a centroid
+    return {(r["g"], r["c"]): (r["total_n"], r["d"]) for r in got}
 
 
 class TopicModel:
@@ -134,15 +151,15 @@ class TopicModel:
         return near.select("id", "g", F.when(F.col("d") <= F.col("radius"), F.col("number")).otherwise(OUTLIER).alias("topic"), F.col("d").alias("distance"))
 
 
-def fit(rows: DataFrame, k: int, fraction: float = 1.0, rounds: int = 20, quantile: float = 0.95, least_share: float = 0.001, start: Centroids | None = None, trims: int = 1) -> TopicModel:
+def fit(rows: DataFrame, k: int, fraction: float = 1.0, rounds: int = 20, quantile: float = 0.95, least_share: float = 0.001, start: Centroids | None = None, trims: int = 1, tolerance: float = 1e-4) -> TopicModel:
     """Fits on a sample of the rows; `start` in place of seeds. After each of `trims` the centroids are moved once more,
     by the rows within their radius alone, so that outliers do not draw them."""
     some = settled(sample(rows, fraction))
-    centroids = lloyd(some, seeds(some, k, least_share=least_share) if start is None else start, rounds)
+    centroids = lloyd(some, seeds(some, k, least_share=least_share) if start is None else start, rounds, tolerance)
     for _ in range(trims):
         limits = [(g, c, r) for (g, c), (_, r) in radii(some, centroids, quantile).items()]
         near = _assigned(some, centroids).join(F.broadcast(rows.sparkSession.createDataFrame(limits, "g int, c int, radius double")), ["g", "c"])
-        centroids = lloyd(settled(near.where("d <= radius").select("id", "g", "v")), centroids, rounds)
+        centroids = lloyd(settled(near.where("d <= radius").select("id", "g", "v")), centroids, rounds, tolerance)
     return TopicModel(centroids, radii(some, centroids, quantile), least_share)
 
 

@@ -40,7 +40,7 @@ def topic_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     first = cohort.fixed_size(e, "vec_id", TOPICS).collect()  # ten rows
     rows = topics.rows_of(e, "vec_id", "embedding")
-    model = topics.fit(rows, TOPICS, rounds=STEPS, least_share=0, trims=0, start={0: np.array([r["embedding"] for r in first], float)})
+    model = topics.fit(rows, TOPICS, rounds=STEPS, least_share=0, trims=0, tolerance=0, start={0: np.array([r["embedding"] for r in first], float)})
     return model.transform(rows).select(F.col("id").alias("vec_id"), "topic", F.round("distance", 4).alias("distance"))
 
 

@@ -48,6 +48,24 @@ def test_lloyd_steps(spark):
     assert np.allclose(got, want)
 
 
+@pytest.mark.parametrize("each", [7_000, 10**6])
+def test_radii_are_exact_quantiles(spark, each):
+    rows = spark.range(60_001).selectExpr("id", "0 AS g", "array(pow(cast(id AS double), 1.5), 0D) AS v")
+    (n, r), = topics.radii(rows, {0: np.zeros((1, 2))}, 0.95, each).values()
+    assert (n, r) == (60_001, pytest.approx(57_000**1.5, rel=1e-12))  # 0.95 of 60,001 rows are 57,000.95, so 57,001 of them
+
+
+def test_copies_are_equally_far(spark):
+    """Equal rows get one distance, and equal centroids leave all rows to the first."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(5, 64))
+    c = np.concatenate([rng.normal(size=(9, 64)), v[:1] * 0.9])
+    c[3] = c[9]
+    of, d = topics.nearest(v[np.arange(5001) % 5], c)
+    assert all(len(set(d[i::5])) == 1 and len(set(of[i::5])) == 1 for i in range(5))
+    assert of[0] == 3 and np.allclose(d[:5], np.sqrt(((v[:, None] - c) ** 2).sum(2)).min(1))
+
+
 def test_topics_within_topics(spark):
     rng = np.random.default_rng(0)
     centre = np.array([[0, 0], [0, 4], [100, 0], [100, 4]], float)
