@@ -3,8 +3,12 @@
 Vectors of unit length are compared by their distance, which orders them as the cosine does. The right side is cut into
 blocks around pivots, each with its radius; blocks that hold more rows than a task should are cut again. A left row first
 meets the block of its nearest pivot, which gives its k-th distance so far. By the triangle inequality only blocks whose
-pivot is no farther than that distance plus their radius can hold anything nearer, so it then meets those alone. Each
-task multiplies a bounded part of the left rows with a bounded part of a block and keeps k rows for each left row.
+pivot is no farther than that distance plus their radius can hold anything nearer, so it then meets those alone.
+
+For that, blocks are put together into cells of about `1 / CELLS` of the rows, but no more than `CELL_BYTES` of vectors; a
+left row goes once to each cell that has a block it asks for, and the task multiplies block by block. So a row is copied
+`CELLS` times at most, and only beyond CELLS * CELL_BYTES of vectors more often. In data without clusters the products
+remain those of all pairs, but what is shuffled and kept does not. A task keeps k rows for each left row.
 """
 
 from __future__ import annotations
@@ -20,6 +24,8 @@ from opinara.operators.graph import settled
 
 #: Rows of a side in one task, and the most pivots; they go to every task, MOST_PIVOTS vectors at most.
 BLOCK_ROWS, MOST_PIVOTS = 4096, 4096
+#: Cells of a table, and the bytes of the vectors of one; fewer than LEAST_CELL rows are not parted.
+CELLS, CELL_BYTES, LEAST_CELL = 8, 32 << 20, 2048
 #: Distances are taken as equal within this, so that rounding never prunes a neighbour; similarities are rounded to DIGITS.
 SLACK, DIGITS = 1e-6, 9
 
@@ -56,8 +62,13 @@ def _nearest_pivot(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
     return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, v array<double>, block int, off double")
 
 
-def _wanted(rows: DataFrame, pivots: np.ndarray, blocks: np.ndarray, radii: np.ndarray) -> DataFrame:
-    """rows: id, v, block (met already), reach (k-th distance so far). A row for each other block that may hold nearer ones."""
+def _wanted(rows: DataFrame, pivots: np.ndarray, blocks: np.ndarray, radii: np.ndarray, cells: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """rows: id, v, block (met already), reach (k-th distance so far). A row for each other block that may hold nearer
+    ones; with cells, places of blocks and the sorted cell of each, for each cell of such blocks, with all columns."""
+    place, cell = cells or (np.arange(len(blocks)), blocks)
+    first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    kept = rows if cells else rows.select("id", "v", "block", "reach")
+    schema = kept.withColumn("cell", F.lit(0)).schema if cells else kept.select("id", "v", "block").schema
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -66,10 +77,65 @@ def _wanted(rows: DataFrame, pivots: np.ndarray, blocks: np.ndarray, radii: np.n
                 d = distances(np.stack(part["v"].to_numpy()), pivots[blocks])
                 near = d - radii <= part["reach"].to_numpy()[:, None] + SLACK
                 near &= blocks != part["block"].to_numpy()[:, None]
-                row, b = np.nonzero(near)
-                yield pd.DataFrame({"id": part["id"].to_numpy()[row], "v": part["v"].to_numpy()[row], "block": blocks[b].astype("int32")})
-
-    return rows.select("id", "v", "block", "reach").mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, v array<double>, block int")
+                row, c = np.nonzero(np.logical_or.reduceat(near[:, place], first, axis=1))
+                c = cell[first][c].astype("int32")
+                yield part.iloc[row].assign(cell=c) if cells else part.iloc[row][["id", "v"]].assign(block=c)
+
+    return kept.mapInPandas(run, schema)
+
+
+def _packed(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """First cell and number of cells of each block: neighbours in the order share a cell of at most `most` rows, a block of
+    more rows has cells of its own."""
+    first, parts, cell, held = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64), 0, 0
+    for i, n in enumerate(counts.tolist()):
+        if held and held + n > most:
+            cell, held = cell + 1, 0
+        first[i], parts[i] = cell, max(1, -(-n // most))
+        cell, held = (cell + int(parts[i]), 0) if n > most else (cell, held + n)
+    return first, parts
+
+
+def _in_cells(asks: DataFrame, right: DataFrame, k: int, pivots: np.ndarray, blocks: np.ndarray, radii: np.ndarray, lefts: int) -> DataFrame:
+    """left_id, right_id and similarity: of each row of asks (id, v, block, reach, worst, cell) the best k of the blocks of
+    the cell that it asks for, which are not farther than its worst so far. right: id, v, block, cell. lefts: parts of asks."""
+    right_id = right.schema["id"].dataType.simpleString()
+    index = {int(b): i for i, b in enumerate(blocks)}
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"left_id": a["id"].iloc[:0], "right_id": b["id"].iloc[:0], "similarity": np.zeros(0)})
+        b = b.sort_values(["block", "id"])
+        x, y = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
+        own, ids, reach = a["block"].to_numpy(), b["block"].to_numpy(), a["reach"].to_numpy()
+        rank = b["id"].rank(method="dense").to_numpy()  # ids may be of any type; equal similarities go by them
+        least = a["worst"].fillna(-np.inf).to_numpy().copy()
+        row, at, value = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        cuts = np.r_[0, np.flatnonzero(np.diff(ids)) + 1, len(ids)]
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            i = index[int(ids[lo])]
+            # of several cells of a block each row asks for all
+            asked = np.flatnonzero((own != ids[lo]) & (distances(x, pivots[blocks[i]][None])[:, 0] - radii[i] <= reach + SLACK))
+            for j in range(0, len(asked), 1024):
+                some = asked[j : j + 1024]
+                for m in range(lo, hi, 4096):
+                    s = x[some] @ y[m : min(hi, m + 4096)].T
+                    r, c = np.nonzero(s >= (least[some] - 10.0**-DIGITS)[:, None])
+                    if len(r):
+                        row, at, value = np.r_[row, some[r]], np.r_[at, m + c], np.r_[value, np.round(s[r, c], DIGITS)]
+            if len(row) > 4 * k * len(x) or hi == len(ids):
+                order = np.lexsort((rank[at], -value, row))
+                row, at, value = row[order], at[order], value[order]
+                kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+                row, at, value = row[kept], at[kept], value[kept]
+                last = np.flatnonzero(np.r_[row[1:] != row[:-1], True]) if len(row) else row
+                last = last[last - np.searchsorted(row, row[last]) == k - 1]
+                least[row[last]] = np.maximum(least[row[last]], value[last])
+        return pd.DataFrame({"left_id": a["id"].to_numpy()[row], "right_id": b["id"].to_numpy()[at], "similarity": value})
+
+    dealt = asks.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(lefts)).cast("int"))
+    copied = right.select("id", "v", "block", "cell", F.explode(F.sequence(F.lit(0), F.lit(lefts - 1))).alias("part"))
+    return dealt.groupBy("cell", "part").cogroup(copied.groupBy("cell", "part")).applyInPandas(best, f"left_id {asks.schema['id'].dataType.simpleString()}, right_id {right_id}, similarity double")
 
 
 def _meet(left: DataFrame, right: DataFrame, k: int, block_rows: int, same: bool) -> DataFrame:
@@ -120,12 +186,23 @@ def top_k(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_v
         return spark.createDataFrame([], empty)
     pivots = pivots_of(b, n, block_rows)
     right_rows = settled(_nearest_pivot(b, pivots))
-    size = right_rows.groupBy("block").agg(F.max("off").alias("radius")).orderBy("block").collect()  # a row a pivot
+    size = right_rows.groupBy("block").agg(F.max("off").alias("radius"), F.count("*").alias("n")).orderBy("block").collect()  # a row a pivot
     blocks, radii = np.array([r["block"] for r in size]), np.array([r["radius"] for r in size])
     left_rows = settled(_nearest_pivot(a, pivots[blocks]).withColumn("block", F.element_at(F.array(*(F.lit(int(x)) for x in blocks)), F.col("block") + 1)))
-    first = settled(_best(_meet(left_rows, right_rows, k, block_rows, same), k))
-    found = first.groupBy(F.col("left_id").alias("id")).agg(F.count("*").alias("found"), F.min("similarity").alias("worst"))
-    reach = F.when(F.col("found") >= k, F.sqrt(F.greatest(2 - 2 * F.col("worst"), F.lit(0.0)))).otherwise(F.lit(float("inf")))
-    asks = settled(_wanted(left_rows.join(found, "id", "left").withColumn("reach", reach), pivots, blocks, radii))
-    more = _meet(asks, right_rows, k, block_rows, same)
-    return _best(first.drop("rank").unionByName(more), k)
+    n_left, width = left_rows.count(), pivots.shape[1]
+    in_cell = lambda rows: max(1, min(CELL_BYTES // (8 * width), max(LEAST_CELL, -(-rows // CELLS))))
+    # a block of many copies is cut into parts as large as a cell, so that its rows are not copied once for each part
+    first = settled(_best(_meet(left_rows, right_rows, k, max(block_rows, in_cell(n)), same), k))
+    found = first.groupBy(F.col("left_id").alias("id")).agg(F.count("*").alias("found"), F.min("similarity").alias("least"))
+    full = F.col("found") >= k
+    reach = F.when(full, F.sqrt(F.greatest(2 - 2 * F.col("least"), F.lit(0.0)))).otherwise(F.lit(float("inf")))
+    asking = left_rows.select("id", "v", "block").join(found, "id", "left").select("id", "v", "block", reach.alias("reach"), F.when(full, F.col("least")).alias("worst"))
+    first_cell, parts = _packed(np.array([r["n"] for r in size]), in_cell(n))
+    place = np.repeat(np.arange(len(blocks)), parts)
+    cell = first_cell[place] + np.arange(len(place)) - np.repeat(np.cumsum(parts) - parts, parts)
+    asks = _wanted(asking, pivots, blocks, radii, (place, cell))
+    of_block = spark.createDataFrame([(int(x), int(y), int(z)) for x, y, z in zip(blocks, first_cell, parts, strict=True)], "block int, cell int, parts int")
+    placed = right_rows.join(F.broadcast(of_block), "block").select("id", "v", "block", (F.col("cell") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("cell"))
+    # a row may lie in another block on the right, where pivots are copies, and then it finds itself
+    more = _in_cells(asks, placed, k + same, pivots, blocks, radii, -(-n_left // in_cell(n_left)) or 1)
+    return _best(first.drop("rank").unionByName(more.where("left_id <> right_id") if same else more), k)

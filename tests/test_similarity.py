@@ -45,6 +45,25 @@ def test_few_blocks_are_met(spark):
     assert similarity._wanted(far, pivots, np.arange(8), np.full(8, 0.1)).count() == 400 * 7
 
 
+def test_rows_are_not_copied_for_each_block(spark, monkeypatch):
+    """Vectors without clusters and many copies of one: a row asks for cells, of which there are few, not for blocks."""
+    rng = np.random.default_rng(2)
+    monkeypatch.setattr(similarity, "LEAST_CELL", 40)
+    vectors = np.concatenate([rng.normal(size=(300, 6)), np.ones((90, 6))])
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "id int, e array<double>")
+    asked, wanted = [], similarity._wanted
+    monkeypatch.setattr(similarity, "_wanted", lambda *a: asked.append(wanted(*a)) or asked[-1])
+    got = {}
+    for r in similarity.top_k(df, df, "id", "id", "e", "e", 3, same=True, block_rows=5).collect():
+        got.setdefault(r["left_id"], []).append((r["rank"], r["right_id"], r["similarity"]))
+    assert asked[0].count() <= 390 * 2 * similarity.CELLS  # 78 blocks
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    s = np.round(unit @ unit.T, 9)
+    for i in range(390):
+        order = sorted((j for j in range(390) if j != i), key=lambda j: (-s[i, j], j))[:3]
+        assert [x[1] for x in sorted(got[i])] == order
+
+
 def test_nothing_to_find(spark):
     none = spark.createDataFrame([], "id int, e array<double>")
     some = spark.createDataFrame([(1, [1.0, 0.0])], "id int, e array<double>")
