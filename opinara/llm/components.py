@@ -31,3 +31,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         edges = tk.checkpointed(small.unionByName(least.select("u", F.col("m").alias("v"))).coalesce(few).distinct().coalesce(few))
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct().coalesce(few)).coalesce(few)
+
+
+def extended(roots: DataFrame, more: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """components() of the links that gave `roots` and of more, as a table. Of these only the roots count that they put
+    together, each pair once, so links of a dense group cost what its components do, and earlier ones nothing."""
+    few = tk.parts(more.count())
+    edges = more.select(a, b)
+    for c in (a, b):
+        edges = edges.join(roots.select(F.col("node").alias(c), "root"), c, "left").withColumn(c, F.coalesce("root", c)).drop("root").coalesce(few)
+    above = tk.checkpointed(components(edges.where(F.col(a) != F.col(b)).select(F.least(a, b).alias(a), F.greatest(a, b).alias(b)).distinct().coalesce(few), a, b))
+    many = tk.parts(roots.count())
+    moved = roots.join(above.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return tk.checkpointed(moved.unionByName(above.join(roots.select("node"), "node", "left_anti")).coalesce(many))

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinara.llm import textkit as tk
-from opinara.llm.components import components
+from opinara.llm.components import components, extended
 from opinara.llm.lists import CELL, WIDE, crossing, mixed, shared_lists
 
 K, PERCENT, LONG, RENEWALS, MOST_LONG, MOST_WANTED, LEAST_BITS, SKETCH_BITS = 5, 80, 64, 2, 1 << 20, 1 << 16, 512, 8
@@ -295,10 +295,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
             across = tk.stored(across.coalesce(few).join(met, ["a", "b"], "left_anti").coalesce(few))
             more = _verify(across, docs, classes, k, percent)
             n_more = more.count()
-            links, met = links.unionByName(more), met.unionByName(across)
+            met = met.unionByName(across)
             if not n_more:
                 break
-            roots = tk.checkpointed(components(links))
+            roots = extended(roots, more)
             if not nearest:  # all pairs have met
                 break
             members = mixed(members, roots)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinara.llm import textkit as tk
-from opinara.llm.components import components
+from opinara.llm.components import components, extended
 from opinara.llm.lists import crossing, mixed, shared_lists
 
 LEAST, FEW, TABLES, WIDTH, FLIPS, CLOSE, SIMILARITY, MOST_WANTED, WIDE, DENSE, SEEN = 1, 5, 4, 24, 3, 12, 0.8, 1 << 16, 256, 16, 1 << 18
@@ -312,10 +312,10 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
             across = tk.checkpointed(across.coalesce(few).join(met, ["a", "b"], "left_anti").coalesce(few))
             more = tk.checkpointed(_verify(across, docs, nodes, similarity))
             n_more = more.count()
-            links, met = links.unionByName(more), met.unionByName(across)
+            met = met.unionByName(across)
             if not n_more:
                 break
-            roots = tk.checkpointed(components(links))
+            roots = extended(roots, more)
             if not nearest:  # all pairs have met
                 break
             members = mixed(members, roots)

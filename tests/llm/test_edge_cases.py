@@ -151,3 +151,18 @@ def test_preference_on_nothing(spark):
     long = spark.createDataFrame([(0, 0, 0, 0, "user", LONG, "x", "y"), (0, 1, 1, 0, "user", LONG, "x", "y"), (0, 1, 1, 1, "assistant", LONG, "x", "y")], none.schema)
     r = preference.format_pairs(long).first()
     assert LONG in r["prompt"] and LONG in r["rejected"] and r["chosen"] == ""
+
+
+def test_later_links_are_looked_at_by_roots(spark, monkeypatch):
+    """Links of a dense group cost no more than the components that they join."""
+    from opinara.llm import components as module
+    from opinara.llm.components import components, extended
+
+    first = [(i, i + 1) for i in range(0, 60, 3)]
+    more = [(i, j) for i in range(30) for j in range(i)] + [(70, 71)]
+    pairs = lambda x: spark.createDataFrame(x, "a long, b long")
+    want = sorted(map(tuple, components(pairs(first + more)).collect()))
+    seen, plain = [], components
+    monkeypatch.setattr(module, "components", lambda links, *c: seen.append(links.count()) or plain(links, *c))
+    assert sorted(map(tuple, extended(plain(pairs(first)), pairs(more)).collect())) == want
+    assert seen[0] < len(more)
