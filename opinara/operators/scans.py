@@ -32,6 +32,16 @@ def bounds(df: DataFrame, order: Column | str, rows: int = ROWS) -> list[float]:
     return sorted(set(cuts))
 
 
+def cuts_of(df: DataFrame, order: str, keys: tuple[str, ...], rows: int = ROWS) -> list[float]:
+    """Cuts of an order within keys: none where every key fits a task, as then each is scanned whole and nothing has to be
+    put together; else those of all rows."""
+    if keys:
+        most = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
+        if most is None or most <= rows:
+            return []
+    return bounds(df, order, rows)
+
+
 def range_of(order: Column | str, cuts: list[float]) -> Column:
     """How many cuts lie below a number. They are constants, so all branches of a plan agree, and are searched in two steps."""
     x = (F.col(order) if isinstance(order, str) else order).cast("double")
@@ -50,7 +60,7 @@ def range_of(order: Column | str, cuts: list[float]) -> Column:
 def running(df: DataFrame, order: str, sums: dict[str, Column], *keys: str, rows: int = ROWS, tie: tuple[str, ...] = ()) -> DataFrame:
     """run_x and total_x for each sum x: its running sum up to the row within the keys, and its sum over them. Rows equal
     in the order come by `tie`."""
-    cuts = bounds(df, order, rows)
+    cuts = cuts_of(df, order, keys, rows)
     ranged = df.withColumn("range_", range_of(order, cuts))
     within = Window.partitionBy(*keys, "range_").orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.select("*", *(F.sum(c).over(within).alias(f"run_{x}") for x, c in sums.items()))
@@ -69,7 +79,7 @@ def running(df: DataFrame, order: str, sums: dict[str, Column], *keys: str, rows
 
 def last_before(df: DataFrame, order: str, value: str, *keys: str, rows: int = ROWS, tie: tuple[str, ...] = ()) -> DataFrame:
     """Each row's last value that is not null, up to and with the row, as `last_`, within the keys."""
-    cuts = bounds(df, order, rows)
+    cuts = cuts_of(df, order, keys, rows)
     ranged = df.withColumn("range_", range_of(order, cuts))
     within = Window.partitionBy(*keys, "range_").orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.withColumn("last_", F.last(value, ignorenulls=True).over(within))

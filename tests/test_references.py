@@ -73,3 +73,15 @@ def test_trailing_window_of_a_crowded_day(spark):
     for _, s, _, _, n, mean in a:
         own = [v for _, at, v in rows if s - 86400 < at < s]
         assert n == len(own) and (mean is None if not own else abs(mean - sum(own) / n) < 1e-9)
+
+
+def test_keys_that_fit_a_task_are_not_cut(spark):
+    """Ranges follow from the rows of the largest key; many keys of few rows have none, and sums and values are the same."""
+    few = spark.range(900).selectExpr("id % 90 AS g", "id AS o", "CASE WHEN id % 4 = 0 THEN id END AS v")
+    hot = few.unionByName(spark.range(60).selectExpr("0L AS g", "id * 10 AS o", "id AS v"))
+    assert scans.cuts_of(few, "o", ("g",), 20) == [] and len(scans.bounds(few, "o", 20)) > 30
+    assert len(scans.cuts_of(hot, "o", ("g",), 20)) > 30 and len(scans.cuts_of(few, "o", (), 20)) > 30
+    assert scans.cuts_of(few.limit(0), "o", ("g",), 20) == []
+    for df in (few, hot):
+        got = [sorted(map(tuple, scans.last_before(df, "o", "v", "g", rows=n, tie=("v",)).collect()), key=str) for n in (20, 10**6)]
+        assert got[0] == got[1]
