@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinara.functions.scores import cosine, euclidean
+from opinara.operators.graph import settled
+
+#: Links of a task, and the most keys of content whose sums are broadcast.
+LINKS, MOST_BROADCAST = 100_000, 10_000
 
 
 def centroids(df: DataFrame, *keys: str, vector: str = "embedding", digits: int = 6) -> DataFrame:
@@ -14,6 +18,21 @@ def centroids(df: DataFrame, *keys: str, vector: str = "embedding", digits: int
     return rows.groupBy(*keys, "pos").agg(F.round(F.avg(F.col("x").cast("double")), digits).alias("value"))
 
 
+def linked_centroids(links: DataFrame, content: DataFrame, key: str, by: str, vector: str = "embedding", digits: int = 6, each: int = LINKS) -> DataFrame:
+    """What `centroids` gives by `key` for distinct links (key, by) joined with content by `by`. Content is summed for each
+    `by` first; links are dealt by key, about `each` to a task, so a task holds the sums of its own keys alone."""
+    cells = content.where(F.col(by).isNotNull()).select(by, F.posexplode(vector).alias("pos", "x")).groupBy(by, "pos").agg(F.sum(F.col("x").cast("double")).alias("s"), F.count("x").alias("n"))
+    sums = settled(cells.groupBy(by).agg(F.collect_list(F.struct("pos", "s", "n")).alias("cells")))  # the places of a vector
+    links = settled(links.select(key, by).where(F.col(by).isNotNull()).distinct())
+    parts = max(1, -(-links.count() // each))
+    if sums.count() <= MOST_BROADCAST:
+        joined = links.repartition(parts, key).join(F.broadcast(sums), by)
+    else:
+        joined = links.join(sums, by).repartition(parts, key)
+    rows = joined.select(key, F.explode("cells").alias("c")).select(key, "c.pos", "c.s", "c.n")
+    return rows.groupBy(key, "pos").agg(F.round(F.sum("s") / F.nullif(F.sum("n"), F.lit(0)), digits).alias("value"))
+
+
 def assemble(rows: DataFrame, *keys: str) -> DataFrame:
     """(key, pos, value) rows as one array a key."""
     return rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]).alias("centroid"))

@@ -71,9 +71,9 @@ def trailing_window_global(spark: SparkSession, sf_dir: str) -> DataFrame:
 j AS (SELECT n.src, unnest(c.embedding)::DOUBLE AS x, unnest(range(len(c.embedding))) AS pos FROM near n JOIN contents c USING (author) WHERE c.t >= 50 AND c.t < 150)
 SELECT src, cast(pos AS INT) AS pos, round(avg(x), 6) AS value FROM j GROUP BY ALL""")
 def ring_window_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = fixtures.graph(spark, sf_dir).where("type = 'R'").select("src", (F.substring("dst", 2, 20).cast("long") % 25).alias("author")).distinct()
+    near = fixtures.graph(spark, sf_dir).where("type = 'R'").select("src", (F.substring("dst", 2, 20).cast("long") % 25).alias("author"))
     c = fixtures.contents(spark, sf_dir).where("t >= 50 AND t < 150")
-    return vectors.centroids(near.join(c, "author"), "src")
+    return vectors.linked_centroids(near, c, "src", "author")
 
 
 MOVES = f"""p AS (SELECT *, lag(embedding) OVER (PARTITION BY author ORDER BY t) AS prev FROM contents),

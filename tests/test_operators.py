@@ -298,3 +298,17 @@ def test_files_and_sinks(spark, tmp_path):
     known = readers.catalogue(spark, str(tmp_path / "catalogue.json"))
     got = readers.topics_of(spark.createDataFrame([("gun control",), ("rent",)], "stance string"), known)
     assert sorted((r["stance"], r["topic"] or 0) for r in got.collect()) == [("gun control", 1), ("gun control", 2), ("rent", 0)]
+
+
+def test_linked_centroids(spark, monkeypatch):
+    """The same as centroids of the join, with sums broadcast or shuffled; tasks hold the keys of few links."""
+    from opinara.operators import vectors
+
+    links = spark.createDataFrame([(f"k{i % 40}", i % 7) for i in range(600)] + [("k1", None), ("lone", 99), (None, 3)], "src string, author long")
+    content = spark.createDataFrame([(i % 6, [float(i), None if i % 5 == 0 else i * 0.5, 1.0][: 3 - i % 2]) for i in range(50)] + [(None, [1.0]), (2, None)], "author long, embedding array<double>")
+    want = sorted(map(tuple, vectors.centroids(links.distinct().join(content, "author"), "src").collect()), key=str)
+    for most in (0, 10_000):
+        monkeypatch.setattr(vectors, "MOST_BROADCAST", most)
+        got = vectors.linked_centroids(links, content, "src", "author", each=50)
+        assert sorted(map(tuple, got.collect()), key=str) == want
+        assert got.rdd.getNumPartitions() == 6  # 251 links
