@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,12 +42,29 @@ def _sparse(column: pa.ListArray, rarity: np.ndarray) -> tuple[np.ndarray, np.nd
     return row, flat, weight / np.maximum(norm[row], 1e-12)
 
 
-def _scores(column: pa.ListArray, w: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _scores(column: pa.ListArray, w: np.ndarray, rarity: np.ndarray) -> np.ndarray:
     """Probabilities of the classes, a row each; the last weight of a class is its bias."""
-    row, bucket, weight = _sparse(column, rarity)
-    z = np.stack([np.bincount(row, weight * line[bucket], len(column)) for line in w[:, :-1]], axis=1) + w[:, -1]
+    return _probabilities(len(column), *_sparse(column, rarity), w)
+
+
+def _probabilities(n: int, row: np.ndarray, bucket: np.ndarray, weight: np.ndarray, w: np.ndarray) -> np.ndarray:
+    z = np.stack([np.bincount(row, weight * line[bucket], n) for line in w[:, :-1]], axis=1) + w[:, -1]
     z = np.exp(z - z.max(1, keepdims=True))
-    return z / z.sum(1, keepdims=True), (row, bucket, weight)
+    return z / z.sum(1, keepdims=True)
+
+
+def packed(rows: DataFrame, rarity: np.ndarray) -> DataFrame:
+    """Rows (y, x) as blocks, a batch each: classes, rows, buckets and weights as bytes, so that steps need not make them again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 512):
+                part = b.slice(i, 512)
+                row, bucket, weight = _sparse(part.column(1), rarity)
+                cells = (part.column(0).to_numpy(zero_copy_only=False).astype(np.int32), row.astype(np.int16), bucket.astype(np.int32), weight)
+                yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cells], ["y", "row", "bucket", "weight"])
+
+    return rows.select("y", "x").mapInArrow(run, "y binary, row binary, bucket binary, weight binary")
 
 
 class Classifier:
@@ -60,7 +78,7 @@ class Classifier:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                p, _ = _scores(b.column(1), w, rarity)
+                p = _scores(b.column(1), w, rarity)
                 best = p.argmax(1)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(classes[best].tolist(), pa.string()), pa.array(p[np.arange(len(p)), best])], ["id", "predicted", "probability"])
 
@@ -69,28 +87,32 @@ class Classifier:
 
 def gradient(rows: DataFrame, w: np.ndarray, rarity: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, float]:
     """Mean gradient and loss over rows (y, x), each weighted by the share of its class."""
+    return _slope(packed(rows, rarity), w, share)
+
+
+def _slope(blocks: DataFrame, w: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, float]:
+    """gradient() of packed rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, loss, n = np.zeros(w.shape), 0.0, 0.0
         for b in batches:
-            if not b.num_rows:
-                continue
-            y = b.column(0).to_numpy(zero_copy_only=False)
-            p, (row, bucket, weight) = _scores(b.column(1), w, rarity)
-            own = share[y]
-            loss -= float((own * np.log(np.maximum(p[np.arange(len(y)), y], 1e-300))).sum())
-            p[np.arange(len(y)), y] -= 1
-            p *= own[:, None]
-            for c in range(len(w)):
-                total[c, :-1] += np.bincount(bucket, weight * p[row, c], w.shape[1] - 1)
-                total[c, -1] += p[:, c].sum()
-            n += own.sum()
+            for cells in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                y, row, bucket, weight = (np.frombuffer(c, t) for c, t in zip(cells, (np.int32, np.int16, np.int32, np.float64), strict=True))
+                p = _probabilities(len(y), row, bucket, weight, w)
+                own = share[y]
+                loss -= float((own * np.log(np.maximum(p[np.arange(len(y)), y], 1e-300))).sum())
+                p[np.arange(len(y)), y] -= 1
+                p *= own[:, None]
+                for c in range(len(w)):
+                    total[c, :-1] += np.bincount(bucket, weight * p[row, c], w.shape[1] - 1)
+                    total[c, -1] += p[:, c].sum()
+                n += own.sum()
         if n:
             lines = np.concatenate([total, np.full((len(w), 1), loss), np.full((len(w), 1), n)], axis=1)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(w) + 1) * lines.shape[1], pa.int32()), pa.array(lines.ravel()))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(w)), pa.int32()), flat], ["c", "line"])
 
-    parts = rows.select("y", "x").mapInArrow(run, "c int, line array<double>")
+    parts = blocks.mapInArrow(run, "c int, line array<double>")
     lines = parts.groupBy("c").agg(vector_sum("line").alias("line")).orderBy("c").collect()  # a line a class
     whole = np.array([r["line"] for r in lines])
     return whole[:, :-2] / whole[0, -1], float(whole[0, -2] / whole[0, -1])
@@ -112,11 +134,13 @@ def fit(df: DataFrame, text: str, label: str, rounds: int = 60, ridge: float = 1
         rarity[r["b"]] = np.log((n + 1.0) / r["count"])
     share = n / (len(classes) * np.array([counts[c] for c in classes], float))
     w = ahead = np.zeros((len(classes), buckets + 1))
+    blocks = packed(rows, rarity).persist(StorageLevel.MEMORY_AND_DISK)
     for i in range(rounds):
-        slope, _ = gradient(rows, ahead, rarity, share)
+        slope, _ = _slope(blocks, ahead, share)
         slope = slope + ridge * ahead
         moved = ahead - step * slope
         w, ahead = moved, moved + i / (i + 3) * (moved - w)
         if np.abs(slope).max() < tolerance:
             break
+    blocks.unpersist()
     return Classifier(classes, w, rarity)

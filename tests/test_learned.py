@@ -135,3 +135,13 @@ def test_stances_of_held_out_documents(spark):
     said = learned.stance_classifier(spark, sf_dir).join(learned.stance_labels(spark, sf_dir).where("held_out"), "doc_id").groupBy("stance").agg(F.avg((F.col("stance") == F.col("predicted")).cast("double")).alias("recall")).collect()
     recall = {r["stance"]: r["recall"] for r in said}
     assert sum(recall.values()) / 3 > 0.6, recall
+
+
+def test_steps_read_packed_rows(spark):
+    """Blocks hold what a step needs, row by row, so no step makes it from buckets again."""
+    rows = spark.createDataFrame([(i % 3, sorted(int(x) for x in np.random.default_rng(i).integers(0, 50, i % 40))) for i in range(700)], "y int, x array<int>").coalesce(1)
+    rarity = np.linspace(1, 2, 50)
+    blocks = classifier.packed(rows, rarity).collect()
+    assert [len(b["y"]) // 4 for b in blocks] == [512, 188]
+    norm = np.bincount(np.frombuffer(blocks[0]["row"], np.int16), np.frombuffer(blocks[0]["weight"]) ** 2, 512)
+    assert np.allclose(norm, [i % 40 > 0 for i in range(512)])
