@@ -8,8 +8,9 @@ shingles of each, so only these enter the inverted lists, which a shuffle by shi
 2. lists that are shared by more than `LONG` components are long: they come last in the order, and sets that had some in
    their prefix take further short lists in their place (`RENEWALS` times, as some of the new lists may be long too);
 3. in lists of more than a few members each member meets its nearest one in another component, for as long as that links
-   many of them; then all members meet that still are in different components. Members of such lists carry a parity sketch
-   of eight bits or more a shingle, an exact lower bound of the difference of two sets, so a dense group of sets that are
+   many of them, in `NEAREST` of its lists, those of the least hash, so that near sets stand in the same ones; then, in all
+   lists, all members meet that still are in different components. Members of such lists carry a parity sketch
+   of two bits or more a shingle, an exact lower bound of the difference of two sets, so a dense group of sets that are
    just not alike makes few candidates. Lists of any length are cut into blocks, and pairs of blocks are separate tasks.
 
 Entries carry their place in the order: two sets meet only if the shingle can be the first that they share. What meets is
@@ -34,14 +35,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opinara.llm import textkit as tk
 from opinara.llm.components import components, extended
 from opinara.llm.lists import CELL, WIDE, crossing, mixed, shared_lists
 
-K, PERCENT, LONG, RENEWALS, MOST_LONG, MOST_WANTED, LEAST_BITS, SKETCH_BITS = 5, 80, 64, 2, 1 << 20, 1 << 16, 512, 8
+K, PERCENT, LONG, RENEWALS, MOST_LONG, MOST_WANTED, LEAST_BITS, SKETCH_BITS, NEAREST = 5, 80, 64, 2, 1 << 20, 1 << 16, 512, 2, 4
 #: Candidates of one probe that are searched together, and the cost of a probe against a merge step.
 BLOCK, MU = 256, 0.01
 
@@ -288,10 +289,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     met = pairs
     dense = members.where(F.col("size") > wide)
     sketches = _whole(dense, docs, classes, k, tk.table_path(spark), sketches=True)
-    sketches = sketches.withColumnRenamed("whole", "sketch") if sketches is not None else None
-    for nearest in (True, False) if sketches is not None else (False,):
+    if sketches is not None:
+        sketches = sketches.withColumnRenamed("whole", "sketch")
+        near = mixed(_some_lists(dense), roots)
         while True:
-            across = crossing(members, meets, may, sketches, nearest, wide, cell)
+            across = crossing(near, meets, may, sketches, True, 0, cell)
             across = tk.stored(across.coalesce(few).join(met, ["a", "b"], "left_anti").coalesce(few))
             more = _verify(across, docs, classes, k, percent)
             n_more = more.count()
@@ -299,11 +301,16 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
             if not n_more:
                 break
             roots = extended(roots, more)
-            if not nearest:  # all pairs have met
-                break
-            members = mixed(members, roots)
             if 20 * n_more < across.count():  # most of what is near is not alike: the last round is due
                 break
+            near = mixed(near, roots)
+        members = mixed(members, roots)
+    # the last round: all pairs meet
+    across = crossing(members, meets, may, sketches, False, wide, cell)
+    across = tk.stored(across.coalesce(few).join(met, ["a", "b"], "left_anti").coalesce(few))
+    more = _verify(across, docs, classes, k, percent)
+    if not more.isEmpty():
+        roots = extended(roots, more)
     # the least document of each class, then of each component; both combine before they shuffle
     of_class = classes.groupBy("sig").agg(F.min("doc_id").alias("least_id"))
     of_class = of_class.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
@@ -313,6 +320,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _some_lists(members: DataFrame) -> DataFrame:
+    """Of each member NEAREST of its lists at most, those of the least hash of their token."""
+    by_hash = Window.partitionBy("sig").orderBy(F.xxhash64("token"), "token")
+    return members.withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= NEAREST).drop("rank")
+
+
 def _long_lists(members: DataFrame, long: int) -> np.ndarray:
     """Sorted shingles whose lists are shared by more than `long` components; at most MOST_LONG, the longest ones. Lists
     that are not skipped cost time, never links."""
