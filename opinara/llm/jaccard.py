@@ -6,12 +6,13 @@ shingles of each, so only these enter the inverted lists, which a shuffle by shi
 
 1. every member of a list meets the list's least member;
 2. lists that are shared by more than `LONG` components are long: they come last in the order, and sets that had some in
-   their prefix take further short lists in their place (`RENEWALS` times, as some of the new lists may be long too);
-3. in lists of more than a few members each member meets its nearest one in another component, for as long as that links
-   many of them, in `NEAREST` of its lists, those of the least hash, so that near sets stand in the same ones; then, in all
-   lists, all members meet that still are in different components. Members of such lists carry a parity sketch
+   their prefix take further short lists in their place (`RENEWALS` times, as some of the new lists may be long too, and
+   only if the long lists make many pairs for the entries that a renewal shuffles);
+3. in lists of more than a few members each member meets its nearest one in another component, for as long as many members
+   have one and that links many of them, in `NEAREST` of its lists, those of the least hash, so that near sets stand in the same ones; then, in all
+   lists, all members meet that still are in different components. Each set has a parity sketch
    of two bits or more a shingle, an exact lower bound of the difference of two sets, so a dense group of sets that are
-   just not alike makes few candidates. Lists of any length are cut into blocks, and pairs of blocks are separate tasks.
+   just not alike makes few candidates, and whole sets are only fetched for pairs that can be links by their sketches. Lists of any length are cut into blocks, and pairs of blocks are separate tasks.
 
 Entries carry their place in the order: two sets meet only if the shingle can be the first that they share. What meets is
 searched by T-occurrence: for each probe and block of candidates, `search` makes the inverted lists of the probe's
@@ -42,7 +43,7 @@ from opinara.llm import textkit as tk
 from opinara.llm.components import components, extended
 from opinara.llm.lists import CELL, WIDE, crossing, mixed, shared_lists
 
-K, PERCENT, LONG, RENEWALS, MOST_LONG, MOST_WANTED, LEAST_BITS, SKETCH_BITS, NEAREST = 5, 80, 64, 2, 1 << 20, 1 << 16, 512, 2, 4
+K, PERCENT, LONG, RENEWALS, MOST_LONG, MOST_WANTED, LEAST_BITS, SKETCH_BITS, NEAREST, SPARSE, RENEWAL = 5, 80, 64, 2, 1 << 20, 1 << 16, 512, 2, 4, 16, 4
 #: Candidates of one probe that are searched together, and the cost of a probe against a merge step.
 BLOCK, MU = 256, 0.01
 
@@ -150,8 +151,8 @@ def merge(lists: list[list[int]], least: int) -> list[tuple[int, int]]:
 
 
 def _prepare(docs: DataFrame, k: int, percent: int, long: np.ndarray | None = None) -> DataFrame:
-    """For each row: n, sig (of the set) and prefix. With long, sorted shingles that come last in the order, only
-    rows that have some in the plain prefix are given: the prefix of all others is the same in both orders."""
+    """For each row: n, sig (of the set), prefix and sketch. With long, sorted shingles that come last in the order, only
+    rows that have some in the plain prefix are given, without sketch: the prefix of all others is the same in both orders."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = None if long is None else docs.sparkSession.sparkContext.broadcast(long)  # at most MOST_LONG numbers
 
@@ -159,7 +160,7 @@ def _prepare(docs: DataFrame, k: int, percent: int, long: np.ndarray | None = No
         for batch in batches:
             for part in tk.slices(batch, "text"):
                 s, at = sets(*tk.text_buffer(part.column("text")), k)
-                keep, sigs, sizes, prefixes = [], [], [], []
+                keep, sigs, sizes, prefixes, sketches = [], [], [], [], []
                 if shared is not None:
                     place = np.minimum(np.searchsorted(shared.value, s), len(shared.value) - 1)
                     is_long = shared.value[place] == s
@@ -176,14 +177,52 @@ def _prepare(docs: DataFrame, k: int, percent: int, long: np.ndarray | None = No
                     sizes.append(n)
                     sigs.append(signature(own) if n else None)
                     prefixes.append(prefix.view(np.int64))
+                    sketches.append(sketch(own) if n and shared is None else None)
                 ids = part.column("doc_id").take(pa.array(keep, pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "n", "sig", "prefix"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "n", "sig", "prefix", "sketch"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, sig long, prefix array<long>")
+    return docs.mapInArrow(run, f"doc_id {kind}, n long, sig long, prefix array<long>, sketch binary")
 
 
-def _whole(wanted: DataFrame, docs: DataFrame, classes: DataFrame, k: int, path: str, sketches: bool = False) -> DataFrame | None:
-    """sig and whole set of the classes with these sig, from one text of each, stored at path; with sketches, their sketch instead."""
+def _without(prefixes: DataFrame, long: np.ndarray) -> DataFrame:
+    """sig, n and prefix of the sets of whose prefix no shingle is long: those that _prepare leaves out."""
+    shared = prefixes.sparkSession.sparkContext.broadcast(long)  # at most MOST_LONG numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("prefix")
+            at, held = np.asarray(column.offsets), column.values.to_numpy()[: len(column.values)].view(np.uint64)
+            found = np.r_[0, np.cumsum(shared.value[np.minimum(np.searchsorted(shared.value, held), len(shared.value) - 1)] == held)]
+            yield batch.filter(pa.array(found[at[1:]] == found[at[:-1]]))
+
+    return prefixes.select("sig", "n", "prefix").mapInArrow(run, "sig long, n long, prefix array<long>")
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """A lower bound of the difference of two sets by their sketches, of which the longer one is folded to the shorter one's size."""
+    x, y = sorted((x, y), key=len)
+    while len(y) > len(x):
+        half = len(y) // 2
+        y = (int.from_bytes(y[:half], "little") ^ int.from_bytes(y[half:], "little")).to_bytes(half, "little")
+    return (int.from_bytes(x, "little") ^ int.from_bytes(y, "little")).bit_count()
+
+
+def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs that can be links by their sketches; a table. Whole sets, many times as long, are only fetched for these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = [batch.column(x).to_pylist() for x in ("n_a", "n_b", "s_a", "s_b")]
+            yield batch.select(["a", "b"]).filter(pa.array([bool(may_link(n, m, apart(x, y), percent)) for n, m, x, y in zip(*c, strict=True)], pa.bool_()))
+
+    few = tk.parts(pairs.count(), 20_000)
+    for c in ("a", "b"):
+        pairs = pairs.join(sketches.select(F.col("sig").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")), c).coalesce(few)
+    return tk.stored(pairs.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long"))
+
+
+def _whole(wanted: DataFrame, docs: DataFrame, classes: DataFrame, k: int, path: str) -> DataFrame | None:
+    """sig and whole set of the classes with these sig, from one text of each, stored at path."""
     wanted = tk.checkpointed(wanted.select("sig").distinct())
     few = tk.parts(wanted.count())
     ids = tk.checkpointed(classes.join(wanted.coalesce(few), "sig", "left_semi").coalesce(few).groupBy("sig").agg(F.min("doc_id").alias("__id")).coalesce(few))
@@ -196,7 +235,7 @@ def _whole(wanted: DataFrame, docs: DataFrame, classes: DataFrame, k: int, path:
             for part in tk.slices(batch, "text"):
                 s, at = sets(*tk.text_buffer(part.column("text")), k)
                 own = [s[a:b] for a, b in zip(at, at[1:], strict=False) if a < b]
-                yield pa.RecordBatch.from_arrays([pa.array([signature(x) for x in own], pa.int64()), pa.array([sketch(x) if sketches else x.tobytes() for x in own], pa.binary())], ["sig", "whole"])
+                yield pa.RecordBatch.from_arrays([pa.array([signature(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["sig", "whole"])
 
     # beyond that many rows a shuffle finds the texts
     texts = docs.join(F.broadcast(ids) if count <= MOST_WANTED else ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
@@ -245,7 +284,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, perce
     return links
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT, long: int = LONG, wide: int = WIDE, cell: int = CELL) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT, long: int = LONG, wide: int = WIDE, cell: int = CELL, renewal: float = RENEWAL) -> DataFrame:
     """doc_id, n_shingles and component_id of each row."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     spark = docs.sparkSession
@@ -255,8 +294,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     classes = rows.where("n > 0").select("sig", "doc_id")
     some = tk.parts(rows.count(), 5_000)
     of_prefixes, of_lists = tk.table_path(spark), tk.table_path(spark)
-    prefixes = tk.stored(every.where("n > 0").select("sig", "n", "prefix").dropDuplicates(["sig"]).coalesce(some), of_prefixes)
+    prefixes = tk.stored(every.where("n > 0").select("sig", "n", "prefix", "sketch").dropDuplicates(["sig"]).coalesce(some), of_prefixes)
     tk.drop(spark, path)
+    sketches = prefixes.select("sig", "n", "sketch")
+    # entries of all lists, by the sizes of the sets
+    total = prefixes.select(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
     meets = lambda n, m: may_meet(n, m, percent)
     size = lambda n: n & ((1 << 32) - 1)
     may = lambda n, m, difference: may_link(size(n), size(m), difference, percent)
@@ -268,47 +310,47 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     leads = lists.where((F.col("sig") != F.col("lead")) & first[0] & first[1]).groupBy("sig", "lead").count()
     few = tk.parts(lists.count())
     pairs = tk.checkpointed(leads.coalesce(few).groupBy("sig").agg(F.max_by("lead", F.struct("count", "lead")).alias("lead")).select(F.least("sig", "lead").alias("a"), F.greatest("sig", "lead").alias("b")).coalesce(few).distinct().coalesce(few))
-    links = _verify(pairs, docs, classes, k, percent)
+    links = _verify(_possible(pairs, sketches, percent), docs, classes, k, percent)
     roots = tk.checkpointed(components(links))
     members = mixed(lists, roots)
     tk.drop(spark, of_lists)
     skipped = np.zeros(0, np.uint64)
     for _ in range(RENEWALS):
-        fresh = np.setdiff1d(_long_lists(members, long), skipped)
-        if not len(fresh):
+        found, counts = _long_lists(members, long)
+        new = ~np.isin(found, skipped)
+        fresh = np.sort(found[new])
+        if not len(fresh) or not worth(counts[new], int(total), renewal):
             break
         skipped = np.union1d(skipped, fresh[: max(0, MOST_LONG - len(skipped))])
         of_renewed, of_lists = tk.table_path(spark), tk.table_path(spark)
         renewed = tk.stored(_prepare(docs, k, percent, skipped).where("n > 0").select("sig", "n", "prefix").dropDuplicates(["sig"]).coalesce(some), of_renewed)
-        kept = prefixes.join(renewed.select("sig"), "sig", "left_anti").coalesce(some)
-        lists = tk.stored(shared_lists(_entries(kept.unionByName(renewed)), meets).coalesce(some), of_lists)
+        lists = tk.stored(shared_lists(_entries(_without(prefixes, skipped).unionByName(renewed)), meets).coalesce(some), of_lists)
         tk.drop(spark, of_renewed)
         members = mixed(lists, roots)
         tk.drop(spark, of_lists)
-    tk.drop(spark, of_prefixes)
     met = pairs
     dense = members.where(F.col("size") > wide)
-    sketches = _whole(dense, docs, classes, k, tk.table_path(spark), sketches=True)
-    if sketches is not None:
-        sketches = sketches.withColumnRenamed("whole", "sketch")
+    if not dense.isEmpty():
         near = mixed(_some_lists(dense), roots)
         while True:
             across = crossing(near, meets, may, sketches, True, 0, cell)
             across = tk.stored(across.coalesce(few).join(met, ["a", "b"], "left_anti").coalesce(few))
             more = _verify(across, docs, classes, k, percent)
-            n_more = more.count()
+            n_more, n_across = more.count(), across.count()
             met = met.unionByName(across)
             if not n_more:
                 break
             roots = extended(roots, more)
-            if 20 * n_more < across.count():  # most of what is near is not alike: the last round is due
+            # most of what is near is not alike, or few members have a near one at all: the last round is due
+            if 20 * n_more < n_across or SPARSE * n_across < near.count():
                 break
             near = mixed(near, roots)
         members = mixed(members, roots)
     # the last round: all pairs meet
     across = crossing(members, meets, may, sketches, False, wide, cell)
     across = tk.stored(across.coalesce(few).join(met, ["a", "b"], "left_anti").coalesce(few))
-    more = _verify(across, docs, classes, k, percent)
+    more = _verify(_possible(across, sketches, percent), docs, classes, k, percent)
+    tk.drop(spark, of_prefixes)
     if not more.isEmpty():
         roots = extended(roots, more)
     # the least document of each class, then of each component; both combine before they shuffle
@@ -326,13 +368,18 @@ def _some_lists(members: DataFrame) -> DataFrame:
     return members.withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= NEAREST).drop("rank")
 
 
-def _long_lists(members: DataFrame, long: int) -> np.ndarray:
-    """Sorted shingles whose lists are shared by more than `long` components; at most MOST_LONG, the longest ones. Lists
-    that are not skipped cost time, never links."""
+def worth(counts: np.ndarray, entries: int, times: float = RENEWAL) -> bool:
+    """Whether lists shared by so many components make so many more pairs than there are entries, all of which a renewal
+    shuffles again; comparing two sketches costs far less than an entry. Lists that stay cost time, never links."""
+    return float((counts.astype(float) ** 2).sum()) / 2 > times * entries
+
+
+def _long_lists(members: DataFrame, long: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles whose lists are shared by more than `long` components, and by how many; at most MOST_LONG, the longest ones."""
     few = tk.parts(members.count())
     wide = members.coalesce(few).select("token", "root").distinct().coalesce(few).groupBy("token").count().where(F.col("count") > long).coalesce(few)
-    found = wide.orderBy(F.desc("count"), "token").limit(MOST_LONG).select("token").toPandas()["token"]
-    return np.sort(found.to_numpy(np.int64).view(np.uint64))
+    found = wide.orderBy(F.desc("count"), "token").limit(MOST_LONG).toPandas()
+    return found["token"].to_numpy(np.int64).view(np.uint64), found["count"].to_numpy(np.int64)
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
