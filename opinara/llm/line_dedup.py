@@ -27,12 +27,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from opinara.llm import textkit as tk
 from opinara.llm.components import components, extended
 from opinara.llm.lists import crossing, mixed, shared_lists
 
-LEAST, FEW, TABLES, WIDTH, FLIPS, CLOSE, SIMILARITY, MOST_WANTED, WIDE, DENSE, SEEN = 1, 5, 4, 24, 3, 12, 0.8, 1 << 16, 256, 16, 1 << 18
+LEAST, FEW, TABLES, WIDTH, FLIPS, CLOSE, SIMILARITY, MOST_WANTED, WIDE, DENSE, SEEN, SPARSE = 1, 5, 4, 24, 3, 12, 0.8, 1 << 16, 256, 16, 1 << 18, 16
 BITS = TABLES * WIDTH
 
 
@@ -211,23 +212,28 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     return distance(a, b, most) <= most
 
 
-def occurrences(docs: DataFrame, least: int = LEAST, blocks: tuple[int, int] = (TABLES, WIDTH)) -> DataFrame:
+def occurrences(docs: DataFrame, least: int = LEAST, blocks: tuple[int, int] = (TABLES, WIDTH), counted: bool = False) -> DataFrame:
     """doc_id, number, key of every line with enough terms, and the code once in a while for each key: a task keeps `SEEN` keys in
-    mind, whose codes it has given."""
+    mind, whose codes it has given. counted: a row without a key stands for each text, with the number of all its lines, 0 if it is null."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.int64)
         for batch in batches:
             for part in tk.slices(batch, "text"):
-                f = lines_of(*tk.text_buffer(part.column("text")), least, blocks, seen)
+                data, at = tk.text_buffer(part.column("text"))
+                f = lines_of(data, at, least, blocks, seen)
                 new = np.sort(f["key"][f["coded"]])
                 seen = np.insert(seen, np.searchsorted(seen, new), new) if len(seen) < SEEN else new
                 raw, size = f["code"].tobytes(), f["code"].shape[1]
                 of = np.full(len(f["row"]), -1)
                 of[f["coded"]] = np.arange(len(new))
                 code = pa.array([raw[i : i + size] for i in range(0, len(raw), size)], pa.binary()).take(pa.array(of, mask=of < 0))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(f["row"])), *(pa.array(f[c], pa.int64()) for c in ("number", "key")), code], ["doc_id", "number", "key", "code"])
+                names = ["doc_id", "number", "key", "code"]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(f["row"])), *(pa.array(f[c], pa.int64()) for c in ("number", "key")), code], names)
+                if counted:
+                    n_lines = np.where(np.asarray(part.column("text").is_null()), 0, 1 + np.diff(np.searchsorted(np.flatnonzero(data == 10), at)))
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n_lines, pa.int64()), pa.nulls(part.num_rows, pa.int64()), pa.nulls(part.num_rows, pa.binary())], names)
 
     return docs.mapInArrow(run, f"doc_id {kind}, number long, key long, code binary")
 
@@ -287,9 +293,17 @@ def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: flo
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, least: int = LEAST, blocks: tuple[int, int] | None = None) -> DataFrame:
     """doc_id and number of each line that goes; rows that share an id are taken for one text, so `dedup` gives a key of id and
     text. blocks: of the SimHash and their bits, or such as fit sixteen lines a row."""
+    return _removed(docs, id_col, text_col, similarity, least, blocks)[0]
+
+
+def _removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, least: int = LEAST, blocks: tuple[int, int] | None = None, counted: bool = False) -> tuple[DataFrame, DataFrame]:
+    """What removed() gives, and if counted doc_id and n_lines of each row."""
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     blocks = blocks or blocks_for(16 * docs.count())
-    found = tk.stored(occurrences(docs, least, blocks))
+    found = tk.stored(occurrences(texts, least, blocks, counted))
+    n_lines = found.where("key IS NULL").select("doc_id", F.col("number").alias("n_lines"))
+    found = found.where("key IS NOT NULL")
     some = tk.parts(found.count(), 50_000)
     nodes = found.groupBy("key").agg(F.min(F.struct("doc_id", "number")).alias("first"), F.min("code").alias("code"), F.count("*").alias("copies"))
     nodes = tk.stored(nodes.select("key", "code", "copies", F.col("first.doc_id").alias("doc_id"), F.col("first.number").alias("number")).coalesce(some))
@@ -311,15 +325,17 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
             across = crossing(members, meets, nearest=nearest, wide=DENSE, gap=gap)
             across = tk.checkpointed(across.coalesce(few).join(met, ["a", "b"], "left_anti").coalesce(few))
             more = tk.checkpointed(_verify(across, docs, nodes, similarity))
-            n_more = more.count()
+            n_more, n_across = more.count(), across.count()
             met = met.unionByName(across)
             if not n_more:
                 break
             roots = extended(roots, more)
             if not nearest:  # all pairs have met
                 break
+            # most of what is near is not alike, or few members have a near one at all: the last round is due
+            due = 20 * n_more < n_across or SPARSE * n_across < members.where(F.col("size") > DENSE).count()
             members = mixed(members, roots)
-            if 20 * n_more < across.count():  # most of what is near is not alike: the last round is due
+            if due:
                 break
     roots = roots.withColumnRenamed("node", "key")
     # the occurrence that stays, for nodes that have another occurrence or a link
@@ -330,7 +346,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     alone = nodes.where("copies > 1").join(roots, "key", "left_anti").select("key", F.struct("doc_id", "number").alias("stay"))
     decided = of_node.unionByName(alone)
     gone = found.select("doc_id", "number", "key").join(decided, "key").where(~(F.col("doc_id").eqNullSafe(F.col("stay.doc_id")) & (F.col("number") == F.col("stay.number"))))
-    return gone.select("doc_id", "number").distinct()
+    return gone.select("doc_id", "number").distinct(), n_lines
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -354,10 +370,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every document how many of its lines go, and which."""
     docs = tk.documents(spark, sf_dir)
     docs = docs.withColumn("row_key", tk.shortest_key(docs))
-    gone = removed(docs, "row_key").groupBy(F.col("doc_id").alias("of_row")).agg(F.array_sort(F.collect_set("number")).alias("removed_lines"))
-    # counted by bytes, as a split makes an array of every text
-    lines = F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
-    out = docs.select("doc_id", "row_key", lines.alias("n_lines")).join(gone, F.col("row_key") == F.col("of_row"), "left")
+    gone, counted = _removed(docs, "row_key", counted=True)
+    gone = gone.groupBy(F.col("doc_id").alias("of_row")).agg(F.array_sort(F.collect_set("number")).alias("removed_lines"))
+    # lines were counted when they were read, so texts are not read once more
+    of_id = F.col("row_key.id") if isinstance(docs.schema["row_key"].dataType, StructType) else F.col("row_key")
+    out = counted.select(F.col("doc_id").alias("row_key"), "n_lines").join(gone, F.col("row_key") == F.col("of_row"), "left").select(of_id.alias("doc_id"), "n_lines", "removed_lines")
     return out.select("doc_id", "n_lines", F.coalesce(F.size("removed_lines"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("removed_lines", ","), F.lit("")).alias("removed_lines"))
 
 
