@@ -5,9 +5,10 @@ least T = ceil(0.8 / 1.8 (n + m)). In any order of all shingles, two such sets s
 shingles of each, so only these enter the inverted lists, which a shuffle by shingle merges:
 
 1. every member of a list meets the list's least member;
-2. lists that are shared by more than `LONG` components are long: they come last in the order, and sets that had some in
-   their prefix take further short lists in their place (`RENEWALS` times, as some of the new lists may be long too, and
-   only if the long lists make many pairs for the entries that a renewal shuffles);
+2. lists that are shared by more than `LONG` components are long: they come last in the order. Most are known before any
+   list is shuffled, from one set in `SAMPLE`, which decides on the order alone; where others are found later, sets that had
+   some in their prefix take further short lists in their place (`RENEWALS` times, as some of the new lists may be long too,
+   and only if the long lists make many pairs for the entries that a renewal shuffles);
 3. in lists of more than a few members each member meets its nearest one in another component, for as long as many members
    have one and that links many of them, in `NEAREST` of its lists, those of the least hash, so that near sets stand in the same ones; then, in all
    lists, all members meet that still are in different components. Each set has a parity sketch
@@ -43,7 +44,7 @@ from opinara.llm import textkit as tk
 from opinara.llm.components import components, extended
 from opinara.llm.lists import CELL, WIDE, crossing, mixed, shared_lists
 
-K, PERCENT, LONG, RENEWALS, MOST_LONG, MOST_WANTED, LEAST_BITS, SKETCH_BITS, NEAREST, SPARSE, RENEWAL = 5, 80, 64, 2, 1 << 20, 1 << 16, 512, 2, 4, 16, 4
+K, PERCENT, LONG, RENEWALS, MOST_LONG, MOST_WANTED, LEAST_BITS, SKETCH_BITS, NEAREST, SPARSE, RENEWAL, SAMPLE = 5, 80, 64, 2, 1 << 20, 1 << 16, 512, 2, 4, 16, 4, 16
 #: Candidates of one probe that are searched together, and the cost of a probe against a merge step.
 BLOCK, MU = 256, 0.01
 
@@ -150,29 +151,61 @@ def merge(lists: list[list[int]], least: int) -> list[tuple[int, int]]:
     return out
 
 
-def _prepare(docs: DataFrame, k: int, percent: int, long: np.ndarray | None = None) -> DataFrame:
-    """For each row: n, sig (of the set), prefix and sketch. With long, sorted shingles that come last in the order, only
-    rows that have some in the plain prefix are given, without sketch: the prefix of all others is the same in both orders."""
+def ordered(own: np.ndarray, late: np.ndarray) -> np.ndarray:
+    """A sorted set in an order in which the shingles that are late (booleans) come last."""
+    return np.concatenate([own[~late], own[late]]) if late.any() else own
+
+
+def _among(s: np.ndarray, long: np.ndarray) -> np.ndarray:
+    """Which shingles are long; long is sorted."""
+    return long[np.minimum(np.searchsorted(long, s), len(long) - 1)] == s if len(long) else np.zeros(len(s), bool)
+
+
+def _often(docs: DataFrame, k: int, percent: int, long: int, sample: int) -> np.ndarray:
+    """Shingles whose lists are likely to be long, sorted: those that long / sample or more sets (two at least) of one in `sample`
+    distinct texts hold in thrice the prefix, which is as far as most sets have to look for others; at most MOST_LONG, the most
+    frequent ones. They only decide on the order, in which every set is indexed: any order gives the same links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tk.slices(batch, "text"):
+                s, at = sets(*tk.text_buffer(part.column("text")), k)
+                own = [s[a:b] for a, b in zip(at, at[1:], strict=False) if a < b]
+                tokens = [x[: 3 * prefix_length(len(x), percent)].view(np.int64) for x in own]
+                yield pa.RecordBatch.from_arrays([pa.array([signature(x) for x in own], pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["sig", "tokens"])
+
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(sample)) == 0).select("text").mapInArrow(run, "sig long, tokens array<long>").dropDuplicates(["sig"])
+    counts = tk.checkpointed(some.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") >= max(2, long // sample)))
+    if counts.count() > MOST_LONG:
+        counts = counts.orderBy(F.desc("count"), "token").limit(MOST_LONG)
+    found = counts.select("token").toPandas()
+    return np.sort(found["token"].to_numpy(np.int64).view(np.uint64))
+
+
+def _prepare(docs: DataFrame, k: int, percent: int, late: np.ndarray, long: np.ndarray | None = None) -> DataFrame:
+    """For each row: n, sig (of the set), prefix and sketch; late are sorted shingles that come last in the order. With long,
+    more of them, only rows that have some in that prefix are given, without sketch: the prefix of all others is the same in both
+    orders."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = None if long is None else docs.sparkSession.sparkContext.broadcast(long)  # at most MOST_LONG numbers
+    # at most MOST_LONG numbers each
+    first, shared = docs.sparkSession.sparkContext.broadcast(late), None if long is None else docs.sparkSession.sparkContext.broadcast(long)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tk.slices(batch, "text"):
                 s, at = sets(*tk.text_buffer(part.column("text")), k)
                 keep, sigs, sizes, prefixes, sketches = [], [], [], [], []
-                if shared is not None:
-                    place = np.minimum(np.searchsorted(shared.value, s), len(shared.value) - 1)
-                    is_long = shared.value[place] == s
+                is_late = _among(s, first.value)
+                is_long = None if shared is None else _among(s, shared.value)
                 for i in range(part.num_rows):
-                    own = s[at[i] : at[i + 1]]
+                    own, last = s[at[i] : at[i + 1]], is_late[at[i] : at[i + 1]]
                     n, p = len(own), prefix_length(len(own), percent) if len(own) else 0
-                    prefix = own[:p]
-                    if shared is not None:
-                        late = is_long[at[i] : at[i + 1]]
-                        if not late[:p].any():
+                    prefix = ordered(own, last)[:p]
+                    if is_long is not None:
+                        longs = is_long[at[i] : at[i + 1]]
+                        if not ordered(longs, last)[:p].any():
                             continue
-                        prefix = np.concatenate([own[~late], own[late]])[:p]
+                        prefix = ordered(own, longs)[:p]
                     keep.append(i)
                     sizes.append(n)
                     sigs.append(signature(own) if n else None)
@@ -192,7 +225,7 @@ def _without(prefixes: DataFrame, long: np.ndarray) -> DataFrame:
         for batch in batches:
             column = batch.column("prefix")
             at, held = np.asarray(column.offsets), column.values.to_numpy()[: len(column.values)].view(np.uint64)
-            found = np.r_[0, np.cumsum(shared.value[np.minimum(np.searchsorted(shared.value, held), len(shared.value) - 1)] == held)]
+            found = np.r_[0, np.cumsum(_among(held, shared.value))]
             yield batch.filter(pa.array(found[at[1:]] == found[at[:-1]]))
 
     return prefixes.select("sig", "n", "prefix").mapInArrow(run, "sig long, n long, prefix array<long>")
@@ -284,12 +317,13 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, perce
     return links
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT, long: int = LONG, wide: int = WIDE, cell: int = CELL, renewal: float = RENEWAL) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT, long: int = LONG, wide: int = WIDE, cell: int = CELL, renewal: float = RENEWAL, sample: int = SAMPLE) -> DataFrame:
     """doc_id, n_shingles and component_id of each row."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     spark = docs.sparkSession
     path = tk.table_path(spark)
-    every = tk.stored(_prepare(docs, k, percent), path)
+    late = _often(docs, k, percent, long, sample)
+    every = tk.stored(_prepare(docs, k, percent, late), path)
     rows = tk.stored(every.select("doc_id", "n", "sig"))  # without the prefixes, of which one a class is enough
     classes = rows.where("n > 0").select("sig", "doc_id")
     some = tk.parts(rows.count(), 5_000)
@@ -314,16 +348,16 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     roots = tk.checkpointed(components(links))
     members = mixed(lists, roots)
     tk.drop(spark, of_lists)
-    skipped = np.zeros(0, np.uint64)
+    skipped = late
     for _ in range(RENEWALS):
         found, counts = _long_lists(members, long)
         new = ~np.isin(found, skipped)
         fresh = np.sort(found[new])
-        if not len(fresh) or not worth(counts[new], int(total), renewal):
+        if not len(fresh) or len(skipped) >= MOST_LONG or not worth(counts[new], int(total), renewal):
             break
         skipped = np.union1d(skipped, fresh[: max(0, MOST_LONG - len(skipped))])
         of_renewed, of_lists = tk.table_path(spark), tk.table_path(spark)
-        renewed = tk.stored(_prepare(docs, k, percent, skipped).where("n > 0").select("sig", "n", "prefix").dropDuplicates(["sig"]).coalesce(some), of_renewed)
+        renewed = tk.stored(_prepare(docs, k, percent, late, skipped).where("n > 0").select("sig", "n", "prefix").dropDuplicates(["sig"]).coalesce(some), of_renewed)
         lists = tk.stored(shared_lists(_entries(_without(prefixes, skipped).unionByName(renewed)), meets).coalesce(some), of_lists)
         tk.drop(spark, of_renewed)
         members = mixed(lists, roots)
