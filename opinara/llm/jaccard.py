@@ -427,5 +427,14 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Repeated rows become one; rows that share an id are told apart by their texts."""
     key, of = tk.unused(docs, "row_key", "of_row")
     own = docs.withColumn(key, F.struct(F.col("doc_id").isNull().alias("without"), tk.row_key().alias("row")))
-    found = join(own, key).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(of)).distinct()
-    return own.join(found, F.col(key) == F.col(of), "left_semi").dropDuplicates([key]).select(*docs.columns)
+    found = tk.checkpointed(join(own, key).groupBy("doc_id").agg(F.first("component_id").alias("component_id"), F.count("*").alias("copies")))
+    # whole rows are only shuffled where rows repeat, or more go than a task should hold the keys of
+    goes = tk.checkpointed(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(of)))
+    more = tk.checkpointed(found.where((F.col("doc_id") == F.col("component_id")) & (F.col("copies") > 1)).select(F.col("doc_id").alias(of)))
+    hinted = lambda keys: F.broadcast(keys) if keys.count() <= MOST_WANTED else keys
+    among = F.col(key) == F.col(of)
+    stays = own.join(hinted(goes), among, "left_anti")
+    if not more.isEmpty():
+        repeated = hinted(more)
+        stays = stays.join(repeated, among, "left_anti").unionByName(stays.join(repeated, among, "left_semi").dropDuplicates([key]))
+    return stays.select(*docs.columns)

@@ -38,3 +38,17 @@ def test_no_list_is_shuffled_twice_for_what_a_sample_shows(spark, monkeypatch):
         got = {r["doc_id"]: r["component_id"] for r in jaccard.join(docs).collect()}
         assert got == {k: k for k in range(n)} | {n: 0, n + 1: 1, n + 2: 1}
     assert not renewed
+
+
+def test_rows_that_stay_are_not_shuffled(spark, sf_dir):
+    """Of rows of which few go and few repeat, keep_one shuffles the repeated ones alone, not the texts of all."""
+    texts = [" ".join(f"w{k}x{i}" for i in range(30)) for k in range(50)]
+    rows = [(k, t, "x") for k, t in enumerate(texts)] + [(7, texts[7], "x"), (60, texts[3], "y"), (None, texts[4], "z"), (None, "alone in the world", "z"), (None, None, "z")]
+    schema = "doc_id long, text string, source string"
+    docs = spark.createDataFrame(rows, schema)
+    got = jaccard.keep_one(spark, docs, sf_dir)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([*rows[:50], *rows[53:]], key=str)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    got = jaccard.keep_one(spark, spark.createDataFrame(rows[:50], schema), sf_dir)
+    assert got.count() == 50 and "hashpartitioning(row_key" not in got._jdf.queryExecution().executedPlan().toString()
