@@ -394,7 +394,8 @@ def _merged(lists: DataFrame, k: int) -> DataFrame:
 def top_k(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_vector: str, right_vector: str, k: int, same: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """left_id, right_id, similarity, rank: the k most similar right rows of each left row; ties go to the least id. same:
     both sides are one table, whose rows are no neighbours of themselves."""
-    a, b = unit(left, left_id, left_vector), _kept(unit(right, right_id, right_vector))
+    a, b = unit(left, left_id, left_vector), unit(right, right_id, right_vector)
+    b = _kept(b.where("id IS NOT NULL") if same else b)  # a row without an id cannot be told from itself
     spark, n = left.sparkSession, b.count()
     empty = f"left_id {a.schema['id'].dataType.simpleString()}, right_id {b.schema['id'].dataType.simpleString()}, similarity double, rank int"
     if not n:

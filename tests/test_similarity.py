@@ -94,7 +94,7 @@ def test_ids_that_repeat_and_numbers_that_are_not_finite(spark, monkeypatch):
     rng = np.random.default_rng(4)
     ids, vectors = np.r_[np.arange(60), np.arange(60, 70), np.arange(60, 70), np.full(9, 5)], rng.normal(size=(89, 4))
     rows = [(int(i), [float(x) for x in v]) for i, v in zip(ids, vectors, strict=True)]
-    df = spark.createDataFrame([*rows, (900, [float("nan")] * 4), (901, [float("inf"), 0.0, 0.0, 0.0])], "id int, e array<double>")
+    df = spark.createDataFrame([*rows, (900, [float("nan")] * 4), (901, [float("inf"), 0.0, 0.0, 0.0]), (None, rows[0][1])], "id int, e array<double>")
     unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
     s, got = np.round(unit @ unit.T, 9), {}
     for r in similarity.top_k(df, df, "id", "id", "e", "e", 4, same=True, block_rows=5).collect():
